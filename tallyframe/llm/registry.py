@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import linededup, mixing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_quality": quality.op4_quality,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op8_mixing": mixing.op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality": quality.OP4_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
+}
