@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, simhash
+from . import chat, decontaminate, linededup, mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_quality": quality.op4_quality,
+    "op5_chat_format": chat.op5_chat_format,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_pii": pii.op9_pii,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality": quality.OP4_SQL,
+    "op5_chat_format": chat.OP5_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
+    "op10_decontamination": decontaminate.OP10_SQL,
 }
