@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, mixing, paragraphs, pii, quality, simhash, warc
+from . import chat, decontaminate, linededup, mixing, paragraphs, pii, quality, simhash, suffixes, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
     "op5_chat_format": chat.op5_chat_format,
