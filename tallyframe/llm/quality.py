@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on, settle, table
+from .common import join_on, maybe_broadcast, settle, table
 from .shingles import SEED
 
 MIN_WORDS = 50
@@ -19,6 +19,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_TEXTS_PER_HOST = 20
 #: A document of which less than this share of words is left without boilerplate is depleted.
 MIN_LEFT = 0.3
+#: Boilerplate lines (some 60 bytes each) of at most this number are broadcast; more are joined by shuffle.
+BROADCAST_LINES = 200_000
 
 _SYMBOLS = "#*$%&|<>"
 _SPACES = re.compile("[\x20\x09-\x0d]+")
@@ -122,7 +124,7 @@ def judged(docs: DataFrame, limit: int = MAX_TEXTS_PER_HOST, min_left: float = M
     found = settle(host_boilerplate(rows, limit))
     flat = rows.dropDuplicates(KEY).select(*KEY, F.explode("lines").alias("line"))
     flat = flat.select(*KEY, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    hits = join_on(flat, found, ["source", "hash"], "inner").where(F.col("content") != F.col("first"))
+    hits = join_on(flat, maybe_broadcast(found, BROADCAST_LINES), ["source", "hash"], "inner").where(F.col("content") != F.col("first"))
     lost = hits.groupBy(*KEY).agg(F.sum("words").alias("lost"), F.collect_set("hash").alias("removed"))
     out = join_on(rows.drop("lines"), lost, KEY)
     out = out.withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0))).drop("lost")
