@@ -95,7 +95,8 @@ def measures_in(c: Column) -> Column:
     def of(m: Column) -> Column:
         figure = F.regexp_extract(m, r"^[+-]?[0-9][0-9,]*(?:\.[0-9]+)?", 0)
         value = F.replace(figure, F.lit(","), F.lit("")).try_cast("double")
-        return F.struct(figure.alias("text"), value.alias("value"), F.trim(F.substring(m, F.length(figure) + 1, F.length(m))).alias("unit"))
+        unit = F.trim(F.substring(m, F.length(figure) + 1, F.length(m)))
+        return F.named_struct(F.lit("text"), figure, F.lit("value"), value, F.lit("unit"), unit)
 
     return F.filter(F.transform(found, of), lambda m: m["value"].isNotNull())
 

@@ -257,7 +257,7 @@ def column_kinds(df: DataFrame) -> DataFrame:
     """
     aggs, cols = [F.count("*").alias("rows")], df.columns[:40]
     for i, c in enumerate(cols):
-        aggs += [F.count(filled(c)).alias(f"f{i}"), F.count(number(df, c) if df.schema[c].dataType.typeName() != "timestamp" else F.lit(None)).alias(f"n{i}"), F.count_distinct(filled(c)).alias(f"d{i}")]
+        aggs += [F.count(filled(c)).alias(f"f{i}"), F.count(number(df, c) if not df.schema[c].dataType.typeName().startswith(("timestamp", "date")) else F.lit(None)).alias(f"n{i}"), F.count_distinct(filled(c)).alias(f"d{i}")]
     one = df.agg(*aggs)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("filled"), F.col(f"n{i}").alias("numbers"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(cols)])
     out = one.select("rows", F.explode(pairs).alias("p")).select("rows", "p.*")

@@ -16,13 +16,17 @@ MAX_CATEGORIES = 12
 NUMERIC_SHARE = 0.75
 
 
+def _is_time(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName().startswith(("timestamp", "date"))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """(column, role, missing_ratio, numeric_ratio, distinct_values, negatives, integral) of each column, from one pass."""
     cols = df.columns[:40]
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(cols):
-        x = number(df, c) if df.schema[c].dataType.typeName() != "timestamp" else F.lit(None).cast("double")
-        is_time = F.lit(True) if df.schema[c].dataType.typeName() in ("timestamp", "date") else time_key(filled(c)).isNotNull()
+        x = number(df, c) if not _is_time(df, c) else F.lit(None).cast("double")
+        is_time = F.lit(True) if _is_time(df, c) else time_key(filled(c)).isNotNull()
         aggs += [
             F.count(filled(c)).alias(f"f{i}"), F.count(x).alias(f"n{i}"), F.count_distinct(filled(c)).alias(f"d{i}"), F.count_if(x < 0).alias(f"g{i}"),
             F.coalesce(F.bool_and(is_integral(x)), F.lit(False)).alias(f"w{i}"), F.coalesce(F.bool_and(F.when(filled(c).isNotNull(), is_time)), F.lit(False)).alias(f"t{i}"),
