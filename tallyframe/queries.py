@@ -744,7 +744,7 @@ def json_field(spark, d):
     return Tables(spark, d).events.groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS line_start, json_object('n_nationkey', CAST(n_nationkey AS VARCHAR), 'n_name', trim(n_name), 'n_regionkey', CAST(n_regionkey AS VARCHAR))::VARCHAR AS content FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS line_start, json_object('n_nationkey', CAST(n_nationkey AS VARCHAR), 'n_name', trim(n_name), 'n_regionkey', CAST(n_regionkey AS VARCHAR))::VARCHAR AS content FROM nation")
 def row_blocks(spark, d):
     return tabular.row_blocks(Tables(spark, d).nation, "n_nationkey", "nation", "csv").select("line_start", "content")
 
