@@ -87,22 +87,24 @@ def signatures(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, paragraph int, n_words int, pid long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(pid, shingles) of the paragraphs whose pid is in `wanted`: their sorted distinct shingle hashes."""
+def paragraph_bodies(docs: DataFrame, min_words: int) -> DataFrame:
+    """(pid, body) of each long paragraph. Copies within an Arrow batch are emitted once, so a hot paragraph stays small."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[int] = set()
             for lo in range(0, batch.num_rows, 500):
-                found = [(paragraph_id(body), body) for t in batch.column(0).slice(lo, 500) for _, body, _ in paragraphs_of(t.as_py(), min_words)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["pid", "body"])
+                found = {paragraph_id(body): body for t in batch.column(0).slice(lo, 500) for _, body, _ in paragraphs_of(t.as_py(), min_words)}
+                new = [k for k in found if k not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k] for k in new], pa.binary())], names=["pid", "body"])
+
+    return docs.select("text").mapInArrow(run, "pid long, body binary")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grams = [np.unique(shingle_hashes(x.as_py().split(), SHINGLE)).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["pid", "shingles"])
 
-    bodies = docs.select("text").mapInArrow(lines, "pid long, body binary").join(wanted, "pid", "left_semi")
-    return bodies.groupBy("pid").agg(F.first("body").alias("body")).mapInArrow(sets, "pid long, shingles array<long>")
+def shingle_set(body: bytes) -> np.ndarray:
+    """The sorted distinct shingle hashes of a normalised paragraph."""
+    return np.unique(shingle_hashes(body.split(), SHINGLE))
 
 
 def jaccard_links(pids: np.ndarray, sets: list[np.ndarray], similarity: float, across: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -132,7 +134,7 @@ def jaccard_links(pids: np.ndarray, sets: list[np.ndarray], similarity: float, a
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["candidate", "cell_a", "cell_b"]):
-            links = jaccard_links(g["pid"], list(g["shingles"]), similarity)
+            links = jaccard_links(g["pid"], list(map(shingle_set, g["body"])), similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
     return run
@@ -155,9 +157,11 @@ def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, min_word
     leaders = buckets.groupBy("band").agg(F.min("pid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     near = buckets.join(leaders, "band").where("pid <> leader").select(F.col("pid").alias("src"), F.col("leader").alias("dst")).distinct()
     groups = settle(connected_components(near).select(F.col("node").alias("pid"), F.col("component").alias("candidate")))
-    sets = shingle_sets(docs, groups.select("pid"), min_words).join(groups, "pid")
-    dealt = cells(sets, "candidate", "pid", CELL).repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
-    links = dealt.mapInArrow(_verify(similarity), "src long, dst long")
+    # cells are dealt over ids alone; a text is shuffled once to its id and once to the cells it is compared in
+    dealt = settle(cells(groups, "candidate", "pid", CELL))
+    wanted = paragraph_bodies(docs, min_words).join(groups.select("pid"), "pid", "left_semi").groupBy("pid").agg(F.first("body").alias("body"))
+    met = dealt.join(wanted, "pid").repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
+    links = met.mapInArrow(_verify(similarity), "src long, dst long")
     joined = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
     named = rows.drop("bands").join(joined, "pid", "left").withColumn("cluster", F.coalesce("cluster", "pid")).drop("pid")
     named = settle(named)
