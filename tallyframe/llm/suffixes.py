@@ -117,8 +117,17 @@ def _bytes(x: pa.Scalar) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
+def _alone(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A name for each position by its place; nothing else has it, chance aside, and a chance match only costs a comparison."""
+    return _mix(doc.view(np.uint64) * _P[2] + pos.astype(np.uint64) * _P[0] + _P[3]).view(np.int64)
+
+
 def sampled(docs: DataFrame) -> DataFrame:
-    """(name, doc, pos) of the sampled positions of each text."""
+    """(name, doc, pos, known) of the sampled positions of each text.
+
+    Of names that a piece holds twice or more one stays; the others are known to repeat and are named
+    by their place, so that a hot name is sorted once a piece, not once a position.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,16 +138,21 @@ def sampled(docs: DataFrame) -> DataFrame:
                 chosen[least_positions(name, LENGTH - K + 1)[p.windows]] = True
                 at = np.flatnonzero(chosen)
                 row, pos = p.place(at)
-                yield pa.RecordBatch.from_arrays([pa.array(name[at].view(np.int64)), pa.array(ids[row]), pa.array(pos.astype(np.int32))], names=["name", "doc", "pos"])
+                _, first, kind, count = np.unique(name[at], return_index=True, return_inverse=True, return_counts=True)
+                known = count[kind] > 1
+                other = known.copy()
+                other[first] = False
+                key = np.where(other, _alone(ids[row], pos), name[at].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(pos.astype(np.int32)), pa.array(known)], names=["name", "doc", "pos", "known"])
 
-    return docs.select("doc", "text").mapInArrow(run, "name long, doc long, pos int")
+    return docs.select("doc", "text").mapInArrow(run, "name long, doc long, pos int, known boolean")
 
 
 def repeated_positions(samples: DataFrame) -> DataFrame:
     """(doc, positions): sampled positions whose name is not unique. Neighbours in the sort tell, so no group is held."""
     order = Window.partitionBy("name").orderBy("doc", "pos")
-    beside = samples.select("doc", "pos", F.lag("pos").over(order).alias("before"), F.lead("pos").over(order).alias("after"))
-    again = beside.where("before IS NOT NULL OR after IS NOT NULL")
+    beside = samples.select("doc", "pos", "known", F.lag("pos").over(order).alias("before"), F.lead("pos").over(order).alias("after"))
+    again = beside.where("known OR before IS NOT NULL OR after IS NOT NULL")
     return again.groupBy("doc").agg(F.collect_list("pos").alias("positions"))
 
 
@@ -167,14 +181,29 @@ def cell_batch(p: Piece, ids: np.ndarray, tags: np.ndarray, positions: list[np.n
     offsets = np.concatenate([[0], ends]).astype(np.int32)
     beside = pa.BinaryArray.from_buffers(pa.binary(), len(core), [None, pa.py_buffer(offsets), pa.py_buffer(p.buf[take])])
     row, pos = p.place(core)
+    doc, tag = ids[row], tags[row]
+    # of cells that are equal within the piece the first in the order of copies stays; later ones are repeats
+    kind = _mix(n64[core - hi] * _P[0] + n64[core - lo + LENGTH - 64] * _P[1] + (CELL * hi + lo).astype(np.uint64))
+    order = np.lexsort((pos, tag, doc, kind, name))
+    same = np.ones(len(core), bool)
+    same[:1] = False
+    for x in (name, kind):
+        same[1:] &= x[order][1:] == x[order][:-1]
+    leader = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(core))))]
+    known = np.zeros(len(core), bool)
+    known[order] = (doc[leader] != doc[order]) | (tag[leader] != tag[order]) | (pos[leader] != pos[order])
+    key = np.where(known, _alone(doc ^ tag, pos), name.view(np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(name.view(np.int64)), beside, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(ids[row]), pa.array(tags[row]), pa.array(pos.astype(np.int32))],
-        names=["core", "beside", "lo", "hi", "doc", "tag", "pos"],
+        [pa.array(key), beside, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int32)), pa.array(known)],
+        names=["core", "beside", "lo", "hi", "doc", "tag", "pos", "known"],
     )
 
 
 def cells_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """(core, beside, lo, hi, doc, tag, pos): starts pos - hi to pos - lo share the core at pos."""
+    """(core, beside, lo, hi, doc, tag, pos, known): starts pos - hi to pos - lo share the core at pos.
+
+    known cells repeat one before them in the order of copies; they have a core of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +215,7 @@ def cells_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
                     yield cell_batch(p, ids, tags, where)
 
     both = docs.join(positions, "doc").select("doc", "tag", "text", "positions")
-    return both.mapInArrow(run, "core long, beside binary, lo int, hi int, doc long, tag long, pos int")
+    return both.mapInArrow(run, "core long, beside binary, lo int, hi int, doc long, tag long, pos int, known boolean")
 
 
 def repeated_starts(cells: DataFrame) -> DataFrame:
@@ -197,10 +226,10 @@ def repeated_starts(cells: DataFrame) -> DataFrame:
     whole = Window.partitionBy("core")
     kind = F.struct("lo", "hi", "beside")
     ranked = cells.withColumn("rank", F.dense_rank().over(alike))
-    ranked = ranked.withColumn("open", (F.min(kind).over(whole) != F.max(kind).over(whole)) & (F.col("rank") == 1))
+    ranked = ranked.withColumn("open", (F.min(kind).over(whole) != F.max(kind).over(whole)) & (F.col("rank") == 1) & ~F.col("known"))
     # one pass: repeats as wholes stay one row, open cells become a row for each start
     part = F.when(F.col("open"), F.sequence("lo", "hi")).otherwise(F.array(F.lit(-1)))
-    rows = ranked.where("rank > 1 OR open").select("core", "beside", "lo", "hi", *place, F.explode(part).alias("i"))
+    rows = ranked.where("rank > 1 OR open OR known").select("core", "beside", "lo", "hi", *place, F.explode(part).alias("i"))
     rest = F.when(F.col("i") >= 0, F.substring("beside", F.col("hi") - F.col("i") + 1, F.lit(CELL - 1)))
     rows = rows.select("core", "i", rest.alias("rest"), "lo", "hi", *place)
     again = Window.partitionBy("core", "i", "rest").orderBy(*place)
