@@ -1,18 +1,25 @@
-"""Near-duplicate paragraphs by MinHash banding, exact Jaccard similarity and connected components."""
+"""Near-duplicate paragraphs by MinHash banding, exact Jaccard similarity and connected components.
+
+Paragraphs are the lines of a text. A passage that is repeated inside longer, different lines makes no
+two lines similar, so texts are also cut into windows of WINDOW words that start where a shingle hash is
+the least of its SPREAD neighbours (a one-row MinHash of the neighbourhood). Two texts that share
+WINDOW + SPREAD words or more share such a window, wherever it stands; equal windows join.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_on, settle, table
 from .components import cells, connected_components
-from .shingles import SEED, shingle_hashes, sorted_groups
+from .shingles import SEED, shingle_hashes, sorted_groups, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -20,6 +27,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Shorter paragraphs are phrases and boilerplate lines, which line dedup treats.
 MIN_WORDS = 30
+#: Words of a window, and neighbouring starts of which one window is taken.
+WINDOW, SPREAD = 30, 20
 #: Members of a candidate group that one cell compares at most twice over; larger groups are cut.
 CELL = 2048
 
@@ -66,25 +75,56 @@ def paragraph_id(body: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def window_starts(grams: np.ndarray, n_words: int) -> np.ndarray:
+    """Starts of the windows of a text: of each SPREAD starts in a row the one with the least shingle hash."""
+    n = n_words - WINDOW + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    spans = np.lib.stride_tricks.sliding_window_view(grams[:n], min(SPREAD, n))
+    return np.unique(spans.argmin(axis=1) + np.arange(len(spans)))
+
+
 def signatures(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, paragraph, n_words, pid, bands) for each long paragraph; pid is the hash of its normalised text."""
+    """(doc_id, paragraph, n_words, pid, bands, starts, lines) for each long paragraph and each text.
+
+    A paragraph has its band hashes; pid is the hash of its normalised text. The row of a text has a null
+    pid and, for each of its windows, the hash (bands), the first word (starts) and that word's line.
+    """
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    names = ["doc_id", "paragraph", "n_words", "pid", "bands", "starts", "lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 b = batch.slice(lo, 200)
-                rows, grams = [], []
+                rows, grams, windows = [], [], []
                 for doc_id, text in zip(b.column(0), b.column(1)):
-                    for i, body, words in paragraphs_of(text.as_py(), min_words):
-                        rows.append((doc_id.as_py(), i, len(words), paragraph_id(body)))
-                        grams.append(shingle_hashes(words, SHINGLE))
+                    text = text.as_py() or ""
+                    words = words_of(text)
+                    hashes = shingle_hashes(words, SHINGLE)
+                    sizes = [len(line.split()) for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+                    ends = np.cumsum(sizes)
+                    for i, n in enumerate(sizes):
+                        if n >= min_words:
+                            at = int(ends[i]) - n
+                            rows.append((doc_id.as_py(), i, n, paragraph_id(b" ".join(words[at : at + n]))))
+                            grams.append(hashes[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingle_hashes(words[at : at + n], SHINGLE))
+                    starts = window_starts(hashes, len(words))
+                    keys = [paragraph_id(b" ".join(words[at : at + WINDOW])) for at in starts.tolist()]
+                    windows.append((doc_id.as_py(), keys, starts.astype(np.int32), np.searchsorted(ends, starts, "right").astype(np.int32)))
+                bands = band_keys(grams).view(np.int64)
+                none = [None] * len(rows)
                 cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                keys = band_keys(grams).view(np.int64).ravel()
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(keys))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), bands], names=["doc_id", "paragraph", "n_words", "pid", "bands"])
+                longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(list(bands), longs), pa.array(none, ints), pa.array(none, ints)], names=names)
+                none = [None] * len(windows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w[0] for w in windows], pa.int64()), *(pa.array(none, k) for k in kinds[1:]), pa.array([w[1] for w in windows], longs), pa.array([w[2] for w in windows], ints), pa.array([w[3] for w in windows], ints)],
+                    names=names,
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, paragraph int, n_words int, pid long, bands array<long>")
+    schema = "doc_id long, paragraph int, n_words int, pid long, bands array<long>, starts array<int>, lines array<int>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def paragraph_bodies(docs: DataFrame, min_words: int) -> DataFrame:
@@ -107,7 +147,7 @@ def shingle_set(body: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(body.split(), SHINGLE))
 
 
-def jaccard_links(pids: np.ndarray, sets: list[np.ndarray], similarity: float, across: np.ndarray | None = None) -> list[tuple[int, int]]:
+def jaccard_links(pids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that span all pairs of the members with Jaccard similarity of at least `similarity`.
 
     Members are compared unless links join them already, so a group of copies costs about one
@@ -140,18 +180,14 @@ def _verify(similarity: float):
     return run
 
 
-def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, paragraph, n_words, cluster_doc, cluster_paragraph, removed) of paragraphs that repeat.
+def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    """(doc_id, paragraph, n_words, cluster_doc, cluster_paragraph, removed) of the paragraphs in rows that repeat.
 
-    Paragraphs are the lines of a text with min_words or more, compared as sets of five-word shingles
-    with A-Z lower-cased. Exact copies are one class (one pid) from the start. Classes that share a
-    band are joined to the smallest of the band's bucket, so a bucket of any size makes as many links
-    as it has members; their components are the candidate groups. Within a group every pair of classes
-    that links do not join already is verified by exact Jaccard similarity. Of each cluster of verified
-    links the first paragraph (smallest doc_id, then index) stays and the others are removed.
-    Null texts have no paragraphs, repeated rows repeat theirs, paragraphs of a null doc_id come last.
+    Exact copies are one class (one pid) from the start. Classes that share a band are joined to the
+    smallest of the band's bucket, so a bucket of any size makes as many links as it has members; their
+    components are the candidate groups. Within a group every pair of classes that links do not join
+    already is verified by exact Jaccard similarity.
     """
-    rows = settle(signatures(docs, min_words).select("doc_id", "paragraph", "n_words", "pid", "bands"))
     classes = rows.groupBy("pid").agg(F.first("bands").alias("bands"), F.count("*").alias("n"))
     buckets = classes.select("pid", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("pid").alias("leader"), F.count("*").alias("n")).where("n > 1")
@@ -163,7 +199,7 @@ def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, min_word
     met = dealt.join(wanted, "pid").repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
     links = met.mapInArrow(_verify(similarity), "src long, dst long")
     joined = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
-    named = rows.drop("bands").join(joined, "pid", "left").withColumn("cluster", F.coalesce("cluster", "pid")).drop("pid")
+    named = rows.select("doc_id", "paragraph", "n_words", "pid").join(joined, "pid", "left").withColumn("cluster", F.coalesce("cluster", "pid")).drop("pid")
     named = settle(named)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
     heads = named.groupBy("cluster").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -172,17 +208,97 @@ def paragraph_clusters(docs: DataFrame, similarity: float = SIMILARITY, min_word
     return out.select("doc_id", "paragraph", "n_words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.paragraph").alias("cluster_paragraph"), (~is_head).alias("removed"))
 
 
-def remove_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the same columns and without the paragraphs that repeat an earlier one; n_chars follows the text."""
-    gone = paragraph_clusters(docs, similarity, min_words).where("removed")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("paragraph").alias("__gone"))
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = join_on(docs, gone, ["doc_id"]).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+def _passages(texts: DataFrame, taken: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, start, n_words, cluster_doc, removed): runs of windows that stand elsewhere too.
+
+    Windows that start in paragraphs that are in `taken` (doc_id, paragraph) are left out. A run is of
+    windows that stand first, or of windows that repeat; the latter is removed.
+    """
+    windows = texts.select("doc_id", F.explode(F.arrays_zip("bands", "starts", "lines")).alias("w"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("w.starts").alias("start"))
+    windows = windows.select(F.col("w.bands").alias("window"), place.alias("place"), F.col("w.lines").alias("paragraph"))
+    again = windows.groupBy("window").agg(F.min("place").alias("head"), F.max("place").alias("tail")).where("head <> tail")
+    again = settle(again.select("window", "head"))
+    hits = windows.join(again, "window").select(F.col("place.doc_id").alias("doc_id"), F.col("place.start").alias("start"), "paragraph", "head", (F.col("head") != F.col("place")).alias("removed"))
+    hits = join_on(hits, taken.select("doc_id", "paragraph").distinct(), ["doc_id", "paragraph"], "left_anti")
+    of = Window.partitionBy("doc_id", "removed").orderBy("start")
+    fresh = F.when(F.col("start") <= F.lag("start").over(of) + WINDOW, 0).otherwise(1)
+    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(of))
+    return runs.groupBy("doc_id", "removed", "run").agg(
+        F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n_words"), F.min("head").alias("head")
+    ).select("doc_id", "paragraph", "start", "n_words", F.col("head.doc_id").alias("cluster_doc"), "removed")
+
+
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, kind, paragraph, start, n_words, cluster_doc, cluster_paragraph, removed) of what repeats in docs.
+
+    kind 'paragraph': lines with min_words or more, compared as sets of five-word shingles with A-Z
+    lower-cased. Of each cluster of verified links the first paragraph (smallest doc_id, then index)
+    stays and the others are removed. start is null.
+
+    kind 'passage': words from start (counted over the whole text) on that stand elsewhere too, in
+    paragraphs that are in no cluster. The first of equal passages stays. Up to SPREAD - 1 words at
+    either end of a passage lie in no window and are left.
+
+    Null texts have no paragraphs, repeated rows repeat their paragraphs but not their passages,
+    paragraphs of a null doc_id come last; an empty table gives an empty result.
+    """
+    rows = settle(signatures(docs, min_words))
+    found = settle(_clusters(rows.where("pid IS NOT NULL").select("doc_id", "paragraph", "n_words", "pid", "bands"), docs, similarity, min_words))
+    inside = _passages(rows.where("pid IS NULL").select("doc_id", "bands", "starts", "lines"), found)
+    whole = found.select("doc_id", F.lit("paragraph").alias("kind"), "paragraph", F.lit(None).cast("int").alias("start"), "n_words", "cluster_doc", "cluster_paragraph", "removed")
+    return whole.unionByName(inside.select("doc_id", F.lit("passage").alias("kind"), "paragraph", "start", "n_words", "cluster_doc", F.lit(None).cast("int").alias("cluster_paragraph"), "removed"))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def without_parts(text: str | None, lines: list[int], spans: list[dict]) -> str | None:
+    """The text without the lines of these indexes and without the words of these spans (start, n_words)."""
+    if text is None or not (lines or spans):
+        return text
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)] if spans else []
+    gone = set(lines)
+    cuts = [(words[s["start"]][0], words[s["start"] + s["n_words"] - 1][1]) for s in spans]
+    at, parts = 0, []
+    for i, line in enumerate(text.split("\n")):
+        end = at + len(line)
+        if i not in gone:
+            kept, lo = [], at
+            for a, b in sorted(cuts):
+                if a < end and b > lo:
+                    kept.append(text[lo : max(a, lo)])
+                    lo = min(b, end)
+            parts.append("".join(kept) + text[lo:end])
+        at = end + 1
+    return "\n".join(parts)
+
+
+def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the same columns and without what repeats() removes; n_chars follows the text.
+
+    Rows that share a doc_id are taken for copies of one text.
+    """
+    gone = repeats(docs, similarity, min_words).where("removed")
+    lines = F.collect_set(F.when(F.col("kind") == "paragraph", F.col("paragraph"))).alias("__lines")
+    spans = F.collect_set(F.when(F.col("kind") == "passage", F.struct("start", "n_words"))).alias("__spans")
+    names, schema = docs.columns, docs.schema
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                b = batch.slice(lo, 500)
+                cols = [b.column(i) for i in range(len(names))]
+                parts = list(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()))
+                texts = [without_parts(t, lines or [], spans or []) for t, lines, spans in parts]
+                cols[at] = pa.array(texts, cols[at].type)
+                if size is not None:
+                    cols[size] = pa.array([n if t is None or not (p[1] or p[2]) else len(t) for t, n, p in zip(texts, cols[size].to_pylist(), parts)], cols[size].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return join_on(docs, gone.groupBy("doc_id").agg(lines, spans), ["doc_id"]).mapInArrow(run, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_clusters(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"))
