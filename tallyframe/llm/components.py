@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Links that one map task of a round works on at least, where there are fewer than the cluster has tasks for.
+ROWS_A_PART = 250_000
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the links (src, dst); component is the smallest node reachable.
@@ -16,11 +19,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     empty table gives an empty table; self links give a component of their own node.
     """
     links = settle(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    # few links need few map tasks, and so few shuffle files a round
+    parts = max(1, min(links.rdd.getNumPartitions(), links.count() // ROWS_A_PART + 1))
     loops = links.where("u = v").select(F.col("u").alias("node"))
-    links = links.where("u <> v")
+    links = links.where("u <> v").coalesce(parts)
     before = None
     for _ in range(max_rounds):
-        links = settle(_small_star(_large_star(links)))
+        links = settle(_small_star(_large_star(links, parts), parts).coalesce(parts))
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -32,28 +37,32 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return members.unionByName(roots.join(members, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
+    links = links.coalesce(parts)
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
 
 
-def cells(rows: DataFrame, key: str, member: str, cap: int) -> DataFrame:
+def cells(rows: DataFrame, key: str, member: str, cap: int, home: str | None = None) -> DataFrame:
     """Deals each bucket of `key` out to cells of at most 2 * cap members (columns cell_a, cell_b).
 
     A bucket of more than cap members is cut into chunks by `member`; each pair of chunks meets in a
     cell of its own, so that every pair of members still meets and no task holds a whole hot bucket.
-    Buckets of one member are dropped: they hold no pair.
+    Buckets of one member are dropped: they hold no pair. With a boolean column `home` only pairs with a
+    home count, so buckets without one go too.
     """
-    ordered = Window.partitionBy(key).orderBy(member)
-    n = F.count("*").over(Window.partitionBy(key))
-    dealt = rows.withColumn("__n", n).withColumn("__i", F.row_number().over(ordered)).where("__n > 1")
+    ordered, whole = Window.partitionBy(key).orderBy(member), Window.partitionBy(key)
+    pairs = F.count("*").over(whole) > 1
+    if home:
+        pairs = pairs & F.max(home).over(whole)
+    dealt = rows.withColumn("__pairs", pairs).withColumn("__n", F.count("*").over(whole)).withColumn("__i", F.row_number().over(ordered)).where("__pairs")
     chunk, chunks = F.floor((F.col("__i") - 1) / cap).cast("int"), F.ceil(F.col("__n") / cap).cast("int")
     dealt = dealt.withColumn("__c", chunk).withColumn("__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.where((chunks == 1) | (F.col("__c") != F.col("__other")))

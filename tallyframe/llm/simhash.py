@@ -157,7 +157,7 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL
     if not 0 <= distance <= 3:
         raise ValueError("distance must be from 0 to 3")
     met = fps.select("fp").distinct().mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    dealt = cells(met, "anchor", "fp", cell).repartition("anchor", "cell_a", "cell_b").sortWithinPartitions("anchor", "cell_a", "cell_b")
+    dealt = cells(met, "anchor", "fp", cell, "home").repartition("anchor", "cell_a", "cell_b").sortWithinPartitions("anchor", "cell_a", "cell_b")
     return dealt.mapInArrow(_compare(distance), "src long, dst long").distinct()
 
 
@@ -232,7 +232,7 @@ def similar_documents(docs: DataFrame, distance: int = SIMILAR_DISTANCE, cell: i
     rows = settle(_wide(docs))
     first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.first("anchors").alias("anchors"), F.first("fps").alias("fps"))
     met = first.select("fid", "anchors").mapInArrow(_replicate_wide, "anchor long, fid long, home boolean")
-    dealt = settle(cells(met, "anchor", "fid", cell))
+    dealt = settle(cells(met, "anchor", "fid", cell, "home"))
     full = dealt.join(rows.select("fid", "fps").dropDuplicates(["fid"]), "fid")
     full = full.repartition("anchor", "cell_a", "cell_b").sortWithinPartitions("anchor", "cell_a", "cell_b")
     reached = connected_components(full.mapInArrow(_compare_wide(distance), "src long, dst long").distinct())
