@@ -57,3 +57,20 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcasts a settled frame of at most max_rows rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: Slots of the bitmap of in_bitmap: 2**18 rows of 16 bytes at most.
+BITMAP_BITS = 1 << 24
+
+
+def in_bitmap(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key (a long) is not in keys; the rest must still be joined.
+
+    Keeps rows from being shuffled. The bitmap has a fixed size; where it is full, all rows stay.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    filled = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumn("__word", word).withColumn("__bit", bit)
+    hit = marked.join(F.broadcast(filled), F.col("__word") == F.col("word"))
+    return hit.where(F.col("bits").bitwiseAND(F.col("__bit")) != 0).select(*rows.columns)

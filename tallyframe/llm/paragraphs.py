@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_on, settle, table
+from .common import in_bitmap, join_on, settle, table
 from .components import cells, connected_components
 from .shingles import SEED, shingle_hashes, sorted_groups, words_of
 
@@ -29,6 +29,8 @@ BANDS, ROWS = 16, 4
 MIN_WORDS = 30
 #: Words of a window, and neighbouring starts of which one window is taken.
 WINDOW, SPREAD = 30, 20
+#: What counts as the doc_id of documents that have none.
+LAST = 2**63 - 1
 #: Members of a candidate group that one cell compares at most twice over; larger groups are cut.
 CELL = 2048
 
@@ -195,7 +197,8 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
     groups = settle(connected_components(near).select(F.col("node").alias("pid"), F.col("component").alias("candidate")))
     # cells are dealt over ids alone; a text is shuffled once to its id and once to the cells it is compared in
     dealt = settle(cells(groups, "candidate", "pid", CELL))
-    wanted = paragraph_bodies(docs, min_words).join(groups.select("pid"), "pid", "left_semi").groupBy("pid").agg(F.first("body").alias("body"))
+    bodies = in_bitmap(paragraph_bodies(docs, min_words), groups, "pid")
+    wanted = bodies.join(groups.select("pid"), "pid", "left_semi").groupBy("pid").agg(F.first("body").alias("body"))
     met = dealt.join(wanted, "pid").repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
     links = met.mapInArrow(_verify(similarity), "src long, dst long")
     joined = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
@@ -209,24 +212,24 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
 
 
 def _passages(texts: DataFrame, taken: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, start, n_words, cluster_doc, removed): runs of windows that stand elsewhere too.
+    """(doc_id, paragraph, start, n_words, cluster_doc, removed): runs of windows that stand in other documents too.
 
     Windows that start in paragraphs that are in `taken` (doc_id, paragraph) are left out. A run is of
-    windows that stand first, or of windows that repeat; the latter is removed.
+    windows of which this document is the first, or of windows that repeat; the latter is removed.
     """
-    windows = texts.select("doc_id", F.explode(F.arrays_zip("bands", "starts", "lines")).alias("w"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("w.starts").alias("start"))
-    windows = windows.select(F.col("w.bands").alias("window"), place.alias("place"), F.col("w.lines").alias("paragraph"))
-    again = windows.groupBy("window").agg(F.min("place").alias("head"), F.max("place").alias("tail")).where("head <> tail")
+    windows = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.explode(F.arrays_zip("bands", "starts", "lines")).alias("w"))
+    windows = windows.select("doc", F.col("w.bands").alias("window"), F.col("w.starts").alias("start"), F.col("w.lines").alias("paragraph"))
+    again = windows.groupBy("window").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head <> tail")
     again = settle(again.select("window", "head"))
-    hits = windows.join(again, "window").select(F.col("place.doc_id").alias("doc_id"), F.col("place.start").alias("start"), "paragraph", "head", (F.col("head") != F.col("place")).alias("removed"))
+    hits = in_bitmap(windows, again, "window").join(again, "window")
+    hits = hits.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "start", "paragraph", "head", (F.col("head") != F.col("doc")).alias("removed"))
     hits = join_on(hits, taken.select("doc_id", "paragraph").distinct(), ["doc_id", "paragraph"], "left_anti")
     of = Window.partitionBy("doc_id", "removed").orderBy("start")
     fresh = F.when(F.col("start") <= F.lag("start").over(of) + WINDOW, 0).otherwise(1)
     runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(of))
     return runs.groupBy("doc_id", "removed", "run").agg(
-        F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n_words"), F.min("head").alias("head")
-    ).select("doc_id", "paragraph", "start", "n_words", F.col("head.doc_id").alias("cluster_doc"), "removed")
+        F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n_words"), F.min("head").alias("cluster_doc")
+    ).select("doc_id", "paragraph", "start", "n_words", "cluster_doc", "removed")
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -236,9 +239,9 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MI
     lower-cased. Of each cluster of verified links the first paragraph (smallest doc_id, then index)
     stays and the others are removed. start is null.
 
-    kind 'passage': words from start (counted over the whole text) on that stand elsewhere too, in
-    paragraphs that are in no cluster. The first of equal passages stays. Up to SPREAD - 1 words at
-    either end of a passage lie in no window and are left.
+    kind 'passage': words from start (counted over the whole text) on that stand in another document
+    too, in paragraphs that are in no cluster. The document with the smallest doc_id keeps them. Up to
+    SPREAD - 1 words at either end of a passage lie in no window and are left.
 
     Null texts have no paragraphs, repeated rows repeat their paragraphs but not their passages,
     paragraphs of a null doc_id come last; an empty table gives an empty result.
