@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import in_bitmap, settle, table
 
 LENGTH = 100
 K = 32
 CELL = 16
 #: Bytes that one NumPy pass works on; longer texts are worked on in overlapping pieces.
 PIECE = 1 << 20
-#: Size of the bitmap of document ids that keeps other texts from being shuffled: 2**18 rows of 16 bytes at most.
-BITMAP_BITS = 1 << 24
 
 _LOW = np.uint64((1 << 22) - 1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -117,16 +115,16 @@ def _bytes(x: pa.Scalar) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _alone(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A name for each position by its place; nothing else has it, chance aside, and a chance match only costs a comparison."""
-    return _mix(doc.view(np.uint64) * _P[2] + pos.astype(np.uint64) * _P[0] + _P[3]).view(np.int64)
+def _own(doc: np.ndarray) -> np.ndarray:
+    """A name for what is known to repeat, by its document. Nothing else has it, chance aside; a match only costs work."""
+    return _mix(doc.view(np.uint64) * _P[2] + _P[3]).view(np.int64)
 
 
 def sampled(docs: DataFrame) -> DataFrame:
     """(name, doc, pos, known) of the sampled positions of each text.
 
     Of names that a piece holds twice or more one stays; the others are known to repeat and are named
-    by their place, so that a hot name is sorted once a piece, not once a position.
+    by their document, so that a hot name is sorted once a piece, not once a position.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +140,7 @@ def sampled(docs: DataFrame) -> DataFrame:
                 known = count[kind] > 1
                 other = known.copy()
                 other[first] = False
-                key = np.where(other, _alone(ids[row], pos), name[at].view(np.int64))
+                key = np.where(other, _own(ids[row]), name[at].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(pos.astype(np.int32)), pa.array(known)], names=["name", "doc", "pos", "known"])
 
     return docs.select("doc", "text").mapInArrow(run, "name long, doc long, pos int, known boolean")
@@ -192,17 +190,30 @@ def cell_batch(p: Piece, ids: np.ndarray, tags: np.ndarray, positions: list[np.n
     leader = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(core))))]
     known = np.zeros(len(core), bool)
     known[order] = (doc[leader] != doc[order]) | (tag[leader] != tag[order]) | (pos[leader] != pos[order])
-    key = np.where(known, _alone(doc ^ tag, pos), name.view(np.int64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key), beside, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int32)), pa.array(known)],
-        names=["core", "beside", "lo", "hi", "doc", "tag", "pos", "known"],
-    )
+    # known repeats that follow each other become one row, as starts from pos - hi to pos
+    again = np.flatnonzero(known)
+    start, end = (pos - hi)[again], (pos - lo)[again]
+    fresh = np.ones(len(again), bool)
+    fresh[1:] = (row[again][1:] != row[again][:-1]) | (start[1:] > end[:-1] + 1)
+    heads = np.flatnonzero(fresh)
+    tails = np.append(heads[1:], len(again))[: len(heads)] - 1
+    runs, keep = again[heads], np.flatnonzero(~known)
+    last, n = end[tails], len(heads)
+    none = np.zeros(n, np.int64)
+    columns = [
+        (name.view(np.int64)[keep], _own(doc[runs] ^ tag[runs])), (lo[keep].astype(np.int32), none.astype(np.int32)), (hi[keep].astype(np.int32), (last - start[heads]).astype(np.int32)),
+        (doc[keep], doc[runs]), (tag[keep], tag[runs]), (pos[keep].astype(np.int32), last.astype(np.int32)), (np.zeros(len(keep), bool), np.ones(n, bool)),
+    ]
+    key, lo_, hi_, doc_, tag_, pos_, known_ = (pa.array(np.concatenate(c)) for c in columns)
+    text = pa.concat_arrays([beside.take(pa.array(keep)), pa.array([b""] * n, pa.binary())])
+    return pa.RecordBatch.from_arrays([key, text, lo_, hi_, doc_, tag_, pos_, known_], names=["core", "beside", "lo", "hi", "doc", "tag", "pos", "known"])
 
 
 def cells_of(docs: DataFrame, positions: DataFrame) -> DataFrame:
     """(core, beside, lo, hi, doc, tag, pos, known): starts pos - hi to pos - lo share the core at pos.
 
-    known cells repeat one before them in the order of copies; they have a core of their own.
+    known rows are starts of strings that repeat one before them in the order of copies; their core is of
+    their document and they have nothing beside it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +271,6 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def in_bitmap(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most rows whose doc is not in ids. The bitmap has a fixed size; where it is full, all rows stay."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(BITMAP_BITS))
-    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    filled = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    marked = docs.withColumn("__word", word).withColumn("__bit", bit)
-    hit = marked.join(F.broadcast(filled), F.col("__word") == F.col("word"))
-    return hit.where(F.col("bits").bitwiseAND(F.col("__bit")) != 0).select(*docs.columns)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
@@ -295,7 +296,7 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     originals = positions.join(copies.select("doc").distinct(), "doc", "left_anti")  # a doc_id that has several texts stays below
     several = distinct.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     originals = originals.unionByName(positions.join(copies.select("doc").distinct(), "doc", "left_semi").join(several, "doc", "left_semi"))
-    texts = in_bitmap(keyed.select("doc", "tag", "text"), originals)
+    texts = in_bitmap(keyed.select("doc", "tag", "text"), originals, "doc")
     starts = settle(repeated_starts(cells_of(texts, originals)))
     found = starts.groupBy("doc", "tag").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
@@ -312,7 +313,7 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 kept = pa.array(left if with_text else [None] * len(left), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas), kept], names=["doc", "tag", "n", "runs", "left_sha", "kept"])
 
-    bearing = in_bitmap(keyed.select("doc", "tag", "text"), starts.select("doc").distinct()).dropDuplicates(["doc", "tag"])
+    bearing = in_bitmap(keyed.select("doc", "tag", "text"), starts.select("doc").distinct(), "doc").dropDuplicates(["doc", "tag"])
     cuts = bearing.join(found, ["doc", "tag"]).select("doc", "tag", "text", "ranges").mapInArrow(run, "doc long, tag long, n long, runs long, left_sha string, kept binary")
     out = rows.join(copies, ["doc", "tag"], "left").join(cuts, ["doc", "tag"], "left")
     empty = hashlib.sha256(b"").hexdigest()
