@@ -19,3 +19,39 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES.split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def shown(value):
+    """A value as text, floats to nine digits, so that two engines can be compared."""
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(shown, value)) + "]"
+    if hasattr(value, "isoformat"):
+        return value.replace(tzinfo=None).isoformat()
+    if value is None or isinstance(value, (bool, str, int)):
+        return str(value)
+    return f"{float(value):.9g}"
+
+
+def sorted_rows(columns, rows):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(tuple(shown(r[i]) for i in order) for r in rows)
+
+
+def assert_same_rows(df, con, sql):
+    got = con.execute(sql)
+    columns = [c[0] for c in got.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted_rows(df.columns, df.collect()) == sorted_rows(columns, got.fetchall())
