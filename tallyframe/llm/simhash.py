@@ -8,10 +8,11 @@ are 16 at most. Two fingerprints that link therefore meet at the home anchor of
 
 At that distance a fingerprint of 64 bits tells documents with a few edited words, not all that share
 80 % of their five-word shingles. `similar_documents` finds those: four anchor fingerprints of two-word
-shingles, which edits move least, give eight halves of 31 bits to meet in, and a fingerprint of 256 bits
-over five-word shingles decides. At a five-word Jaccard similarity of 0.8 the bits of the former differ
-at a rate near 0.07, so a half meets with probability 0.34 and one of eight with 0.96; members of a
-group that meet no partner directly are mostly reached through others.
+shingles, which edits move least, give eight halves of 31 bits to meet in. There a fingerprint of 256
+bits over five-word shingles proposes each member's nearest partners, and exact Jaccard similarity of
+the words decides. At a similarity of 0.8 the anchors' bits differ at a rate near 0.07, so a half meets
+with probability 0.34 and one of eight with 0.96; members of a group that meet no partner directly are
+mostly reached through others.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on, settle, table
+from .common import in_bitmap, join_on, maybe_broadcast, settle, table
 from .components import cells, connected_components
-from .shingles import shingle_hashes, sorted_groups, words_of
+from .shingles import SEED, shingle_hashes, sorted_groups, words_of
 
 SHINGLE = 3
 DISTANCE = 3
@@ -33,8 +35,11 @@ DISTANCE = 3
 CELL = 4096
 
 #: What similar_documents takes: words in the shingles of anchors and of the decision, 64-bit words of either
-#: fingerprint, and the most bits in which the decision's fingerprints differ (0.15 of them do at similarity 0.8).
-ANCHOR_SHINGLE, SIMILAR_SHINGLE, SIMILAR_WORDS, SIMILAR_DISTANCE = 2, 5, 4, 50
+#: fingerprint, the most bits in which proposed fingerprints differ (39 are expected at similarity 0.8, with a
+#: deviation of 6), and the similarity that decides.
+ANCHOR_SHINGLE, SIMILAR_SHINGLE, SIMILAR_WORDS, SIMILAR_DISTANCE, SIMILARITY = 2, 5, 4, 56, 0.8
+#: Links of one document that one task verifies, and the most documents with more that are broadcast.
+HUB, HUB_ROWS = 256, 100_000
 
 _HALF = 31
 _MASK = np.uint64((1 << _HALF) - 1)
@@ -177,20 +182,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return join_on(fps, rooted.join(named, "root").select("fp", "component_id"), ["fp"], "inner")
 
 
+def _named_words(text: str | None) -> tuple[int, bytes]:
+    """The name of a word sequence, as a signed long, and the sequence joined by spaces."""
+    joined = b" ".join(words_of(text))
+    return int(np.uint64(xxhash.xxh64_intdigest(joined, SEED)).view(np.int64)), joined
+
+
 def _wide(docs: DataFrame) -> DataFrame:
-    """(doc_id, fid, anchors, fps) for each row of docs: both wide fingerprints and the hash that names their pair."""
+    """(doc_id, fid, anchors, fps) for each row of docs: both wide fingerprints, and the hash that names the text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = []
+            made = []
             for t in b.column(1):
-                words = words_of(t.as_py())
-                both.append((wide_fingerprint(words, ANCHOR_SHINGLE, SIMILAR_WORDS), wide_fingerprint(words, SIMILAR_SHINGLE, SIMILAR_WORDS)))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in both], kind), pa.array([x[1] for x in both], kind)], names=["doc_id", "anchors", "fps"])
+                fid, joined = _named_words(t.as_py())
+                words = joined.split()
+                made.append((fid, wide_fingerprint(words, ANCHOR_SHINGLE, SIMILAR_WORDS), wide_fingerprint(words, SIMILAR_SHINGLE, SIMILAR_WORDS)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "fid", "anchors", "fps"])
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, anchors array<long>, fps array<long>")
-    return made.select("doc_id", F.xxhash64("anchors", "fps").alias("fid"), "anchors", "fps")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, anchors array<long>, fps array<long>")
 
 
 def _replicate_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,30 +214,98 @@ def _replicate_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(anchor | (k << 42)), pa.array(fid[i]), pa.array(home)], names=["anchor", "fid", "home"])
 
 
-def forest_wide(fid: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """As forest(), over rows of several 64-bit words."""
-    bits, label, links = fps.view(np.uint64), np.arange(len(fid)), []
+def nearest_links(fid: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the pairs with a home within the distance, as (smaller fid, larger fid).
+
+    It keeps the closest pair of each member, and one link per merge rather than all pairs.
+    """
+    order = np.argsort(fid, kind="stable")
+    fid, bits, home = fid[order], fps.view(np.uint64)[order], home[order]
+
+    def apart(i: int, at: np.ndarray | slice) -> np.ndarray:
+        return np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+
+    active = np.zeros(len(fid), bool)
     for i in np.flatnonzero(home):
-        near = np.flatnonzero((np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64) <= distance) & (label != label[i]))
-        for j in near:
-            if label[j] != label[i]:
-                links.append((int(fid[i]), int(fid[j])))
-                label[label == label[j]] = label[i]
+        near = apart(i, slice(None)) <= distance
+        near[i] = False
+        if near.any():
+            active |= near
+            active[i] = True
+    if not active.any():
+        return []
+    fid, bits, home = fid[active], bits[active], home[active]
+    homes, links = np.flatnonzero(home), []
+    far = 1 << 20
+    best, source, left = np.full(len(fid), distance + 1), np.full(len(fid), -1), np.ones(len(fid), bool)
+    for _ in range(len(fid)):
+        v = int(np.argmin(np.where(left, best, far)))
+        if best[v] <= distance:
+            links.append((int(min(fid[v], fid[source[v]])), int(max(fid[v], fid[source[v]]))))
+        left[v] = False
+        at = np.arange(len(fid)) if home[v] else homes
+        gap = apart(v, at)
+        closer = (gap < best[at]) & left[at]
+        best[at[closer]], source[at[closer]] = gap[closer], v
     return links
 
 
 def _compare_wide(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["anchor", "cell_a", "cell_b"]):
-            yield _batch(forest_wide(g["fid"], np.stack(g["fps"]), g["home"], distance) if g["home"].any() else [])
+            yield _batch(nearest_links(g["fid"], np.stack(g["fps"]), g["home"], distance) if g["home"].any() else [])
 
     return run
 
 
+def jaccard(a: bytes, b: bytes, shingle: int = SIMILAR_SHINGLE) -> float:
+    """Jaccard similarity of the sets of shingles of two word sequences joined by spaces; 0 if neither has words."""
+    x, y = (np.unique(shingle_hashes(t.split(), shingle)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        src, dst, left, right = (b.column(k) for k in range(4))
+        yield _batch([(src[i].as_py(), dst[i].as_py()) for i in range(b.num_rows) if jaccard(left[i].as_py(), right[i].as_py()) >= SIMILARITY])
+
+
+def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fid, words) of each wanted (fid, first); the words come from rows with the doc_id `first`, not from all copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_named_words(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], names=["first", "fid", "words"])
+
+    named = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "first long, fid long, words binary").withColumn("key", F.xxhash64("fid", "first"))
+    held = in_bitmap(named, wanted.select(F.xxhash64("fid", "first").alias("key")), "key")
+    return join_on(held, wanted.select("fid", "first"), ["fid", "first"], "left_semi").select("fid", "words").dropDuplicates(["fid"])
+
+
+def verified_links(links: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The links (src, dst) between fids whose word sequences share SIMILARITY of their shingles, by exact comparison.
+
+    A fid with many links is dealt to one task per HUB of them, so that no task holds them all.
+    """
+    ends = links.select(F.explode(F.array("src", "dst")).alias("fid")).groupBy("fid").agg(F.count("*").alias("degree"))
+    ends = settle(ends.join(first.select("fid", "first"), "fid"))
+    texts = settle(_words(docs, ends))
+    hubs = maybe_broadcast(settle(ends.where(F.col("degree") > HUB).select("fid", F.ceil(F.col("degree") / HUB).cast("int").alias("parts"))), HUB_ROWS)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = texts.join(hubs, "fid", "left").select("fid", "words", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    for near, far, name in (("src", "dst", "a"), ("dst", "src", "b")):
+        links = links.join(hubs.withColumnRenamed("fid", near), near, "left").withColumn("part", F.pmod(F.xxhash64(far), parts).cast("int")).drop("parts")
+        links = links.join(dealt.select(F.col("fid").alias(near), "part", F.col("words").alias(name)), [near, "part"]).drop("part")
+    return links.select("src", "dst", "a", "b").mapInArrow(_similar, "src long, dst long")
+
+
 def similar_documents(docs: DataFrame, distance: int = SIMILAR_DISTANCE, cell: int = CELL) -> DataFrame:
-    """(doc_id, component_id) for each row of docs; links are pairs of some 0.8 similarity over five-word shingles or more.
+    """(doc_id, component_id) for each row of docs; links are pairs of 0.8 similarity over five-word shingles or more.
 
-    Only ids are dealt to anchors; fingerprints are joined to buckets that hold a pair. Rows are
+    Fingerprints propose the links, the words of both documents decide. Only ids are dealt to
+    anchors; fingerprints are joined to buckets that hold a pair, and words to links. Rows are
     treated as by near_duplicates.
     """
     rows = settle(_wide(docs))
@@ -235,7 +314,8 @@ def similar_documents(docs: DataFrame, distance: int = SIMILAR_DISTANCE, cell: i
     dealt = settle(cells(met, "anchor", "fid", cell, "home"))
     full = dealt.join(rows.select("fid", "fps").dropDuplicates(["fid"]), "fid")
     full = full.repartition("anchor", "cell_a", "cell_b").sortWithinPartitions("anchor", "cell_a", "cell_b")
-    reached = connected_components(full.mapInArrow(_compare_wide(distance), "src long, dst long").distinct())
+    links = settle(full.mapInArrow(_compare_wide(distance), "src long, dst long").distinct())
+    reached = connected_components(verified_links(links, docs, first))
     rooted = settle(first.select("fid", "first").join(reached, F.col("fid") == reached.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "fid").join(rooted.join(named, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")

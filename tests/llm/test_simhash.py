@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from tallyframe.llm import simhash
+from tallyframe.llm.shingles import shingle_hashes, words_of
 from tests.conftest import SF
 
 
@@ -97,3 +98,57 @@ def test_odd_rows(odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and {1, 3, 6, 7, 8} <= {r.doc_id for r in kept.collect()}
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+def test_nearest_links_span_the_close_pairs_and_hold_each_nearest_one():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, (4, 4), dtype=np.uint64)
+    fps = []
+    for i in range(60):
+        x = base[i % 4].copy()
+        for b in rng.integers(0, 256, rng.integers(0, 40)):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        fps.append(x)
+    fid, home, fps = np.arange(60), rng.random(60) < 0.5, np.stack(fps)
+    gap = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=int)
+    close = {(i, j) for i in range(60) for j in range(i + 1, 60) if gap[i, j] <= 30 and (home[i] or home[j])}
+    links = simhash.nearest_links(fid, fps.view(np.int64), home, 30)
+    assert close and set(links) <= close and len(set(links)) == len(links)
+    near = {i: min((gap[p] for p in close if i in p), default=None) for i in range(60)}
+    for i, g in near.items():
+        assert g is None or any(i in p and gap[p] == g for p in links)
+    assert _groups(60, links) == _groups(60, close)
+
+
+def _groups(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_similar_documents_equal_brute_force_with_a_hub(make_docs, monkeypatch):
+    """One text with many edited copies, a chain of edits that drifts away, and unrelated texts."""
+    monkeypatch.setattr(simhash, "HUB", 4)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts, drift = [" ".join(base)], base[:]
+    for i in range(40):
+        copy = base[:]
+        copy[rng.randrange(300)] = f"edit{i}"
+        texts.append(" ".join(copy))
+    for i in range(12):
+        drift[rng.randrange(300)] = f"drift{i}"
+        texts.append(" ".join(drift))
+    half = base[:]
+    for i in range(0, 300, 40):  # each edit changes five shingles: 40 of 296 differ
+        half[i] = f"half{i}"
+    far = base[:]
+    for i in range(0, 300, 12):
+        far[i] = f"far{i}"
+    texts += [" ".join(half), " ".join(far), "one two", "one two", "ONE\ttwo", ""]
+    grams = [set(shingle_hashes(words_of(t), 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] | grams[j] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(make_docs([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == _groups(len(texts), pairs)
