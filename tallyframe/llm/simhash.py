@@ -65,8 +65,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(words: list[bytes], shingle: int, n: int) -> list[int]:
-    """n fingerprints of 64 bits each, from n different mixes of the shingle hashes."""
-    h = shingle_hashes(words, shingle)
+    """n fingerprints of 64 bits each, from n different mixes of the distinct shingle hashes: the sets that Jaccard compares."""
+    h = np.unique(shingle_hashes(words, shingle))
     out = []
     for i in range(n):
         x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * i)

@@ -152,3 +152,13 @@ def test_similar_documents_equal_brute_force_with_a_hub(make_docs, monkeypatch):
     pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if grams[i] | grams[j] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(make_docs([(i, t, "a") for i, t in enumerate(texts)])).collect()}
     assert [got[i] for i in range(len(texts))] == _groups(len(texts), pairs)
+
+
+def test_a_line_repeated_twenty_times_makes_no_other_document(make_docs):
+    rng = random.Random(21)
+    base, line = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (300, 12))
+    once, often = base + line, base + 20 * line
+    wide = [np.array(simhash.wide_fingerprint([w.encode() for w in t], 5, 4), np.int64).view(np.uint64) for t in (once, often)]
+    assert np.bitwise_count(wide[0] ^ wide[1]).sum() <= simhash.SIMILAR_DISTANCE
+    got = simhash.similar_documents(make_docs([(1, " ".join(once), "a"), (2, " ".join(often), "a")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
