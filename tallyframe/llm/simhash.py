@@ -7,12 +7,10 @@ within the covering radius; it is replicated to every codeword within radius + t
 are 16 at most. Two fingerprints that link therefore meet at the home anchor of either of them.
 
 At that distance a fingerprint of 64 bits tells documents with a few edited words, not all that share
-80 % of their five-word shingles. `similar_documents` finds those: four anchor fingerprints of two-word
-shingles, which edits move least, give eight halves of 31 bits to meet in. There a fingerprint of 256
-bits over five-word shingles proposes each member's nearest partners, and exact Jaccard similarity of
-the words decides. At a similarity of 0.8 the anchors' bits differ at a rate near 0.07, so a half meets
-with probability 0.34 and one of eight with 0.96; members of a group that meet no partner directly are
-mostly reached through others.
+80 % of their five-word shingles, and how far its bits move depends on the kind of edit: an added
+paragraph moves twice as many as scattered edits do at the same similarity. `similar_documents` finds
+those by MinHash bands of the five-word shingles, whose chance to meet is set by the Jaccard similarity
+alone, whatever was edited: 0.9998 at 0.8 (see paragraphs.BANDS). Exact similarity of the words decides.
 """
 
 from __future__ import annotations
@@ -27,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import in_bitmap, join_on, maybe_broadcast, settle, table
 from .components import cells, connected_components
+from .paragraphs import band_keys
 from .shingles import SEED, shingle_hashes, sorted_groups, words_of
 
 SHINGLE = 3
@@ -34,10 +33,8 @@ DISTANCE = 3
 #: Members of a bucket that one cell compares; larger buckets are cut, see components.cells.
 CELL = 4096
 
-#: What similar_documents takes: words in the shingles of anchors and of the decision, 64-bit words of either
-#: fingerprint, the most bits in which proposed fingerprints differ (39 are expected at similarity 0.8, with a
-#: deviation of 6), and the similarity that decides.
-ANCHOR_SHINGLE, SIMILAR_SHINGLE, SIMILAR_WORDS, SIMILAR_DISTANCE, SIMILARITY = 2, 5, 4, 56, 0.8
+#: What similar_documents takes: words in a shingle, and the similarity that decides.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Links of one document that one task verifies, and the most documents with more that are broadcast.
 HUB, HUB_ROWS = 256, 100_000
 
@@ -64,19 +61,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(words_of(text), shingle))
 
 
-def wide_fingerprint(words: list[bytes], shingle: int, n: int) -> list[int]:
-    """n fingerprints of 64 bits each, from n different mixes of the distinct shingle hashes: the sets that Jaccard compares."""
-    h = np.unique(shingle_hashes(words, shingle))
-    out = []
-    for i in range(n):
-        x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        out.append(majority(x))
-    return out
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for each row of docs, duplicates and null ids included; fp is the fingerprint as a signed long."""
 
@@ -188,36 +172,25 @@ def _named_words(text: str | None) -> tuple[int, bytes]:
     return int(np.uint64(xxhash.xxh64_intdigest(joined, SEED)).view(np.int64)), joined
 
 
-def _wide(docs: DataFrame) -> DataFrame:
-    """(doc_id, fid, anchors, fps) for each row of docs: both wide fingerprints, and the hash that names the text's words."""
+def _banded(docs: DataFrame) -> DataFrame:
+    """(doc_id, fid, bands) for each row of docs: the hash that names the text's words, and their MinHash bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for t in b.column(1):
-                fid, joined = _named_words(t.as_py())
-                words = joined.split()
-                made.append((fid, wide_fingerprint(words, ANCHOR_SHINGLE, SIMILAR_WORDS), wide_fingerprint(words, SIMILAR_SHINGLE, SIMILAR_WORDS)))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "fid", "anchors", "fps"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, anchors array<long>, fps array<long>")
-
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                b = batch.slice(lo, 200)
+                named = [_named_words(t.as_py()) for t in b.column(1)]
+                bands = band_keys([shingle_hashes(joined.split(), SIMILAR_SHINGLE) for _, joined in named]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in named], pa.int64()), pa.array(list(bands), pa.list_(pa.int64()))], names=["doc_id", "fid", "bands"])
 
-def _replicate_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            b = batch.slice(lo, 2000)
-            fid, words = b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            for k in range(words.shape[1]):
-                i, anchor, home = replicas(np.ascontiguousarray(words[:, k]))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor | (k << 42)), pa.array(fid[i]), pa.array(home)], names=["anchor", "fid", "home"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, bands array<long>")
 
 
 def nearest_links(fid: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A minimum spanning forest of the pairs with a home within the distance, as (smaller fid, larger fid).
 
-    It keeps the closest pair of each member, and one link per merge rather than all pairs.
+    It keeps the closest pair of each member, and one link per merge rather than all pairs. similar_documents
+    does not use it: a forest made before the exact test may leave out pairs that pass it.
     """
     order = np.argsort(fid, kind="stable")
     fid, bits, home = fid[order], fps.view(np.uint64)[order], home[order]
@@ -250,14 +223,6 @@ def nearest_links(fid: np.ndarray, fps: np.ndarray, home: np.ndarray, distance:
     return links
 
 
-def _compare_wide(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in sorted_groups(batches, ["anchor", "cell_a", "cell_b"]):
-            yield _batch(nearest_links(g["fid"], np.stack(g["fps"]), g["home"], distance) if g["home"].any() else [])
-
-    return run
-
-
 def jaccard(a: bytes, b: bytes, shingle: int = SIMILAR_SHINGLE) -> float:
     """Jaccard similarity of the sets of shingles of two word sequences joined by spaces; 0 if neither has words."""
     x, y = (np.unique(shingle_hashes(t.split(), shingle)) for t in (a, b))
@@ -301,21 +266,18 @@ def verified_links(links: DataFrame, docs: DataFrame, first: DataFrame) -> DataF
     return links.select("src", "dst", "a", "b").mapInArrow(_similar, "src long, dst long")
 
 
-def similar_documents(docs: DataFrame, distance: int = SIMILAR_DISTANCE, cell: int = CELL) -> DataFrame:
+def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of docs; links are pairs of 0.8 similarity over five-word shingles or more.
 
-    Fingerprints propose the links, the words of both documents decide. Only ids are dealt to
-    anchors; fingerprints are joined to buckets that hold a pair, and words to links. Rows are
-    treated as by near_duplicates.
+    MinHash bands propose the links, the words of both documents decide. Only ids are shuffled to
+    bands; words are joined to links. Rows are treated as by near_duplicates.
     """
-    rows = settle(_wide(docs))
-    first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.first("anchors").alias("anchors"), F.first("fps").alias("fps"))
-    met = first.select("fid", "anchors").mapInArrow(_replicate_wide, "anchor long, fid long, home boolean")
-    dealt = settle(cells(met, "anchor", "fid", cell, "home"))
-    full = dealt.join(rows.select("fid", "fps").dropDuplicates(["fid"]), "fid")
-    full = full.repartition("anchor", "cell_a", "cell_b").sortWithinPartitions("anchor", "cell_a", "cell_b")
-    links = settle(full.mapInArrow(_compare_wide(distance), "src long, dst long").distinct())
-    reached = connected_components(verified_links(links, docs, first))
+    rows = settle(_banded(docs))
+    first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    buckets = first.select("fid", F.explode("bands").alias("band"))
+    leaders = buckets.groupBy("band").agg(F.min("fid").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    near = settle(buckets.join(leaders, "band").where("fid <> leader").select(F.col("fid").alias("src"), F.col("leader").alias("dst")).distinct())
+    reached = connected_components(verified_links(near, docs, first))
     rooted = settle(first.select("fid", "first").join(reached, F.col("fid") == reached.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "fid").join(rooted.join(named, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")
