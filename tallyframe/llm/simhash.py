@@ -35,6 +35,8 @@ CELL = 4096
 
 #: What similar_documents takes: words in a shingle, and the similarity that decides.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Documents of a candidate group that one cell compares at most twice over; larger groups are cut.
+SIMILAR_CELL = 1024
 #: Links of one document that one task verifies, and the most documents with more that are broadcast.
 HUB, HUB_ROWS = 256, 100_000
 
@@ -266,18 +268,69 @@ def verified_links(links: DataFrame, docs: DataFrame, first: DataFrame) -> DataF
     return links.select("src", "dst", "a", "b").mapInArrow(_similar, "src long, dst long")
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
+def links_between(fid: np.ndarray, words: list[bytes], root: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that span the pairs of the similarity whose roots differ.
+
+    Shared shingles are counted through lists of their holders; pairs that links or roots join already are left out.
+    """
+    _, label = np.unique(root, return_inverse=True)
+    if label.max() == 0:
+        return []
+    sets = [np.unique(shingle_hashes(w.split(), SIMILAR_SHINGLE)) for w in words]
+    sizes, links = np.array([len(x) for x in sets]), []
+    _, gram = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(gram, kind="stable")]
+    ends, last = np.cumsum(np.bincount(gram)), np.cumsum(sizes)
+    starts = np.concatenate([[0], ends[:-1]])
+    for i in np.flatnonzero(sizes):
+        own = gram[last[i] - sizes[i] : last[i]].tolist()
+        shared = np.bincount(np.concatenate([holders[starts[g] : ends[g]] for g in own]), minlength=len(sets))
+        for j in np.flatnonzero((label != label[i]) & (shared / np.maximum(1, sizes + sizes[i] - shared) >= similarity)):
+            if label[j] != label[i]:
+                links.append((int(fid[i]), int(fid[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for g in sorted_groups(batches, ["candidate", "cell_a", "cell_b"]):
+        yield _batch(links_between(g["fid"], list(g["words"]), g["root"]))
+
+
+def unlinked_pairs(near: DataFrame, links: DataFrame, docs: DataFrame, first: DataFrame, cell: int) -> DataFrame:
+    """Links (src, dst) that pass the exact test and that `links`, the verified part of `near`, do not join yet.
+
+    The components of near are the candidate groups. One that links join as a whole is done. In the
+    others all pairs of documents that links do not join are compared: members are ordered by what they
+    are joined to, so that cells of one component, which hold no such pair, are dropped with their words.
+    """
+    groups = connected_components(near).select(F.col("node").alias("fid"), F.col("component").alias("candidate"))
+    members = groups.join(connected_components(links), F.col("fid") == F.col("node"), "left").select("fid", "candidate", F.coalesce("component", "fid").alias("root"))
+    members = settle(members.withColumn("place", F.struct("root", "fid")))
+    several = members.groupBy("candidate").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    dealt = settle(cells(members.join(several.select("candidate"), "candidate", "left_semi"), "candidate", "place", cell).drop("place"))
+    mixed = dealt.groupBy("candidate", "cell_a", "cell_b").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    dealt = settle(dealt.join(mixed.drop("least", "most"), ["candidate", "cell_a", "cell_b"], "left_semi"))
+    texts = _words(docs, first.select("fid", "first").join(dealt.select("fid").distinct(), "fid", "left_semi"))
+    met = dealt.join(texts, "fid").repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
+    return met.select("candidate", "cell_a", "cell_b", "fid", "root", "words").mapInArrow(_between, "src long, dst long")
+
+
+def similar_documents(docs: DataFrame, cell: int = SIMILAR_CELL) -> DataFrame:
     """(doc_id, component_id) for each row of docs; links are pairs of 0.8 similarity over five-word shingles or more.
 
-    MinHash bands propose the links, the words of both documents decide. Only ids are shuffled to
-    bands; words are joined to links. Rows are treated as by near_duplicates.
+    MinHash bands propose the links, the words of both documents decide. A band links its members to one
+    of them; what these links join when verified is taken as found, and all other pairs of the documents
+    that they would have joined are compared too. Only ids are shuffled to bands; words are joined to
+    links and to the cells that still hold a pair. Rows are treated as by near_duplicates.
     """
     rows = settle(_banded(docs))
     first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     buckets = first.select("fid", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("fid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     near = settle(buckets.join(leaders, "band").where("fid <> leader").select(F.col("fid").alias("src"), F.col("leader").alias("dst")).distinct())
-    reached = connected_components(verified_links(near, docs, first))
+    links = settle(verified_links(near, docs, first))
+    reached = connected_components(links.unionByName(unlinked_pairs(near, links, docs, first, cell)))
     rooted = settle(first.select("fid", "first").join(reached, F.col("fid") == reached.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "fid").join(rooted.join(named, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")

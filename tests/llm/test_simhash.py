@@ -171,3 +171,22 @@ def test_documents_that_differ_by_a_paragraph_are_found(make_docs):
         rows += [(2 * i, " ".join(base), "a"), (2 * i + 1, " ".join(base[:at] + block + base[at:]), "a")]
     got = simhash.similar_documents(make_docs(rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(120)}
+
+
+def test_template_group_around_the_threshold_equals_brute_force(make_docs):
+    """Variants of one text, similar to some others only; small cells cut the group."""
+    rng = random.Random(41)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(300)], []
+    for i in range(200):
+        copy = base[:]
+        for at in rng.sample(range(300), rng.randint(4, 14)):
+            copy[at] = f"v{i}x{at}"
+        texts.append(" ".join(copy))
+    grams = [set(shingle_hashes(words_of(t), 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(200) for j in range(i + 1, 200) if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])]
+    want = _groups(200, pairs)
+    assert 20 < sum(i != g for i, g in enumerate(want)) < 180
+    docs = make_docs([(i, t, "a") for i, t in enumerate(texts)])
+    for cell in (simhash.SIMILAR_CELL, 16):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, cell=cell).collect()}
+        assert [got[i] for i in range(200)] == want
