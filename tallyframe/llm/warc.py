@@ -24,7 +24,7 @@ VERSION = b"WARC/1.1"
 MIN_REVISIT_BYTES = 100
 SPLIT_BYTES = 32 << 20
 CHUNK = 1 << 20
-#: Compressed bytes in which a member must yield its whole record header to count as a record.
+#: Bytes in which a candidate's record header is decoded until its blank line comes.
 HEADER_BYTES = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
@@ -128,15 +128,25 @@ class Tail:
 
 
 def starts_record(tail: Tail) -> bool:
-    """Whether a gzip member that holds a whole WARC header starts here."""
-    while len(tail.held) < HEADER_BYTES and tail.more():
-        pass
-    try:
-        head = zlib.decompressobj(31).decompress(tail.held[:HEADER_BYTES], HEADER_BYTES)
-    except zlib.error:
-        return False
-    fields, found, _ = head.partition(b"\r\n\r\n")
-    return bool(found) and fields.startswith(b"WARC/1.") and b"\r\nContent-Length:" in fields and b"\r\nWARC-Type:" in fields
+    """Whether a gzip member that holds a whole WARC header, of any length, starts here."""
+    stream, fields, at, data, end = zlib.decompressobj(31), bytearray(), 0, b"", -1
+    while end < 0 and not stream.eof:
+        if not data:
+            if at >= len(tail.held) and not tail.more():
+                return False
+            data = tail.held[at : at + HEADER_BYTES]
+            at += len(data)
+        try:
+            part = stream.decompress(data, HEADER_BYTES)
+        except zlib.error:
+            return False
+        data = stream.unconsumed_tail
+        seen = max(0, len(fields) - 3)
+        fields += part
+        if not fields.startswith(b"WARC/1."[: len(fields)]):
+            return False
+        end = fields.find(b"\r\n\r\n", seen)
+    return end >= 0 and fields.startswith(b"WARC/1.") and 0 <= fields.find(b"\r\nContent-Length:") < end and 0 <= fields.find(b"\r\nWARC-Type:") < end
 
 
 def find_record(tail: Tail, end: int) -> bool:

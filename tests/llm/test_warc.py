@@ -48,3 +48,12 @@ def test_split_archives_in_spark(spark, tmp_path):
     files = warc.write_archives(warc.plan_records(pages(spark, rows)), str(tmp_path))
     got = warc.read_archives(files, split_bytes=300)
     assert sorted(r.page_id for r in got.collect()) == list(range(60))
+
+
+def test_pages_with_very_long_urls_are_read_back(spark, tmp_path):
+    long = "data:text/plain;base64," + os.urandom(2_000_000).hex()
+    rows = [(1, "http://a", HTML), (2, "http://b/" + "x" * 70_000, HTML + "2"), (3, long, HTML + "3"), (4, "http://c", HTML + "4")]
+    files = warc.write_archives(warc.plan_records(pages(spark, rows)), str(tmp_path))
+    for step in (warc.SPLIT_BYTES, 500_000):
+        got = {r.page_id: r.url for r in warc.read_archives(files, split_bytes=step).collect()}
+        assert got == {i: url for i, url, _ in rows}
