@@ -214,16 +214,18 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
 def _passages(texts: DataFrame, taken: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, n_words, cluster_doc, removed): runs of windows that stand in other documents too.
 
-    Windows that start in paragraphs that are in `taken` (doc_id, paragraph) are left out. A run is of
-    windows of which this document is the first, or of windows that repeat; the latter is removed.
+    Windows that start in paragraphs that are in `taken` (doc_id, paragraph) are left out; the others decide
+    who is first. A run is of windows of which this document is the first, or of windows that repeat; the
+    latter is removed.
     """
     windows = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.explode(F.arrays_zip("bands", "starts", "lines")).alias("w"))
     windows = windows.select("doc", F.col("w.bands").alias("window"), F.col("w.starts").alias("start"), F.col("w.lines").alias("paragraph"))
     again = windows.groupBy("window").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head <> tail")
-    again = settle(again.select("window", "head"))
-    hits = in_bitmap(windows, again, "window").join(again, "window")
-    hits = hits.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "start", "paragraph", "head", (F.col("head") != F.col("doc")).alias("removed"))
-    hits = join_on(hits, taken.select("doc_id", "paragraph").distinct(), ["doc_id", "paragraph"], "left_anti")
+    again = settle(again.select("window"))
+    hits = in_bitmap(windows, again, "window").join(again, "window", "left_semi").withColumn("doc_id", F.nullif("doc", F.lit(LAST)))
+    hits = settle(join_on(hits, taken.select("doc_id", "paragraph").distinct(), ["doc_id", "paragraph"], "left_anti"))
+    heads = hits.groupBy("window").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head <> tail").drop("tail")
+    hits = hits.join(heads, "window").select("doc_id", "start", "paragraph", "head", (F.col("head") != F.col("doc")).alias("removed"))
     of = Window.partitionBy("doc_id", "removed").orderBy("start")
     fresh = F.when(F.col("start") <= F.lag("start").over(of) + WINDOW, 0).otherwise(1)
     runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(of))
@@ -240,7 +242,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MI
     stays and the others are removed. start is null.
 
     kind 'passage': words from start (counted over the whole text) on that stand in another document
-    too, in paragraphs that are in no cluster. The document with the smallest doc_id keeps them. Up to
+    too, in paragraphs that are not removed as copies. The document with the smallest doc_id keeps them. Up to
     SPREAD - 1 words at either end of a passage lie in no window and are left.
 
     Null texts have no paragraphs, repeated rows repeat their paragraphs but not their passages,
@@ -248,7 +250,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MI
     """
     rows = settle(signatures(docs, min_words))
     found = settle(_clusters(rows.where("pid IS NOT NULL").select("doc_id", "paragraph", "n_words", "pid", "bands"), docs, similarity, min_words))
-    inside = _passages(rows.where("pid IS NULL").select("doc_id", "bands", "starts", "lines"), found)
+    inside = _passages(rows.where("pid IS NULL").select("doc_id", "bands", "starts", "lines"), found.where("removed"))
     whole = found.select("doc_id", F.lit("paragraph").alias("kind"), "paragraph", F.lit(None).cast("int").alias("start"), "n_words", "cluster_doc", "cluster_paragraph", "removed")
     return whole.unionByName(inside.select("doc_id", F.lit("passage").alias("kind"), "paragraph", "start", "n_words", "cluster_doc", F.lit(None).cast("int").alias("cluster_paragraph"), "removed"))
 

@@ -97,3 +97,10 @@ def test_odd_rows(odd_docs, no_docs):
     kept = paragraphs.remove_repeats(odd_docs)
     assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
     assert paragraphs.repeats(no_docs).count() == 0 and paragraphs.remove_repeats(no_docs).count() == 0
+
+
+def test_a_passage_in_the_head_of_a_cluster_is_reported(make_docs):
+    host, passage = [t.split() for t in texts(2, 150, seed=5)], texts(1, 60, seed=6)[0].split()
+    lines = [" ".join(h[:70] + passage + h[70:]) for h in host]
+    got = paragraphs.repeats(make_docs([(1, lines[0], "s"), (2, lines[1], "s"), (3, lines[1], "s")])).collect()
+    assert {(r.doc_id, r.kind, r.cluster_doc, r.removed) for r in got} == {(1, "passage", 1, False), (2, "paragraph", 2, False), (3, "paragraph", 2, True), (2, "passage", 1, True)}
