@@ -1,11 +1,14 @@
 """Personal data: regular expressions propose, checksums confirm, context words adjust the score.
 
 DataFrame functions only. The patterns cannot backtrack over more than one run of characters, and
-start only where a run starts (or where the last match ended), so time is linear in the text.
+start only where a run starts (or where the last match ended). What is carried from match to match goes
+through blocks of the square root of the number of matches (see fold), so that a text of one kind of
+match from end to end takes seconds a megabyte.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +36,23 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "octets", "ip|host|server|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.8, "luhn", "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, "digits", "phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+", "", 0.8, "mod97", "iban|account|bank|konto", base=False),
+    # each head is a match of its own; what follows it, up to 34 characters and the one behind them, is the group
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}[\s\S]?))[A-Z]{2}[0-9]{2}", "", 0.8, "mod97", "iban|account|bank|konto", base=False),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])", "", 0.3, context="token|secret|password|api.?key", base=False),
 )
 #: Characters before a match in which context words count, what they add, and the least score of a span.
 WINDOW, CONTEXT_SCORE, THRESHOLD = 30, 0.3, 0.5
-CARD_DIGITS, PHONE_DIGITS, IBAN_CHARS = (16, 19), (8, 15), (15, 34)
+CARD_DIGITS, PHONE_DIGITS = (16, 19), (8, 15)
+
+# Characters of an IBAN by country.
+IBAN_CHARS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 
 def digits_of(c: Column) -> Column:
@@ -60,30 +74,37 @@ def mod97(match: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97) == 1
 
 
-def ibans_in(x: Column) -> Column:
-    """The IBANs in a run of words of capitals and digits, as items (gap, hit, start).
+def iban_length(head: Column) -> Column:
+    """Length of the IBAN at the start of a match's group, spaces included; 0 if there is none that passes mod-97.
+
+    Its country says how many characters it has; no letter or digit may follow the last.
+    """
+    known = F.create_map(*[F.lit(x) for pair in IBAN_CHARS.items() for x in pair])
+    shown = F.filter(F.sequence(F.lit(1), F.length(head)), lambda p: F.substring(head, p, F.lit(1)) != " ")
+    size = F.get(shown, F.element_at(known, F.substring(head, 1, 2)) - 1)
+    ends = ~F.substring(head, size + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+    return F.when(size.isNotNull() & ends & mod97(F.substring(head, F.lit(1), size)), size).otherwise(0)
+
+
+def fold(items: Column, at: int, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The array `out` of a fold of items over (at: int, out: array of `kind`), where each step may append.
 
-    Each word may start one and each may end it; of those that pass mod-97 the longest is taken, and
-    the search goes on behind it.
+    Appending copies the array, so it is done in blocks of the square root of the number of items.
     """
-    least, most = IBAN_CHARS
-    run = x["hit"]
-    first = F.filter(F.sequence(F.lit(1), F.length(run)), lambda p: F.substring(F.concat(F.lit(" "), run), p, 5).rlike(r"^\x20[A-Z]{2}[0-9]{2}$"))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(ITEMS).alias("out"))
+    width = F.ceil(F.sqrt(F.size(items))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.size(items) - 1, width), lambda i: F.slice(items, i + 1, width))
+    block = f"struct<at: int, out: array<{kind}>>"
+
+    def add(done: Column, part: Column) -> Column:
+        carried = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(at))
+        return F.concat(done, F.array(F.aggregate(part, F.struct(carried.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step)))
 
-    def whole(p: Column, n: Column) -> Column:
-        hit = F.substring(run, p, n)
-        ends = F.substring(run, p + n - 1, F.lit(2)).rlike(r"^[A-Z0-9]\x20?$") & (F.length(hit) == n)
-        return F.when(ends & F.length(F.replace(hit, F.lit(" "), F.lit(""))).between(least, most), mod97(hit)).otherwise(False)
+    done = F.aggregate(blocks, F.array().cast(f"array<{block}>"), add)
+    return F.flatten(F.transform(done, lambda x: x["out"]))
 
-    def step(acc: Column, p: Column) -> Column:
-        n = F.get(F.filter(F.sequence(F.lit(2 * most), F.lit(least), F.lit(-1)), lambda n: whole(p, n)), F.lit(0))
-        before = F.concat(F.when(acc["at"] == 1, x["gap"]).otherwise(""), F.substring(run, acc["at"], p - acc["at"]))
-        item = F.struct(before.alias("gap"), F.substring(run, p, n).alias("hit"), (x["start"] + p - 1).cast("int").alias("start"))
-        taken = F.struct((p + n).cast("int").alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
-        return F.when((p < acc["at"]) | n.isNull(), acc).otherwise(taken)
 
-    return F.aggregate(first, start, step, lambda acc: acc["out"])
+def appended(acc: Column, at: Column, item: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
 
 def octets(match: Column) -> Column:
@@ -98,49 +119,74 @@ def confirmed(kind: Kind, match: Column) -> Column:
         "octets": octets(match),
         "luhn": n.between(*CARD_DIGITS) & luhn(match),
         "digits": n.between(*PHONE_DIGITS),
-        "mod97": F.lit(True),  # ibans_in has tested it
+        "mod97": F.length(match) > 4,  # iban_length has tested it
     }[kind.check]
 
 
-ITEMS = "array<struct<gap: string, hit: string, start: int>>"
+ITEM = "struct<gap: string, hit: string, start: int>"
 SPANS = "array<struct<kind: string, start: int, end: int, score: double>>"
 
 
 def with_matches(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Adds the kind's matches and the text between them, both cut at the same leftmost matches."""
+    """Adds placed_<kind>, the kind's matches (gap before it, hit, start in code points), and rest_<kind>, the text behind the last.
+
+    Matches and the text between them are cut at the same leftmost matches; null if there are none. The
+    hit of an IBAN is its head's group, until iban_length tells how far it goes.
+    """
+    name, head = kind.name, kind.check == "mod97"
     hinted = F.col("text").contains(kind.hint) if kind.hint else F.lit(True)
-    hits = F.when(hinted, F.regexp_extract_all("text", F.lit(kind.pattern), 0))
-    docs = docs.withColumn(f"hits_{kind.name}", hits)
-    gaps = F.when(F.size(f"hits_{kind.name}") > 0, F.split("text", kind.pattern, -1))
-    return docs.withColumn(f"gaps_{kind.name}", gaps)
+    docs = docs.withColumn("__hits", F.when(hinted, F.regexp_extract_all("text", F.lit(kind.pattern), int(head))))
+    docs = docs.withColumn("__gaps", F.when(F.size("__hits") > 0, F.split("text", kind.pattern, -1)))
+    pairs = F.arrays_zip(F.slice("__gaps", F.lit(1), F.size("__hits")).alias("gap"), F.col("__hits").alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = acc["at"] + F.length(x["gap"])
+        item = F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), begins.cast("int").alias("start"))
+        return appended(acc, begins + (4 if head else F.length(x["hit"])), item)
 
+    docs = docs.withColumn("__pairs", F.when(F.size("__hits") > 0, pairs))
+    docs = docs.withColumn(f"placed_{name}", F.when(F.col("__pairs").isNotNull(), fold(F.col("__pairs"), 0, ITEM, step)))
+    return docs.withColumn(f"rest_{name}", F.element_at("__gaps", -1)).drop("__hits", "__gaps", "__pairs")
 
-def spans_of(kind: Kind) -> Column:
-    """Confirmed spans of a kind, in code points, end exclusive, with scores."""
-    hits, gaps = F.col(f"hits_{kind.name}"), F.col(f"gaps_{kind.name}")
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(ITEMS).alias("out"))
+
+def with_ibans(docs: DataFrame, kind: Kind) -> DataFrame:
+    """placed_<kind> with the IBANs as hits in place of groups; the first to start wins, and a head without one is a hit of four characters."""
+    name = f"placed_{kind.name}"
+    sized = F.transform(name, lambda x: F.struct(x["gap"].alias("gap"), F.substring(x["hit"], F.lit(1), F.greatest(F.lit(4), iban_length(x["hit"]))).alias("hit"), x["start"].alias("start")))
 
     def step(acc: Column, x: Column) -> Column:
-        begins = (acc["at"] + F.length(x["gap"])).cast("int")
-        item = F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), begins.alias("start"))
-        return F.struct((begins + F.length(x["hit"])).cast("int").alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+        hit = F.when(x["start"] >= acc["at"], x["hit"]).otherwise(F.substring(x["hit"], 1, 4))
+        end = F.when(F.length(hit) > 4, x["start"] + F.length(hit)).otherwise(acc["at"])
+        return appended(acc, end, F.struct(x["gap"].alias("gap"), hit.alias("hit"), x["start"].alias("start")))
+
+    docs = docs.withColumn("__sized", sized)
+    return docs.withColumn(name, F.when(F.col("__sized").isNotNull(), fold(F.col("__sized"), 0, ITEM, step))).drop("__sized")
+
 
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    if kind.check == "mod97":
-        placed = F.flatten(F.transform(placed, ibans_in))
-    good = F.filter(placed, lambda x: confirmed(kind, x["hit"]))
+def with_confirmed(docs: DataFrame, kind: Kind) -> DataFrame:
+    """Adds the columns of with_matches and scores_<kind>: a score for each match, null where the check or the threshold fails."""
+    docs = with_matches(docs, kind)
+    docs = with_ibans(docs, kind) if kind.check == "mod97" else docs
 
-    def scored(x: Column) -> Column:
+    def score(x: Column) -> Column:
         near = F.lower(F.right(x["gap"], F.lit(WINDOW)))
         bonus = F.when(near.rlike(rf"\b(?:{kind.context})"), CONTEXT_SCORE).otherwise(0.0) if kind.context else F.lit(0.0)
-        return F.struct(
-            F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["hit"])).cast("int").alias("end"),
-            F.least(F.lit(1.0), F.lit(kind.score) + bonus).alias("score"),
-        )
+        total = F.least(F.lit(1.0), F.lit(kind.score) + bonus)
+        return F.when(confirmed(kind, x["hit"]) & (total >= THRESHOLD), total)
+
+    return docs.withColumn(f"scores_{kind.name}", F.transform(f"placed_{kind.name}", score))
+
+
+def spans_of(kind: Kind) -> Column:
+    """Confirmed spans of a kind, in code points, end exclusive, with scores."""
+    both = F.arrays_zip(F.col(f"placed_{kind.name}").alias("m"), F.col(f"scores_{kind.name}").alias("score"))
+
+    def span(x: Column) -> Column:
+        end = x["m"]["start"] + F.length(x["m"]["hit"])
+        return F.struct(F.lit(kind.name).alias("kind"), x["m"]["start"].alias("start"), end.cast("int").alias("end"), x["score"].alias("score"))
 
-    found = F.filter(F.transform(good, scored), lambda s: s["score"] >= THRESHOLD)
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(SPANS))
+    found = F.transform(F.filter(both, lambda x: x["score"].isNotNull()), span).cast(SPANS)
+    return F.coalesce(found, F.array().cast(SPANS))
 
 
 def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -150,22 +196,40 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """
     out = docs.select("doc_id", "text")
     for kind in kinds:
-        out = with_matches(out, kind)
+        out = with_confirmed(out, kind)
     return out.select("doc_id", "text", F.flatten(F.array(*map(spans_of, kinds))).alias("spans"))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(doc_id, text) with each span replaced by its kind in brackets; of overlapping spans the first to start wins."""
-    found = find_spans(docs, kinds)
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """(doc_id, text) with each confirmed match replaced by its kind in brackets, one kind after the other in their order."""
+    out = docs.select("doc_id", "text")
+    for kind in kinds:
+        out = with_confirmed(out, kind)
+        both = F.arrays_zip(F.col(f"placed_{kind.name}").alias("m"), F.col(f"scores_{kind.name}").alias("score"))
+        label = F.lit(f"[{kind.name.upper()}]")
+        if kind.check == "mod97":
+            text = without_ibans(both, label, F.col(f"rest_{kind.name}"))
+        else:
+            pieces = F.transform(both, lambda x: F.concat(x["m"]["gap"], F.when(x["score"].isNotNull(), label).otherwise(x["m"]["hit"])))
+            text = F.concat(F.array_join(pieces, ""), F.col(f"rest_{kind.name}"))
+        out = out.select("doc_id", F.coalesce(text, "text").alias("text"))
+    return out
+
+
+def without_ibans(both: Column, label: Column, rest: Column) -> Column:
+    """The text with confirmed IBANs as labels. What follows a head is the gap before the next, of which an IBAN covers a part or more."""
+    gaps = F.transform(both, lambda x: x["m"]["gap"])
+    after = F.concat(F.slice(gaps, F.lit(2), F.size(gaps)), F.array(rest))
+    items = F.arrays_zip(both.alias("b"), after.alias("after"))
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].cast("int").alias("at"), cut.alias("out")))
+    def step(acc: Column, x: Column) -> Column:
+        m = x["b"]["m"]
+        taken = x["b"]["score"].isNotNull()
+        cut = F.when(taken, F.length(m["hit"])).otherwise(acc["at"])
+        part = F.concat(F.substring(m["hit"], 1, 4), x["after"])
+        return appended(acc, F.greatest(F.lit(0), cut - F.length(part)), F.concat(F.when(taken, label).otherwise(""), F.substring(part, cut + 1, F.length(part))))
 
-    end = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", F.when(F.size("spans") > 0, end).otherwise(F.col("text")).alias("text"))
+    return F.concat(F.get(gaps, F.lit(0)), F.array_join(fold(items, 0, "string", step), ""))
 
 
 def joined(spans: Column) -> Column:

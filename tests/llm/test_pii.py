@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from tallyframe.llm import pii
 from tests.conftest import SF
@@ -63,7 +64,21 @@ def test_hard_cases(spark, make_docs):
 def test_redaction_and_odd_rows(make_docs, odd_docs, no_docs):
     out = {r.doc_id: r.text for r in pii.redact(make_docs([(1, "write a@b.co or +49 30 123456 now", "s"), (2, "clean", "s"), (3, None, "s")])).collect()}
     assert out == {1: "write [EMAIL] or [PHONE] now", 2: "clean", 3: None}
-    assert pii.find_spans(odd_docs).count() == odd_docs.count() and pii.redact(no_docs).count() == 0
+    assert len(pii.find_spans(odd_docs).collect()) == odd_docs.count() and pii.redact(no_docs).collect() == []
+    assert len(pii.redact(odd_docs).collect()) == odd_docs.count()
+    ibans = "to DE89 3704 0044 0532 0130 00 or GB82 WEST 1234 5698 7654 32, DE88370400440532013000"
+    assert [r.text for r in pii.redact(make_docs([(1, ibans, "s")])).collect()] == ["to [IBAN] or [IBAN], DE88370400440532013000"]
+
+
+def test_long_texts_of_matches_take_seconds(make_docs):
+    """One text a kind, from end to end of matches; the spans are collected."""
+    texts = ["1234 a " * 37_000, "a@b.co " * 35_000, "+49301234567 " * 18_000, "DE89370400440532013000 " * 10_000, "DE89 " * 20_000, "1.2.3.4 " * 30_000, "9" * 1_000_000]
+    start = time.monotonic()
+    got = {r.doc_id: r.spans for r in pii.find_spans(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert time.monotonic() - start < 90
+    for i, (kind, n, size) in {1: ("email", 35_000, 7), 2: ("phone", 18_000, 13), 3: ("iban", 10_000, 23), 5: ("ip", 30_000, 8)}.items():
+        assert [s.start for s in got[i] if s.kind == kind] == list(range(0, n * size, size))
+    assert not got[0] and not got[6] and not [s for s in got[4] if s.kind != "iban"]
 
 
 def test_ibans_next_to_words_of_capitals_and_digits(make_docs):
