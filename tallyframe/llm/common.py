@@ -59,6 +59,29 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: A key of so many rows may be hot; the HOT_KEYS most frequent of these are split, one task to HOT_ROWS rows or more.
+HOT_ROWS, HOT_KEYS, MAX_SALTS = 64, 50_000, 4096
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with values, which has one row a key at most, without all rows of a frequent key in one task.
+
+    The most frequent keys are told from `counts` (key, n; by default counted from rows, which should
+    then be settled). Their rows are dealt out by a hash of the columns `spread`, their value is repeated
+    once for each part. No more than HOT_KEYS keys are broadcast; all others are joined as usual. A null
+    key matches nothing.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    parts = F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MAX_SALTS)).cast("int").alias("__parts")
+    hot = F.broadcast(counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(F.col(key).alias("__key"), parts))
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", salt).drop("__key", "__parts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    copied = values.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", each).drop("__key", "__parts")
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
+
+
 #: Slots of the bitmap of in_bitmap: 2**18 rows of 16 bytes at most.
 BITMAP_BITS = 1 << 24
 

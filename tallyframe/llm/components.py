@@ -1,11 +1,11 @@
-"""Connected components of a link table, and links inside buckets that are emitted as spanning forests."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import HOT_ROWS, salted_join, settle
 
 #: Links that one map task of a round works on at least, where there are fewer than the cluster has tasks for.
 ROWS_A_PART = 250_000
@@ -15,55 +15,52 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the links (src, dst); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change. Each round is a few
-    shuffles of the links with map-side minima and is checkpointed, so the lineage stays short. An
-    empty table gives an empty table; self links give a component of their own node.
+    shuffles of the links with map-side minima and is checkpointed, so the lineage stays short. The links
+    of a hub are dealt out to many tasks. Self links count for nothing; an empty table gives an empty table.
     """
-    links = settle(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    links = settle(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     # few links need few map tasks, and so few shuffle files a round
     parts = max(1, min(links.rdd.getNumPartitions(), links.count() // ROWS_A_PART + 1))
-    loops = links.where("u = v").select(F.col("u").alias("node"))
-    links = links.where("u <> v").coalesce(parts)
-    before = None
+    links = links.coalesce(parts)
+    before = _state(links)
     for _ in range(max_rounds):
-        links = settle(_small_star(_large_star(links, parts), parts).coalesce(parts))
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        hubs = before[2] > HOT_ROWS
+        links = settle(_small_star(_large_star(links, parts, hubs), parts, hubs).coalesce(parts))
+        now = _state(links)
+        if now[:2] == before[:2]:
             break
-        before = state
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("v").alias("node")).union(loops).distinct()
-    members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.unionByName(roots.join(members, "node", "left_anti").select("node", F.col("node").alias("component")))
+    # what is left are stars around the smallest nodes, which point nowhere themselves
+    roots = links.select("v").distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))
 
 
-def _large_star(links: DataFrame, parts: int) -> DataFrame:
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
+def _state(links: DataFrame) -> tuple:
+    """(twice the number of links, their checksum, the links of the node that has most)."""
+    h = F.xxhash64("u", "v").cast("decimal(38,0)").alias("h")
+    ends = links.select("u", h).union(links.select("v", F.lit(0)))
+    by_node = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+    return tuple(by_node.agg(F.sum("n"), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
 
 
-def _small_star(links: DataFrame, parts: int) -> DataFrame:
-    links = links.coalesce(parts)
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()
+def _with_least(links: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """links with m, the value of their u in least; where there are hubs their links are dealt out to many tasks."""
+    if hubs:
+        return salted_join(links, least.select("u", "m"), "u", ["v"], counts=least)
+    return links.join(least.select("u", "m"), "u")
 
 
-def cells(rows: DataFrame, key: str, member: str, cap: int, home: str | None = None) -> DataFrame:
-    """Deals each bucket of `key` out to cells of at most 2 * cap members (columns cell_a, cell_b).
+def _large_star(links: DataFrame, parts: int, hubs: bool) -> DataFrame:
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    near = _with_least(both.where("v > u"), least, hubs)
+    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct()
 
-    A bucket of more than cap members is cut into chunks by `member`; each pair of chunks meets in a
-    cell of its own, so that every pair of members still meets and no task holds a whole hot bucket.
-    Buckets of one member are dropped: they hold no pair. With a boolean column `home` only pairs with a
-    home count, so buckets without one go too.
-    """
-    ordered, whole = Window.partitionBy(key).orderBy(member), Window.partitionBy(key)
-    pairs = F.count("*").over(whole) > 1
-    if home:
-        pairs = pairs & F.max(home).over(whole)
-    dealt = rows.withColumn("__pairs", pairs).withColumn("__n", F.count("*").over(whole)).withColumn("__i", F.row_number().over(ordered)).where("__pairs")
-    chunk, chunks = F.floor((F.col("__i") - 1) / cap).cast("int"), F.ceil(F.col("__n") / cap).cast("int")
-    dealt = dealt.withColumn("__c", chunk).withColumn("__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.where((chunks == 1) | (F.col("__c") != F.col("__other")))
-    return dealt.select(*rows.columns, F.least("__c", "__other").alias("cell_a"), F.greatest("__c", "__other").alias("cell_b"))
+
+def _small_star(links: DataFrame, parts: int, hubs: bool) -> DataFrame:
+    links = links.coalesce(parts)
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(links, least, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct()

@@ -3,7 +3,8 @@
 Paragraphs are the lines of a text. A passage that is repeated inside longer, different lines makes no
 two lines similar, so texts are also cut into windows of WINDOW words that start where a shingle hash is
 the least of its SPREAD neighbours (a one-row MinHash of the neighbourhood). Two texts that share
-WINDOW + SPREAD words or more share such a window, wherever it stands; equal windows join.
+WINDOW + SPREAD words or more share such a window, wherever it stands. Equal windows propose; the words
+of both places are compared (an edit distance of zero) and the passage is extended to where they differ.
 """
 
 from __future__ import annotations
@@ -17,22 +18,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, join_on, settle, table
-from .components import cells, connected_components
-from .shingles import SEED, shingle_hashes, sorted_groups, words_of
+from .common import in_bitmap, join_on, salted_join, settle, table
+from .components import connected_components
+from .nearlinks import CELL, SHINGLE, similar_links
+from .shingles import SEED, shingle_hashes, words_of
 
-SHINGLE = 5
 SIMILARITY = 0.8
 #: 16 bands of 4 rows: a pair at similarity 0.8 collides with probability 0.9998, one at 0.5 with 0.64.
 BANDS, ROWS = 16, 4
-#: Shorter paragraphs are phrases and boilerplate lines, which line dedup treats.
+#: What the query takes for a paragraph; shorter lines are phrases and boilerplate, which line dedup treats.
+#: The operator takes any min_words from 1 on.
 MIN_WORDS = 30
 #: Words of a window, and neighbouring starts of which one window is taken.
 WINDOW, SPREAD = 30, 20
 #: What counts as the doc_id of documents that have none.
 LAST = 2**63 - 1
-#: Members of a candidate group that one cell compares at most twice over; larger groups are cut.
-CELL = 2048
+
+
+_WORD, _BYTE_WORD = re.compile(r"[^\x20\x09-\x0d]+"), re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -144,120 +147,160 @@ def paragraph_bodies(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pid long, body binary")
 
 
-def shingle_set(body: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a normalised paragraph."""
-    return np.unique(shingle_hashes(body.split(), SHINGLE))
-
-
-def jaccard_links(pids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span all pairs of the members with Jaccard similarity of at least `similarity`.
-
-    Members are compared unless links join them already, so a group of copies costs about one
-    comparison a member. Sizes that differ too much cannot reach the threshold and are skipped.
-    """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    label, links = np.arange(len(pids)), []
-    groups = {i: [i] for i in range(len(pids))}
-    for at, i in enumerate(order):
-        for j in order[:at][::-1]:
-            if len(sets[j]) < similarity * len(sets[i]):
-                break
-            if label[i] == label[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
-                links.append((int(pids[i]), int(pids[j])))
-                small, large = sorted((label[i], label[j]), key=lambda g: len(groups[g]))
-                label[groups[small]] = large
-                groups[large] += groups.pop(small)
-    return links
-
-
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in sorted_groups(batches, ["candidate", "cell_a", "cell_b"]):
-            links = jaccard_links(g["pid"], list(map(shingle_set, g["body"])), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
-
-    return run
-
-
-def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
+def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: int, cell: int) -> DataFrame:
     """(doc_id, paragraph, n_words, cluster_doc, cluster_paragraph, removed) of the paragraphs in rows that repeat.
 
-    Exact copies are one class (one pid) from the start. Classes that share a band are joined to the
-    smallest of the band's bucket, so a bucket of any size makes as many links as it has members; their
-    components are the candidate groups. Within a group every pair of classes that links do not join
-    already is verified by exact Jaccard similarity.
+    Exact copies are one class (one pid) from the start; classes that share a band are verified by exact
+    Jaccard similarity, see nearlinks.similar_links, and links make clusters as components.
     """
-    classes = rows.groupBy("pid").agg(F.first("bands").alias("bands"), F.count("*").alias("n"))
-    buckets = classes.select("pid", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("pid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    near = buckets.join(leaders, "band").where("pid <> leader").select(F.col("pid").alias("src"), F.col("leader").alias("dst")).distinct()
-    groups = settle(connected_components(near).select(F.col("node").alias("pid"), F.col("component").alias("candidate")))
-    # cells are dealt over ids alone; a text is shuffled once to its id and once to the cells it is compared in
-    dealt = settle(cells(groups, "candidate", "pid", CELL))
-    bodies = in_bitmap(paragraph_bodies(docs, min_words), groups, "pid")
-    wanted = bodies.join(groups.select("pid"), "pid", "left_semi").groupBy("pid").agg(F.first("body").alias("body"))
-    met = dealt.join(wanted, "pid").repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
-    links = met.mapInArrow(_verify(similarity), "src long, dst long")
-    joined = connected_components(links).select(F.col("node").alias("pid"), F.col("component").alias("cluster"))
-    named = rows.select("doc_id", "paragraph", "n_words", "pid").join(joined, "pid", "left").withColumn("cluster", F.coalesce("cluster", "pid")).drop("pid")
-    named = settle(named)
+    classes = settle(rows.groupBy("pid").agg(F.first("bands").alias("bands"), F.first("n_words").cast("long").alias("size"), F.count("*").alias("n")))
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        wanted = settle(wanted)
+        found = in_bitmap(paragraph_bodies(docs, min_words).withColumnRenamed("pid", "id"), wanted, "id")
+        return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body"))
+
+    links = similar_links(classes.select(F.col("pid").alias("id"), "size", "bands"), bodies, similarity, cell)
+    joined = classes.select("pid", "n").join(connected_components(links), F.col("pid") == F.col("node"), "left")
+    joined = settle(joined.select("pid", "n", F.coalesce("component", "pid").alias("cluster")))
+    sizes = settle(joined.groupBy("cluster").agg(F.sum("n").alias("n")).where("n > 1"))
+    several = settle(salted_join(joined, sizes.select("cluster"), "cluster", ["pid"], "left_semi"))  # classes of clusters with two rows or more
+    named = in_bitmap(rows.select("doc_id", "paragraph", "n_words", "pid"), several, "pid")
+    named = settle(salted_join(named, several.select("pid", "cluster"), "pid", ["doc_id", "paragraph"], counts=several.select("pid", "n")).drop("pid"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
-    heads = named.groupBy("cluster").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
-    out = named.join(heads.select("cluster", "head"), "cluster")
+    heads = named.groupBy("cluster").agg(F.min(place).alias("head"))
+    out = salted_join(named, heads, "cluster", ["doc_id", "paragraph"], counts=sizes)
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph"))
     return out.select("doc_id", "paragraph", "n_words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.paragraph").alias("cluster_paragraph"), (~is_head).alias("removed"))
 
 
-def _passages(texts: DataFrame, taken: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, start, n_words, cluster_doc, removed): runs of windows that stand in other documents too.
+def excerpts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, at, n, line, words, before) of each wanted (doc, at, n): the words from `at` on, lower-cased, with up to SPREAD on either side.
 
-    Windows that start in paragraphs that are in `taken` (doc_id, paragraph) are left out; the others decide
-    who is first. A run is of windows of which this document is the first, or of windows that repeat; the
-    latter is removed.
+    Words are joined by spaces or by the line breaks between them. line is that of the first word, before
+    the number of words that precede `at`. Rows that share a doc_id may give several rows for one request;
+    copies give one.
     """
+    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, text, asked in zip(b.column(0), b.column(1), b.column(2)):
+                text = text.as_py() or ""
+                words = words_of(text)
+                ends = np.cumsum([len(line.split()) for line in text.encode("utf-8", "surrogatepass").split(b"\n")])
+                for at, n in {(x["at"], x["n"]) for x in asked.as_py()}:
+                    if at + n <= len(words):
+                        lo, hi = max(0, at - SPREAD), min(len(words), at + n + SPREAD)
+                        lines = np.searchsorted(ends, np.arange(lo, hi), "right")
+                        breaks = [b"\n" * k or b" " for k in np.diff(lines).tolist()]
+                        body = b"".join(x for pair in zip(words[lo:hi], [*breaks, b""]) for x in pair)
+                        rows.append((doc.as_py(), at, n, int(lines[0]), body, at - lo))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "at", "n", "line", "words", "before"])
+
+    texts = in_bitmap(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text"), asked, "doc")
+    both = texts.join(asked, "doc").select("doc", "text", "asked")
+    return both.mapInArrow(run, "doc long, at int, n int, line int, words binary, before int").distinct()
+
+
+def shared_run(mine: list[bytes], before: int, theirs: list[bytes], before_theirs: int, n: int) -> tuple[int, int] | None:
+    """(words to the left, words in all) of the longest common run around two places of n equal words; None if they differ."""
+    if mine[before : before + n] != theirs[before_theirs : before_theirs + n]:
+        return None
+    left = right = 0
+    while left < min(before, before_theirs) and mine[before - left - 1] == theirs[before_theirs - left - 1]:
+        left += 1
+    while before + n + right < len(mine) and before_theirs + n + right < len(theirs) and mine[before + n + right] == theirs[before_theirs + n + right]:
+        right += 1
+    return left, left + n + right
+
+
+def line_at(line: int, body: bytes, word: int) -> int:
+    """The line of the word with this index in an excerpt that starts in `line`."""
+    at = next(m.start() for i, m in enumerate(_BYTE_WORD.finditer(body)) if i == word)
+    return line + body.count(b"\n", 0, at)
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["doc", "at", "line", "head", "head_at", "head_line", "n"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    for b in batches:
+        rows = []
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]
+            got = shared_run(r["words"].split(), r["before"], r["words_"].split(), r["before_"], r["n"])
+            if got:
+                left, n = got
+                mine, theirs = (line_at(r["line" + x], r["words" + x], r["before" + x] - left) for x in ("", "_"))
+                rows.append((r["doc"], r["at"] - left, mine, r["head"], r["head_at"] - left, theirs, n))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
+
+
+def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, start, n_words, cluster_doc, removed): passages that stand elsewhere too.
+
+    Windows that start in paragraphs that are in `taken` (doc_id, paragraph) are left out. Of equal windows
+    that remain the first (smallest doc_id, then start) is the head. Neighbouring windows with neighbouring
+    heads make a run; its words are compared with those at the head's place and extended to both sides.
+    """
+    place = F.struct("doc", "start")
     windows = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.explode(F.arrays_zip("bands", "starts", "lines")).alias("w"))
     windows = windows.select("doc", F.col("w.bands").alias("window"), F.col("w.starts").alias("start"), F.col("w.lines").alias("paragraph"))
-    again = windows.groupBy("window").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head <> tail")
-    again = settle(again.select("window"))
-    hits = in_bitmap(windows, again, "window").join(again, "window", "left_semi").withColumn("doc_id", F.nullif("doc", F.lit(LAST)))
-    hits = settle(join_on(hits, taken.select("doc_id", "paragraph").distinct(), ["doc_id", "paragraph"], "left_anti"))
-    heads = hits.groupBy("window").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head <> tail").drop("tail")
-    hits = hits.join(heads, "window").select("doc_id", "start", "paragraph", "head", (F.col("head") != F.col("doc")).alias("removed"))
-    of = Window.partitionBy("doc_id", "removed").orderBy("start")
-    fresh = F.when(F.col("start") <= F.lag("start").over(of) + WINDOW, 0).otherwise(1)
-    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(of))
-    return runs.groupBy("doc_id", "removed", "run").agg(
-        F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n_words"), F.min("head").alias("cluster_doc")
-    ).select("doc_id", "paragraph", "start", "n_words", "cluster_doc", "removed")
-
-
-def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    again = settle(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"))
+    hits = salted_join(in_bitmap(windows, again, "window"), again.select("window"), "window", ["doc", "start"], "left_semi", counts=again)
+    gone = taken.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "paragraph").distinct()
+    hits = settle(hits.join(gone, ["doc", "paragraph"], "left_anti"))
+    heads = hits.groupBy("window").agg(F.min(place).alias("head"), F.max(place).alias("tail"), F.count("*").alias("n")).where("head <> tail")
+    hits = salted_join(hits, heads.select("window", "head"), "window", ["doc", "start"], counts=heads.select("window", "n"))
+    later = hits.where(place != F.col("head")).select("doc", "start", F.col("head.doc").alias("head"), F.col("head.start").alias("head_at")).distinct()
+    later = later.withColumn("shift", F.col("head_at") - F.col("start"))
+    along = Window.partitionBy("doc", "head", "shift").orderBy("start")
+    fresh = F.when(F.col("start") <= F.lag("start").over(along) + WINDOW, 0).otherwise(1)
+    runs = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
+    runs = runs.groupBy("doc", "head", "shift", "run").agg(F.min("start").alias("at"), F.min("head_at").alias("head_at"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n"))
+    runs = settle(runs.select("doc", "at", "n", "head", "head_at"))
+    asked = runs.select("doc", "at", "n").union(runs.select("head", "head_at", "n")).distinct()
+    found = settle(excerpts(docs, asked).withColumn("spot", F.xxhash64("doc", "at", "n")))
+    own = found.select("spot", "line", "words", "before")
+    theirs = found.select(*[F.col(c).alias(f"{c}_") for c in own.columns])
+    runs = runs.withColumn("spot", F.xxhash64("doc", "at", "n")).withColumn("spot_", F.xxhash64("head", "head_at", "n"))
+    asks = runs.groupBy("spot_").agg(F.count("*").alias("n"))
+    pairs = salted_join(runs.join(own, "spot"), theirs, "spot_", ["doc", "at"], counts=asks).drop("spot", "spot_")
+    good = settle(pairs.mapInArrow(_extended, "doc long, at int, line int, head long, head_at int, head_line int, n int").distinct())
+    spots = good.select("doc", "at", "line", "n", "head", F.lit(True).alias("removed")).union(good.select("head", "head_at", "head_line", "n", "head", F.lit(False)).distinct())
+    # where runs of one document touch, as with several heads, they are one passage, under the first head
+    of = Window.partitionBy("doc", "removed").orderBy("at", "n")
+    reach = F.max(F.col("at") + F.col("n")).over(of.rowsBetween(Window.unboundedPreceding, -1))
+    joined = spots.withColumn("fresh", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(of))
+    start, end = F.min("at"), F.max(F.col("at") + F.col("n"))
+    spans = joined.groupBy("doc", "removed", "run").agg(F.min("line").alias("paragraph"), start.alias("start"), (end - start).cast("int").alias("n_words"), F.min("head").alias("head"))
+    return spans.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "paragraph", "start", "n_words", F.nullif("head", F.lit(LAST)).alias("cluster_doc"), "removed")
+
+
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, cell: int = CELL) -> DataFrame:
     """(doc_id, kind, paragraph, start, n_words, cluster_doc, cluster_paragraph, removed) of what repeats in docs.
 
     kind 'paragraph': lines with min_words or more, compared as sets of five-word shingles with A-Z
     lower-cased. Of each cluster of verified links the first paragraph (smallest doc_id, then index)
     stays and the others are removed. start is null.
 
-    kind 'passage': words from start (counted over the whole text) on that stand in another document
-    too, in paragraphs that are not removed as copies. The document with the smallest doc_id keeps them. Up to
-    SPREAD - 1 words at either end of a passage lie in no window and are left.
+    kind 'passage': words from start (counted over the whole text) on that stand elsewhere too, in another
+    document or earlier in this one, in paragraphs that are not removed as copies. The first place (smallest
+    doc_id, then start) keeps them. Of a passage of WINDOW + SPREAD words or more the whole length is found,
+    unless different parts of it have different first places; then each part is.
 
     Null texts have no paragraphs, repeated rows repeat their paragraphs but not their passages,
     paragraphs of a null doc_id come last; an empty table gives an empty result.
     """
     rows = settle(signatures(docs, min_words))
-    found = settle(_clusters(rows.where("pid IS NOT NULL").select("doc_id", "paragraph", "n_words", "pid", "bands"), docs, similarity, min_words))
-    inside = _passages(rows.where("pid IS NULL").select("doc_id", "bands", "starts", "lines"), found.where("removed"))
+    found = settle(_clusters(rows.where("pid IS NOT NULL").select("doc_id", "paragraph", "n_words", "pid", "bands"), docs, similarity, min_words, cell))
+    inside = _passages(rows.where("pid IS NULL").select("doc_id", "bands", "starts", "lines"), docs, found.where("removed"))
     whole = found.select("doc_id", F.lit("paragraph").alias("kind"), "paragraph", F.lit(None).cast("int").alias("start"), "n_words", "cluster_doc", "cluster_paragraph", "removed")
     return whole.unionByName(inside.select("doc_id", F.lit("passage").alias("kind"), "paragraph", "start", "n_words", "cluster_doc", F.lit(None).cast("int").alias("cluster_paragraph"), "removed"))
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0d]+")
-
-
 def without_parts(text: str | None, lines: list[int], spans: list[dict]) -> str | None:
     """The text without the lines of these indexes and without the words of these spans (start, n_words)."""
     if text is None or not (lines or spans):
@@ -273,7 +316,7 @@ def without_parts(text: str | None, lines: list[int], spans: list[dict]) -> str
             for a, b in sorted(cuts):
                 if a < end and b > lo:
                     kept.append(text[lo : max(a, lo)])
-                    lo = min(b, end)
+                    lo = max(lo, min(b, end))
             parts.append("".join(kept) + text[lo:end])
         at = end + 1
     return "\n".join(parts)

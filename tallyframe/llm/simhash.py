@@ -23,22 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, join_on, maybe_broadcast, settle, table
-from .components import cells, connected_components
+from .common import in_bitmap, join_on, maybe_broadcast, salted_join, settle, table
+from .components import connected_components
+from .nearlinks import CELL as SIMILAR_CELL
+from .nearlinks import link_batch, similar_links
 from .paragraphs import band_keys
 from .shingles import SEED, shingle_hashes, sorted_groups, words_of
 
 SHINGLE = 3
 DISTANCE = 3
-#: Members of a bucket that one cell compares; larger buckets are cut, see components.cells.
+#: Members of a bucket that one cell compares; larger buckets are cut, see dealt.
 CELL = 4096
+#: Buckets of over CELL members of which a table is broadcast (some 5 MB); of more, it is joined by shuffle.
+BUCKET_ROWS = 200_000
 
 #: What similar_documents takes: words in a shingle, and the similarity that decides.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Documents of a candidate group that one cell compares at most twice over; larger groups are cut.
-SIMILAR_CELL = 1024
-#: Links of one document that one task verifies, and the most documents with more that are broadcast.
-HUB, HUB_ROWS = 256, 100_000
 
 _HALF = 31
 _MASK = np.uint64((1 << _HALF) - 1)
@@ -125,19 +125,45 @@ def forest(fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int,
 def _compare(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
-        for g in sorted_groups(batches, ["anchor", "cell_a", "cell_b"]):
+        for g in sorted_groups(batches, ["anchor", "part", "cell_a", "cell_b"]):
             if g["home"].any():
                 links += forest(g["fp"], g["home"], distance)
             if len(links) > 10_000:
-                yield _batch(links)
+                yield link_batch(links)
                 links = []
-        yield _batch(links)
+        yield link_batch(links)
 
     return run
 
 
-def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+def _over(rows: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """(keys, chunks) of the buckets with over `cell` rows."""
+    return settle(rows.groupBy(*keys).agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks")).where("chunks > 1"))
+
+
+def dealt(met: DataFrame, cell: int = CELL) -> DataFrame:
+    """Adds part, cell_a and cell_b to met (anchor, fp, home): fingerprints of a bucket that may link share a cell.
+
+    Up to `cell` fingerprints are one cell. A larger bucket is dealt by the 33 bits outside its half, in
+    four parts of which one is equal in each pair of at most three differing bits; what is still larger is
+    cut into chunks by hash, and every two chunks meet.
+    """
+    large = _over(met, ["anchor"], cell)
+    if large.isEmpty():
+        return met.select("anchor", "fp", "home", *[F.lit(0).alias(c) for c in ("part", "cell_a", "cell_b")])
+    low = F.col("fp").bitwiseAND(F.lit((1 << _HALF) - 1))
+    of_high = F.shiftrightunsigned("fp", _HALF)
+    of_low = F.shiftrightunsigned("fp", 2 * _HALF) * F.lit(1 << _HALF) + low
+    outside = F.when(F.col("anchor") < F.lit(1 << 40), of_high).otherwise(of_low)
+    bits = [(0, 8), (8, 8), (16, 8), (24, 9)]
+    codes = [F.shiftrightunsigned(outside, lo).bitwiseAND(F.lit((1 << n) - 1)) * 4 + i + 1 for i, (lo, n) in enumerate(bits)]
+    parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(*codes))
+    parted = met.join(maybe_broadcast(large, BUCKET_ROWS), "anchor", "left").select("anchor", "fp", "home", F.explode(parts).alias("part"))
+    chunks = maybe_broadcast(_over(parted.where("part > 0"), ["anchor", "part"], cell), BUCKET_ROWS)
+    own = F.pmod(F.xxhash64("fp"), "chunks").cast("int")
+    others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    cut = parted.join(chunks, ["anchor", "part"], "left").select("anchor", "part", "fp", "home", F.coalesce(own, F.lit(0)).alias("own"), F.explode(others).alias("other"))
+    return cut.select("anchor", "part", F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"), "fp", "home")
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
@@ -148,8 +174,8 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL
     if not 0 <= distance <= 3:
         raise ValueError("distance must be from 0 to 3")
     met = fps.select("fp").distinct().mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    dealt = cells(met, "anchor", "fp", cell, "home").repartition("anchor", "cell_a", "cell_b").sortWithinPartitions("anchor", "cell_a", "cell_b")
-    return dealt.mapInArrow(_compare(distance), "src long, dst long").distinct()
+    keys = ["anchor", "part", "cell_a", "cell_b"]
+    return dealt(met, cell).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(distance), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -160,12 +186,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     repeated rows; a null doc_id joins its group but never names it (null if all are null).
     """
     fps = settle(fingerprints(docs, shingle))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    reached = connected_components(fingerprint_links(first, distance))
-    rooted = first.join(reached, first.fp == reached.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    first = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    return _named(fps, first, "fp", connected_components(fingerprint_links(first, distance)))
+
+
+def _named(rows: DataFrame, first: DataFrame, key: str, reached: DataFrame) -> DataFrame:
+    """rows with component_id, the smallest doc_id of all keys that are reached from the row's; first: (key, first, n)."""
+    rooted = first.join(reached, F.col(key) == F.col("node"), "left").select(key, "first", "n", F.coalesce("component", key).alias("root"))
     rooted = settle(rooted)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return join_on(fps, rooted.join(named, "root").select("fp", "component_id"), ["fp"], "inner")
+    keyed = salted_join(rooted, named, "root", [key]).select(key, "component_id")
+    return salted_join(rows, keyed, key, ["doc_id"], counts=first.select(key, "n"))
 
 
 def _named_words(text: str | None) -> tuple[int, bytes]:
@@ -175,71 +206,23 @@ def _named_words(text: str | None) -> tuple[int, bytes]:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, fid, bands) for each row of docs: the hash that names the text's words, and their MinHash bands."""
+    """(doc_id, fid, size, bands) for each row of docs: the hash that names the text's words, their number and MinHash bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 b = batch.slice(lo, 200)
                 named = [_named_words(t.as_py()) for t in b.column(1)]
-                bands = band_keys([shingle_hashes(joined.split(), SIMILAR_SHINGLE) for _, joined in named]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in named], pa.int64()), pa.array(list(bands), pa.list_(pa.int64()))], names=["doc_id", "fid", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, bands array<long>")
-
-
-def nearest_links(fid: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the pairs with a home within the distance, as (smaller fid, larger fid).
-
-    It keeps the closest pair of each member, and one link per merge rather than all pairs. similar_documents
-    does not use it: a forest made before the exact test may leave out pairs that pass it.
-    """
-    order = np.argsort(fid, kind="stable")
-    fid, bits, home = fid[order], fps.view(np.uint64)[order], home[order]
-
-    def apart(i: int, at: np.ndarray | slice) -> np.ndarray:
-        return np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-
-    active = np.zeros(len(fid), bool)
-    for i in np.flatnonzero(home):
-        near = apart(i, slice(None)) <= distance
-        near[i] = False
-        if near.any():
-            active |= near
-            active[i] = True
-    if not active.any():
-        return []
-    fid, bits, home = fid[active], bits[active], home[active]
-    homes, links = np.flatnonzero(home), []
-    far = 1 << 20
-    best, source, left = np.full(len(fid), distance + 1), np.full(len(fid), -1), np.ones(len(fid), bool)
-    for _ in range(len(fid)):
-        v = int(np.argmin(np.where(left, best, far)))
-        if best[v] <= distance:
-            links.append((int(min(fid[v], fid[source[v]])), int(max(fid[v], fid[source[v]]))))
-        left[v] = False
-        at = np.arange(len(fid)) if home[v] else homes
-        gap = apart(v, at)
-        closer = (gap < best[at]) & left[at]
-        best[at[closer]], source[at[closer]] = gap[closer], v
-    return links
-
-
-def jaccard(a: bytes, b: bytes, shingle: int = SIMILAR_SHINGLE) -> float:
-    """Jaccard similarity of the sets of shingles of two word sequences joined by spaces; 0 if neither has words."""
-    x, y = (np.unique(shingle_hashes(t.split(), shingle)) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
+                words = [joined.split() for _, joined in named]
+                bands = band_keys([shingle_hashes(w, SIMILAR_SHINGLE) for w in words]).view(np.int64)
+                columns = [b.column(0), pa.array([x[0] for x in named], pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array(list(bands), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fid", "size", "bands"])
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        src, dst, left, right = (b.column(k) for k in range(4))
-        yield _batch([(src[i].as_py(), dst[i].as_py()) for i in range(b.num_rows) if jaccard(left[i].as_py(), right[i].as_py()) >= SIMILARITY])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, size long, bands array<long>")
 
 
 def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fid, words) of each wanted (fid, first); the words come from rows with the doc_id `first`, not from all copies."""
+    """(id, body) of each wanted (fid, first); the words come from rows with the doc_id `first`, not from all copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,92 +231,26 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     named = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "first long, fid long, words binary").withColumn("key", F.xxhash64("fid", "first"))
     held = in_bitmap(named, wanted.select(F.xxhash64("fid", "first").alias("key")), "key")
-    return join_on(held, wanted.select("fid", "first"), ["fid", "first"], "left_semi").select("fid", "words").dropDuplicates(["fid"])
-
-
-def verified_links(links: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The links (src, dst) between fids whose word sequences share SIMILARITY of their shingles, by exact comparison.
-
-    A fid with many links is dealt to one task per HUB of them, so that no task holds them all.
-    """
-    ends = links.select(F.explode(F.array("src", "dst")).alias("fid")).groupBy("fid").agg(F.count("*").alias("degree"))
-    ends = settle(ends.join(first.select("fid", "first"), "fid"))
-    texts = settle(_words(docs, ends))
-    hubs = maybe_broadcast(settle(ends.where(F.col("degree") > HUB).select("fid", F.ceil(F.col("degree") / HUB).cast("int").alias("parts"))), HUB_ROWS)
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = texts.join(hubs, "fid", "left").select("fid", "words", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    for near, far, name in (("src", "dst", "a"), ("dst", "src", "b")):
-        links = links.join(hubs.withColumnRenamed("fid", near), near, "left").withColumn("part", F.pmod(F.xxhash64(far), parts).cast("int")).drop("parts")
-        links = links.join(dealt.select(F.col("fid").alias(near), "part", F.col("words").alias(name)), [near, "part"]).drop("part")
-    return links.select("src", "dst", "a", "b").mapInArrow(_similar, "src long, dst long")
-
-
-def links_between(fid: np.ndarray, words: list[bytes], root: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that span the pairs of the similarity whose roots differ.
-
-    Shared shingles are counted through lists of their holders; pairs that links or roots join already are left out.
-    """
-    _, label = np.unique(root, return_inverse=True)
-    if label.max() == 0:
-        return []
-    sets = [np.unique(shingle_hashes(w.split(), SIMILAR_SHINGLE)) for w in words]
-    sizes, links = np.array([len(x) for x in sets]), []
-    _, gram = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(gram, kind="stable")]
-    ends, last = np.cumsum(np.bincount(gram)), np.cumsum(sizes)
-    starts = np.concatenate([[0], ends[:-1]])
-    for i in np.flatnonzero(sizes):
-        own = gram[last[i] - sizes[i] : last[i]].tolist()
-        shared = np.bincount(np.concatenate([holders[starts[g] : ends[g]] for g in own]), minlength=len(sets))
-        for j in np.flatnonzero((label != label[i]) & (shared / np.maximum(1, sizes + sizes[i] - shared) >= similarity)):
-            if label[j] != label[i]:
-                links.append((int(fid[i]), int(fid[j])))
-                label[label == label[j]] = label[i]
-    return links
-
-
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for g in sorted_groups(batches, ["candidate", "cell_a", "cell_b"]):
-        yield _batch(links_between(g["fid"], list(g["words"]), g["root"]))
-
-
-def unlinked_pairs(near: DataFrame, links: DataFrame, docs: DataFrame, first: DataFrame, cell: int) -> DataFrame:
-    """Links (src, dst) that pass the exact test and that `links`, the verified part of `near`, do not join yet.
-
-    The components of near are the candidate groups. One that links join as a whole is done. In the
-    others all pairs of documents that links do not join are compared: members are ordered by what they
-    are joined to, so that cells of one component, which hold no such pair, are dropped with their words.
-    """
-    groups = connected_components(near).select(F.col("node").alias("fid"), F.col("component").alias("candidate"))
-    members = groups.join(connected_components(links), F.col("fid") == F.col("node"), "left").select("fid", "candidate", F.coalesce("component", "fid").alias("root"))
-    members = settle(members.withColumn("place", F.struct("root", "fid")))
-    several = members.groupBy("candidate").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    dealt = settle(cells(members.join(several.select("candidate"), "candidate", "left_semi"), "candidate", "place", cell).drop("place"))
-    mixed = dealt.groupBy("candidate", "cell_a", "cell_b").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    dealt = settle(dealt.join(mixed.drop("least", "most"), ["candidate", "cell_a", "cell_b"], "left_semi"))
-    texts = _words(docs, first.select("fid", "first").join(dealt.select("fid").distinct(), "fid", "left_semi"))
-    met = dealt.join(texts, "fid").repartition("candidate", "cell_a", "cell_b").sortWithinPartitions("candidate", "cell_a", "cell_b")
-    return met.select("candidate", "cell_a", "cell_b", "fid", "root", "words").mapInArrow(_between, "src long, dst long")
+    found = join_on(held, wanted.select("fid", "first"), ["fid", "first"], "left_semi")
+    return found.select(F.col("fid").alias("id"), F.col("words").alias("body")).dropDuplicates(["id"])
 
 
 def similar_documents(docs: DataFrame, cell: int = SIMILAR_CELL) -> DataFrame:
     """(doc_id, component_id) for each row of docs; links are pairs of 0.8 similarity over five-word shingles or more.
 
-    MinHash bands propose the links, the words of both documents decide. A band links its members to one
-    of them; what these links join when verified is taken as found, and all other pairs of the documents
-    that they would have joined are compared too. Only ids are shuffled to bands; words are joined to
-    links and to the cells that still hold a pair. Rows are treated as by near_duplicates.
+    MinHash bands propose the links, the words of both documents decide, see nearlinks.similar_links. Only
+    ids are shuffled to bands; words are joined to the links and cells that compare them. Rows are treated
+    as by near_duplicates.
     """
     rows = settle(_banded(docs))
-    first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
-    buckets = first.select("fid", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("fid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    near = settle(buckets.join(leaders, "band").where("fid <> leader").select(F.col("fid").alias("src"), F.col("leader").alias("dst")).distinct())
-    links = settle(verified_links(near, docs, first))
-    reached = connected_components(links.unionByName(unlinked_pairs(near, links, docs, first, cell)))
-    rooted = settle(first.select("fid", "first").join(reached, F.col("fid") == reached.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "fid").join(rooted.join(named, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")
+    first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    first = settle(first)
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        return _words(docs, settle(first.select("fid", "first").join(wanted.withColumnRenamed("id", "fid"), "fid", "left_semi")))
+
+    links = similar_links(first.select(F.col("fid").alias("id"), "size", "bands"), bodies, SIMILARITY, cell)
+    return _named(rows.select("doc_id", "fid"), first.select("fid", "first", "n"), "fid", connected_components(links)).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

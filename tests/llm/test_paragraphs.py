@@ -82,11 +82,10 @@ def test_near_copies_of_lines(make_docs):
     assert {r.doc_id: r.text for r in paragraphs.remove_repeats(make_docs(rows)).collect()}[2] == "end"
 
 
-def test_cells_split_large_groups(make_docs, monkeypatch):
-    monkeypatch.setattr(paragraphs, "CELL", 3)
+def test_cells_split_large_groups(make_docs):
     base = texts(1, 120)[0].split()
     rows = [(i, " ".join(base[: 3 * i] + [f"x{i}"] + base[3 * i + 1 :]), "s") for i in range(14)]
-    got = paragraphs.repeats(make_docs(rows)).collect()
+    got = paragraphs.repeats(make_docs(rows), cell=3).collect()
     assert {(r.doc_id, r.cluster_doc) for r in got} == {(i, 0) for i in range(14)}
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from tallyframe.llm import simhash
+from tallyframe.llm import common, simhash
 from tallyframe.llm.shingles import shingle_hashes, words_of
 from tests.conftest import SF
 
@@ -100,26 +100,6 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
-def test_nearest_links_span_the_close_pairs_and_hold_each_nearest_one():
-    rng = np.random.default_rng(11)
-    base = rng.integers(0, 2**63, (4, 4), dtype=np.uint64)
-    fps = []
-    for i in range(60):
-        x = base[i % 4].copy()
-        for b in rng.integers(0, 256, rng.integers(0, 40)):
-            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-        fps.append(x)
-    fid, home, fps = np.arange(60), rng.random(60) < 0.5, np.stack(fps)
-    gap = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=int)
-    close = {(i, j) for i in range(60) for j in range(i + 1, 60) if gap[i, j] <= 30 and (home[i] or home[j])}
-    links = simhash.nearest_links(fid, fps.view(np.int64), home, 30)
-    assert close and set(links) <= close and len(set(links)) == len(links)
-    near = {i: min((gap[p] for p in close if i in p), default=None) for i in range(60)}
-    for i, g in near.items():
-        assert g is None or any(i in p and gap[p] == g for p in links)
-    assert _groups(60, links) == _groups(60, close)
-
-
 def _groups(n, links):
     root = list(range(n))
     for _ in range(n):
@@ -130,7 +110,7 @@ def _groups(n, links):
 
 def test_similar_documents_equal_brute_force_with_a_hub(make_docs, monkeypatch):
     """One text with many edited copies, a chain of edits that drifts away, and unrelated texts."""
-    monkeypatch.setattr(simhash, "HUB", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
     texts, drift = [" ".join(base)], base[:]
