@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on, settle, table
-from .quality import KEY, figures, strip_lines
+from .common import join_on, salted_join, settle, table
+from .quality import KEY, figures, of_rows, strip_lines
 
 #: A line on so many sites or more is cross-site boilerplate.
 MIN_SITES = 10
@@ -17,7 +17,7 @@ NEAR = 0.08
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(hash, first_doc) of the lines (hash, source, doc_id) that min_sites or more sites hold.
+    """(hash, first_doc, n) of the lines (hash, source, doc_id) that min_sites or more sites hold; n is the number of rows.
 
     A HyperLogLog sketch of the sites for each line is merged by aggregation; lines whose estimate is
     near the threshold get an exact distinct count. first_doc is the smallest doc_id with the line.
@@ -25,14 +25,14 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     lines = lines.withColumn("site", site)
-    sketched = lines.groupBy("hash").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("first_doc"))
-    guessed = sketched.select("hash", "first_doc", F.hll_sketch_estimate("sketch").alias("guess"))
+    sketched = lines.groupBy("hash").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    guessed = sketched.select("hash", "first_doc", "n", F.hll_sketch_estimate("sketch").alias("guess"))
     guessed = settle(guessed.where(F.col("guess") >= F.floor(F.lit(min_sites * (1 - NEAR)))))
     sure = F.col("guess") > F.ceil(F.lit(min_sites * (1 + NEAR)))
     near = guessed.where(~sure)
-    exact = lines.join(near.select("hash"), "hash", "left_semi").select("hash", "site").distinct()
+    exact = salted_join(lines, near.select("hash"), "hash", ["site", "doc_id"], "left_semi", counts=near).select("hash", "site").distinct()
     exact = exact.groupBy("hash").count().where(F.col("count") >= min_sites)
-    return guessed.where(sure).select("hash", "first_doc").unionByName(near.join(exact, "hash", "left_semi").select("hash", "first_doc"))
+    return guessed.where(sure).drop("guess").unionByName(near.join(exact, "hash", "left_semi").drop("guess"))
 
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
@@ -41,11 +41,10 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFram
     The document with the smallest doc_id that holds a spread line keeps it: removal leaves one bearer.
     """
     rows = settle(figures(docs))
-    flat = rows.select(*KEY, F.explode("lines").alias("line")).select(*KEY, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    found = settle(spread_lines(flat.select("hash", "source", "doc_id").distinct(), min_sites))
+    found = settle(spread_lines(rows.select("doc_id", "source", F.explode("lines.hash").alias("hash")), min_sites))
     once = rows.dropDuplicates(KEY).select(*KEY, F.explode("lines").alias("line"))
     once = once.select(*KEY, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    hits = once.join(found, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    hits = salted_join(once, found.select("hash", "first_doc"), "hash", KEY, counts=found).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     lost = hits.groupBy(*KEY).agg(F.count("*").alias("n_removed"), F.sum("words").alias("words_removed"), F.collect_set("hash").alias("removed"))
     return rows, settle(lost)
 
@@ -63,14 +62,10 @@ def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with the same columns and without spread lines; documents that lose their last word go."""
+    """docs with the same columns and without spread lines; rows that lose their last word go, those with a null doc_id too."""
     rows, lost = removed_lines(docs, min_sites)
-    clean = strip_lines(docs, lost.select(*KEY, "removed"))
-    emptied = join_on(rows.select(*KEY, "n_words"), lost.select(*KEY, "words_removed"), KEY, "inner")
-    emptied = emptied.where("n_words = words_removed").select("doc_id").distinct()
-    gone = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    marked = clean.join(emptied.withColumn("__emptied", F.lit(True)), "doc_id", "left")
-    return marked.where(~(gone & F.coalesce("__emptied", F.lit(False)))).select(*docs.columns)
+    emptied = join_on(rows.select(*KEY, "n_words").distinct(), lost.select(*KEY, "words_removed"), KEY, "inner").where("n_words = words_removed")
+    return strip_lines(of_rows(docs, emptied, "left_anti"), lost.select(*KEY, "removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,14 +175,18 @@ def strip_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return both.select(*names, "__removed").mapInArrow(run, schema)
 
 
+def of_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that have (left_semi) or have not (left_anti) one of these KEYs."""
+    on = keys.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("content").alias("__c"))
+    keyed = docs.withColumn("__content", content_hash(F.col("text")))
+    return keyed.join(on, keyed.doc_id.eqNullSafe(on["__d"]) & keyed.source.eqNullSafe(on["__s"]) & (keyed["__content"] == on["__c"]), how).drop("__content")
+
+
 def filter_documents(docs: DataFrame, limit: int = MAX_TEXTS_PER_HOST, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that are kept, without their boilerplate lines, with the columns of docs."""
     verdicts = judged(docs, limit, min_left).select(*KEY, "kept", "removed").dropDuplicates(KEY)
     kept = settle(verdicts.where("kept").select(*KEY, F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed")))
-    on = kept.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("content").alias("__c"))
-    keyed = docs.withColumn("__content", content_hash(F.col("text")))
-    stay = keyed.join(on, keyed.doc_id.eqNullSafe(on["__d"]) & keyed.source.eqNullSafe(on["__s"]) & (keyed["__content"] == on["__c"]), "left_semi")
-    return strip_lines(stay.drop("__content"), kept.where(F.size("removed") > 0))
+    return strip_lines(of_rows(docs, kept, "left_semi"), kept.where(F.size("removed") > 0))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
