@@ -74,7 +74,10 @@ def salted_join(rows: DataFrame, values: DataFrame, key: str, spread: list[str],
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     parts = F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MAX_SALTS)).cast("int").alias("__parts")
-    hot = F.broadcast(counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(F.col(key).alias("__key"), parts))
+    hot = settle(counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(F.col(key).alias("__key"), parts))
+    if hot.isEmpty():
+        return rows.join(values, key, how)
+    hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")
     dealt = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", salt).drop("__key", "__parts")
     each = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))

@@ -141,7 +141,7 @@ def similar_links(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame],
     # of two members both links were verified; of more, those in different components are left
     roots = connected_components(links)
     several = follow.where("n > 2").select("band", "id", "size")
-    several = settle(salted_join(several, roots.withColumnRenamed("node", "id"), "id", ["band"], "left").select("band", "id", "size", F.coalesce("component", "id").alias("root")))
+    several = settle(several.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("root")))
     mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     open_bands = several.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), *mark).where("least <> most")
     open_bands = open_bands.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")  # bands often hold the same members

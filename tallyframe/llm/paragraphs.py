@@ -153,7 +153,9 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
     Exact copies are one class (one pid) from the start; classes that share a band are verified by exact
     Jaccard similarity, see nearlinks.similar_links, and links make clusters as components.
     """
-    classes = settle(rows.groupBy("pid").agg(F.first("bands").alias("bands"), F.first("n_words").cast("long").alias("size"), F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
+    of_class = (F.first("bands").alias("bands"), F.first("n_words").cast("long").alias("size"), F.count("*").alias("n"), F.min(place).alias("first"))
+    classes = settle(rows.groupBy("pid").agg(*of_class))
 
     def bodies(wanted: DataFrame) -> DataFrame:
         wanted = settle(wanted)
@@ -161,15 +163,12 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
         return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body"))
 
     links = similar_links(classes.select(F.col("pid").alias("id"), "size", "bands"), bodies, similarity, cell)
-    joined = classes.select("pid", "n").join(connected_components(links), F.col("pid") == F.col("node"), "left")
-    joined = settle(joined.select("pid", "n", F.coalesce("component", "pid").alias("cluster")))
-    sizes = settle(joined.groupBy("cluster").agg(F.sum("n").alias("n")).where("n > 1"))
-    several = settle(salted_join(joined, sizes.select("cluster"), "cluster", ["pid"], "left_semi"))  # classes of clusters with two rows or more
-    named = in_bitmap(rows.select("doc_id", "paragraph", "n_words", "pid"), several, "pid")
-    named = settle(salted_join(named, several.select("pid", "cluster"), "pid", ["doc_id", "paragraph"], counts=several.select("pid", "n")).drop("pid"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
-    heads = named.groupBy("cluster").agg(F.min(place).alias("head"))
-    out = salted_join(named, heads, "cluster", ["doc_id", "paragraph"], counts=sizes)
+    joined = classes.select("pid", "n", "first").join(connected_components(links), F.col("pid") == F.col("node"), "left")
+    joined = settle(joined.select("pid", "n", "first", F.coalesce("component", "pid").alias("cluster")))
+    heads = joined.groupBy("cluster").agg(F.min("first").alias("head"), F.sum("n").alias("rows")).where("rows > 1").select("cluster", "head")
+    named = settle(joined.join(heads, "cluster").select("pid", "n", "head"))  # classes in clusters of two rows or more
+    out = in_bitmap(rows.select("doc_id", "paragraph", "n_words", "pid"), named, "pid")
+    out = salted_join(out, named.select("pid", "head"), "pid", ["doc_id", "paragraph"], counts=named.select("pid", "n"))
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph"))
     return out.select("doc_id", "paragraph", "n_words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.paragraph").alias("cluster_paragraph"), (~is_head).alias("removed"))
 
@@ -248,11 +247,11 @@ def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
     place = F.struct("doc", "start")
     windows = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.explode(F.arrays_zip("bands", "starts", "lines")).alias("w"))
     windows = windows.select("doc", F.col("w.bands").alias("window"), F.col("w.starts").alias("start"), F.col("w.lines").alias("paragraph"))
-    again = settle(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"))
-    hits = salted_join(in_bitmap(windows, again, "window"), again.select("window"), "window", ["doc", "start"], "left_semi", counts=again)
+    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    hits = in_bitmap(windows, again, "window")  # and a few that are single, which no head is found for
     gone = taken.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "paragraph").distinct()
     hits = settle(hits.join(gone, ["doc", "paragraph"], "left_anti"))
-    heads = hits.groupBy("window").agg(F.min(place).alias("head"), F.max(place).alias("tail"), F.count("*").alias("n")).where("head <> tail")
+    heads = settle(hits.groupBy("window").agg(F.min(place).alias("head"), F.max(place).alias("tail"), F.count("*").alias("n")).where("head <> tail"))
     hits = salted_join(hits, heads.select("window", "head"), "window", ["doc", "start"], counts=heads.select("window", "n"))
     later = hits.where(place != F.col("head")).select("doc", "start", F.col("head.doc").alias("head"), F.col("head.start").alias("head_at")).distinct()
     later = later.withColumn("shift", F.col("head_at") - F.col("start"))
