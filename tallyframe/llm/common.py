@@ -92,7 +92,8 @@ BITMAP_BITS = 1 << 24
 def in_bitmap(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows without most of those whose key (a long) is not in keys; the rest must still be joined.
 
-    Keeps rows from being shuffled. The bitmap has a fixed size; where it is full, all rows stay.
+    Keeps rows from being shuffled. The bitmap has a fixed size; where it is full, all rows stay. What
+    follows should be an inner or outer join: the optimizer moves semi and anti joins before this one.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
     word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))

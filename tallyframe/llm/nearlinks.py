@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, settle
+from .common import in_bitmap, salted_join, settle
 from .components import connected_components
 from .shingles import shingle_hashes, sorted_groups
 
@@ -124,23 +124,24 @@ def dealt_cells(members: DataFrame, cell: int, words: int = CELL_WORDS) -> DataF
     return plain.join(large, "band", "left_anti").unionByName(placed)
 
 
-def similar_links(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame], similarity: float, cell: int = CELL) -> DataFrame:
-    """Links (src, dst) that join all pairs of classes (id, size, bands) which share a band and have the similarity.
+def similar_links(buckets: DataFrame, sizes: DataFrame, bodies: Callable[[DataFrame], DataFrame], similarity: float, cell: int = CELL) -> DataFrame:
+    """Links (src, dst) that join all pairs of ids in buckets (id, band; settled) which share a band and have the similarity.
 
     bodies gives (id, body) of the ids in a frame; bodies are joined to the links and cells in which they
-    are compared, the buckets hold ids alone. size is the number of words.
+    are compared, the buckets hold ids alone. sizes (id, size; settled) has the number of words of each id.
+    Rows of buckets may repeat.
     """
-    buckets = classes.select("id", "size", F.explode("bands").alias("band"))
-    leaders = settle(buckets.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    follow = salted_join(buckets, leaders.select("band", "leader", "n"), "band", ["id"], counts=leaders.select("band", "n")).where("id <> leader")
-    follow = settle(follow)
+    several = (F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n"))
+    leaders = settle(buckets.groupBy("band").agg(*several).where("leader <> last").select("band", "leader", "n"))
+    shared = salted_join(in_bitmap(buckets, leaders, "band"), leaders, "band", ["id"], counts=leaders.select("band", "n"))
+    follow = settle(shared.where("id <> leader").select("id", "band", "leader", "n").distinct())
     near = settle(follow.select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct())
     wanted = near.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     texts = settle(bodies(wanted))
     links = settle(verified_links(near, texts, similarity))
     # of two members both links were verified; of more, those in different components are left
     roots = connected_components(links)
-    several = follow.where("n > 2").select("band", "id", "size")
+    several = follow.where("n > 2").select("band", "id").join(sizes, "id")
     several = settle(several.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("root")))
     mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     open_bands = several.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), *mark).where("least <> most")

@@ -154,17 +154,17 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
     Jaccard similarity, see nearlinks.similar_links, and links make clusters as components.
     """
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
-    of_class = (F.first("bands").alias("bands"), F.first("n_words").cast("long").alias("size"), F.count("*").alias("n"), F.min(place).alias("first"))
-    classes = settle(rows.groupBy("pid").agg(*of_class))
+    classes = settle(rows.groupBy(F.col("pid").alias("id")).agg(F.first("n_words").cast("long").alias("size"), F.count("*").alias("n"), F.min(place).alias("first")))
 
     def bodies(wanted: DataFrame) -> DataFrame:
         wanted = settle(wanted)
         found = in_bitmap(paragraph_bodies(docs, min_words).withColumnRenamed("pid", "id"), wanted, "id")
-        return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body"))
+        return found.join(wanted, "id").groupBy("id").agg(F.first("body").alias("body"))
 
-    links = similar_links(classes.select(F.col("pid").alias("id"), "size", "bands"), bodies, similarity, cell)
-    joined = classes.select("pid", "n", "first").join(connected_components(links), F.col("pid") == F.col("node"), "left")
-    joined = settle(joined.select("pid", "n", "first", F.coalesce("component", "pid").alias("cluster")))
+    buckets = rows.select(F.col("pid").alias("id"), F.explode("bands").alias("band"))
+    links = similar_links(buckets, classes.select("id", "size"), bodies, similarity, cell)
+    joined = classes.join(connected_components(links), F.col("id") == F.col("node"), "left")
+    joined = settle(joined.select(F.col("id").alias("pid"), "n", "first", F.coalesce("component", "id").alias("cluster")))
     heads = joined.groupBy("cluster").agg(F.min("first").alias("head"), F.sum("n").alias("rows")).where("rows > 1").select("cluster", "head")
     named = settle(joined.join(heads, "cluster").select("pid", "n", "head"))  # classes in clusters of two rows or more
     out = in_bitmap(rows.select("doc_id", "paragraph", "n_words", "pid"), named, "pid")
@@ -249,8 +249,8 @@ def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
     windows = windows.select("doc", F.col("w.bands").alias("window"), F.col("w.starts").alias("start"), F.col("w.lines").alias("paragraph"))
     again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
     hits = in_bitmap(windows, again, "window")  # and a few that are single, which no head is found for
-    gone = taken.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "paragraph").distinct()
-    hits = settle(hits.join(gone, ["doc", "paragraph"], "left_anti"))
+    gone = taken.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "paragraph", F.lit(True).alias("gone")).distinct()
+    hits = settle(hits.join(gone, ["doc", "paragraph"], "left").where("gone IS NULL").drop("gone"))
     heads = settle(hits.groupBy("window").agg(F.min(place).alias("head"), F.max(place).alias("tail"), F.count("*").alias("n")).where("head <> tail"))
     hits = salted_join(hits, heads.select("window", "head"), "window", ["doc", "start"], counts=heads.select("window", "n"))
     later = hits.where(place != F.col("head")).select("doc", "start", F.col("head.doc").alias("head"), F.col("head.start").alias("head_at")).distinct()

@@ -231,7 +231,7 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     named = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "first long, fid long, words binary").withColumn("key", F.xxhash64("fid", "first"))
     held = in_bitmap(named, wanted.select(F.xxhash64("fid", "first").alias("key")), "key")
-    found = join_on(held, wanted.select("fid", "first"), ["fid", "first"], "left_semi")
+    found = join_on(held, wanted.select("fid", "first"), ["fid", "first"], "inner")
     return found.select(F.col("fid").alias("id"), F.col("words").alias("body")).dropDuplicates(["id"])
 
 
@@ -249,7 +249,8 @@ def similar_documents(docs: DataFrame, cell: int = SIMILAR_CELL) -> DataFrame:
     def bodies(wanted: DataFrame) -> DataFrame:
         return _words(docs, settle(first.select("fid", "first").join(wanted.withColumnRenamed("id", "fid"), "fid", "left_semi")))
 
-    links = similar_links(first.select(F.col("fid").alias("id"), "size", "bands"), bodies, SIMILARITY, cell)
+    ids = first.withColumnRenamed("fid", "id")
+    links = similar_links(ids.select("id", F.explode("bands").alias("band")), ids.select("id", "size"), bodies, SIMILARITY, cell)
     return _named(rows.select("doc_id", "fid"), first.select("fid", "first", "n"), "fid", connected_components(links)).select("doc_id", "component_id")
 
 
