@@ -143,6 +143,6 @@ def tolerant_measure(c: Column) -> Column:
 
 def magnitude_label(c: Column) -> Column:
     """The order key of a label such as `1K+`, `500+`, `3萬`."""
-    scale = F.upper(F.regexp_extract(c, r"[0-9]\s*([kKmM萬億]?)", 1))
+    scale = F.upper(F.regexp_extract(c, r"[0-9][0-9,]*\.?[0-9]*\s*([kKmM萬億]?)", 1))
     by = F.when(scale == "K", 1e3).when(scale == "M", 1e6).when(scale == "萬", 1e4).when(scale == "億", 1e8).otherwise(1.0)
     return F.replace(F.regexp_extract(c, r"[0-9][0-9,]*\.?[0-9]*", 0), F.lit(","), F.lit("")).try_cast("double") * by

@@ -42,7 +42,7 @@ def holds_quote(content: Column, quote: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences of a text; full stops of common abbreviations and single initials do not end one."""
     marks = r"(?<=[.!?。！？])(?<!\b(?:Mr|Ms|Dr|St|vs|No|Fig|cf|al|[A-Z])\.)(?:\s+|(?<=[。！？]))"
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), marks), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), marks), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def quotations(c: Column) -> Column:
@@ -136,7 +136,7 @@ def years(c: Column) -> Column:
 def cite_markers(c: Column) -> Column:
     """Ids in `[CITE:a;b]` markers, in order, repeats included."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[CITE:([^\]]*)\]"), 1)
-    return F.filter(F.flatten(F.transform(found, lambda m: F.transform(F.split(m, "[;,]"), F.trim))), lambda x: x != "")
+    return F.filter(F.flatten(F.transform(found, lambda m: F.transform(F.split(m, "[;,]"), lambda x: F.trim(x)))), lambda x: x != "")
 
 
 def has_heading_ordinal(c: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import filled, is_integral, number, parse_number, text
+from ..functions.numbers import CURRENCY_UNITS, filled, is_integral, number, parse_number, text
 from ..plans.errors import RequestError
 from ..plans.filters import predicate, select_rows
 
@@ -70,6 +71,8 @@ def scalar(df: DataFrame, m: Measure) -> DataFrame:
         return _concentration(df, m)
     keep = predicate(df, m.rows)
     matched = F.count("*") if keep is None else F.count_if(keep)
+    if m.op == "median":  # a figure of the whole table is found without holding its values
+        return exact_median(df, m).join(df.agg(matched.alias("rows_matched"), F.count("*").alias("rows_total")))  # one row each
     return df.agg(_aggregate(df, m).alias("value"), matched.alias("rows_matched"), F.count("*").alias("rows_total"))
 
 
@@ -220,21 +223,50 @@ def shape_summary(df: DataFrame) -> DataFrame:
     return one.select("rows", F.explode(pairs).alias("p")).select("p.column", "p.filled", "rows")
 
 
-def numeric_summary(df: DataFrame, column: str) -> DataFrame:
-    """One row: n, min, q1, median, mean, q3, max. Quartiles are the sorted values at n // 4 and 3n // 4 (the last if n < 4).
+#: Of so many parts of the rows one or two are sorted for an order statistic.
+RANK_PARTS = 10_000
+
 
-    The order statistics come from counts by value: (value, count) pairs are summed up in order, so a
-    column with few distinct values makes few rows whatever its length.
+def order_statistics(values: DataFrame, ranks: dict[str, Column], n: Column) -> DataFrame:
+    """One row: for each name the value of column x (not null) at that rank, 0 being the least.
+
+    ranks are columns over n, the number of values. A sketch whose rank error is bounded brackets each
+    value; only values in a bracket, a few of RANK_PARTS of the rows, are counted by value and summed up
+    in order, and those below it are counted. So no task sorts the column.
     """
+    spans = [F.greatest(F.lit(0.0), (r.cast("double") + k * (n / RANK_PARTS + 1)) / F.greatest(n, F.lit(1))) for r in ranks.values() for k in (-2, 2)]
+    size = values.agg(F.count("*").alias("n")).select("n", *[r.alias(f"r{i}") for i, r in enumerate(ranks.values())], *[F.least(F.lit(1.0), q).alias(f"q{i}") for i, q in enumerate(spans)])
+    one = size.first()  # one row of numbers
+    places = [float(one[f"q{i}"] or 0) for i in range(len(spans))]
+    cuts = values.agg(F.percentile_approx("x", places, RANK_PARTS).alias("c")).first().c or [0.0] * len(places)
+    out: DataFrame | None = None
+    for i, name in enumerate(ranks):
+        lo, hi, rank = cuts[2 * i], cuts[2 * i + 1], one[f"r{i}"] or 0
+        below = values.where(F.col("x") < lo).agg(F.count("*").alias("below"))
+        inside = values.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("*").alias("c"))
+        upto = inside.withColumn("upto", F.sum("c").over(Window.orderBy("x"))).join(F.broadcast(below))  # one row
+        one_value = upto.agg(F.min(F.when(F.col("upto") + F.col("below") > rank, F.col("x"))).alias(name))
+        out = one_value if out is None else out.join(one_value)  # one row each
+    return out
+
+
+def numeric_summary(df: DataFrame, column: str) -> DataFrame:
+    """One row: n, min, q1, median, mean, q3, max. Quartiles are the sorted values at n // 4 and 3n // 4 (the last if n < 4)."""
     values = df.select(number(df, column).alias("x")).where("x IS NOT NULL")
-    counts = values.groupBy("x").agg(F.count("*").alias("c"))
     n = F.col("n")
-    base = values.agg(F.count("*").alias("n"), F.min("x").alias("min"), F.median("x").alias("median"), F.avg("x").alias("mean"), F.max("x").alias("max"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("x")))
-    places = base.select(n, F.floor(n / 4).alias("i1"), F.when(n < 4, n - 1).otherwise(F.floor(3 * n / 4)).alias("i3"))
-    at = upto.join(F.broadcast(places))  # one row
-    q = at.agg(F.min(F.when(F.col("upto") > F.col("i1"), F.col("x"))).alias("q1"), F.min(F.when(F.col("upto") > F.col("i3"), F.col("x"))).alias("q3"))
-    return base.join(q).select("n", "min", "q1", "median", "mean", "q3", "max")
+    base = values.agg(F.count("*").alias("n"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"))
+    ranks = {"q1": F.floor(n / 4), "lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2), "q3": F.when(n < 4, n - 1).otherwise(F.floor(3 * n / 4))}
+    at = order_statistics(values, ranks, n)
+    return base.join(at).select("n", "min", "q1", ((F.col("lower") + F.col("upper")) / 2).alias("median"), "mean", "q3", "max")
+
+
+def exact_median(df: DataFrame, m: Measure) -> DataFrame:
+    """One row: value, the middle of the numbers that the measure's filter keeps; null if there are none."""
+    values = select_rows(df, m.rows).select(number(df, m.column).alias("x")).where("x IS NOT NULL")
+    n = F.col("n")
+    at = order_statistics(values, {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)}, n)
+    middle = (F.col("lower") + F.col("upper")) / 2
+    return at.select((middle if m.decimals is None else F.round(middle, m.decimals)).alias("value"))
 
 
 def category_summary(df: DataFrame, column: str) -> DataFrame:
@@ -288,3 +320,116 @@ def auto_cross_tables(df: DataFrame, categories: list[str], numerics: list[str])
 def parse_bucket(label: Column) -> Column:
     """The lower edge that a band label states."""
     return parse_number(F.regexp_extract(text(label), r"^[0-9.,]+", 0))
+
+
+#: Columns that are years, and how many values a summary needs.
+YEAR_HEADER, MIN_SUMMARY_VALUES = r"(?i)(^|[^a-z])(year|yr)([^a-z]|$)|年", 3
+ADDITIVE = ("amount", "budget", "cost", "count", "expense", "frequenc", "observation", "participant", "quantity", "response", "revenue", "sales", "total", "volume")
+NOT_ADDITIVE = ("deviation", "distribution", "mean", "measurement", "median", "rate", "reading", "replicate", "sample", "score", "sd", "strength", "percent", "ratio", "average", "price")
+
+
+def measure_units(df: DataFrame, measures: list[Measure]) -> DataFrame:
+    """(measure, unit) decided over all rows: what the header states in brackets, else the one currency of the cells, else % if all cells say so."""
+    marks, aggs, names = "([$€£¥₩])", [], []
+    for i, m in enumerate(measures):
+        header = F.lit(m.column or "")
+        cell = text(m.column) if m.column else F.lit("")
+        keep = predicate(df, m.rows)
+        shown = F.when((cell != "") & (F.lit(True) if keep is None else keep), cell)
+        mark = F.nullif(F.regexp_extract(shown, marks, 1), F.lit(""))
+        aggs += [F.min(mark).alias(f"a{i}"), F.max(mark).alias(f"b{i}"), F.coalesce(F.bool_and(shown.endswith("%")), F.lit(False)).alias(f"p{i}")]
+        stated = F.regexp_extract(header, r"[(（]([^)）]+)[)）]\s*$", 1)
+        money = F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.element_at(F.create_map(*[F.lit(x) for pair in CURRENCY_UNITS.items() for x in pair]), F.col(f"a{i}")))
+        unit = F.when(F.lit(m.op).isin("count", "distinct"), "").when(F.lit(m.op).isin("share", "top_share"), "%").when(F.lit(m.op) == "hhi", "").when(stated != "", stated).when(money.isNotNull(), money).when(F.col(f"p{i}"), "%").otherwise("")
+        names.append(F.struct(F.lit(m.name).alias("measure"), unit.alias("unit")))
+    return df.agg(*aggs).select(F.explode(F.array(*names)).alias("u")).select("u.*")
+
+
+def _levels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, levels, least, most, blank): how often the values of each column occur."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in columns])).alias("c")).select("c.*")
+    counts = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
+    return counts.groupBy("column").agg(F.count("*").alias("levels"), F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or(F.col("v") == "").alias("blank"))
+
+
+def design_factors(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that rows were laid out over: balanced, and crossed with another column, or all balanced columns together, into single rows.
+
+    Counts by column are looked at when the plan is built; pairs are counted only where the levels allow a full layout.
+    """
+    rows = df.count()
+    seen = {r.column: r for r in _levels(df, columns).collect()}
+    balanced = [c for c, r in seen.items() if r.levels >= 2 and not r.blank and r.least == r.most >= 2]
+    pairs = [(a, b) for a in balanced for b in columns if a != b and seen[b].levels >= 2 and seen[a].levels * seen[b].levels == rows]
+    out: set[str] = set()
+    if pairs:
+        one = df.agg(*[F.count_distinct(text(a), text(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+        out |= {a for i, (a, _) in enumerate(pairs) if one[i] == rows}
+    if len(balanced) >= 3 and math.prod(seen[c].levels for c in balanced) == rows and df.select(*map(text, balanced)).distinct().count() == rows:
+        out |= set(balanced)
+    return [c for c in columns if c in out]
+
+
+def summability(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, reason): why the mean and range of a numeric column say nothing; null where they do.
+
+    Reasons, the first that fits: too few values, year, constant, row index, design factor.
+    """
+    columns = columns or df.columns
+    factors = design_factors(df, columns)
+    aggs = []
+    for i, c in enumerate(columns):
+        x = number(df, c)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.count_distinct(x).alias(f"d{i}"), F.coalesce(F.bool_and(is_integral(x)), F.lit(False)).alias(f"w{i}")]
+    rows = []
+    for i, c in enumerate(columns):
+        n, a, b, d = (F.col(f"{p}{i}") for p in "nabd")
+        year = F.lit(c).rlike(YEAR_HEADER) & F.col(f"w{i}") & a.between(1800, 2200) & b.between(1800, 2200)
+        index = F.col(f"w{i}") & (d == n) & (((a == 1) & (b == n)) | ((a == 0) & (b == n - 1)))
+        why = F.when(n < MIN_SUMMARY_VALUES, "too few values").when(year, "year").when(d <= 1, "constant").when(index, "row index").when(F.lit(c in factors), "design factor")
+        rows.append(F.struct(F.lit(c).alias("column"), why.alias("reason")))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def dataset_summary(df: DataFrame) -> DataFrame:
+    """(column, summary, n, least, middle, most, groups, top, top_share): the shape of a table, column by column.
+
+    Numeric columns that can be summed up have their range and median, categorical ones their number of
+    groups and the largest; other columns have the number of filled cells alone. Columns beyond the 40th are named with summary `skipped`.
+    """
+    kinds = {r.column: r.kind for r in column_kinds(df).collect()}  # a row for each column
+    numeric = [c for c, k in kinds.items() if k == "numeric"]
+    usable = {r.column for r in summability(df, numeric).collect() if r.reason is None} if numeric else set()
+    none, out = F.lit(None).cast("double"), None
+
+    def add(one: DataFrame) -> None:
+        nonlocal out
+        out = one if out is None else out.unionByName(one)
+
+    for c, kind in kinds.items():
+        if c in usable:
+            s = numeric_summary(df, c)
+            add(s.select(F.lit(c).alias("column"), F.lit("numeric").alias("summary"), "n", F.col("min").alias("least"), F.col("median").alias("middle"), F.col("max").alias("most"), F.lit(None).cast("long").alias("groups"), F.lit(None).cast("string").alias("top"), none.alias("top_share")))
+        elif kind == "categorical":
+            top = category_summary(df, c).where("rank = 1")
+            n = df.agg(F.count(filled(c)).alias("n"))
+            add(top.join(n.withColumnRenamed("n", "filled")).select(F.lit(c).alias("column"), F.lit("categorical").alias("summary"), F.col("filled").alias("n"), none.alias("least"), none.alias("middle"), none.alias("most"), F.col("n_groups").alias("groups"), F.col("label").alias("top"), F.col("percent").alias("top_share")))  # one row each
+        else:
+            add(df.agg(F.count(filled(c)).alias("n")).select(F.lit(c).alias("column"), F.lit("counted").alias("summary"), "n", none.alias("least"), none.alias("middle"), none.alias("most"), F.lit(None).cast("long").alias("groups"), F.lit(None).cast("string").alias("top"), none.alias("top_share")))
+    for c in df.columns[40:]:
+        add(df.sparkSession.createDataFrame([(c, "skipped")], "column string, summary string").select("column", "summary", F.lit(None).cast("long").alias("n"), none.alias("least"), none.alias("middle"), none.alias("most"), F.lit(None).cast("long").alias("groups"), F.lit(None).cast("string").alias("top"), none.alias("top_share")))
+    return out
+
+
+def is_additive(df: DataFrame, column: str, content: str = "") -> DataFrame:
+    """One row: whether a column may be summed: its header or context names an amount, no average or rate, and no value is negative."""
+    words = f"{column} {content}".lower()
+    named = any(w in words for w in ADDITIVE) and not any(w in words for w in NOT_ADDITIVE)
+    x = number(df, column)
+    return df.agg((F.lit(named) & F.coalesce(F.min(x) >= 0, F.lit(False))).alias("additive"))
+
+
+def error_range(df: DataFrame, column: str) -> DataFrame:
+    """One row: n, least, most and mean of an error column's numbers."""
+    x = number(df, column)
+    return df.agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"))

@@ -12,6 +12,8 @@ from ..sources.blocks import lines_of
 #: Characters around a figure, terms that must be there, digits of a telling figure, common terms.
 CONTEXT, MIN_TERMS, TELLING_DIGITS = 250, 2, 4
 COMMON_SHARE, MIN_PAGES = 0.5, 5
+#: Page ids that one task puts in order.
+PAGES_A_RANGE = 1_000_000
 
 
 def draft_sentences(draft: DataFrame) -> DataFrame:
@@ -64,8 +66,15 @@ def check_quotes(draft: DataFrame, pages: DataFrame) -> DataFrame:
     Quotations meet pages by the rarest of their words, so no quotation is searched in all pages.
     """
     q = draft.select("draft_id", F.explode(quotations(F.col("text"))).alias("quote")).distinct()
-    order = Window.orderBy("page_id")
-    two = pages.select("page_id", F.concat_ws(" ", F.col("text"), F.lead("text").over(order)).alias("text"))
+    # ids alone are put in order, in ranges: the first id of each range follows the last of the one before
+    ids = pages.select("page_id").distinct()
+    ranged = ids.withColumn("range", F.floor(F.col("page_id") / PAGES_A_RANGE))
+    heads = ranged.groupBy("range").agg(F.min("page_id").alias("first"))
+    after = heads.select(F.lead("range").over(Window.orderBy("range")).alias("next_range"), "range").join(heads.withColumnRenamed("range", "next_range"), "next_range", "left").select("range", "first")
+    inside = F.lead("page_id").over(Window.partitionBy("range").orderBy("page_id"))
+    follows = ranged.withColumn("inside", inside).join(after, "range", "left").select("page_id", F.coalesce("inside", "first").alias("next_id"))
+    texts = pages.select(F.col("page_id").alias("next_id"), F.col("text").alias("next_text"))
+    two = pages.join(follows, "page_id").join(texts, "next_id", "left").select("page_id", F.concat_ws(" ", "text", "next_text").alias("text"))
     words = two.select("page_id", F.explode(stems(F.col("text"))).alias("term"))
     df = words.groupBy("term").agg(F.count("*").alias("df"))
     asked = q.select("draft_id", "quote", F.explode_outer(stems(F.col("quote"))).alias("term")).join(df, "term", "left")

@@ -43,32 +43,36 @@ def build_ledger(blocks: DataFrame) -> DataFrame:
     """Ledger rows of blocks (source_id, file_type, block_type, line_start, content): type, score, grade, tags, stable id.
 
     The id is a hash of source, content and the number of the occurrence of that content in its source,
-    so it does not depend on how the blocks are partitioned.
+    so it does not depend on how the blocks are partitioned. Hashes alone are grouped; only contents that
+    repeat are shuffled to be numbered.
     """
-    h = content_hash(F.col("content"))
-    rows = blocks.withColumn("content_hash", h)
-    order = Window.partitionBy("source_id", "content_hash").orderBy("line_start")
-    rows = rows.withColumn("occurrence", F.row_number().over(order))
-    score = provenance_score(F.col("file_type"), F.col("block_type"), F.col("content"))
+    keys = ["source_id", "content_hash"]
+    rows = blocks.withColumn("content_hash", content_hash(F.col("content")))
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    order = Window.partitionBy(*keys).orderBy("line_start")
+    again = rows.join(repeated, keys, "left_semi").withColumn("occurrence", F.row_number().over(order))
+    once = rows.join(repeated, keys, "left_anti").withColumn("occurrence", F.lit(1))
+    both = once.unionByName(again).withColumn("__low", F.lower(F.coalesce("content", F.lit(""))))
+    low = F.col("__low")
+    score = provenance_score(F.col("file_type"), F.col("block_type"), low)
     ident = F.concat(F.lit("E_"), F.col("source_id"), F.lit("_"), F.substring(F.sha2(F.concat_ws(":", "source_id", "content_hash", F.col("line_start").cast("string"), F.col("occurrence").cast("string")), 256), 1, 10))
-    return rows.select(
+    return both.select(
         ident.alias("evidence_id"), *blocks.columns, "content_hash", "occurrence",
-        evidence_type(F.col("content"), F.col("block_type")).alias("evidence_type"), score.alias("provenance_score"), grade(score).alias("evidence_grade"),
-        topic_tags(F.col("content")).alias("topic_tags"),
+        evidence_type(low, F.col("block_type")).alias("evidence_type"), score.alias("provenance_score"), grade(score).alias("evidence_grade"),
+        topic_tags(low).alias("topic_tags"),
     )
 
 
 def manifest(ledger: DataFrame) -> DataFrame:
-    """(facet, value, n, evidence_ids): the inverted index by source, type, grade and tag."""
+    """(facet, value, evidence_id): the inverted index by source, type, grade and tag, a row for each entry."""
+    named = [F.struct(F.lit(f).alias("facet"), F.col(c).cast("string").alias("value")) for f, c in (("source", "source_id"), ("type", "evidence_type"), ("grade", "evidence_grade"))]
+    tags = F.transform("topic_tags", lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value")))
+    return ledger.select("evidence_id", F.explode(F.concat(F.array(*named), tags)).alias("f")).select("f.facet", "f.value", "evidence_id").distinct()
 
-    def facet(name: str, value: Column, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("evidence_id")).alias("evidence_ids")).select(F.lit(name).alias("facet"), "value", "n", "evidence_ids")
 
-    tags = ledger.select("evidence_id", F.explode("topic_tags").alias("tag"))
-    out = facet("source", F.col("source_id"), ledger)
-    for name, column in (("type", "evidence_type"), ("grade", "evidence_grade")):
-        out = out.unionByName(facet(name, F.col(column), ledger))
-    return out.unionByName(facet("tag", F.col("tag"), tags))
+def manifest_counts(ledger: DataFrame) -> DataFrame:
+    """(facet, value, n, first_id, last_id) of the manifest's entries."""
+    return manifest(ledger).groupBy("facet", "value").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first_id"), F.max("evidence_id").alias("last_id"))
 
 
 def search_score(haystack: Column, query: str) -> Column:
@@ -110,19 +114,15 @@ def by_ids(ledger: DataFrame, ids: list, key: str = "evidence_id") -> tuple[Data
 
 
 def cross_references(rows: DataFrame, table: str, key: str, order: str, cap: int = MAX_REFERENCES) -> DataFrame:
-    """(key, siblings): up to cap other rows of the same table, the nearest before and after in its order.
+    """(key, siblings): the first cap other rows of the same table, in its order; rows without a table have none.
 
-    The window holds 2 * cap + 1 keys, however many rows the table has.
+    Only the first cap + 1 keys of a table are gathered, however many rows it has.
     """
-    around = Window.partitionBy(table).orderBy(order, key).rowsBetween(-cap, cap)
-    near = F.array_remove(F.collect_list(key).over(around), F.col(key))
-    return rows.select(key, F.slice(near, 1, cap).alias("siblings"))
-
-
-def first_siblings(rows: DataFrame, table: str, key: str, cap: int = MAX_REFERENCES) -> DataFrame:
-    """(key, n_siblings): how many siblings a row is listed with, at most cap."""
-    n = F.count("*").over(Window.partitionBy(table)) - 1
-    return rows.select(key, F.least(n, F.lit(cap)).cast("long").alias("n_siblings"))
+    place = F.row_number().over(Window.partitionBy(table).orderBy(order, key))
+    first = rows.where(F.col(table).isNotNull()).select(table, order, key).withColumn("__i", place).where(F.col("__i") <= cap + 1)
+    near = first.groupBy(table).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.col(key).alias("k")))), lambda x: x["k"]).alias("__first"))
+    others = F.filter("__first", lambda k: k != F.col(key))
+    return rows.join(near, table, "left").select(key, F.coalesce(F.slice(others, 1, cap), F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>")).alias("siblings"))
 
 
 def remap(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from ..functions.numbers import filled, is_integral, number
+from ..functions.numbers import filled, is_integral, number, parse_number
 from .shape import time_key
 
 #: Header words of identifiers, units, years and times.
 ID_HEADER = r"(?i)(^|[_\s-])(id|ids|asin|sku|upc|ean|isbn|uuid|guid|key|index|idx)($|[_\s-])|(url|link|image|img|photo|thumbnail|src|href)$|key$"
 UNIT_HEADER = r"(?i)^(單位|单位|units?|uom|unit of measure)$"
 TIME_HEADER = r"(?i)(date|time|year|month|quarter|week|day|年|月|日期)"
-MAX_CATEGORIES = 12
+MAX_CATEGORIES, MAX_COLUMNS = 12, 40
 NUMERIC_SHARE = 0.75
 
 
@@ -21,20 +24,28 @@ def _is_time(df: DataFrame, column: str) -> bool:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, role, missing_ratio, numeric_ratio, distinct_values, negatives, integral) of each column, from one pass."""
-    cols = df.columns[:40]
-    aggs = [F.count("*").alias("rows")]
-    for i, c in enumerate(cols):
-        x = number(df, c) if not _is_time(df, c) else F.lit(None).cast("double")
-        is_time = F.lit(True) if _is_time(df, c) else time_key(filled(c)).isNotNull()
-        aggs += [
-            F.count(filled(c)).alias(f"f{i}"), F.count(x).alias(f"n{i}"), F.count_distinct(filled(c)).alias(f"d{i}"), F.count_if(x < 0).alias(f"g{i}"),
-            F.coalesce(F.bool_and(is_integral(x)), F.lit(False)).alias(f"w{i}"), F.coalesce(F.bool_and(F.when(filled(c).isNotNull(), is_time)), F.lit(False)).alias(f"t{i}"),
-        ]
-    one = df.agg(*aggs)
-    names = {"filled": "f", "numbers": "n", "distinct_values": "d", "negatives": "g", "integral": "w", "times": "t"}
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{p}{i}").alias(n) for n, p in names.items()]) for i, c in enumerate(cols)])
-    p = one.select("rows", F.explode(cells).alias("c")).select("rows", "c.*")
+    """(column, role, missing_ratio, numeric_ratio, distinct_values, negatives, integral, total) of each column.
+
+    Cells are counted by column and value, and all tests run once a value; a cell is parsed as a time only
+    where the header names one. Columns beyond the 40th are listed with the role `skipped`.
+    """
+    cols = df.columns[:MAX_COLUMNS]
+    typed = {c: df.schema[c].dataType for c in cols}
+    times = [c for c in cols if re.search(TIME_HEADER, c)]
+    dated = [c for c in cols if _is_time(df, c)]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), filled(c).alias("v")) for i, c in enumerate(cols)])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.v").agg(F.count("*").alias("n"))
+    index = lambda names: F.col("i").isin(*[cols.index(c) for c in names]) if names else F.lit(False)
+    numeric_types = [c for c in cols if isinstance(typed[c], NumericType)]
+    x = F.when(index(dated), None).when(index(numeric_types), F.col("v").try_cast("double")).otherwise(parse_number(F.col("v")))
+    tested = counts.withColumn("x", x).withColumn("is_time", F.when(index(dated), True).when(index(times), time_key(F.col("v")).isNotNull()).otherwise(False))
+    there = F.col("v").isNotNull()
+    p = tested.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("filled"), F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0)).alias("numbers"),
+        F.count("v").alias("distinct_values"), F.coalesce(F.sum(F.when(F.col("x") < 0, F.col("n"))), F.lit(0)).alias("negatives"), F.coalesce(F.bool_and(is_integral(F.col("x"))), F.lit(False)).alias("integral"),
+        F.coalesce(F.bool_and(F.when(there, F.col("is_time"))), F.lit(False)).alias("times"), F.sum(F.col("x") * F.col("n")).alias("total"),
+    )
+    p = p.withColumn("column", F.get(F.array(*map(F.lit, cols)), F.col("i")))
     numeric = F.try_divide("numbers", "filled") >= NUMERIC_SHARE
     d = F.col("distinct_values")
     role = (
@@ -42,12 +53,16 @@ def column_profile(df: DataFrame) -> DataFrame:
         .when(F.col("column").rlike(UNIT_HEADER), "unit_label")
         .when(F.col("column").rlike(TIME_HEADER) & F.col("times"), "time_like")
         .when(numeric & F.col("integral") & (d <= 3) & (F.col("rows") >= 3 * d), "setting")
+        .when(numeric & (F.col("negatives") == 0) & (F.col("total").between(99, 101) | F.col("total").between(0.99, 1.01)) & (d >= 2), "composition_value")
         .when(numeric, "numeric_measure")
         .when(d.between(2, MAX_CATEGORIES), "categorical")
         .otherwise("text")
     )
     ratio = F.coalesce(F.try_divide(F.col("filled"), F.col("rows")), F.lit(0.0))
-    return p.select("column", role.alias("role"), (1 - ratio).alias("missing_ratio"), F.coalesce(F.try_divide("numbers", "filled"), F.lit(0.0)).alias("numeric_ratio"), "distinct_values", "negatives", "integral")
+    out = p.select("column", role.alias("role"), (1 - ratio).alias("missing_ratio"), F.coalesce(F.try_divide("numbers", "filled"), F.lit(0.0)).alias("numeric_ratio"), "distinct_values", "negatives", "integral", "total")
+    for c in df.columns[MAX_COLUMNS:]:
+        out = out.unionByName(df.sparkSession.createDataFrame([(c, "skipped")], "column string, role string"), allowMissingColumns=True)
+    return out
 
 
 def is_crossed(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -87,22 +102,3 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     b = F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), width)), F.col("bins") - 1)
     return at.groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
-def chart_for(roles: dict[str, str], rows: int, crossed: bool = False, composition: bool = False) -> str:
-    """The first chart whose needs a table's roles meet."""
-    kinds = list(roles.values())
-    numeric, category, time = kinds.count("numeric_measure"), kinds.count("categorical"), kinds.count("time_like")
-    if "unit_label" in kinds or not numeric:
-        return "table"
-    if crossed and category >= 2:
-        return "heatmap"
-    if composition and category:
-        return "stacked_bar" if numeric > 1 else "pie"
-    if time:
-        return "line"
-    if category:
-        return "bar"
-    if numeric >= 2:
-        return "scatter"
-    return "histogram" if rows >= 8 else "table"

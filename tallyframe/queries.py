@@ -350,11 +350,12 @@ def pivot_series(spark, d):
     return wide.select("y", *[F.round(f"`{p}`", 2).alias(p) for p in _PRIORITIES])
 
 
-@query("SELECT o_orderpriority, CAST(year(o_orderdate) AS VARCHAR) AS year, round(sum(o_totalprice), 2) AS value FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY ALL")
+@query(f"SELECT p.o_orderpriority, y.y AS year, round(coalesce(sum(o.o_totalprice), 0), 2) AS value FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN (SELECT DISTINCT y FROM ({_Y})) y LEFT JOIN ({_Y}) o ON o.y = y.y AND o.o_orderpriority = p.o_orderpriority GROUP BY ALL")
 def wide_time_to_series(spark, d):
-    rows = _orders_by_year(spark, d).where("y IN ('1995', '1996')")
-    wide = shape.long_to_wide(rows, "o_orderpriority", "y", "o_totalprice", ["1995", "1996"])
-    out = shape.wide_time_to_series(wide, "o_orderpriority", ["1995", "1996"], "year")
+    rows = _orders_by_year(spark, d)
+    years = sorted(r.y for r in rows.select("y").distinct().collect())  # a row for each year
+    wide = shape.long_to_wide(rows, "o_orderpriority", "y", "o_totalprice", years)
+    out = shape.wide_time_to_series(wide, "o_orderpriority", years, "year")
     return out.select("o_orderpriority", "year", F.round("value", 2).alias("value"))
 
 
@@ -387,7 +388,7 @@ def column_total(spark, d):
     return shape.column_total(Tables(spark, d).customer, "c_acctbal", "c_name").select(F.round("total", 2).alias("total"), "largest", "largest_label")
 
 
-@query("SELECT 'q' AS a, 'p' AS b, 'v' AS c WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("WITH r AS (SELECT l_quantity AS q, l_discount AS p, l_quantity * l_discount AS v FROM lineitem) SELECT * FROM (SELECT 'q' AS a, 'p' AS b, 'v' AS c WHERE (SELECT bool_and(abs(q * p - v) <= 1e-6) FROM r) UNION ALL SELECT 'q', 'v', 'p' WHERE (SELECT bool_and(abs(q * v - p) <= 1e-6) FROM r) UNION ALL SELECT 'p', 'v', 'q' WHERE (SELECT bool_and(abs(p * v - q) <= 1e-6) FROM r))")
 def product_column(spark, d):
     rows = Tables(spark, d).lineitem.select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("p"), (F.col("l_quantity") * F.col("l_discount")).alias("v"))
     return shape.product_columns(rows, ["q", "p", "v"])
@@ -431,7 +432,7 @@ def monotone_order(spark, d):
     return profile.is_ordered(months, "k", "v")
 
 
-@query("SELECT true AS composition")
+@query("SELECT bool_and(r + o BETWEEN 99 AND 101) AS composition FROM (SELECT 100.0 * count(*) FILTER (l_returnflag = 'R') / count(*) AS r, 100.0 * count(*) FILTER (l_returnflag <> 'R') / count(*) AS o FROM lineitem GROUP BY l_shipdate)")
 def composition_check(spark, d):
     wide = Tables(spark, d).lineitem.groupBy("l_shipdate").agg((100.0 * F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("r"), (100.0 * F.count_if(F.col("l_returnflag") != "R") / F.count("*")).alias("o"))
     return profile.is_composition(wide, ["r", "o"])
@@ -480,9 +481,9 @@ def _evidence(spark, d):
 
 
 def _sentences(spark, d):
-    o = Tables(spark, d).orders.where("o_orderkey % 5 <> 0")
+    o = Tables(spark, d).orders
     strength = F.when(F.col("o_orderkey") % 3 == 0, "strong").when(F.col("o_orderkey") % 3 == 1, "moderate").otherwise("hedged")
-    return o.select(F.col("o_orderkey").alias("sentence_id"), F.array("o_orderkey").alias("claim_ids"), F.array("o_custkey").alias("evidence_ids"), strength.alias("wording_strength"))
+    return o.select(F.col("o_orderkey").alias("sentence_id"), F.when(F.col("o_orderkey") % 5 != 0, F.array("o_orderkey")).otherwise(F.array().cast("array<bigint>")).alias("claim_ids"), F.array("o_custkey").alias("evidence_ids"), strength.alias("wording_strength"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS stat, o_orderkey % 11 = 0 AS bad, c_custkey, o_orderkey % 5 <> 0 AS spoken FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
@@ -510,7 +511,7 @@ def fe_union_rule(spark, d):
 @query("""SELECT o_orderkey AS sentence_id, CASE c_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS grade,
  CASE o_orderkey % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'moderate' ELSE 'hedged' END AS wording_strength,
  (CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END) > 4 - (CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END) AS too_strong
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 0""")
+FROM orders JOIN customer ON o_custkey = c_custkey""")
 def fd_wording(spark, d):
     return gates.wording(_sentences(spark, d), _evidence(spark, d))
 
@@ -568,10 +569,14 @@ def ledger_build(spark, d):
     return ledger.build_ledger(_blocks(spark, d)).select("line_start", "evidence_type", "provenance_score", "evidence_grade")
 
 
-@query("SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'grade', CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END, count(*) FROM (SELECT round(CAST(" + _SCORE + " AS DOUBLE), 4) AS s FROM documents) GROUP BY 2")
+_GRADE = f"CASE WHEN round(CAST({_SCORE} AS DOUBLE), 4) >= 0.7 THEN 'high' WHEN round(CAST({_SCORE} AS DOUBLE), 4) >= 0.4 THEN 'medium' ELSE 'low' END"
+_TYPE = f"CASE WHEN {_ROW} OR {_contains_sql(txt.QUANTITATIVE)} THEN 'quantitative' WHEN {_contains_sql(txt.METHODOLOGICAL)} THEN 'methodological' WHEN {_contains_sql(txt.CONTEXTUAL)} THEN 'contextual' ELSE 'qualitative' END"
+_TAGS = " UNION ALL ".join(f"SELECT 'tag', '{t}' FROM documents WHERE {_contains_sql(w)}" for t, w in txt.TOPICS.items())
+
+
+@query(f"SELECT facet, value, count(*) AS n FROM (SELECT 'source' AS facet, source AS value FROM documents UNION ALL SELECT 'grade', {_GRADE} FROM documents UNION ALL SELECT 'type', {_TYPE} FROM documents UNION ALL {_TAGS}) GROUP BY ALL")
 def ledger_manifest(spark, d):
-    rows = ledger.build_ledger(_blocks(spark, d))
-    return ledger.manifest(rows).where("facet IN ('source', 'grade')").select("facet", "value", "n")
+    return ledger.manifest_counts(ledger.build_ledger(_blocks(spark, d))).select("facet", "value", "n")
 
 
 @query("""SELECT doc_id, score FROM (SELECT doc_id, contains(lower(text), 'license')::INT * 1.0::DOUBLE + contains(lower(text), 'the')::INT * 1.0::DOUBLE + contains(lower(text), 'mit')::INT * 1.0::DOUBLE + contains(lower(text), 'the mit license')::INT * 3.0::DOUBLE AS score FROM documents)
@@ -591,11 +596,6 @@ def ledger_by_ids(spark, d):
     return found.select("doc_id", F.lit("found").alias("state")).unionByName(missing.select("doc_id", F.lit("missing").alias("state")))
 
 
-@query("SELECT doc_id, least(count(*) OVER (PARTITION BY source) - 1, 24) AS n_siblings FROM documents")
-def cross_references(spark, d):
-    return ledger.first_siblings(Tables(spark, d).documents, "source", "doc_id")
-
-
 @query("SELECT count(DISTINCT coalesce(nullif(trim(text), ''), 'id:' || doc_id)) AS contents FROM documents")
 def distinct_contents(spark, d):
     c = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.concat(F.lit("id:"), F.col("doc_id").cast("string")))
@@ -605,7 +605,10 @@ def distinct_contents(spark, d):
 # -- text -------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'en' AS language FROM documents")
+_CJK_SQL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
+
+
+@query(f"WITH n AS (SELECT doc_id, len(regexp_extract_all(substr(coalesce(text, ''), 1, 20000), '{_CJK_SQL}')) AS c, len(regexp_extract_all(substr(coalesce(text, ''), 1, 20000), '[A-Za-z]')) AS l FROM documents) SELECT doc_id, CASE WHEN c >= 20 AND c >= 0.25 * (c + l) THEN 'zh' ELSE 'en' END AS language FROM n")
 def lang_detect(spark, d):
     return Tables(spark, d).documents.select("doc_id", txt.detect_language(F.col("text")).alias("language"))
 
@@ -615,10 +618,9 @@ def cjk_count(spark, d):
     return Tables(spark, d).documents.select("doc_id", txt.count_matches(F.col("text"), txt.CJK).cast("long").alias("cjk"))
 
 
-@query("SELECT item_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS words FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query(f"SELECT item_id, len(regexp_extract_all(text, '{_CJK_SQL}')) + len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z0-9]+'))) AS words FROM benchmark")
 def word_count(spark, d):
-    b = Tables(spark, d).benchmark.where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return b.select("item_id", txt.word_count(F.col("text")).alias("words"))
+    return Tables(spark, d).benchmark.select("item_id", txt.word_count(F.col("text")).alias("words"))
 
 
 @query("SELECT item_id, regexp_replace(lower(text), '[^0-9a-z\\x{3400}-\\x{9fff}]+', '', 'g') AS squashed FROM benchmark")
@@ -674,10 +676,12 @@ def url_normalize(spark, d):
     return Tables(spark, d).pages.select("page_id", txt.normal_url(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages WHERE NOT regexp_matches(html, '(?i)og:title|<title[^>]*>[^<]*( \\||- )')")
+_OG, _TITLE = "regexp_extract(html, '(?i)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"', 1)", "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"SELECT page_id, nullif(trim(regexp_replace(CASE WHEN {_OG} <> '' THEN {_OG} ELSE {_TITLE} END, '\\s+(\\||-)\\s+[^|-]*$', '')), '') AS title FROM pages")
 def page_titles(spark, d):
-    plain = Tables(spark, d).pages.where(~F.col("html").rlike(r"(?i)og:title|<title[^>]*>[^<]*( \||- )"))
-    return plain.select("page_id", txt.page_title(F.col("html")).alias("title"))
+    return Tables(spark, d).pages.select("page_id", txt.page_title(F.col("html")).alias("title"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a[^>]+href=\"([^\"]*)\"')) AS links FROM pages")
@@ -690,7 +694,10 @@ def cited_sources(spark, d):
     return Tables(spark, d).pages.groupBy(txt.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("occurrences"), F.min("page_id").alias("first_page"))
 
 
-@query("SELECT page_id, 'web' AS trust FROM pages")
+_HOST = "lower(regexp_extract(url, '(?i)^https?://(?:www\\.)?([^/?#:]+)', 1))"
+
+
+@query(f"SELECT page_id, CASE {' '.join(f"WHEN regexp_matches({_HOST}, '{p}') THEN '{n}'" for n, p in txt.TRUST)} ELSE 'web' END AS trust FROM pages")
 def url_trust(spark, d):
     return Tables(spark, d).pages.select("page_id", txt.trust_class(F.col("url")).alias("trust"))
 
@@ -703,10 +710,9 @@ def register_scan(spark, d):
     return hit.groupBy("conv_id", "turn").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\b[a-z]+(?:_[a-z0-9]+)+\\b'))) AS tokens FROM documents WHERE regexp_matches(text, '[a-z]_[a-z0-9]')")
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b[a-z]+(?:_[a-z0-9]+)+\\b'))) AS tokens FROM documents")
 def machine_tell(spark, d):
-    docs = Tables(spark, d).documents.where(F.col("text").rlike("[a-z]_[a-z0-9]"))
-    return docs.select("doc_id", F.size(F.filter(txt.internal_tokens(F.col("text")), lambda t: ~t.startswith("E_"))).cast("long").alias("tokens"))
+    return Tables(spark, d).documents.select("doc_id", F.size(F.filter(txt.internal_tokens(F.col("text")), lambda t: ~t.startswith("E_"))).cast("long").alias("tokens"))
 
 
 # -- blocks -----------------------------------------------------------------------------------
@@ -752,10 +758,10 @@ def row_blocks(spark, d):
 # -- interval and band joins ----------------------------------------------------------------
 
 
-@query("""WITH i AS (SELECT l_suppkey AS s, l_orderkey * 10 + l_linenumber AS k, CAST(l_quantity AS BIGINT) * 20 AS a, CAST(l_quantity AS BIGINT) * 20 + l_linenumber AS b FROM lineitem WHERE l_discount = 0.01)
+@query("""WITH i AS (SELECT l_suppkey AS s, l_orderkey * 10 + l_linenumber AS k, CAST(l_quantity AS BIGINT) * 20 AS a, CAST(l_quantity AS BIGINT) * 20 + l_linenumber AS b FROM lineitem)
 SELECT x.s AS section, x.k AS a, y.k AS b FROM i x JOIN i y ON x.s = y.s AND x.k < y.k AND x.a < y.b AND y.a < x.b""")
 def interval_overlap(spark, d):
-    rows = Tables(spark, d).lineitem.where("l_discount = 0.01")
+    rows = Tables(spark, d).lineitem
     start = F.col("l_quantity").cast("long") * 20
     i = rows.select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), start.alias("a"), (start + F.col("l_linenumber")).alias("b"))
     return references.overlapping(i, "s", "k", "a", "b", 50)
@@ -794,3 +800,6 @@ def stream_sessions(spark, d):
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_deduplicated(spark, d):
     return streams.deduplicated(Tables(spark, d).events).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+from . import case_queries  # noqa: E402,F401 - registers its queries, which use the helpers above

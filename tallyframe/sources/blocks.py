@@ -100,3 +100,92 @@ def read_texts(spark, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
     utf8 = F.try_validate_utf8(raw.content.cast("string"))
     return raw.select(F.xxhash64("path").alias("doc_id"), "path", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))
+
+
+#: Characters of a block that is cut, and of the chunks it is cut into.
+BLOCK_CHARS, CHUNK_CHARS = 2000, 1500
+
+
+def split_long(blocks: DataFrame, key: str = "block_id", content: str = "content") -> DataFrame:
+    """(key, chunk, first_line, last_line, content): blocks of over 2,000 characters in chunks of up to 1,500, others whole.
+
+    Cuts fall between lines, inside a long line between sentences, inside a long sentence anywhere. Lines
+    are counted from 0. The pieces of a block are packed in order by a fold.
+    """
+    text = F.coalesce(F.col(content), F.lit(""))
+
+    def pieces(line: Column, at: Column) -> Column:
+        sentences = F.when(F.length(line) <= CHUNK_CHARS, F.array(line)).otherwise(F.split(line, r"(?<=[.!?。！？])\s*"))
+        parts = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(CHUNK_CHARS)), lambda i: F.substring(s, i + 1, F.lit(CHUNK_CHARS)))))
+        return F.transform(parts, lambda p: F.struct(p.alias("text"), at.alias("line")))
+
+    every = F.flatten(F.transform(F.split(text, "\n", -1), pieces))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<struct<chunk: int, text: string, line: int>>").alias("out"))
+
+    def pack(acc: Column, p: Column) -> Column:
+        n = F.length(p["text"])
+        fresh = (acc["size"] > 0) & (acc["size"] + n > CHUNK_CHARS)
+        chunk = acc["chunk"] + fresh.cast("int")
+        item = F.struct(chunk.alias("chunk"), p["text"].alias("text"), p["line"].alias("line"))
+        return F.struct(chunk.alias("chunk"), (F.when(fresh, 0).otherwise(acc["size"]) + n + 1).cast("int").alias("size"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+    long = F.length(text) > BLOCK_CHARS
+    packed = blocks.where(long).select(key, F.posexplode(F.aggregate(every, start, pack, lambda acc: acc["out"])).alias("i", "p"))
+    body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]["text"]), "\n"))
+    cut = packed.groupBy(key, F.col("p.chunk").alias("chunk")).agg(F.min("p.line").alias("first_line"), F.max("p.line").alias("last_line"), body.alias("content"))
+    whole = blocks.where(~long).select(key, F.lit(0).alias("chunk"), F.lit(0).alias("first_line"), F.regexp_count(text, F.lit("\n")).alias("last_line"), text.alias("content"))
+    return cut.where("content <> ''").unionByName(whole)
+
+
+def table_rows(tables: DataFrame, key: str = "block_id", content: str = "content") -> DataFrame:
+    """(key, row, content): the rows of pipe tables as JSON records; a table whose first row is all numbers has no header and gives none.
+
+    Repeated headers are told apart, short rows are filled up, rows of placeholders go.
+    """
+    lines = F.filter(F.split(F.col(content), "\r?\n"), lambda x: x.contains("|") & ~x.rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"))
+    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x)))
+    head = F.get(cells, F.lit(0))
+    named = F.transform(head, lambda h, i: F.concat(F.when(h == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(h), F.when(F.size(F.filter(F.slice(head, F.lit(1), i), lambda g: g == h)) > 0, F.concat(F.lit(" ["), (F.size(F.filter(F.slice(head, F.lit(1), i), lambda g: g == h)) + 1).cast("string"), F.lit("]"))).otherwise("")))
+    numeric = F.forall(head, lambda h: h.rlike(r"^[+-]?[0-9][0-9,]*(\.[0-9]+)?%?$"))
+    rows = tables.where(F.size(cells) >= 2).where(~numeric).select(key, named.alias("names"), F.posexplode(F.slice(cells, F.lit(2), F.size(cells))).alias("row", "values"))
+    filled = F.transform("names", lambda n, i: F.coalesce(F.get("values", i), F.lit("")))
+    stated = F.exists(filled, lambda v: ~F.lower(v).isin("", "-", "--", "n/a", "na", "tbd", "none", "null"))
+    return rows.where(stated).select(key, "row", F.to_json(F.map_from_arrays("names", filled)).alias("content"))
+
+
+#: Openings of classes and functions at the left margin.
+UNIT_START = r"^(?:export\s+)?(?:default\s+)?(?:public\s+)?(?:async\s+)?(class|def|function|func|fn|interface|struct)\s+([A-Za-z_][A-Za-z0-9_]*)"
+
+
+def code_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, unit, kind, name, line_start, line_end): classes and functions that start at the left margin; what is before the first is a module.
+
+    A unit ends before the next one, trailing blank lines left out.
+    """
+    w = Window.partitionBy(key).orderBy("n")
+    rows = lines_of(docs, key, text).withColumn("kind", F.regexp_extract("line", UNIT_START, 1))
+    rows = rows.withColumn("unit", F.sum(F.when(F.col("kind") != "", 1).otherwise(0)).over(w)).where(F.trim("line") != "")
+    first = F.min_by(F.struct(F.col("kind"), F.regexp_extract("line", UNIT_START, 2).alias("name")), "n")
+    units = rows.groupBy(key, "unit").agg(first.alias("f"), F.min("n").alias("line_start"), F.max("n").alias("line_end"))
+    return units.select(key, "unit", F.when(F.col("f.kind") == "", "module").otherwise(F.col("f.kind")).alias("kind"), "f.name", "line_start", "line_end")
+
+
+def without_repeated_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n, line): lines without headings that repeat or are empty, nor the blank line after them.
+
+    A heading of level 2 or more is empty if no text follows before the next heading of its level or above.
+    A first-level heading repeats an earlier first-level one, others repeat any heading that is kept.
+    """
+    w, whole = Window.partitionBy(key).orderBy("n"), Window.partitionBy(key, "title").orderBy("n")
+    rows = lines_of(docs, key, text).withColumn("level", F.length(F.regexp_extract(F.trim("line"), r"^(#+)\s+\S", 1)))
+    rows = rows.withColumn("title", F.lower(F.trim(F.regexp_replace(F.trim("line"), r"^#+\s+", ""))))
+    filled = rows.where(F.trim("line") != "").withColumn("next_level", F.lead("level").over(w))
+    empty = (F.col("level") >= 2) & (F.col("next_level").isNull() | ((F.col("next_level") > 0) & (F.col("next_level") <= F.col("level"))))
+    heads = filled.where("level > 0").withColumn("empty", empty)
+    kept = heads.where(~F.col("empty"))
+    seen = F.count("*").over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    seen_top = F.count_if(F.col("level") == 1).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    repeated = kept.withColumn("gone", F.when(F.col("level") == 1, seen_top > 0).otherwise(seen > 0)).where("gone")
+    gone = heads.where("empty").select(key, "n").unionByName(repeated.select(key, "n")).withColumn("gone", F.lit(True))
+    marked = rows.join(gone, [key, "n"], "left").withColumn("after", F.lag("gone").over(w))
+    return marked.where(F.col("gone").isNull() & ~(F.col("after").eqNullSafe(F.lit(True)) & (F.trim("line") == ""))).select(key, "n", "line")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import filled
@@ -24,46 +26,83 @@ def unique_headers(names: list[str | None]) -> list[str]:
     return out
 
 
-def header_row(rows: list[list[str | None]]) -> int:
-    """Index of the header: rows of one value at most are titles if a later row is the widest."""
-    widths = [sum(bool((c or "").strip()) for c in row) for row in rows]
-    for i, w in enumerate(widths[:MAX_NOISE_ROWS]):
-        if w > 1 or w == max(widths, default=0):
-            return i
-    return 0
+def noise_rows(rows: list[list[str]], widest: int) -> int:
+    """How many rows stand above the header: leading rows of one value at most, if the row below them is as wide as any."""
+    counts = [sum(c.strip().lower() not in ("", "nan") for c in row) for row in rows]
+    skipped = 0
+    for n in counts[:MAX_NOISE_ROWS]:
+        if n > 1 or skipped + 1 >= len(rows):
+            break
+        skipped += 1
+    return skipped if widest >= 2 and skipped and counts[skipped] == widest else 0
 
 
-def read_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """A CSV as text columns; titles above the header and blank rows are left out.
+def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """One CSV file as text columns: titles above the header and blank rows are left out, cells beyond the header too.
 
-    Five lines are looked at when the plan is built. The scan itself is Spark's and splits as usual.
+    The first six lines are parsed when the plan is built, and one pass finds the widest row, as a title
+    says nothing of the width. The header row and the rows above it are dropped where the file begins and
+    only there, so that a data row which repeats the header stays. The scan itself is Spark's and splits
+    as usual.
     """
-    raw = spark.read.options(header=False, mode="PERMISSIVE", **options).csv(path)
-    first = [list(r) for r in raw.limit(MAX_NOISE_ROWS + 1).collect()]
-    if not first:
+    lines = spark.read.text(path)
+    top = [r.value for r in lines.limit(MAX_NOISE_ROWS + 1).collect()]
+    if not any(t.strip() for t in top):
         raise RequestError(f"{path} has no rows")
-    at = header_row(first)
-    width = max(len(r) for r in first)
-    if width > len(raw.columns):
-        raw = spark.read.options(header=False, **options).schema(", ".join(f"_c{i} string" for i in range(width))).csv(path)
-    names = unique_headers(first[at])
-    out = raw
-    for row in first[: at + 1]:  # the title and header rows, by their text
+    head = list(csv.reader(top, delimiter=sep))
+    cells = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))) + 1  # as many or more, if separators are quoted
+    width = int(lines.agg(F.max(cells).alias("n")).first().n)
+    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).options(header=False, sep=sep, escape='"', enforceSchema=True).csv(path)
+    filled_cells = sum((F.when(~F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin("", "nan"), 1).otherwise(0) for c in raw.columns), F.lit(0))
+    widest = int(raw.agg(F.max(filled_cells).alias("n")).first().n)
+    skip = noise_rows(head, widest)
+    names = unique_headers(head[skip])
+    placed = raw.select("*", F.monotonically_increasing_id().alias("__at"), (F.col("_metadata.file_block_start") == 0).alias("__first"))
+    leading = F.lit(False)
+    for row in head[: skip + 1]:
         same = F.lit(True)
-        for c, v in zip(out.columns, row):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        out = out.where(~same)
-    return drop_blank(out.toDF(*names))
-
-
-def drop_blank(df: DataFrame) -> DataFrame:
-    """Rows with at least one cell that is no placeholder."""
+        for i, c in enumerate(raw.columns):
+            same = same & (F.trim(F.coalesce(F.col(c), F.lit(""))) == (row[i].strip() if i < len(row) else ""))
+        leading = leading | same
+    stated = sum(any(c.strip() for c in row) for row in head[: skip + 1])
+    # of the rows that read like the leading ones, the first so many in the file are they
+    alike = placed.where(leading & F.col("__first")).where(filled_cells > 0)
+    order = Window.orderBy("__at")
+    rest = alike.withColumn("__n", F.row_number().over(order)).where(F.col("__n") > stated).drop("__n")
+    body = placed.where(~(leading & F.col("__first"))).unionByName(rest).select(*raw.columns[: len(names)])
+    for i in range(len(raw.columns), len(names)):
+        body = body.withColumn(f"_c{i}", F.lit(None).cast("string"))
+    return drop_blank(body.toDF(*names), ("",))
+
+
+def drop_blank(df: DataFrame, blank: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
+    """Rows with at least one cell that is none of the blank ones; by default placeholders are blank."""
     states = F.lit(False)
     for c in df.columns:
-        states = states | ~F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).isin(*PLACEHOLDERS)
+        states = states | ~F.lower(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))).isin(*blank)
     return df.where(states)
 
 
+def union_tagged(frames: dict[str, DataFrame], tag: str = "sheet") -> DataFrame:
+    """Several tables as one, with the union of their columns and the name of each in a column, if there is more than one."""
+    out: DataFrame | None = None
+    for name, df in frames.items():
+        one = df.withColumn(tag, F.lit(name)) if len(frames) > 1 else df
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise RequestError("there is no table")
+    return out
+
+
+def find_frame(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """A table by its name, its name without extension, or either in any case; an error names those there are."""
+    for key in (lambda x: x, lambda x: x.rpartition(".")[0] or x, str.lower, lambda x: (x.rpartition(".")[0] or x).lower()):
+        hits = [df for k, df in frames.items() if key(k) == key(name)]
+        if len(hits) == 1:
+            return hits[0]
+    raise RequestError(f"{name!r} is none of {', '.join(sorted(frames))}")
+
+
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A list as rows, or an object as one row; JSON lines if told so (these split, a list does not)."""
     return spark.read.json(path, multiLine=not lines)
@@ -80,28 +119,7 @@ def read_toml(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([cells]) if cells else spark.createDataFrame([], "value string")
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Every sheet of a workbook as text columns, with a sheet column if several have rows; needs openpyxl."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        raise RequestError("reading .xlsx needs the openpyxl package") from None
-    import pandas as pd
-
-    sheets = {k: v for k, v in pd.read_excel(path, sheet_name=None, dtype=str).items() if len(v)}
-    out: DataFrame | None = None
-    for name, frame in sheets.items():
-        frame.columns = unique_headers([str(c) for c in frame.columns])
-        if len(sheets) > 1:
-            frame["sheet"] = name
-        one = spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
-        raise RequestError(f"{path} has no rows")
-    return out
-
-
-READERS = {"csv": read_csv, "json": read_json, "toml": read_toml, "xlsx": read_xlsx}
+READERS = {"csv": read_csv, "json": read_json, "toml": read_toml}
 
 
 def file_type(path: str) -> str:
@@ -118,10 +136,15 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_blocks(df: DataFrame, key: str, source_id: str, file_type: str) -> DataFrame:
-    """Ledger blocks of a table: a JSON record for each row, blank cells left out."""
+    """Ledger blocks of a table: a JSON record for each row, blank cells left out; rows of placeholders alone go."""
+    df = drop_blank(df)
     cells = F.struct(*[filled(c).alias(c) for c in df.columns])
     return df.select(F.lit(source_id).alias("source_id"), F.lit(file_type).alias("file_type"), F.lit("csv_row").alias("block_type"), F.col(key).cast("long").alias("line_start"), F.to_json(cells).alias("content"))
 
 
+def read_ledger(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
+
+
 def write_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
     ledger.write.mode(mode).json(path)
