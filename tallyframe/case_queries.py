@@ -658,3 +658,109 @@ def variant_steps(spark, d):
 @query(rows_sql("id long, label string, key double", [(1, "1K+", 1000.0), (2, "500+", 500.0), (3, "3萬", 30000.0), (4, "2M", 2000000.0), (5, "12K", 12000.0)]))
 def magnitude_labels(spark, d):
     return texts(spark, "1K+", "500+", "3萬", "2M", "12K").select("id", _t().alias("label"), num.magnitude_label(_t()).alias("key"))
+
+
+# -- more of drafts, gates and plans ------------------------------------------------------------------
+
+
+@query(rows_sql("id long, plain string, masked string", [(1, "as   said", "as (Li, 2020) said"), (2, "in (2020) it", "in (2020) it"), (3, "see  ", "see [1, 2]"), (4, "Table 3 shows CO2", "        shows CO2"), (5, "GPT4 and Fig. 2", "     and       ")]))
+def citation_masks(spark, d):
+    t = texts(spark, "as (Li, 2020) said", "in (2020) it", "see [1, 2]", "Table 3 shows CO2", "GPT4 and Fig. 2")
+    return t.select("id", drafts.without_citations(_t()).alias("plain"), drafts.without_pointers(_t()).alias("masked"))
+
+
+@query(rows_sql("draft_id long, position long, figures string, quotes string", [(1, 0, "12", ""), (1, 2, "", "three words here"), (1, 3, "5", "")]))
+def checkable_sentences(spark, d):
+    t = table(spark, "draft_id long, text string", [(1, 'It rose by 12 kg (Li, 2020). Table 3 shows it. He said "three words here 9". CO2 fell by 5 %.')])
+    out = drafts.checkable_sentences(t)
+    return out.select("draft_id", long("position", "position"), joined(F.col("figures")).alias("figures"), F.regexp_replace(joined(F.col("quotes")), " 9$", "").alias("quotes"))
+
+
+@query(rows_sql("draft_id long, position long, figure string, nearest double", [(1, 0, "91", 88.4)]))
+def nearest_typos(spark, d):
+    draft = table(spark, "draft_id long, text string", [(1, "The recycling plant recovered 91 tonnes. Nothing shared 91.")])
+    pages = table(spark, "page_id long, text string", [(1, "The recycling plant recovered 88.4 tonnes"), (2, "other matters 90 altogether")])
+    return drafts.nearest_figure(draft, pages).select("draft_id", long("position", "position"), "figure", "nearest")
+
+
+@query(rows_sql("quote string, page_id long, size long", [("the recycling plant recovered a lot", 1, 26)]))
+def closest_passages(spark, d):
+    q = table(spark, "quote string", [("the recycling plant recovered a lot",), ("wholly invented sentence",)])
+    pages = table(spark, "page_id long, text string", [(1, "In 2020 the recycling plant recovered 88 tonnes"), (2, "a recycling line")])
+    return drafts.closest_passage(q, pages).select("quote", "page_id", long("size", "size"))
+
+
+@query(rows_sql("id long, sentence string", [(1, "It came to an end."), (2, None)]))
+def sentences_around(spark, d):
+    rows = [(1, "First one. It came to\nan end. Last.", "came to an"), (2, "Nothing.", "else")]
+    return table(spark, "id long, text string, found string", rows).select("id", drafts.sentence_around(_t(), F.col("found")).alias("sentence"))
+
+
+@query(rows_sql("id long, added long, removed long, ratio double", [(1, 1, 1, 0.6667), (2, 0, 0, 1.0), (3, 2, 0, 0.0)]))
+def section_diffs(spark, d):
+    rows = [(1, "a\nb\nc", "a\nx\nc"), (2, "a", "a"), (3, None, "a\nb")]
+    out = table(spark, "id long, old string, new string", rows).select("id", drafts.line_diff("old", "new").alias("x"))
+    return out.select("id", long(F.col("x.added"), "added"), long(F.col("x.removed"), "removed"), F.col("x.ratio").alias("ratio"))
+
+
+@query(rows_sql("doc_id long, headings long, telling long, tables long, introduced long", [(1, 3, 2, 2, 1)]))
+def layout_scores(spark, d):
+    t = table(spark, "doc_id long, text string", [(1, "# 1. Topic\n# Pain: not the picture\nThe table below lists them.\n\n| a |\n|---|\n| 1 |\n\n## Sales rose 12 %\n| b |\n|---|\n| 2 |")])
+    return drafts.layout_scores(t)
+
+
+@query(rows_sql("attempt long, status string, bad string", [(1, "retry", "e2"), (2, "stats_only", "e2"), (3, "ok", "")]))
+def quote_gates(spark, d):
+    rows = table(spark, "evidence_id string, path string, content string", [("e1", "p", "a run of words"), ("e2", "p", "never said"), ("e3", "unread", "x")])
+    files = table(spark, "path string, text string", [("p", "here is A run, of words")])
+    out = None
+    for attempt, (some, failures) in enumerate(((rows, 0), (rows, 1), (rows.where("evidence_id <> 'e2'"), 1)), 1):
+        bad, status = audit.quote_gate(some, files, failures)
+        one = bad.agg(F.coalesce(F.max("evidence_id"), F.lit("")).alias("bad")).select(F.lit(attempt).cast("long").alias("attempt"), F.lit(status).alias("status"), "bad")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(rows_sql("reason string, n long", [("blocked claims", 1), ("banned phrases", 2), ("missing artifacts", 1)]))
+def qa_reasons(spark, d):
+    v, u = table(spark, "blocked boolean", [(True,), (False,)]), table(spark, "cite_id string", [])
+    return audit.qa_reasons(v, u, texts(spark, "This is Justified and proven"), table(spark, "name string, present boolean", [("a", True), ("b", False)]), ("justified", "proven", "absent"))
+
+
+@query(rows_sql("key string, change string", [("b", "changed"), ("c", "removed"), ("d", "added")]))
+def state_differences(spark, d):
+    s = "key string, value string"
+    return audit.state_difference(table(spark, s, [("a", "1"), ("b", "1"), ("c", None)]), table(spark, s, [("a", "1"), ("b", None), ("d", "2")]))
+
+
+@query(rows_sql("table_id string, headers string, n long, evidence_ids string, cells string", [("t1", "a,b", 3, "e1,e3,e2", "1,2/5,6/3,4")]))
+def source_tables(spark, d):
+    rows = [("e2", "t1_r10", '{"a":"3","b":"4"}'), ("e1", "t1_r1", '{"a":"1","b":"2"}'), ("e3", "t1_r2", '{"a":"5","b":"6"}'), ("e4", "prose", "x")]
+    out = audit.source_tables(table(spark, "evidence_id string, block_id string, content string", rows))
+    return out.select("table_id", joined(F.col("headers"), ",").alias("headers"), long("n", "n"), joined(F.col("evidence_ids"), ",").alias("evidence_ids"), joined(F.transform("cells", lambda c: joined(c, ",")), "/").alias("cells"))
+
+
+@query(rows_sql("figure_id string, issue string", [("f2", "unsupported type"), ("f2", "labels and values differ"), ("f2", "unknown evidence"), ("f2", "value not in evidence")]))
+def figure_plan_audit(spark, d):
+    rows = [("f1", "Bar", ["a", "b"], [12.0, 30.1], ["e1"]), ("f2", "radar", ["a"], [12.0, 99.0], ["e1", "e9"])]
+    plan = table(spark, "figure_id string, figure_type string, labels array<string>, values array<double>, evidence_ids array<string>", rows)
+    return audit.figure_plan_issues(plan, table(spark, "evidence_id string, content string", [("e1", "12 and 30")]))
+
+
+@query(rows_sql("table_id string, chart string, score double", [("t", "bar", 0.9), ("u", "line", 0.92)]))
+def chart_ranking(spark, d):
+    rows = [("t", "table", 0.88, False, 5, 0), ("t", "bar", 0.86, True, 5, 1), ("u", "line", 0.92, False, 50, 0), ("u", "bar", 0.88, True, 50, 0)]
+    return audit.ranked_recommendations(table(spark, "table_id string, chart string, score double, transformed boolean, rows long, n_warnings long", rows))
+
+
+@query(rows_sql("id long, record string", [(1, "@article{li2020,\n  author = {Li, C.},\n  title = {A title},\n  year = {2020},\n  journal = {J},\n  doi = {10.1/x}\n}"), (2, "@misc{source,\n  author = {IEA},\n  title = {Outlook},\n  year = {n.d.}\n}")]))
+def bibtex_records(spark, d):
+    rows = [(1, "li-2020", "Li, C.", "A {title}", "2020", "J", "10.1/x"), (2, "--", "IEA", "Outlook", None, None, None)]
+    t = table(spark, "id long, key string, author string, title string, year string, container string, doi string", rows)
+    return t.select("id", prose.bibtex_record(*[F.col(c) for c in t.columns[1:]]).alias("record"))
+
+
+@query("SELECT doc_id, source FROM documents")
+def ledger_listing(spark, d):
+    docs = Tables(spark, d).documents
+    return ledger.listed(ledger.cross_references(docs, "source", "doc_id", "doc_id").join(docs.select("doc_id", "source"), "doc_id")).select("doc_id", "source")

@@ -239,6 +239,18 @@ def apa_reference(author: Column, year: Column, title: Column, container: Column
     return F.concat_ws(" ", who, what, F.when(~publisher.eqNullSafe(author), closed(publisher)), link)
 
 
+def bibtex_record(key: Column, author: Column, title: Column, year: Column, container: Column, doi: Column) -> Column:
+    """A BibTeX record of the parts that are there; braces inside them are dropped."""
+
+    def field(name: str, c: Column) -> Column:
+        return F.concat(F.lit(f"  {name} = {{"), F.translate(c, "{}", ""), F.lit("}"))
+
+    kind = F.when(container.isNotNull(), "article").otherwise("misc")
+    fields = F.array_compact(F.array(field("author", author), field("title", title), field("year", F.coalesce(year, F.lit("n.d."))), field("journal", container), field("doi", doi)))
+    name = F.coalesce(F.nullif(F.regexp_replace(key, "[^A-Za-z0-9_]", ""), F.lit("")), F.lit("source"))
+    return F.concat(F.lit("@"), kind, F.lit("{"), name, F.lit(",\n"), F.array_join(fields, ",\n"), F.lit("\n}"))
+
+
 def publisher_year(raw: Column) -> Column:
     """(publisher, year) of a text such as `Fastmarkets, 2026`."""
     flat = F.regexp_replace(F.trim(raw), r"\s+", " ")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cite_markers
+from ..functions.numbers import measures_in
+from ..functions.text import cite_markers, squash
 from ..plans.filters import columns_of
 
 #: Units by their spellings, with dimension and canonical unit.
@@ -205,3 +206,73 @@ def table_numbers(markers: DataFrame, tables: DataFrame) -> DataFrame:
     placed = markers.join(tables.select("table_id").distinct(), "table_id", "left_semi")
     numbered = placed.withColumn("number", F.row_number().over(Window.partitionBy("draft_id").orderBy("position")))
     return numbered.join(tables, "table_id").groupBy("draft_id", "evidence_id").agg(F.min("number").alias("number"))
+
+
+#: Failed attempts after which only statistics are used; kinds of figures that can be drawn; wording that blocks.
+MAX_ATTEMPTS = 2
+FIGURE_TYPES = ("table", "bar", "line", "pie", "scatter", "histogram", "boxplot", "heatmap", "stacked_bar", "error_bar")
+
+
+def quote_gate(rows: DataFrame, sources: DataFrame, failures: int = 0) -> tuple[DataFrame, str]:
+    """(rows whose content is no run of their source file, status): ok, retry, or stats_only after MAX_ATTEMPTS failures.
+
+    rows: (evidence_id, path, content); sources: (path, text). Whether any row fails is asked when the plan is built.
+    """
+    both = rows.join(sources, "path", "left").where(squash(F.col("content")) != "")
+    bad = both.where(F.col("text").isNotNull() & ~squash(F.col("text")).contains(squash(F.col("content")))).select("evidence_id")
+    if bad.isEmpty():
+        return bad, "ok"
+    return bad, "stats_only" if failures + 1 >= MAX_ATTEMPTS else "retry"
+
+
+def qa_reasons(verdicts: DataFrame, unresolved: DataFrame, draft: DataFrame, artifacts: DataFrame, banned: tuple[str, ...]) -> DataFrame:
+    """(reason, n) for which a report may not go out: blocked claims, citations without a target, banned phrases, artifacts that are missing."""
+    blocked = verdicts.where("blocked").agg(F.count("*").alias("n")).select(F.lit("blocked claims").alias("reason"), "n")
+    open_ = unresolved.agg(F.count("*").alias("n")).select(F.lit("unresolved citations").alias("reason"), "n")
+    phrases = draft.select(F.explode(F.filter(F.array(*map(F.lit, banned)), lambda p: F.lower("text").contains(F.lower(p)))).alias("p")).agg(F.count_distinct("p").alias("n")).select(F.lit("banned phrases").alias("reason"), "n")
+    missing = artifacts.where("NOT present").agg(F.count("*").alias("n")).select(F.lit("missing artifacts").alias("reason"), "n")
+    return blocked.unionByName(open_).unionByName(phrases).unionByName(missing).where("n > 0")
+
+
+def state_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, change) of two states (key, value): added, removed or changed."""
+    a, b = old.select("key", F.struct("value").alias("old")), new.select("key", F.struct("value").alias("new"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old.value").eqNullSafe(F.col("new.value")), "changed")
+    return a.join(b, "key", "full_outer").select("key", change.alias("change")).where("change IS NOT NULL")
+
+
+def source_tables(ledger: DataFrame) -> DataFrame:
+    """(table_id, headers, n, evidence_ids, cells) of the tables that ledger rows (evidence_id, block_id, content) were carved from, rows in source order.
+
+    A row's block id is its table's with `_r<number>`; a table is gathered as a whole, as it is printed.
+    """
+    rows = ledger.where(F.col("block_id").rlike(r"_r[0-9]+$"))
+    rows = rows.select(F.regexp_replace("block_id", r"_r[0-9]+$", "").alias("table_id"), F.regexp_extract("block_id", r"_r([0-9]+)$", 1).cast("int").alias("at"), "evidence_id", F.from_json("content", "map<string,string>").alias("m"))
+    rows = rows.where("m IS NOT NULL").select("table_id", F.struct("at", "evidence_id", F.map_keys("m").alias("h"), F.map_values("m").alias("v")).alias("r"))
+    ordered = rows.groupBy("table_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return ordered.select("table_id", F.get("r", F.lit(0))["h"].alias("headers"), F.size("r").alias("n"), F.transform("r", lambda x: x["evidence_id"]).alias("evidence_ids"), F.transform("r", lambda x: x["v"]).alias("cells"))
+
+
+def figure_plan_issues(plan: DataFrame, evidence: DataFrame, share: float = 0.01) -> DataFrame:
+    """(figure_id, issue) of figures (figure_id, figure_type, labels, values, evidence_ids): a type that cannot be drawn, labels and values
+    that differ in number, unknown evidence, and values that no cited evidence (evidence_id, content) states within a share."""
+    kind = plan.where(~F.lower("figure_type").isin(*FIGURE_TYPES)).select("figure_id", F.lit("unsupported type").alias("issue"))
+    sizes = plan.where(F.size("labels") != F.size("values")).select("figure_id", F.lit("labels and values differ").alias("issue"))
+    cited = plan.select("figure_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence, "evidence_id", "left")
+    unknown = cited.where("content IS NULL").select("figure_id", F.lit("unknown evidence").alias("issue")).distinct()
+    stated = cited.select("figure_id", F.explode(measures_in(F.col("content"))).alias("m")).select("figure_id", F.col("m.value").alias("stated"))
+    shown = plan.select("figure_id", F.posexplode("values").alias("i", "value"))
+    near = F.abs(F.col("value") - F.col("stated")) <= share * F.greatest(F.abs("value"), F.abs("stated")) + 1e-9
+    hit = shown.join(stated, "figure_id", "left").groupBy("figure_id", "i").agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("hit"))
+    lost = hit.where("NOT hit").select("figure_id", F.lit("value not in evidence").alias("issue")).distinct()
+    return kind.unionByName(sizes).unionByName(unknown).unionByName(lost)
+
+
+def ranked_recommendations(candidates: DataFrame) -> DataFrame:
+    """(table_id, chart, score): the best view of each table (table_id, chart, score, transformed, rows, n_warnings).
+
+    Transformed views gain 0.03, small ones 0.02 more, each warning costs 0.01; derived tables' views are ranked like others.
+    """
+    bonus = F.when(F.col("transformed"), 0.03 + F.when(F.col("rows") <= 12, 0.02).otherwise(0.0)).otherwise(0.0)
+    scored = candidates.withColumn("total", F.round(F.col("score") + bonus - 0.01 * F.col("n_warnings"), 6))
+    return scored.groupBy("table_id").agg(F.max_by(F.struct("chart", F.col("total").alias("score")), F.struct("total", "chart")).alias("b")).select("table_id", "b.*")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import agrees_as_stated, canonical_unit, measures_in
 from ..functions.text import quotations, register_violations, sentences, squash, stems
@@ -90,3 +95,106 @@ def register_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = lines_of(docs, key).withColumn("fences", F.sum(F.when(F.col("line").rlike(r"^\s*```"), 1).otherwise(0)).over(w))
     rows = rows.where("fences % 2 = 0").where(~F.col("line").rlike(r"^\s*(```|>)"))
     return rows.select(key, F.explode(register_violations(F.col("line"))).alias("family")).groupBy(key, "family").agg(F.count("*").alias("n_lines"))
+
+
+#: Brackets with a year, what makes such brackets a citation, pointers into a document, identifiers.
+PAREN_YEAR, CITED_NAME = r"[(（][^()（）]*?(?:19|20)[0-9]{2}[a-z]?[^()（）]*[)）]", r"[A-Z][a-z]|et al|等"
+BRACKETS = r"\[\s*[0-9]+(?:\s*[,–—-]\s*[0-9]+)*\s*\]"
+POINTER = r"\b(?:Tables?|Tab\.|Figures?|Figs?\.|Sections?|Sec\.|Eqs?\.|Equations?|Appendix|Chapters?|Algorithms?|Steps?|pp?\.|pages?|lines?|footnotes?)\s*\(?[0-9]+(?:[.\-–][0-9]+)*\)?"
+IDENTIFIER, CHEMICAL = r"(?<![\w@-])[A-Za-z][A-Za-z_@-]*[0-9][\w@-]*", r"(?i)^(?:CO2|CH4|N2O|H2O|O2|NO2|SO2|PM2|PM10)"
+#: Share of a figure within which another is its likely typo; letters of a run worth telling.
+TYPO_SHARE, MIN_RUN = 0.5, 12
+
+
+def _each_match(c: Column, pattern: str, made: Callable[[Column], Column]) -> Column:
+    """A text with each match replaced by what `made` gives for it."""
+    found, rest = F.regexp_extract_all(c, F.lit(pattern), 0), F.split(c, pattern, -1)
+    pieces = F.transform(F.arrays_zip(rest.alias("text"), F.transform(found, made).alias("hit")), lambda x: F.concat(x["text"], F.coalesce(x["hit"], F.lit(""))))
+    return F.array_join(pieces, "")
+
+
+def without_citations(c: Column) -> Column:
+    """A sentence without (Name, 2020) and [1, 2]; brackets with a year but no name stay."""
+    return F.regexp_replace(_each_match(c, PAREN_YEAR, lambda m: F.when(m.rlike(CITED_NAME), " ").otherwise(m)), BRACKETS, " ")
+
+
+def without_pointers(c: Column) -> Column:
+    """A sentence with pointers (Table 3) and identifiers (GPT4) blanked out to their length, chemical formulas kept."""
+    blank = lambda m: F.repeat(F.lit(" "), F.length(m))
+    return _each_match(_each_match(c, POINTER, blank), IDENTIFIER, lambda m: F.when(m.rlike(CHEMICAL), m).otherwise(blank(m)))
+
+
+def checkable_sentences(draft: DataFrame) -> DataFrame:
+    """(draft_id, position, sentence, figures, quotes) of the sentences that state a figure or quote; citations, quotations and pointers hold no figures."""
+    s = draft_sentences(draft).withColumn("quotes", quotations(F.col("sentence")))
+    body = without_pointers(without_citations(F.regexp_replace("sentence", "\"[^\"\\n]{2,400}\"|“[^”\\n]{2,400}”|「[^」\\n]{2,400}」", " ")))
+    s = s.withColumn("figures", F.array_distinct(F.transform(measures_in(body), lambda m: m["text"])))
+    return s.where((F.size("figures") > 0) | (F.size("quotes") > 0)).select("draft_id", "position", "sentence", "figures", "quotes")
+
+
+def nearest_figure(draft: DataFrame, pages: DataFrame) -> DataFrame:
+    """(draft_id, position, figure, nearest): the closest other figure in a passage that shares the sentence's words, within half of it.
+
+    Figures meet those of pages by a shared stem and a bucket of their size, not all with all.
+    """
+    s = draft_sentences(draft).select("draft_id", "position", F.explode(measures_in(F.col("sentence"))).alias("m"), stems(F.col("sentence")).alias("terms"))
+    s = s.select("draft_id", "position", F.col("m.text").alias("figure"), F.col("m.value").alias("value"), "terms").where("value > 0")
+    p = page_figures(pages).where("value > 0").withColumn("near", stems(F.col("context")))
+    size = lambda c: F.floor(F.log2(c))
+    asked = s.withColumn("term", F.explode("terms")).withColumn("size", F.explode(F.array(size(F.col("value")) - 1, size(F.col("value")), size(F.col("value")) + 1)))
+    held = p.select(F.col("value").alias("found"), "near", F.explode("near").alias("term"), size(F.col("value")).alias("size"))
+    met = asked.join(held, ["term", "size"])
+    far = F.abs(F.col("found") - F.col("value"))
+    ok = (far > 0) & (far <= TYPO_SHARE * F.col("value")) & (F.size(F.array_intersect("terms", "near")) >= F.least(F.lit(MIN_TERMS), F.size("terms")))
+    return met.where(ok).groupBy("draft_id", "position", "figure").agg(F.min_by("found", F.struct(far, "found")).alias("nearest"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("start", T.IntegerType())]))
+def longest_run(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """The longest run of a quotation's letters that a text holds, and where it starts."""
+    found = [SequenceMatcher(None, q, t, autojunk=False).find_longest_match(0, len(q), 0, len(t)) for q, t in zip(quote.fillna(""), text.fillna(""))]
+    return pd.DataFrame({"size": [m.size for m in found], "start": [m.b for m in found]})
+
+
+def closest_passage(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(quote, page_id, size): the page with the longest run of a quotation that no page holds; runs under 12 letters or a third of it do not count.
+
+    Quotations meet the pages that share one of their stems.
+    """
+    asked = quotes.select("quote", F.explode(stems(F.col("quote"))).alias("term"))
+    met = asked.join(pages.select("page_id", F.explode(stems(F.col("text"))).alias("term")), "term").select("quote", "page_id").distinct().join(pages, "page_id")
+    run = met.select("quote", "page_id", longest_run(squash(F.col("quote")), squash(F.col("text"))).alias("r"))
+    letters = F.length(squash(F.col("quote")))
+    good = run.where(F.col("r.size") >= F.greatest(F.lit(MIN_RUN), F.floor(letters / 3)))
+    best = F.max_by(F.struct("page_id", F.col("r.size").alias("size")), F.struct(F.col("r.size"), -F.col("page_id")))
+    return good.groupBy("quote").agg(best.alias("b")).select("quote", "b.page_id", "b.size")
+
+
+def sentence_around(text: Column, found: Column) -> Column:
+    """The sentence of a text that holds the found passage, on one line; null if none does."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"(\w)[-‐]\n(\w)", "$1$2"), r"\s+", " ")
+    return F.get(F.filter(sentences(flat), lambda s: F.lower(s).contains(F.lower(found))), F.lit(0))
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in (("added", T.IntegerType()), ("removed", T.IntegerType()), ("ratio", T.DoubleType()))]))
+def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """Lines added and removed between two versions of a section, and how alike they are."""
+    rows = []
+    for a, b in zip(old.fillna(""), new.fillna("")):
+        m = SequenceMatcher(None, a.splitlines(), b.splitlines())
+        ops = [o for o in m.get_opcodes() if o[0] != "equal"]
+        rows.append((sum(j2 - j1 for _, _, _, j1, j2 in ops), sum(i2 - i1 for _, i1, i2, _, _ in ops), round(m.ratio(), 4)))
+    return pd.DataFrame(rows, columns=["added", "removed", "ratio"])
+
+
+def layout_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, headings, telling, tables, introduced): headings with a finding (a colon or a figure), tables with a line of 12 characters or more before them."""
+    w = Window.partitionBy(key).orderBy("n")
+    rows = lines_of(docs, key).where(F.trim("line") != "")
+    rows = rows.withColumn("before", F.trim(F.lag("line").over(w))).withColumn("after", F.lead("line").over(w))
+    head = F.col("line").rlike(r"^#{1,6}\s")
+    body = F.regexp_replace("line", r"^#+\s*(?:[0-9.]+[.、]?\s+|[一二三四五六七八九十]+、)?", "")
+    row, rule = r"^\s*\|.*\|\s*$", r"^\s*\|[\s:|-]+\|\s*$"
+    starts = F.col("line").rlike(row) & ~F.col("line").rlike(rule) & F.coalesce(F.col("after").rlike(rule), F.lit(False))
+    led = starts & (F.length("before") >= 12) & ~F.col("before").rlike(r"^#|^\|")
+    return rows.groupBy(key).agg(F.count_if(head).alias("headings"), F.count_if(head & body.rlike(r"[:：]\s*\S|[0-9]")).alias("telling"), F.count_if(starts).alias("tables"), F.count_if(led).alias("introduced"))

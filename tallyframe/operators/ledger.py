@@ -107,6 +107,11 @@ def page(ledger: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
     return ranked.where(F.col("__i") <= limit).drop("__i")
 
 
+def listed(ledger: DataFrame) -> DataFrame:
+    """Ledger rows as they are listed, without what only a single row's page shows."""
+    return ledger.drop("cross_references", "siblings")
+
+
 def by_ids(ledger: DataFrame, ids: list, key: str = "evidence_id") -> tuple[DataFrame, DataFrame]:
     """(rows with these ids, the ids that no row has)."""
     wanted = ledger.sparkSession.createDataFrame([(i,) for i in ids], ledger.select(key).schema)
