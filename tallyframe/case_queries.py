@@ -764,3 +764,12 @@ def bibtex_records(spark, d):
 def ledger_listing(spark, d):
     docs = Tables(spark, d).documents
     return ledger.listed(ledger.cross_references(docs, "source", "doc_id", "doc_id").join(docs.select("doc_id", "source"), "doc_id")).select("doc_id", "source")
+
+
+@query(rows_sql("id long, type string", [(1, "quantitative"), (2, "qualitative"), (3, "qualitative"), (4, "quantitative"), (5, "methodological"), (6, "contextual"), (7, "qualitative"), (8, "quantitative"), (9, "quantitative"), (10, "methodological")]))
+def evidence_types(spark, d):
+    rows = [
+        (1, "csv_row", '{"Efficiency (%)": "88.4"}'), (2, "csv_row", '{"Efficiency (%)": "-", "b": "n/a"}'), (3, "csv_row", '{"trial": "3", "name": "x"}'), (4, "table", "| 1 | 2 |"), (5, "paragraph", "the procedure"),
+        (6, "paragraph", "an overview"), (7, "paragraph", None), (8, "paragraph", "an increase"), (9, "csv_row", "1,5 and 2,5"), (10, "csv_row", '{"Method": "by hand", "rate": "tbd"}'),
+    ]
+    return table(spark, "id long, kind string, text string", rows).select("id", txt.evidence_type(_t(), F.col("kind")).alias("type"))

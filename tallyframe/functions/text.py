@@ -197,11 +197,30 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+#: Blocks that are rows of a table, cells that state nothing, headers of cells that measure nothing.
+ROW_BLOCKS, BLANK_CELLS = ("csv_row", "table_row", "data_row"), ("", "-", "--", "n/a", "na", "tbd", "none", "null", "待填", "無", "未測")
+COUNTER_HEADER = r"(?i)(^|[_\s-])(id|ids|no|nr|index|idx|key|row|trial|run)($|[_\s-])"
+FIGURE = r"[0-9]+(?:[.,][0-9]+)?"
+
+
 def evidence_type(content: Column, block_type: Column) -> Column:
-    """quantitative, methodological, contextual or qualitative: rows with two figures first, then keywords."""
+    """quantitative, methodological, contextual or qualitative: what a row measures first, then keywords.
+
+    A row that is a JSON record is weighed by its cells: without any that state something it is
+    qualitative, with a number under a header that is no counter it is quantitative, and words of measures
+    count in its cells alone. Other rows and tables need two figures.
+    """
     low = F.lower(F.coalesce(content, F.lit("")))
-    row = block_type.isin("csv_row", "table_row", "data_row", "table") & (count_matches(low, r"[0-9]+(?:[.,][0-9]+)?") >= 2)
-    return F.when(row | _any(low, QUANTITATIVE), "quantitative").when(_any(low, METHODOLOGICAL), "methodological").when(_any(low, CONTEXTUAL), "contextual").otherwise("qualitative")
+    cells = F.when(block_type.isin(*ROW_BLOCKS), F.map_entries(F.from_json(low, "map<string,string>")))
+    stated = F.filter(cells, lambda e: ~F.trim(F.coalesce(e["value"], F.lit(""))).isin(*BLANK_CELLS))
+    measured = F.exists(stated, lambda e: F.trim(e["value"]).rlike(r"^[~<>≤≥$€£¥+-]*\s*[0-9][0-9,]*(?:\.[0-9]+)?\s*%?$") & ~e["key"].rlike(COUNTER_HEADER))
+    is_record = cells.isNotNull()
+    scope = F.when(is_record, F.array_join(F.transform(stated, lambda e: e["value"]), " ")).otherwise(low)
+    figures = count_matches(scope, FIGURE)
+    dense = ~is_record & block_type.isin(*ROW_BLOCKS, "table") & (figures >= 2)
+    recordlike = (figures >= 3) & (count_matches(low, ":") >= 3) & (count_matches(low, '"') >= 4)
+    words = F.when(_any(low, METHODOLOGICAL), "methodological").when(_any(low, CONTEXTUAL), "contextual").otherwise("qualitative")
+    return F.when(is_record & (F.size(stated) == 0), "qualitative").when((is_record & measured) | dense | recordlike | _any(scope, QUANTITATIVE), "quantitative").otherwise(words)
 
 
 def topic_tags(content: Column) -> Column:

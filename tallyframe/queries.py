@@ -554,6 +554,9 @@ _LOW = "lower(coalesce(text, ''))"
 _ROW = f"doc_id % 2 <> 0 AND len(regexp_extract_all({_LOW}, '[0-9]+(?:[.,][0-9]+)?')) >= 2"
 
 
+_RECORD = f"(len(regexp_extract_all({_LOW}, '[0-9]+(?:[.,][0-9]+)?')) >= 3 AND len(regexp_extract_all({_LOW}, ':')) >= 3 AND len(regexp_extract_all({_LOW}, '\"')) >= 4)"
+
+
 def _contains_sql(words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({_LOW}, '{w}')" for w in words) + ")"
 
@@ -563,14 +566,14 @@ _SCORE = f"""0.5 + CASE WHEN doc_id % 2 = 0 THEN 0.05 ELSE 0.1 END + CASE WHEN l
  + CASE WHEN regexp_matches({_LOW}, 'according to|reported by|source:|et al\\.') THEN 0.15 ELSE 0.0 END + CASE WHEN regexp_matches({_LOW}, 'reproduc|replicat') THEN 0.05 ELSE 0.0 END"""
 
 
-@query(f"""SELECT doc_id AS line_start, CASE WHEN {_ROW} OR {_contains_sql(txt.QUANTITATIVE)} THEN 'quantitative' WHEN {_contains_sql(txt.METHODOLOGICAL)} THEN 'methodological' WHEN {_contains_sql(txt.CONTEXTUAL)} THEN 'contextual' ELSE 'qualitative' END AS evidence_type,
+@query(f"""SELECT doc_id AS line_start, CASE WHEN {_ROW} OR {_RECORD} OR {_contains_sql(txt.QUANTITATIVE)} THEN 'quantitative' WHEN {_contains_sql(txt.METHODOLOGICAL)} THEN 'methodological' WHEN {_contains_sql(txt.CONTEXTUAL)} THEN 'contextual' ELSE 'qualitative' END AS evidence_type,
  round(greatest(0, least(1, CAST({_SCORE} AS DOUBLE))), 4) AS provenance_score, CASE WHEN round(CAST({_SCORE} AS DOUBLE), 4) >= 0.7 THEN 'high' WHEN round(CAST({_SCORE} AS DOUBLE), 4) >= 0.4 THEN 'medium' ELSE 'low' END AS evidence_grade FROM documents""")
 def ledger_build(spark, d):
     return ledger.build_ledger(_blocks(spark, d)).select("line_start", "evidence_type", "provenance_score", "evidence_grade")
 
 
 _GRADE = f"CASE WHEN round(CAST({_SCORE} AS DOUBLE), 4) >= 0.7 THEN 'high' WHEN round(CAST({_SCORE} AS DOUBLE), 4) >= 0.4 THEN 'medium' ELSE 'low' END"
-_TYPE = f"CASE WHEN {_ROW} OR {_contains_sql(txt.QUANTITATIVE)} THEN 'quantitative' WHEN {_contains_sql(txt.METHODOLOGICAL)} THEN 'methodological' WHEN {_contains_sql(txt.CONTEXTUAL)} THEN 'contextual' ELSE 'qualitative' END"
+_TYPE = f"CASE WHEN {_ROW} OR {_RECORD} OR {_contains_sql(txt.QUANTITATIVE)} THEN 'quantitative' WHEN {_contains_sql(txt.METHODOLOGICAL)} THEN 'methodological' WHEN {_contains_sql(txt.CONTEXTUAL)} THEN 'contextual' ELSE 'qualitative' END"
 _TAGS = " UNION ALL ".join(f"SELECT 'tag', '{t}' FROM documents WHERE {_contains_sql(w)}" for t, w in txt.TOPICS.items())
 
 
