@@ -10,7 +10,9 @@ of both places are compared (an edit distance of zero) and the passage is extend
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ WINDOW, SPREAD = 30, 20
 LAST = 2**63 - 1
 
 
-_WORD, _BYTE_WORD = re.compile(r"[^\x20\x09-\x0d]+"), re.compile(rb"[^\x20\x09-\x0d]+")
+_WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -185,17 +187,20 @@ def excerpts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text, asked in zip(b.column(0), b.column(1), b.column(2)):
-                text = text.as_py() or ""
-                words = words_of(text)
-                ends = np.cumsum([len(line.split()) for line in text.encode("utf-8", "surrogatepass").split(b"\n")])
-                for at, n in {(x["at"], x["n"]) for x in asked.as_py()}:
-                    if at + n <= len(words):
-                        lo, hi = max(0, at - SPREAD), min(len(words), at + n + SPREAD)
-                        lines = np.searchsorted(ends, np.arange(lo, hi), "right")
-                        breaks = [b"\n" * k or b" " for k in np.diff(lines).tolist()]
-                        body = b"".join(x for pair in zip(words[lo:hi], [*breaks, b""]) for x in pair)
-                        rows.append((doc.as_py(), at, n, int(lines[0]), body, at - lo))
+            for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                lines = [line.split() for line in (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+                ends = list(accumulate(map(len, lines)))
+                # words at even places, what joins them at odd ones
+                pieces: list[bytes] = []
+                for words in lines:
+                    if pieces:
+                        pieces[-1] = pieces[-1].replace(b" ", b"") + b"\n"
+                    pieces += [x for w in words for x in (w, b" ")]
+                n_words = ends[-1]
+                for at, n in {(x["at"], x["n"]) for x in asked}:
+                    if at + n <= n_words:
+                        lo, hi = max(0, at - SPREAD), min(n_words, at + n + SPREAD)
+                        rows.append((doc, at, n, bisect_right(ends, lo), b"".join(pieces[2 * lo : 2 * hi - 1]), at - lo))
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "at", "n", "line", "words", "before"])
@@ -219,22 +224,26 @@ def shared_run(mine: list[bytes], before: int, theirs: list[bytes], before_their
 
 def line_at(line: int, body: bytes, word: int) -> int:
     """The line of the word with this index in an excerpt that starts in `line`."""
-    at = next(m.start() for i, m in enumerate(_BYTE_WORD.finditer(body)) if i == word)
-    return line + body.count(b"\n", 0, at)
+    for part in body.split(b"\n"):
+        word -= len(part.split())
+        if word < 0:
+            break
+        line += 1
+    return line
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["doc", "at", "line", "head", "head_at", "head_line", "n"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    for b in batches:
-        rows = []
-        for i in range(b.num_rows):
-            r = b.slice(i, 1).to_pylist()[0]
-            got = shared_run(r["words"].split(), r["before"], r["words_"].split(), r["before_"], r["n"])
-            if got:
-                left, n = got
-                mine, theirs = (line_at(r["line" + x], r["words" + x], r["before" + x] - left) for x in ("", "_"))
-                rows.append((r["doc"], r["at"] - left, mine, r["head"], r["head_at"] - left, theirs, n))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
+    asked = ["doc", "at", "n", "head", "head_at", "line", "words", "before", "line_", "words_", "before_"]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):  # excerpts may be long
+            b, rows = batch.slice(lo, 1000), []
+            for doc, at, n, head, head_at, line, words, before, line_, words_, before_ in zip(*(b.column(c).to_pylist() for c in asked)):
+                got = shared_run(words.split(), before, words_.split(), before_, n)
+                if got:
+                    left, size = got
+                    rows.append((doc, at - left, line_at(line, words, before - left), head, head_at - left, line_at(line_, words_, before_ - left), size))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
 
 
 def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:

@@ -103,3 +103,17 @@ def test_a_passage_in_the_head_of_a_cluster_is_reported(make_docs):
     lines = [" ".join(h[:70] + passage + h[70:]) for h in host]
     got = paragraphs.repeats(make_docs([(1, lines[0], "s"), (2, lines[1], "s"), (3, lines[1], "s")])).collect()
     assert {(r.doc_id, r.kind, r.cluster_doc, r.removed) for r in got} == {(1, "passage", 1, False), (2, "paragraph", 2, False), (3, "paragraph", 2, True), (2, "passage", 1, True)}
+
+
+def test_passages_are_found_whole_and_within_one_document(make_docs):
+    """Ends are extended to where the texts differ; a passage that a document repeats is removed at its second place."""
+    host, passage = [t.split() for t in texts(4, 90, seed=15)], texts(1, 60, seed=16)[0].split()
+    rows = [(1, " ".join(host[0][:31] + passage + host[0][31:]), "s"), (2, " ".join(host[1][:47] + passage[:30]) + "\n" + " ".join(passage[30:] + host[1][47:]), "s")]
+    rows.append((3, " ".join(host[2] + passage[5:58] + host[3] + passage[5:58]), "s"))
+    got = {(r.doc_id, r.start, r.n_words, r.cluster_doc, r.removed) for r in paragraphs.repeats(make_docs(rows)).collect()}
+    assert {x for x in got if x[4]} == {(2, 47, 60, 1, True), (3, 90, 53, 1, True), (3, 233, 53, 1, True)}
+    assert (1, 31, 60, 1, False) in got
+    clean = {r.doc_id: r.text.split() for r in paragraphs.remove_repeats(make_docs(rows)).collect()}
+    assert clean[2] == host[1] and clean[3] == host[2] + host[3]
+    alone = paragraphs.repeats(make_docs([(9, " ".join(host[0] + passage + host[1] + passage), "s")])).collect()
+    assert {(r.doc_id, r.start, r.n_words, r.removed) for r in alone} == {(9, 90, 60, False), (9, 240, 60, True)}
