@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_on, maybe_broadcast, settle, table
+from .common import join_on, salted_join, settle, table
 from .shingles import SEED
 
 MIN_WORDS = 50
@@ -102,15 +102,24 @@ def figures(docs: DataFrame) -> DataFrame:
 
 
 def host_boilerplate(rows: DataFrame, limit: int = MAX_TEXTS_PER_HOST) -> DataFrame:
-    """(source, hash, first): lines that over `limit` different texts of a host hold, and the first of these texts.
+    """(source, hash, first, n): lines that over `limit` documents of a host hold, the first of them by its text, and their number.
 
-    Copies of one text count once. Counting goes in two steps with map-side combination, first to
+    Documents are told apart by their texts: copies of one text are one document, else whole copies would
+    make each other boilerplate. The first has the smallest doc_id, null last. Counting goes in two steps with map-side combination, first to
     distinct (host, line, text), then to (host, line), so a hot line is summed where it is read.
     """
     lines = rows.select("doc_id", "source", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x.hash))).alias("hash"))
     once = lines.groupBy("source", "hash", "content").agg(F.min("doc_id").alias("doc_id"))
-    many = once.groupBy("source", "hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "content")).alias("first"))
-    return many.where(F.col("n") > limit).select("source", "hash", F.col("first.content").alias("first"))
+    many = once.groupBy("source", "hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")).alias("first"))
+    return many.where(F.col("n") > limit).select("source", "hash", F.col("first.content").alias("first"), "n")
+
+
+def boilerplate_in(flat: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines of flat (KEY, hash, words) that are in found, with first; many found lines are joined by shuffle, hot ones dealt out."""
+    if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        return join_on(flat, F.broadcast(found.drop("n")), ["source", "hash"], "inner")
+    spot = F.xxhash64(F.col("source").isNull(), "source", "hash").alias("spot")
+    return salted_join(flat.select("*", spot), found.select(spot, "first"), "spot", ["doc_id", "content"], counts=found.select(spot, "n")).drop("spot")
 
 
 def judged(docs: DataFrame, limit: int = MAX_TEXTS_PER_HOST, min_left: float = MIN_LEFT) -> DataFrame:
@@ -124,7 +133,7 @@ def judged(docs: DataFrame, limit: int = MAX_TEXTS_PER_HOST, min_left: float = M
     found = settle(host_boilerplate(rows, limit))
     flat = rows.dropDuplicates(KEY).select(*KEY, F.explode("lines").alias("line"))
     flat = flat.select(*KEY, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    hits = join_on(flat, maybe_broadcast(found, BROADCAST_LINES), ["source", "hash"], "inner").where(F.col("content") != F.col("first"))
+    hits = boilerplate_in(flat, found).where(F.col("content") != F.col("first"))
     lost = hits.groupBy(*KEY).agg(F.sum("words").alias("lost"), F.collect_set("hash").alias("removed"))
     out = join_on(rows.drop("lines"), lost, KEY)
     out = out.withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0))).drop("lost")

@@ -92,3 +92,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert quality.judged(no_docs).count() == linededup.report(no_docs).count() == mixing.mix(no_docs).count() == 0
     for none in (quality.filter_documents(no_docs), linededup.remove_spread_lines(no_docs), decontaminate.clean_documents(no_docs, items)):
         assert none.count() == 0
+
+
+def test_many_boilerplate_lines_are_joined_by_shuffle(make_docs, monkeypatch):
+    """The same verdicts whether found lines are broadcast or dealt out."""
+    rows = [(i, f"shared line one\nshared line two\n{body(i)}", "a" if i % 3 else None) for i in range(90)]
+    want = sorted(map(tuple, quality.judged(make_docs(rows)).select("doc_id", "n_left", "kept").collect()))
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    monkeypatch.setattr("tallyframe.llm.common.HOT_ROWS", 8)
+    assert sorted(map(tuple, quality.judged(make_docs(rows)).select("doc_id", "n_left", "kept").collect())) == want
+    assert sum(n < 66 for _, n, _ in want) == 88
+
+
+def test_rows_without_an_id_bear_no_line_first_and_go_when_emptied(make_docs):
+    rows = [(i, f"{body(i)}\nspread over many sites", f"site{i}") for i in range(12)] + [(None, "spread over many sites", "x"), (None, "own words", "y")]
+    out = linededup.remove_spread_lines(make_docs(rows)).collect()
+    assert sorted(r.text for r in out if r.doc_id is None) == ["own words"] and "spread" in next(r.text for r in out if r.doc_id == 0)
+    host = [(i, f"on every page\n{body(i)}", "h") for i in range(1, 25)] + [(None, f"on every page\n{body(50)}", "h")]
+    kept = quality.filter_documents(make_docs(host)).collect()
+    assert [r.doc_id for r in kept if "on every page" in r.text] == [1]
