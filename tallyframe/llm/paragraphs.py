@@ -180,14 +180,21 @@ def excerpts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Words are joined by spaces or by the line breaks between them. line is that of the first word, before
     the number of words that precede `at`. Rows that share a doc_id may give several rows for one request;
-    copies give one.
+    of copies that follow each other one is read.
     """
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
+    asked = settle(wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("asked")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
         for b in batches:
             rows = []
             for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                if doc != last:
+                    last, seen = doc, set()
+                mark = xxhash.xxh64_intdigest((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                if mark in seen:
+                    continue
+                seen.add(mark)
                 lines = [line.split() for line in (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
                 ends = list(accumulate(map(len, lines)))
                 # words at even places, what joins them at odd ones
@@ -207,7 +214,7 @@ def excerpts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = in_bitmap(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text"), asked, "doc")
     both = texts.join(asked, "doc").select("doc", "text", "asked")
-    return both.mapInArrow(run, "doc long, at int, n int, line int, words binary, before int").distinct()
+    return both.mapInArrow(run, "doc long, at int, n int, line int, words binary, before int")
 
 
 def shared_run(mine: list[bytes], before: int, theirs: list[bytes], before_theirs: int, n: int) -> tuple[int, int] | None:
@@ -270,7 +277,7 @@ def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
     runs = runs.groupBy("doc", "head", "shift", "run").agg(F.min("start").alias("at"), F.min("head_at").alias("head_at"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n"))
     runs = settle(runs.select("doc", "at", "n", "head", "head_at"))
     asked = runs.select("doc", "at", "n").union(runs.select("head", "head_at", "n")).distinct()
-    found = settle(excerpts(docs, asked).withColumn("spot", F.xxhash64("doc", "at", "n")))
+    found = excerpts(docs, asked).withColumn("spot", F.xxhash64("doc", "at", "n"))  # cheaper to cut out twice than to write
     own = found.select("spot", "line", "words", "before")
     theirs = found.select(*[F.col(c).alias(f"{c}_") for c in own.columns])
     runs = runs.withColumn("spot", F.xxhash64("doc", "at", "n")).withColumn("spot_", F.xxhash64("head", "head_at", "n"))
