@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, mixing, paragraphs, pii, quality, simhash, suffixes, warc
+from . import centroids, chat, decontaminate, linededup, mixing, paragraphs, pii, quality, simhash, spelling, suffixes, tokencounts, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_token_counts": tokencounts.op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat.OP5_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op12_centroids": centroids.OP12_SQL,
 }
