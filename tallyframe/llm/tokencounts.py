@@ -82,13 +82,25 @@ def _whole(path: str):
     return run
 
 
-def boundaries(t, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Where words end in text (0 included), the tokens before each such place, and all tokens."""
+def boundaries(t, text: str, head: int | None = None, tail: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where words end in text (0 included), the tokens before each such place, and all tokens; places between head and tail are left out."""
     e = t.encode(text, add_special_tokens=False)
-    word = np.array(e.word_ids, np.int64)
-    last = np.flatnonzero(np.diff(word, append=-1)) if len(word) else np.empty(0, np.int64)
-    ends = np.array(e.offsets, np.int64).reshape(-1, 2)[last, 1]
-    return np.concatenate([[0], ends]), np.concatenate([[0], last + 1]), len(word)
+    n, found = len(e), {0: 0}
+
+    def ends_word(i: int) -> int:
+        """The place behind token i, noted if a word ends there."""
+        end = e.token_to_chars(i)[1]
+        if i + 1 == n or e.token_to_word(i + 1) != e.token_to_word(i):
+            found[end] = i + 1
+        return end
+
+    limit = len(text) if head is None else head
+    low = next((i for i in range(n) if ends_word(i) > limit), n)
+    for i in range(n - 1, low, -1):
+        if ends_word(i) < tail:
+            break
+    at = sorted(p for p in found if p <= limit or p >= tail)
+    return np.array(at, np.int64), np.array([found[p] for p in at], np.int64), n
 
 
 _WHERE = ["key", "lo", "hi", "left", "right", "size"]
@@ -133,7 +145,7 @@ def _chunk_counts(path: str):
             more = []
             for lo, hi, left, right, size, text in zip(*(c.to_pylist() for c in b.columns[1:7])):
                 start = max(0, lo - left)
-                at, before, total = boundaries(t, text)
+                at, before, total = boundaries(t, text, lo + left - start, hi - right - start)
                 at, end = at + start, start + len(text)
                 head = at <= lo + left
                 tail = (at >= hi - right) & ((at <= end - margin) | (end == size))
