@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kinds import INT, TEXT, many, row
 from .numbers import parse_number
 from .text import CJK, coverage
 
@@ -117,18 +121,13 @@ def row_numbers(content: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(cells, of)), F.array().cast("array<struct<column: string, value: double, kind: string>>"))
 
 
-def figures_with_places(c: Column) -> Column:
-    """(text, start) of the figures of a text, start in characters from 0."""
-    parts = F.split(c, NUMBER, -1)
-    hits = F.regexp_extract_all(c, F.lit(NUMBER), 0)
-    spans = F.arrays_zip(F.slice(parts, F.lit(1), F.size(hits)).alias("gap"), hits.alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text: string, start: int>>").alias("out"))
+_FIGURE = re.compile(NUMBER)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = (acc["at"] + F.length(x["gap"])).cast("int")
-        return F.struct((at + F.length(x["text"])).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(x["text"].alias("text"), at.alias("start")))).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+@F.pandas_udf(many(row(text=TEXT, start=INT)))
+def figures_with_places(text: pd.Series) -> pd.Series:
+    """(text, start) of the figures of a text, start in characters from 0."""
+    return text.fillna("").map(lambda t: [{"text": m[0], "start": m.start()} for m in _FIGURE.finditer(t)])
 
 
 def figure_named(claim: Column, column: Column) -> Column:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import html as html_entities
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kinds import TEXT, many
+
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 #: The least number and share of CJK characters of a Chinese text, and the sample's length.
 MIN_CJK, CJK_SHARE, SAMPLE = 20, 0.25, 20_000
@@ -28,9 +35,15 @@ def word_count(c: Column) -> Column:
     return (count_matches(c, CJK) + count_matches(c, r"\b[A-Za-z0-9]+\b")).cast("long")
 
 
+@F.pandas_udf(TEXT)
+def nfkc(text: pd.Series) -> pd.Series:
+    """A text in compatibility form: full-width, ligature and composed characters in one spelling."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 def squash(c: Column) -> Column:
-    """Lower-cased letters, digits and CJK characters alone, to compare texts across layout."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-z\x{3400}-\x{9fff}]+", "")
+    """Lower-cased letters, digits and CJK characters of the compatibility form alone, to compare texts across layout."""
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"[^0-9a-z\x{3400}-\x{9fff}]+", "")
 
 
 def holds_quote(content: Column, quote: Column) -> Column:
@@ -39,17 +52,44 @@ def holds_quote(content: Column, quote: Column) -> Column:
     return (q != "") & squash(content).contains(q)
 
 
+#: What a full stop may follow without ending a sentence.
+ABBREVIATIONS = r"(?<![\p{L}\p{N}_])(?:et al|e\.g|i\.e|cf|vs|Figs?|Eqs?|No|approx|resp|Sec|Tab|ca|al|pp?|[Vv]ol|ch|Dr|Mr|Ms|Prof|[A-Z])"
+#: Stands behind a mark that ends no sentence while a text is split; a private character that no text means.
+_GUARD = "\ue000"
+
+
 def sentences(c: Column) -> Column:
-    """Sentences of a text; full stops of common abbreviations and single initials do not end one."""
-    marks = r"(?<=[.!?。！？])(?<!\b(?:Mr|Ms|Dr|St|vs|No|Fig|cf|al|[A-Z])\.)(?:\s+|(?<=[。！？]))"
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), marks), lambda x: F.trim(x)), lambda s: s != "")
+    """Sentences of a text, paragraphs (parted by blank lines) on their own, line breaks inside them as spaces.
+
+    A sentence ends at a CJK mark, or at a mark with its closing quotes and brackets before a space; not at an
+    abbreviation or initial, and not inside a quotation, which goes on past its own full stops, unless the
+    quotation ends there. What holds no letter or digit is no sentence.
+    """
+
+    def guarded(x: Column) -> Column:
+        return F.regexp_replace(x, r"([。！？]|[.!?](?![”’)\]]*$))", f"$1{_GUARD}")
+
+    def of(p: Column) -> Column:
+        parts = F.split(F.regexp_replace(F.trim(p), r"\s*\n\s*", " "), '"', -1)
+        plain = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, guarded(x)).otherwise(x)), '"')
+        curled = F.transform(F.split(plain, "“", -1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(guarded(F.regexp_extract(x, "^[^”]*", 0)), F.regexp_extract(x, r"^[^”]*([\s\S]*)", 1))))
+        marked = F.regexp_replace(F.array_join(curled, "“"), rf"({ABBREVIATIONS}\.)(?=[\"”’)\]]*\s)", f"$1{_GUARD}")
+        return F.split(marked, rf"(?<=[.!?][\"”’)\]]{{0,6}})\s+|(?<=[。！？])(?!{_GUARD})")
+
+    paragraphs = F.split(F.translate(F.coalesce(c, F.lit("")), _GUARD, ""), r"\n[ \t]*(?:\n[ \t]*)+")
+    every = F.transform(F.flatten(F.transform(paragraphs, of)), lambda x: F.trim(F.translate(x, _GUARD, "")))
+    return F.filter(every, lambda x: x.rlike(r"[A-Za-z0-9\x{4e00}-\x{9fff}]"))
+
+
+#: Passages in quotation marks; corner brackets quote after a verb of saying alone.
+QUOTED = "\"[^\"]{4,200}\"|『[^』]{4,200}』|“[^”]{4,200}”|‘[^’]{4,200}’|(?:說|說道|寫道|表示|指出|稱|提到|引述|原文|回覆|評論|留言|批評|抱怨)\\s*[:：]?\\s*「[^」]{4,200}」"
 
 
 def quotations(c: Column) -> Column:
-    """Quoted passages of three words or four CJK characters and more, in ASCII, curly or corner marks."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\"([^\"\\n]{2,400})\"|“([^”\\n]{2,400})”|「([^」\\n]{2,400})」"), 0)
-    inner = F.transform(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    return F.filter(inner, lambda q: (F.size(F.split(F.trim(q), r"\s+")) >= 3) | (count_matches(q, CJK) >= 4))
+    """Quoted passages of three words or four CJK characters and more, in their order."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(QUOTED), 0)
+    inner = F.transform(found, lambda q: F.trim(F.regexp_extract(q, "[\"『“‘「]([^\"』”’」]*)[\"』”’」]$", 1)))
+    return F.filter(inner, lambda q: (F.regexp_count(q, F.lit("[A-Za-z0-9]+")) >= 3) | (count_matches(q, CJK) >= 4))
 
 
 def key_terms(c: Column) -> Column:
@@ -114,11 +154,35 @@ def html_links(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("(?i)<a[^>]+href=\"([^\"]*)\""), 1)
 
 
+#: Titles that a page states of itself, with either attribute first, and what joins a title to its site's name.
+_META = r"(?:property|name)\s*=\s*[\"'](?:og|twitter):title[\"']"
+META_TITLES = (rf"(?i)<meta\b[^>]*?{_META}[^>]*?content\s*=\s*[\"']([^\"']+)", rf"(?i)<meta\b[^>]*?content\s*=\s*[\"']([^\"']+)[\"'][^>]*?{_META}")
+TITLE, JOINER = r"(?is)<title[^>]*>(.*?)</title>", re.compile(r"\s*[|｜·•»–—]\s*|\s+-\s+|(?<=[㐀-鿿])-(?=[㐀-鿿])")
+
+
+@F.pandas_udf(many(TEXT))
+def _plain_titles(stated: pd.Series, title: pd.Series) -> pd.Series:
+    """Titles without entities and layout, each once; the page's <title> also without what follows its first joiner."""
+
+    def of(metas, whole) -> list[str]:
+        found = [*(metas if metas is not None else ()), *([whole, JOINER.split(whole)[0]] if whole else [])]
+        plain = (" ".join(html_entities.unescape(x).split()) for x in found)
+        return list(dict.fromkeys(x for x in plain if x))
+
+    return pd.Series([of(*x) for x in zip(stated, title)])
+
+
+def page_titles(html: Column) -> Column:
+    """The titles that a page states: og:title and twitter:title, then <title> and its part before the site's name."""
+    body = F.coalesce(html, F.lit(""))
+    return _plain_titles(F.concat(*[F.regexp_extract_all(body, F.lit(p), 1) for p in META_TITLES]), F.regexp_extract(body, TITLE, 1))
+
+
 def page_title(html: Column) -> Column:
-    """og:title, else title, without the part after the last ` | ` or ` - `; null if there is none."""
-    og = F.regexp_extract(html, r"(?i)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"", 1)
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.nullif(F.trim(F.regexp_replace(F.when(og != "", og).otherwise(title), r"\s+(\||-)\s+[^|-]*$", "")), F.lit(""))
+    """What a page is called: the title that it states for others, else its <title> without the site's name; null if there is none."""
+    found = page_titles(html)
+    meta = F.coalesce(html, F.lit("")).rlike("|".join(META_TITLES))
+    return F.when(meta, F.get(found, F.lit(0))).otherwise(F.get(found, F.size(found) - 1))
 
 
 def dois(c: Column) -> Column:
@@ -198,7 +262,8 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 #: Blocks that are rows of a table, cells that state nothing, headers of cells that measure nothing.
-ROW_BLOCKS, BLANK_CELLS = ("csv_row", "table_row", "data_row"), ("", "-", "--", "n/a", "na", "tbd", "none", "null", "待填", "無", "未測")
+ROW_BLOCKS = ("csv_row", "table_row", "data_row")
+BLANK_CELLS = ("", "-", "--", "---", "—", "–", "n/a", "n.a.", "na", "nil", "null", "none", "nan", "tbd", "待填", "無", "无", "未測", "未测")
 COUNTER_HEADER = r"(?i)(^|[_\s-])(id|ids|no|nr|index|idx|key|row|trial|run)($|[_\s-])"
 FIGURE = r"[0-9]+(?:[.,][0-9]+)?"
 

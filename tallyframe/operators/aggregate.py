@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import CURRENCY_UNITS, filled, is_integral, number, parse_number, text
 from ..plans.errors import RequestError
 from ..plans.filters import predicate, select_rows
+from .order import at_ranks, medians
 
 OPS = ("count", "sum", "mean", "median", "min", "max", "distinct", "share", "hhi", "top_share")
 MAX_GROUPS = 15
@@ -59,8 +60,10 @@ def _aggregate(df: DataFrame, m: Measure) -> Column:
         out = F.try_divide(F.lit(100.0) * F.count(of(F.lit(1))), F.count(F.lit(1) if base is None else F.when(base, 1)))
     elif m.op in ("hhi", "top_share"):
         raise RequestError(f"{m.op} needs counts by group; use scalar()")
+    elif m.op == "median":
+        raise RequestError("medians are found by order.percentiles")
     else:
-        f = {"sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[m.op]
+        f = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[m.op]
         out = f(of(number(df, m.column)))
     return out if m.decimals is None else F.round(out, m.decimals)
 
@@ -77,8 +80,13 @@ def scalar(df: DataFrame, m: Measure) -> DataFrame:
 
 
 def scalars(df: DataFrame, measures: list[Measure]) -> DataFrame:
-    """One row with a column for each measure, all from a single pass over the source."""
-    return df.agg(*[_aggregate(df, m).alias(m.name) for m in measures])
+    """One row with a column for each measure; all but medians from a single pass over the source."""
+    rest = [m for m in measures if m.op != "median"]
+    one = df.agg(F.count("*").alias("__n"), *[_aggregate(df, m).alias(m.name) for m in rest])
+    for m in measures:
+        if m.op == "median":
+            one = one.join(exact_median(df, m).withColumnRenamed("value", m.name))  # one row each
+    return one.select(*[f"`{m.name}`" for m in measures])
 
 
 def _concentration(df: DataFrame, m: Measure) -> DataFrame:
@@ -138,9 +146,9 @@ def band_of(x: Column, edges: list[float]) -> Column:
 
 
 def _grouped(scoped: DataFrame, group: Column, measures: list[Measure]) -> DataFrame:
-    """Rows by group, and for all covered rows together (grp null): one scan, one pass, two grouping sets."""
+    """Rows by group, and for all covered rows together (grp null): one scan, one pass, two grouping sets; medians by two passes more, for all groups at once."""
     base = scoped.withColumn("grp", group).withColumn("covered", group.isNotNull())
-    aggs = [_aggregate(scoped, m).alias(f"m{i}") for i, m in enumerate(measures)]
+    aggs = [_aggregate(scoped, m).alias(f"m{i}") for i, m in enumerate(measures) if m.op != "median"]
     out = base.groupingSets([[F.col("grp"), F.col("covered")], [F.col("covered")]], "grp", "covered").agg(F.grouping("grp").alias("is_total"), F.count("*").alias("n_rows"), *aggs)
     # an unfiltered share is of all scoped rows, those outside every group included
     scoped_rows = F.sum(F.when(F.col("is_total") == 1, F.col("n_rows"))).over(Window.partitionBy())
@@ -149,7 +157,24 @@ def _grouped(scoped: DataFrame, group: Column, measures: list[Measure]) -> DataF
         if m.op == "share" and not m.rows:
             value = F.try_divide(F.lit(100.0) * F.col("n_rows"), F.col("scoped_rows"))
             out = out.withColumn(f"m{i}", value if m.decimals is None else F.round(value, m.decimals))
-    return out.where("covered")
+    middle = _medians(base, {i: m for i, m in enumerate(measures) if m.op == "median"})
+    out = out.where("covered")
+    return out if middle is None else out.join(middle, [out.grp.eqNullSafe(middle.__grp), out.is_total == middle.__is_total], "left").drop("__grp", "__is_total")
+
+
+def _medians(base: DataFrame, wanted: dict[int, Measure]) -> DataFrame | None:
+    """(__grp, __is_total, m0, ...): the medians of groups, and of all covered rows, that measures ask for."""
+    if not wanted:
+        return None
+    cells = []
+    for i, m in wanted.items():
+        x, keep = number(base, m.column), predicate(base, m.rows)
+        cells.append(F.struct(F.lit(i).alias("i"), (x if keep is None else F.when(keep, x)).alias("x")))
+    both = F.array(F.struct(F.col("grp").alias("g"), F.lit(0).alias("t")), F.struct(F.lit(None).cast(base.schema["grp"].dataType).alias("g"), F.lit(1).alias("t")))
+    rows = base.where("covered").select(F.explode(both).alias("k"), F.array(*cells).alias("cells")).select("k.g", "k.t", F.explode("cells").alias("c")).select("g", "t", "c.i", "c.x")
+    found = medians(rows, ["g", "t", "i"])
+    value = lambda i, m: F.max(F.when(F.col("i") == i, F.col("median") if m.decimals is None else F.round("median", m.decimals)))
+    return found.groupBy(F.col("g").alias("__grp"), F.col("t").alias("__is_total")).agg(*[value(i, m).alias(f"m{i}") for i, m in wanted.items()])
 
 
 def _finish(table: DataFrame, measures: list[Measure], total_row: bool) -> DataFrame:
@@ -216,69 +241,37 @@ def compare_rows(table: DataFrame, measure: str, top_label: str, bottom_label: s
 
 
 def shape_summary(df: DataFrame) -> DataFrame:
-    """(column, filled, rows) for each of the first 40 columns, from one pass."""
-    columns = df.columns[:40]
+    """(column, filled, rows) for each column, from one pass."""
+    columns = df.columns
     one = df.agg(F.count("*").alias("rows"), *[F.count(filled(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(columns)])
     return one.select("rows", F.explode(pairs).alias("p")).select("p.column", "p.filled", "rows")
 
 
-#: Of so many parts of the rows one or two are sorted for an order statistic.
-RANK_PARTS = 10_000
-
-
-def order_statistics(values: DataFrame, ranks: dict[str, Column], n: Column) -> DataFrame:
-    """One row: for each name the value of column x (not null) at that rank, 0 being the least.
-
-    ranks are columns over n, the number of values. A sketch whose rank error is bounded brackets each
-    value; only values in a bracket, a few of RANK_PARTS of the rows, are counted by value and summed up
-    in order, and those below it are counted. So no task sorts the column.
-    """
-    spans = [F.greatest(F.lit(0.0), (r.cast("double") + k * (n / RANK_PARTS + 1)) / F.greatest(n, F.lit(1))) for r in ranks.values() for k in (-2, 2)]
-    size = values.agg(F.count("*").alias("n")).select("n", *[r.alias(f"r{i}") for i, r in enumerate(ranks.values())], *[F.least(F.lit(1.0), q).alias(f"q{i}") for i, q in enumerate(spans)])
-    one = size.first()  # one row of numbers
-    places = [float(one[f"q{i}"] or 0) for i in range(len(spans))]
-    cuts = values.agg(F.percentile_approx("x", places, RANK_PARTS).alias("c")).first().c or [0.0] * len(places)
-    out: DataFrame | None = None
-    for i, name in enumerate(ranks):
-        lo, hi, rank = cuts[2 * i], cuts[2 * i + 1], one[f"r{i}"] or 0
-        below = values.where(F.col("x") < lo).agg(F.count("*").alias("below"))
-        inside = values.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("*").alias("c"))
-        upto = inside.withColumn("upto", F.sum("c").over(Window.orderBy("x"))).join(F.broadcast(below))  # one row
-        one_value = upto.agg(F.min(F.when(F.col("upto") + F.col("below") > rank, F.col("x"))).alias(name))
-        out = one_value if out is None else out.join(one_value)  # one row each
-    return out
-
-
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: n, min, q1, median, mean, q3, max. Quartiles are the sorted values at n // 4 and 3n // 4 (the last if n < 4)."""
     values = df.select(number(df, column).alias("x")).where("x IS NOT NULL")
-    n = F.col("n")
     base = values.agg(F.count("*").alias("n"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"))
+    n = F.col("n")
     ranks = {"q1": F.floor(n / 4), "lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2), "q3": F.when(n < 4, n - 1).otherwise(F.floor(3 * n / 4))}
-    at = order_statistics(values, ranks, n)
-    return base.join(at).select("n", "min", "q1", ((F.col("lower") + F.col("upper")) / 2).alias("median"), "mean", "q3", "max")
+    at = at_ranks(values, [], {"q1": 0.25, "lower": 0.5, "upper": 0.5, "q3": 0.75}, ranks).drop("n")
+    return base.join(at, how="left").select("n", "min", "q1", ((F.col("lower") + F.col("upper")) / 2).alias("median"), "mean", "q3", "max")  # one row each
 
 
 def exact_median(df: DataFrame, m: Measure) -> DataFrame:
     """One row: value, the middle of the numbers that the measure's filter keeps; null if there are none."""
-    values = select_rows(df, m.rows).select(number(df, m.column).alias("x")).where("x IS NOT NULL")
-    n = F.col("n")
-    at = order_statistics(values, {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)}, n)
-    middle = (F.col("lower") + F.col("upper")) / 2
-    return at.select((middle if m.decimals is None else F.round(middle, m.decimals)).alias("value"))
+    found = medians(select_rows(df, m.rows).select(number(df, m.column).alias("x")), [])
+    return found.agg(F.max(F.col("median") if m.decimals is None else F.round("median", m.decimals)).alias("value"))
 
 
 def category_summary(df: DataFrame, column: str) -> DataFrame:
-    """(label, n, percent, rank) of the 15 largest groups, with cr5, hhi and n_groups on each row."""
+    """(label, n, percent, rank) of the 15 largest groups, with cr5, hhi and n_groups on each row; only those 15 are put in order."""
     counts = group_counts(df, column)
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")))  # one row a group
-    all_n = F.sum("n").over(Window.partitionBy())
-    ranked = ranked.withColumn("percent", F.lit(100.0) * F.col("n") / all_n)
-    every = Window.partitionBy()
-    ranked = ranked.withColumn("cr5", F.sum(F.when(F.col("rank") <= TOP_K, F.col("percent"))).over(every))
-    ranked = ranked.withColumn("hhi", F.sum(F.pow("percent", F.lit(2.0))).over(every)).withColumn("n_groups", F.count("*").over(every))
-    return ranked.where(F.col("rank") <= MAX_GROUPS)
+    share = F.col("n") / F.col("all_n")
+    whole = counts.agg(F.sum("n").alias("all_n"), F.count("*").alias("n_groups"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    top = counts.limit(MAX_GROUPS).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label"))).join(F.broadcast(whole))  # 15 rows and one
+    cr5 = F.sum(F.when(F.col("rank") <= TOP_K, 100.0 * share)).over(Window.partitionBy())
+    return top.select("label", "n", "rank", (100.0 * share).alias("percent"), cr5.alias("cr5"), (10000.0 * F.col("squares") / (F.col("all_n").cast("double") * F.col("all_n"))).alias("hhi"), "n_groups")
 
 
 def column_kinds(df: DataFrame) -> DataFrame:
@@ -287,7 +280,7 @@ def column_kinds(df: DataFrame) -> DataFrame:
     numeric: two numbers or more, in at least 60 % of the filled cells; categorical: 2 to 60 values, in
     at most half of the rows, not all single, in at least 5 % of the rows; otherwise other.
     """
-    aggs, cols = [F.count("*").alias("rows")], df.columns[:40]
+    aggs, cols = [F.count("*").alias("rows")], df.columns
     for i, c in enumerate(cols):
         aggs += [F.count(filled(c)).alias(f"f{i}"), F.count(number(df, c) if not df.schema[c].dataType.typeName().startswith(("timestamp", "date")) else F.lit(None)).alias(f"n{i}"), F.count_distinct(filled(c)).alias(f"d{i}")]
     one = df.agg(*aggs)
@@ -395,7 +388,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     """(column, summary, n, least, middle, most, groups, top, top_share): the shape of a table, column by column.
 
     Numeric columns that can be summed up have their range and median, categorical ones their number of
-    groups and the largest; other columns have the number of filled cells alone. Columns beyond the 40th are named with summary `skipped`.
+    groups and the largest; other columns have the number of filled cells alone.
     """
     kinds = {r.column: r.kind for r in column_kinds(df).collect()}  # a row for each column
     numeric = [c for c, k in kinds.items() if k == "numeric"]
@@ -416,8 +409,6 @@ def dataset_summary(df: DataFrame) -> DataFrame:
             add(top.join(n.withColumnRenamed("n", "filled")).select(F.lit(c).alias("column"), F.lit("categorical").alias("summary"), F.col("filled").alias("n"), none.alias("least"), none.alias("middle"), none.alias("most"), F.col("n_groups").alias("groups"), F.col("label").alias("top"), F.col("percent").alias("top_share")))  # one row each
         else:
             add(df.agg(F.count(filled(c)).alias("n")).select(F.lit(c).alias("column"), F.lit("counted").alias("summary"), "n", none.alias("least"), none.alias("middle"), none.alias("most"), F.lit(None).cast("long").alias("groups"), F.lit(None).cast("string").alias("top"), none.alias("top_share")))
-    for c in df.columns[40:]:
-        add(df.sparkSession.createDataFrame([(c, "skipped")], "column string, summary string").select("column", "summary", F.lit(None).cast("long").alias("n"), none.alias("least"), none.alias("middle"), none.alias("most"), F.lit(None).cast("long").alias("groups"), F.lit(None).cast("string").alias("top"), none.alias("top_share")))
     return out
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import operator
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kinds import DOUBLE, TEXT, TRUTH, many, row
 from ..functions.numbers import measures_in
 from ..functions.text import cite_markers, squash
 from ..plans.filters import columns_of
@@ -13,12 +19,13 @@ from ..plans.filters import columns_of
 UNITS = {
     "%": ("ratio", "%"), "mm": ("length", "mm"), "毫米": ("length", "mm"), "公厘": ("length", "mm"), "cm": ("length", "cm"), "厘米": ("length", "cm"), "公分": ("length", "cm"), "m": ("length", "m"), "米": ("length", "m"), "公尺": ("length", "m"),
     "km": ("length", "km"), "公里": ("length", "km"), "ms": ("time", "ms"), "毫秒": ("time", "ms"), "s": ("time", "s"), "秒": ("time", "s"), "mg": ("mass", "mg"), "μg": ("mass", "ug"), "ug": ("mass", "ug"), "g": ("mass", "g"), "克": ("mass", "g"),
-    "公克": ("mass", "g"), "kg": ("mass", "kg"), "公斤": ("mass", "kg"), "mV": ("voltage", "mV"), "V": ("voltage", "V"), "伏特": ("voltage", "V"), "mA": ("current", "mA"), "A": ("current", "A"), "安培": ("current", "A"), "ohm": ("resistance", "ohm"),
-    "Ω": ("resistance", "ohm"), "kΩ": ("resistance", "kohm"), "歐姆": ("resistance", "ohm"), "W": ("power", "W"), "瓦特": ("power", "W"), "N": ("force", "N"), "牛頓": ("force", "N"), "Pa": ("pressure", "Pa"), "Hz": ("frequency", "Hz"),
-    "°C": ("temperature", "degC"), "℃": ("temperature", "degC"),
+    "公克": ("mass", "g"), "kg": ("mass", "kg"), "公斤": ("mass", "kg"), "mv": ("voltage", "mV"), "mV": ("voltage", "mV"), "v": ("voltage", "V"), "V": ("voltage", "V"), "伏特": ("voltage", "V"), "ma": ("current", "mA"), "mA": ("current", "mA"), "a": ("current", "A"),
+    "A": ("current", "A"), "安培": ("current", "A"), "ohm": ("resistance", "ohm"), "Ω": ("resistance", "ohm"), "kΩ": ("resistance", "kohm"), "歐姆": ("resistance", "ohm"), "w": ("power", "W"), "W": ("power", "W"), "瓦特": ("power", "W"), "n": ("force", "N"), "N": ("force", "N"),
+    "牛頓": ("force", "N"), "pa": ("pressure", "Pa"), "Pa": ("pressure", "Pa"), "hz": ("frequency", "Hz"), "Hz": ("frequency", "Hz"), "°c": ("temperature", "degC"), "°C": ("temperature", "degC"), "℃": ("temperature", "degC"),
 }
 _SPELT = "|".join(sorted(UNITS, key=len, reverse=True))
-MEASUREMENT = rf"(?<![\w.])(-?[0-9]+(?:\.[0-9]+)?)\s*({_SPELT})(?![A-Za-z])"
+MEASUREMENT = rf"(?iu)(?<![\w.])(-?[0-9]+(?:\.[0-9]+)?)\s*({_SPELT})(?=$|[\s,.;:)\]，。；：、])"
+EQUATION = re.compile(r"((?:-?[0-9]+(?:\.[0-9]+)?|\s|[()+\-*/×÷]){3,})=\s*(-?[0-9]+(?:\.[0-9]+)?)")
 #: Agreement of a claim's value with a table's, and of an equation's sides.
 TABLE_SHARE, TABLE_ABS, EQUATION_SHARE = 1e-3, 5e-3, 1e-4
 #: Roles of evidence that need no trace, and what traced rows must have.
@@ -35,13 +42,14 @@ SAME_SHAPE, SUPPORTING_LIMIT, BACKGROUND_LIMIT = 3, 5, 3
 
 
 def measurements(c: Column) -> Column:
-    """(value, raw_unit, dimension, unit) of the measurements in a text; `7x24` reads as `7×24`."""
+    """(value, raw_unit, dimension, unit) of the measurements in a text, units in any case; `7x24` reads as `7×24`."""
     text = F.regexp_replace(F.coalesce(c, F.lit("")), r"\b([0-9]+)\s*[xX*]\s*([0-9]+)\b", "$1×$2")
     table = F.create_map(*[x for k, (d, u) in UNITS.items() for x in (F.lit(k), F.struct(F.lit(d).alias("dimension"), F.lit(u).alias("unit")))])
 
     def of(m: Column) -> Column:
         raw = F.regexp_extract(m, MEASUREMENT, 2)
-        return F.struct(F.regexp_extract(m, MEASUREMENT, 1).cast("double").alias("value"), raw.alias("raw_unit"), F.element_at(table, raw)["dimension"].alias("dimension"), F.element_at(table, raw)["unit"].alias("unit"))
+        known = F.coalesce(F.try_element_at(table, raw), F.try_element_at(table, F.lower(raw)), F.try_element_at(table, F.concat(F.substring(F.lower(raw), 1, 1), F.substring(F.upper(raw), 2, 9))))
+        return F.struct(F.regexp_extract(m, MEASUREMENT, 1).cast("double").alias("value"), raw.alias("raw_unit"), known["dimension"].alias("dimension"), known["unit"].alias("unit"))
 
     return F.transform(F.regexp_extract_all(text, F.lit(MEASUREMENT), 0), of)
 
@@ -54,19 +62,39 @@ def unit_conflicts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return spelt.unionByName(mixed).where(F.size("forms") > 1)  # sets of at most the known spellings
 
 
-def equations(c: Column) -> Column:
-    """(left, op, right, stated, holds) of the equations `a op b = c` with one operation in a text."""
-    n = r"-?[0-9]+(?:\.[0-9]+)?"
-    shape = rf"(?<![0-9.)(+*/×÷-])\s*({n})\s*([-+*/×÷])\s*({n})\s*=\s*({n})"
+_SUMS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.UAdd: operator.pos, ast.USub: operator.neg}
 
-    def of(m: Column) -> Column:
-        a, b, stated = (F.regexp_extract(m, shape, i).cast("double") for i in (1, 3, 4))
-        op = F.translate(F.regexp_extract(m, shape, 2), "×÷", "*/")
-        value = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).otherwise(F.try_divide(a, b))
-        near = F.abs(value - stated) <= F.greatest(F.lit(EQUATION_SHARE) * F.greatest(F.abs(value), F.abs(stated)), F.lit(1e-6))
-        return F.struct(a.alias("left"), op.alias("op"), b.alias("right"), stated.alias("stated"), near.alias("holds"))
 
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(shape), 0), of), lambda e: e["holds"].isNotNull())
+def arithmetic(expression: str) -> float | None:
+    """The value of sums, products and brackets over plain numbers; None for what is none, or divides by zero."""
+
+    def of(x: ast.AST) -> float:
+        if isinstance(x, ast.Constant):
+            return float(x.value)
+        parts = (x.left, x.right) if isinstance(x, ast.BinOp) else (x.operand,)
+        return _SUMS[type(x.op)](*map(of, parts))
+
+    try:
+        return of(ast.parse(expression.strip(), mode="eval").body)
+    except (SyntaxError, ValueError, KeyError, AttributeError, ArithmeticError, RecursionError, MemoryError):
+        return None
+
+
+@F.pandas_udf(many(row(expression=TEXT, stated=DOUBLE, value=DOUBLE, holds=TRUTH)))
+def equations(text: pd.Series) -> pd.Series:
+    """(expression, stated, value, holds) of the arithmetic that a text states as `expression = number`; both sides agree within EQUATION_SHARE."""
+
+    def of(t: str | None) -> list[dict]:
+        out = []
+        for m in EQUATION.finditer((t or "").replace("×", "*").replace("÷", "/")):
+            expression, stated = m[1].strip(), float(m[2])
+            value = arithmetic(expression) if re.search(r"[+\-*/]", expression) else None
+            if value is not None:
+                near = abs(value - stated) <= max(EQUATION_SHARE * max(abs(value), abs(stated)), 1e-6)
+                out.append({"expression": expression, "stated": stated, "value": value, "holds": near})
+        return out
+
+    return text.map(of)
 
 
 def claims_missing_measurements(claims: DataFrame, evidence: DataFrame) -> DataFrame:

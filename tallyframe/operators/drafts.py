@@ -1,24 +1,18 @@
-"""Checks of a draft against the pages of its sources: figures in context, quotations, lines of register."""
+"""Drafts sentence by sentence: what can be checked, lines of register, differences, layout."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.numbers import agrees_as_stated, canonical_unit, measures_in
-from ..functions.text import quotations, register_violations, sentences, squash, stems
+from ..functions import figures as fig
+from ..functions.kinds import DOUBLE, INT, TEXT, row
+from ..functions.text import quotations, register_violations, sentences
 from ..sources.blocks import lines_of
-
-#: Characters around a figure, terms that must be there, digits of a telling figure, common terms.
-CONTEXT, MIN_TERMS, TELLING_DIGITS = 250, 2, 4
-COMMON_SHARE, MIN_PAGES = 0.5, 5
-#: Page ids that one task puts in order.
-PAGES_A_RANGE = 1_000_000
+from .figure_checks import stated
 
 
 def draft_sentences(draft: DataFrame) -> DataFrame:
@@ -26,69 +20,6 @@ def draft_sentences(draft: DataFrame) -> DataFrame:
     return draft.select("draft_id", F.posexplode(sentences(F.col("text"))).alias("position", "sentence"))
 
 
-def page_figures(pages: DataFrame) -> DataFrame:
-    """(page_id, value, unit, context) of (page_id, text): each figure with the text around it."""
-    found = pages.select("page_id", "text", F.explode(measures_in(F.col("text"))).alias("m"))
-    at = F.position(F.col("m.text"), F.col("text"))
-    return found.select("page_id", F.col("m.value").alias("value"), F.col("m.unit").alias("unit"), F.substring("text", F.greatest(at - CONTEXT, F.lit(1)), F.lit(2 * CONTEXT)).alias("context"))
-
-
-def common_terms(pages: DataFrame) -> DataFrame:
-    """(term): terms on more than half of the pages, if there are five pages or more."""
-    terms = pages.select("page_id", F.explode(stems(F.col("text"))).alias("term"))
-    n = pages.agg(F.count_distinct("page_id").alias("pages"))
-    df = terms.groupBy("term").agg(F.count_distinct("page_id").alias("df")).join(F.broadcast(n))  # one row
-    return df.where((F.col("pages") >= MIN_PAGES) & (F.col("df") > COMMON_SHARE * F.col("pages"))).select("term")
-
-
-def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
-    """(draft_id, position, figure, matched_terms, supported): figures of sentences against figures of pages.
-
-    A figure meets page figures of the same integral part or a neighbouring one, by equi-join. It is
-    supported if one rounds to it at its precision, agrees in unit, and has two of the sentence's terms
-    around it, or one if the figure has four digits or more.
-    """
-    s = draft_sentences(draft).select("draft_id", "position", F.explode(measures_in(F.col("sentence"))).alias("m"), stems(F.col("sentence")).alias("terms"))
-    s = s.select("draft_id", "position", F.col("m.text").alias("figure"), F.col("m.value").alias("value"), F.col("m.unit").alias("unit"), "terms")
-    rare = s.select("draft_id", "position", F.explode_outer("terms").alias("term")).join(common_terms(pages), "term", "left_anti")
-    kept = rare.groupBy("draft_id", "position").agg(F.collect_set("term").alias("terms"))
-    s = s.drop("terms").join(kept, ["draft_id", "position"], "left").withColumn("bucket", F.explode(F.array(F.floor("value") - 1, F.floor("value"), F.floor("value") + 1)))
-    p = page_figures(pages).select(F.floor("value").alias("bucket"), F.col("value").alias("found"), F.col("unit").alias("found_unit"), "context")
-    met = s.join(p, "bucket").where(agrees_as_stated(F.col("value"), F.col("figure"), F.col("found")))
-    met = met.where((F.col("unit") == "") | (F.col("found_unit") == "") | (canonical_unit(F.col("unit")) == canonical_unit(F.col("found_unit"))))
-    n = F.size(F.array_intersect(F.coalesce("terms", F.array().cast("array<string>")), stems(F.col("context"))))
-    best = met.groupBy("draft_id", "position", "figure").agg(F.max(n).alias("matched_terms"))
-    every = s.select("draft_id", "position", "figure").distinct().join(best, ["draft_id", "position", "figure"], "left")
-    digits = F.length(F.regexp_replace("figure", "[^0-9]", ""))
-    need = F.when(digits >= TELLING_DIGITS, 1).otherwise(MIN_TERMS)
-    terms = F.coalesce("matched_terms", F.lit(0))
-    return every.select("draft_id", "position", "figure", terms.alias("matched_terms"), (F.col("matched_terms").isNotNull() & (terms >= need)).alias("supported"))
-
-
-def check_quotes(draft: DataFrame, pages: DataFrame) -> DataFrame:
-    """(draft_id, quote, found): quotations of a draft that some page holds, also across two pages.
-
-    Quotations meet pages by the rarest of their words, so no quotation is searched in all pages.
-    """
-    q = draft.select("draft_id", F.explode(quotations(F.col("text"))).alias("quote")).distinct()
-    # ids alone are put in order, in ranges: the first id of each range follows the last of the one before
-    ids = pages.select("page_id").distinct()
-    ranged = ids.withColumn("range", F.floor(F.col("page_id") / PAGES_A_RANGE))
-    heads = ranged.groupBy("range").agg(F.min("page_id").alias("first"))
-    after = heads.select(F.lead("range").over(Window.orderBy("range")).alias("next_range"), "range").join(heads.withColumnRenamed("range", "next_range"), "next_range", "left").select("range", "first")
-    inside = F.lead("page_id").over(Window.partitionBy("range").orderBy("page_id"))
-    follows = ranged.withColumn("inside", inside).join(after, "range", "left").select("page_id", F.coalesce("inside", "first").alias("next_id"))
-    texts = pages.select(F.col("page_id").alias("next_id"), F.col("text").alias("next_text"))
-    two = pages.join(follows, "page_id").join(texts, "next_id", "left").select("page_id", F.concat_ws(" ", "text", "next_text").alias("text"))
-    words = two.select("page_id", F.explode(stems(F.col("text"))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    asked = q.select("draft_id", "quote", F.explode_outer(stems(F.col("quote"))).alias("term")).join(df, "term", "left")
-    pick = asked.groupBy("draft_id", "quote").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    met = pick.join(words, "term").join(two, "page_id").where(squash(F.col("text")).contains(squash(F.col("quote"))))
-    hit = met.select("draft_id", "quote").distinct().withColumn("found", F.lit(True))
-    return q.join(hit, ["draft_id", "quote"], "left").select("draft_id", "quote", F.coalesce("found", F.lit(False)).alias("found"))
-
-
 def register_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, family, n_lines) of register violations, lines between fences and quoted lines exempt."""
     w = Window.partitionBy(key).orderBy("n")
@@ -97,77 +28,18 @@ def register_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.explode(register_violations(F.col("line"))).alias("family")).groupBy(key, "family").agg(F.count("*").alias("n_lines"))
 
 
-#: Brackets with a year, what makes such brackets a citation, pointers into a document, identifiers.
-PAREN_YEAR, CITED_NAME = r"[(（][^()（）]*?(?:19|20)[0-9]{2}[a-z]?[^()（）]*[)）]", r"[A-Z][a-z]|et al|等"
-BRACKETS = r"\[\s*[0-9]+(?:\s*[,–—-]\s*[0-9]+)*\s*\]"
-POINTER = r"\b(?:Tables?|Tab\.|Figures?|Figs?\.|Sections?|Sec\.|Eqs?\.|Equations?|Appendix|Chapters?|Algorithms?|Steps?|pp?\.|pages?|lines?|footnotes?)\s*\(?[0-9]+(?:[.\-–][0-9]+)*\)?"
-IDENTIFIER, CHEMICAL = r"(?<![\w@-])[A-Za-z][A-Za-z_@-]*[0-9][\w@-]*", r"(?i)^(?:CO2|CH4|N2O|H2O|O2|NO2|SO2|PM2|PM10)"
-#: Share of a figure within which another is its likely typo; letters of a run worth telling.
-TYPO_SHARE, MIN_RUN = 0.5, 12
-
-
-def _each_match(c: Column, pattern: str, made: Callable[[Column], Column]) -> Column:
-    """A text with each match replaced by what `made` gives for it."""
-    found, rest = F.regexp_extract_all(c, F.lit(pattern), 0), F.split(c, pattern, -1)
-    pieces = F.transform(F.arrays_zip(rest.alias("text"), F.transform(found, made).alias("hit")), lambda x: F.concat(x["text"], F.coalesce(x["hit"], F.lit(""))))
-    return F.array_join(pieces, "")
-
-
-def without_citations(c: Column) -> Column:
-    """A sentence without (Name, 2020) and [1, 2]; brackets with a year but no name stay."""
-    return F.regexp_replace(_each_match(c, PAREN_YEAR, lambda m: F.when(m.rlike(CITED_NAME), " ").otherwise(m)), BRACKETS, " ")
-
-
-def without_pointers(c: Column) -> Column:
-    """A sentence with pointers (Table 3) and identifiers (GPT4) blanked out to their length, chemical formulas kept."""
-    blank = lambda m: F.repeat(F.lit(" "), F.length(m))
-    return _each_match(_each_match(c, POINTER, blank), IDENTIFIER, lambda m: F.when(m.rlike(CHEMICAL), m).otherwise(blank(m)))
+@F.pandas_udf(row(plain=TEXT, masked=TEXT))
+def masked(sentence: pd.Series) -> pd.DataFrame:
+    """A sentence without its citations, and also without pointers (Table 3) and names with digits (GPT4), all blanked out at their length."""
+    plain = [fig.without_citations(s) for s in sentence.fillna("")]
+    return pd.DataFrame({"plain": plain, "masked": [fig.without_pointers(p) for p in plain]})
 
 
 def checkable_sentences(draft: DataFrame) -> DataFrame:
     """(draft_id, position, sentence, figures, quotes) of the sentences that state a figure or quote; citations, quotations and pointers hold no figures."""
-    s = draft_sentences(draft).withColumn("quotes", quotations(F.col("sentence")))
-    body = without_pointers(without_citations(F.regexp_replace("sentence", "\"[^\"\\n]{2,400}\"|“[^”\\n]{2,400}”|「[^」\\n]{2,400}」", " ")))
-    s = s.withColumn("figures", F.array_distinct(F.transform(measures_in(body), lambda m: m["text"])))
-    return s.where((F.size("figures") > 0) | (F.size("quotes") > 0)).select("draft_id", "position", "sentence", "figures", "quotes")
-
-
-def nearest_figure(draft: DataFrame, pages: DataFrame) -> DataFrame:
-    """(draft_id, position, figure, nearest): the closest other figure in a passage that shares the sentence's words, within half of it.
-
-    Figures meet those of pages by a shared stem and a bucket of their size, not all with all.
-    """
-    s = draft_sentences(draft).select("draft_id", "position", F.explode(measures_in(F.col("sentence"))).alias("m"), stems(F.col("sentence")).alias("terms"))
-    s = s.select("draft_id", "position", F.col("m.text").alias("figure"), F.col("m.value").alias("value"), "terms").where("value > 0")
-    p = page_figures(pages).where("value > 0").withColumn("near", stems(F.col("context")))
-    size = lambda c: F.floor(F.log2(c))
-    asked = s.withColumn("term", F.explode("terms")).withColumn("size", F.explode(F.array(size(F.col("value")) - 1, size(F.col("value")), size(F.col("value")) + 1)))
-    held = p.select(F.col("value").alias("found"), "near", F.explode("near").alias("term"), size(F.col("value")).alias("size"))
-    met = asked.join(held, ["term", "size"])
-    far = F.abs(F.col("found") - F.col("value"))
-    ok = (far > 0) & (far <= TYPO_SHARE * F.col("value")) & (F.size(F.array_intersect("terms", "near")) >= F.least(F.lit(MIN_TERMS), F.size("terms")))
-    return met.where(ok).groupBy("draft_id", "position", "figure").agg(F.min_by("found", F.struct(far, "found")).alias("nearest"))
-
-
-@F.pandas_udf(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("start", T.IntegerType())]))
-def longest_run(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """The longest run of a quotation's letters that a text holds, and where it starts."""
-    found = [SequenceMatcher(None, q, t, autojunk=False).find_longest_match(0, len(q), 0, len(t)) for q, t in zip(quote.fillna(""), text.fillna(""))]
-    return pd.DataFrame({"size": [m.size for m in found], "start": [m.b for m in found]})
-
-
-def closest_passage(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote, page_id, size): the page with the longest run of a quotation that no page holds; runs under 12 letters or a third of it do not count.
-
-    Quotations meet the pages that share one of their stems.
-    """
-    asked = quotes.select("quote", F.explode(stems(F.col("quote"))).alias("term"))
-    met = asked.join(pages.select("page_id", F.explode(stems(F.col("text"))).alias("term")), "term").select("quote", "page_id").distinct().join(pages, "page_id")
-    run = met.select("quote", "page_id", longest_run(squash(F.col("quote")), squash(F.col("text"))).alias("r"))
-    letters = F.length(squash(F.col("quote")))
-    good = run.where(F.col("r.size") >= F.greatest(F.lit(MIN_RUN), F.floor(letters / 3)))
-    best = F.max_by(F.struct("page_id", F.col("r.size").alias("size")), F.struct(F.col("r.size"), -F.col("page_id")))
-    return good.groupBy("quote").agg(best.alias("b")).select("quote", "b.page_id", "b.size")
+    s = draft_sentences(draft).withColumn("quotes", quotations(F.col("sentence"))).withColumn("x", stated("sentence"))
+    s = s.select("draft_id", "position", "sentence", F.transform("x.figures", lambda f: f["number"]).alias("figures"), "quotes")
+    return s.where((F.size("figures") > 0) | (F.size("quotes") > 0))
 
 
 def sentence_around(text: Column, found: Column) -> Column:
@@ -176,7 +48,7 @@ def sentence_around(text: Column, found: Column) -> Column:
     return F.get(F.filter(sentences(flat), lambda s: F.lower(s).contains(F.lower(found))), F.lit(0))
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in (("added", T.IntegerType()), ("removed", T.IntegerType()), ("ratio", T.DoubleType()))]))
+@F.pandas_udf(row(added=INT, removed=INT, ratio=DOUBLE))
 def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines added and removed between two versions of a section, and how alike they are."""
     rows = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import agrees, canonical_unit, magnitude_label, measures_in
 from ..functions.text import key_terms
+from .pairs import moves, pair_counts
 
 #: Claim types that each evidence type supports, blocking statuses, wording allowed by grade.
 ALLOWED = {
@@ -110,10 +111,8 @@ def wording(sentences: DataFrame, evidence: DataFrame, weakest: bool = False) ->
 
 
 def concordance(table: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: concordant, discordant, tied pairs of a group table along its key. The table has a row for each group."""
-    a, b = table.select(F.col(key).alias("ka"), F.col(value).alias("va")), table.select(F.col(key).alias("kb"), F.col(value).alias("vb"))
-    sign = F.signum(F.col("vb") - F.col("va"))
-    return a.join(b, F.col("ka") < F.col("kb")).agg(F.count_if(sign > 0).alias("concordant"), F.count_if(sign < 0).alias("discordant"), F.count_if(sign == 0).alias("tied"))
+    """One row: concordant, discordant, tied pairs of a table along its key; the table may have any number of rows."""
+    return pair_counts(table, key, value)
 
 
 def trend(table: DataFrame, label: str, value: str, claimed: str = "rises") -> DataFrame:
@@ -130,11 +129,9 @@ def trend(table: DataFrame, label: str, value: str, claimed: str = "rises") -> D
     return pairs.join(ends).withColumn("refuted", (F.col("groups") >= 3) & against & wrong_ends)  # one row each
 
 
-def covariation(table: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """FT2: one row: pairs of groups in which two measures move together, apart, or not at all."""
-    a, b = table.select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya")), table.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    way = F.signum((F.col("xb") - F.col("xa")) * (F.col("yb") - F.col("ya")))
-    return a.join(b, F.col("ka") < F.col("kb")).agg(F.count_if(way > 0).alias("together"), F.count_if(way < 0).alias("apart"), F.count_if(way == 0).alias("still"))
+def covariation(table: DataFrame, x: str, y: str) -> DataFrame:
+    """FT2: one row: pairs of rows in which two measures move together, apart, or not at all."""
+    return moves(table, x, y)
 
 
 def band_labels_known(claims: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kinds import DOUBLE, TEXT, many, row
 from ..functions.text import CJK, cjk_bigrams, content_hash, count_matches, evidence_type, topic_tags
+from ..plans.settled import settle
+from .quotes import Index, occurrences, tiles_of
 
 #: Additions to the base score of provenance, and the least scores of the grades.
 BASE, FILE_SCORES = 0.5, {"pdf": 0.05, "csv": 0.1, "xlsx": 0.1, "json": 0.1}
@@ -75,21 +81,21 @@ def manifest_counts(ledger: DataFrame) -> DataFrame:
     return manifest(ledger).groupBy("facet", "value").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first_id"), F.max("evidence_id").alias("last_id"))
 
 
+#: What a term, a pair of CJK characters and the whole phrase add to a score.
+TERM_WEIGHT, BIGRAM_WEIGHT, PHRASE_WEIGHT = 1.0, 1.5, 3.0
+
+
+@F.pandas_udf(many(row(term=TEXT, weight=DOUBLE)))
+def asked_of(phrase: pd.Series) -> pd.Series:
+    return phrase.map(lambda p: [{"term": t, "weight": w} for t, w in _asked(p)])
+
+
 def search_score(haystack: Column, query: str) -> Column:
     """1 for each Latin term, 1.5 for each CJK bigram, 3 for the whole phrase that the text holds; terms are a set."""
-    import re
-
-    phrase = query.lower().strip()
-    terms = sorted(set(re.findall(r"[a-z0-9]+", phrase)))
-    runs = re.findall("[\u3400-\u9fff]{2,}", phrase)
-    bigrams = sorted({r[i : i + 2] for r in runs for i in range(len(r) - 1)})
-    low = F.lower(haystack)
-    score = F.lit(0.0)
-    for t in terms:
-        score = score + F.when(low.contains(t), 1.0).otherwise(0.0)
-    for b in bigrams:
-        score = score + F.when(low.contains(b), 1.5).otherwise(0.0)
-    return score + F.when(low.contains(phrase), 3.0).otherwise(0.0)
+    low, score = F.lower(haystack), F.lit(0.0)
+    for term, weight in _asked(query):
+        score = score + F.when(low.contains(term), weight).otherwise(0.0)
+    return score
 
 
 def search(ledger: DataFrame, query: str, columns: list[str], limit: int = PAGE_LIMIT, offset: int = 0, key: str = "evidence_id") -> DataFrame:
@@ -99,6 +105,33 @@ def search(ledger: DataFrame, query: str, columns: list[str], limit: int = PAGE_
     return found.orderBy(F.desc("score"), key).offset(offset).limit(min(limit, PAGE_LIMIT))
 
 
+def _asked(phrase: str | None) -> list[tuple[str, float]]:
+    """The terms of a question with their weights, the whole phrase last."""
+    low = (phrase or "").lower().strip()
+    words = {w: TERM_WEIGHT for w in re.findall(r"[a-z0-9]+", low)}
+    pairs = {r[i : i + 2]: BIGRAM_WEIGHT for r in re.findall("[\u3400-\u9fff]{2,}", low) for i in range(len(r) - 1)}
+    return [*(words | pairs).items(), *([(low, PHRASE_WEIGHT)] if low else [])]
+
+
+def search_many(ledger: DataFrame, questions: DataFrame, columns: list[str], limit: int = PAGE_LIMIT, key: str = "evidence_id") -> DataFrame:
+    """(question_id, key, score, rank): for each of many questions (question_id, text) what search gives, the best `limit` rows.
+
+    Rows give the places of those runs of characters that questions ask for, terms up to RUN characters as a
+    whole, longer ones and phrases in tiles; each distinct term is looked up once in this index, and its rows'
+    weights are summed up by question and row. So no question scans the ledger. Runs are told apart by 64-bit hashes.
+    """
+    asked = questions.select("question_id", "text").withColumn("t", F.explode(asked_of("text"))).select("question_id", "t.term", "t.weight")
+    asked = settle(asked)
+    segs = settle(asked.select(F.col("term").alias("segment")).distinct().withColumn("tiles", tiles_of("segment")))
+    hay = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
+    rows = ledger.select(F.lit("").alias("source"), F.col(key).cast("long").alias("page_id"), hay.alias("text"))
+    index = Index(rows, segs.select(F.explode("tiles").alias("t")).select("t.hash", "t.k"), edges=False, form=None)
+    held = occurrences(index, segs).select(F.col("segment").alias("term"), F.col("page_id").alias(key)).distinct()
+    scores = asked.join(held, "term").groupBy("question_id", key).agg(F.sum("weight").alias("score"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), key))
+    return scores.withColumn("rank", place).where(F.col("rank") <= limit)
+
+
 def page(ledger: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
     """Rows in the order of the key, with has_more on each."""
     limit = min(limit, PAGE_LIMIT)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.numbers import filled, is_integral, number, parse_number
+from ..functions.numbers import filled, is_integral, number, parse_number, text
+from ..plans.errors import RequestError
+from .order import percentiles
 from .shape import time_key
 
 #: Header words of identifiers, units, years and times.
@@ -65,6 +69,44 @@ def column_profile(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Registers (as a power of two) of the sketches that propose sets of columns, and how far off a proposal may be.
+SKETCH_BITS, SKETCH_SLACK = 12, 0.15
+
+
+def _levels(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """Distinct combinations of each set of columns, blank cells as values: exact, in one pass over the rows."""
+    if not sets:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[text(c) for c in s]).alias("v")) for i, s in enumerate(sets)])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.v").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("*").alias("n"))
+    found = {r.i: r.n for r in counts.collect()}  # a row for each set
+    return {s: found.get(i, 0) for i, s in enumerate(sets)}
+
+
+def crossed_sets(df: DataFrame, columns: list[str], sizes: tuple[int, ...] = (2,)) -> DataFrame:
+    """(columns, levels, rows): sets of columns whose full product the rows are, each combination once, no column with one value or with one for each row.
+
+    All combinations of the given sizes are proposed by sketches of a single pass, which count the values of
+    each column and each set; those near enough are counted exactly in one more. Sets are listed by size, then
+    in the order of the columns.
+    """
+    if len(columns) > MAX_COLUMNS:
+        raise RequestError(f"{len(columns)} columns are more than {MAX_COLUMNS}")
+    sets = [s for k in sizes for s in combinations(columns, k)]
+    about = lambda cols: F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[text(c) for c in cols]), SKETCH_BITS))
+    one = df.agg(F.count("*").alias("rows"), *[about([c]).alias(f"c{i}") for i, c in enumerate(columns)], *[about(s).alias(f"s{i}") for i, s in enumerate(sets)]).first()
+    n, level = one.rows, {c: one[f"c{i}"] for i, c in enumerate(columns)}
+    near = lambda a, b, times: abs(a - b) <= times * SKETCH_SLACK * max(a, b) + times
+    likely = [s for i, s in enumerate(sets) if all(level[c] >= 2 for c in s) and near(math.prod(level[c] for c in s), n, len(s)) and near(one[f"s{i}"], n, 1)]
+    exact = _levels(df, sorted({(c,) for s in likely for c in s}) + likely)
+    out = []
+    for s in likely:
+        levels = [exact[c,] for c in s]
+        if exact[s] == n == math.prod(levels) and 1 < min(levels) and max(levels) < n:
+            out.append((list(s), levels, n))
+    return df.sparkSession.createDataFrame(out, "columns array<string>, levels array<long>, rows long")
+
+
 def is_crossed(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: levels of both columns, rows, and whether the rows are their full product, each pair once."""
     both = df.agg(F.count_distinct(a).alias("levels_a"), F.count_distinct(b).alias("levels_b"), F.count_distinct(a, b).alias("pairs"), F.count("*").alias("rows"))
@@ -87,11 +129,10 @@ def is_composition(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distribution_series(df: DataFrame, group: str, value: str, least: int = 2) -> DataFrame:
-    """(group, n, min, q1, median, q3, max) of the groups with `least` values or more; figures, not lists, so groups may be any size."""
-    x = number(df, value)
-    quarts = F.percentile(x, [0.25, 0.5, 0.75])
-    out = df.groupBy(F.col(group).alias("group")).agg(F.count(x).alias("n"), F.min(x).alias("min"), quarts.alias("q"), F.max(x).alias("max"))
-    return out.where(F.col("n") >= least).select("group", "n", "min", F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"), "max")
+    """(group, n, min, q1, median, q3, max) of the groups with `least` values or more; figures, not lists, and groups may be any size."""
+    values = df.select(F.col(group).alias("group"), number(df, value).alias("x"))
+    found = percentiles(values, ["group"], [0.0, 0.25, 0.5, 0.75, 1.0])
+    return found.where(F.col("n") >= least).select("group", "n", F.col("p0").alias("min"), F.col("p1").alias("q1"), F.col("p2").alias("median"), F.col("p3").alias("q3"), F.col("p4").alias("max"))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

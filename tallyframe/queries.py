@@ -454,7 +454,7 @@ def trend_concordance(spark, d):
 
 @query(f"WITH t AS ({_MONTHLY}) SELECT count(*) FILTER (sign(b.v - a.v) * sign(b.n - a.n) > 0) AS together, count(*) FILTER (sign(b.v - a.v) * sign(b.n - a.n) < 0) AS apart, count(*) FILTER (sign(b.v - a.v) * sign(b.n - a.n) = 0) AS still FROM t a JOIN t b ON a.k < b.k")
 def covariation(spark, d):
-    return gates.covariation(_yearly(spark, d), "k", "v", "n")
+    return gates.covariation(_yearly(spark, d), "v", "n")
 
 
 @query("SELECT 0::BIGINT AS claim_id, '1-10' AS label, true AS known UNION ALL SELECT 1, '5-15', false UNION ALL SELECT 2, '41+', true")
@@ -631,11 +631,6 @@ def squash_text(spark, d):
     return Tables(spark, d).benchmark.select("item_id", txt.squash(F.col("text")).alias("squashed"))
 
 
-@query()
-def sentence_split(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", F.size(txt.sentences(F.col("text"))).cast("long").alias("sentences"))
-
-
 @query("SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}')), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in txt.STOPWORDS) + "], x))) AS terms FROM documents")
 def key_terms(spark, d):
     return Tables(spark, d).documents.select("doc_id", F.size(txt.key_terms(F.col("text"))).cast("long").alias("terms"))
@@ -679,12 +674,16 @@ def url_normalize(spark, d):
     return Tables(spark, d).pages.select("page_id", txt.normal_url(F.col("url")).alias("url"))
 
 
-_OG, _TITLE = "regexp_extract(html, '(?i)<meta[^>]+property=\"og:title\"[^>]+content=\"([^\"]*)\"', 1)", "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+_META = "(?:property|name)\\s*=\\s*[\"'](?:og|twitter):title[\"']".replace("'", "''")
+_METAS = f"regexp_extract_all(html, '(?i)<meta\\b[^>]*?{_META}[^>]*?content\\s*=\\s*[\"'']([^\"'']+)', 1) || regexp_extract_all(html, '(?i)<meta\\b[^>]*?content\\s*=\\s*[\"'']([^\"'']+)[\"''][^>]*?{_META}', 1)"
 
 
-@query(f"SELECT page_id, nullif(trim(regexp_replace(CASE WHEN {_OG} <> '' THEN {_OG} ELSE {_TITLE} END, '\\s+(\\||-)\\s+[^|-]*$', '')), '') AS title FROM pages")
+@query(f"""WITH t AS (SELECT page_id, {_METAS} AS metas, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages),
+e AS (SELECT page_id, CASE WHEN title = '' THEN metas ELSE metas || [title, regexp_replace(title, '(?s)(\\s*[|｜·•»–—]\\s*|\\s+-\\s+).*$', '')] END AS every FROM t),
+p AS (SELECT page_id, list_transform(every, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS every FROM e)
+SELECT page_id, array_to_string(list_filter(every, lambda x, i: x <> '' AND list_position(every, x) = i), ' ¦ ') AS titles FROM p""")
 def page_titles(spark, d):
-    return Tables(spark, d).pages.select("page_id", txt.page_title(F.col("html")).alias("title"))
+    return Tables(spark, d).pages.select("page_id", F.array_join(txt.page_titles(F.col("html")), " ¦ ").alias("titles"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<a[^>]+href=\"([^\"]*)\"')) AS links FROM pages")
@@ -734,12 +733,6 @@ def code_chunks(spark, d):
     return blocks.code_chunks(Tables(spark, d).documents).select("doc_id", "chunk", "line_start", "line_end")
 
 
-@query()
-def text_blocks(spark, d):
-    found = blocks.blocks_of(Tables(spark, d).documents)
-    return found.groupBy("block_type").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))
-
-
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS o FROM orders WHERE (o_orderkey >= 80 AND o_orderkey + 1 <= 186) OR (o_orderkey >= 290 AND o_orderkey + 1 <= 290)")
 def line_range_select(spark, d):
     rows = Tables(spark, d).orders.withColumn("last", F.col("o_orderkey") + 1)
@@ -805,4 +798,4 @@ def stream_deduplicated(spark, d):
     return streams.deduplicated(Tables(spark, d).events).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-from . import case_queries  # noqa: E402,F401 - registers its queries, which use the helpers above
+from . import corpus_queries  # noqa: E402,F401 - registers its queries, which use the helpers above

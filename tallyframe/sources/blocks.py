@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kinds import INT, TEXT, many, row
+
 CODE_LINES = 50
 MIN_PARSED_CHARS = 10
 
@@ -106,35 +112,48 @@ def read_texts(spark, path: str) -> DataFrame:
 BLOCK_CHARS, CHUNK_CHARS = 2000, 1500
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s*")
+
+
+def chunks(text: str) -> list[tuple[str, int, int]]:
+    """(content, first line, last line) of a long block's chunks, in time linear in its length.
+
+    Lines, sentences of long lines and cuts of long sentences are the pieces. Running lengths say where a
+    chunk that starts at a piece must end, so each chunk is one jump.
+    """
+    pieces, at = [], []
+    for i, line in enumerate(text.split("\n")):
+        parts = [line] if len(line) <= CHUNK_CHARS else [s for s in _SENTENCE_END.split(line) if s]
+        cuts = [s[k : k + CHUNK_CHARS] for s in parts for k in range(0, max(len(s), 1), CHUNK_CHARS)]
+        pieces += cuts
+        at += [i] * len(cuts)
+    upto = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
+    out, i = [], 0
+    while i < len(pieces):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + CHUNK_CHARS + 1, side="right")) - 1)
+        body = "\n".join(pieces[i:j]).strip(" ")
+        if body:
+            out.append((body, at[i], at[j - 1]))
+        i = j
+    return out
+
+
 def split_long(blocks: DataFrame, key: str = "block_id", content: str = "content") -> DataFrame:
     """(key, chunk, first_line, last_line, content): blocks of over 2,000 characters in chunks of up to 1,500, others whole.
 
     Cuts fall between lines, inside a long line between sentences, inside a long sentence anywhere. Lines
-    are counted from 0. The pieces of a block are packed in order by a fold.
+    are counted from 0; chunks of blanks alone are left out.
     """
     text = F.coalesce(F.col(content), F.lit(""))
+    long = F.length(text) > BLOCK_CHARS
 
-    def pieces(line: Column, at: Column) -> Column:
-        sentences = F.when(F.length(line) <= CHUNK_CHARS, F.array(line)).otherwise(F.split(line, r"(?<=[.!?。！？])\s*"))
-        parts = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(CHUNK_CHARS)), lambda i: F.substring(s, i + 1, F.lit(CHUNK_CHARS)))))
-        return F.transform(parts, lambda p: F.struct(p.alias("text"), at.alias("line")))
-
-    every = F.flatten(F.transform(F.split(text, "\n", -1), pieces))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<struct<chunk: int, text: string, line: int>>").alias("out"))
-
-    def pack(acc: Column, p: Column) -> Column:
-        n = F.length(p["text"])
-        fresh = (acc["size"] > 0) & (acc["size"] + n > CHUNK_CHARS)
-        chunk = acc["chunk"] + fresh.cast("int")
-        item = F.struct(chunk.alias("chunk"), p["text"].alias("text"), p["line"].alias("line"))
-        return F.struct(chunk.alias("chunk"), (F.when(fresh, 0).otherwise(acc["size"]) + n + 1).cast("int").alias("size"), F.concat(acc["out"], F.array(item)).alias("out"))
+    @F.pandas_udf(many(row(content=TEXT, first_line=INT, last_line=INT)))
+    def cut(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: [{"content": c, "first_line": a, "last_line": b} for c, a, b in chunks(t)])
 
-    long = F.length(text) > BLOCK_CHARS
-    packed = blocks.where(long).select(key, F.posexplode(F.aggregate(every, start, pack, lambda acc: acc["out"])).alias("i", "p"))
-    body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]["text"]), "\n"))
-    cut = packed.groupBy(key, F.col("p.chunk").alias("chunk")).agg(F.min("p.line").alias("first_line"), F.max("p.line").alias("last_line"), body.alias("content"))
+    parts = blocks.where(long).select(key, F.posexplode(cut(text)).alias("chunk", "p")).select(key, "chunk", "p.first_line", "p.last_line", "p.content")
     whole = blocks.where(~long).select(key, F.lit(0).alias("chunk"), F.lit(0).alias("first_line"), F.regexp_count(text, F.lit("\n")).alias("last_line"), text.alias("content"))
-    return cut.where("content <> ''").unionByName(whole)
+    return parts.unionByName(whole)
 
 
 def table_rows(tables: DataFrame, key: str = "block_id", content: str = "content") -> DataFrame:

@@ -1,78 +1,16 @@
-"""Tabular sources: CSV with noise above the header, JSON, TOML; and sinks."""
+"""Tabular sources: CSV, JSON, TOML; and sinks."""
 
 from __future__ import annotations
 
-import csv
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import filled
 from ..plans.errors import RequestError
+from .delimited import read_csv
 
-#: Leading rows that may be noise, and cells that state nothing.
-MAX_NOISE_ROWS = 5
-PLACEHOLDERS = ("", "-", "--", "n/a", "na", "tbd", "none", "null", "待填", "無", "未測")
-
-
-def unique_headers(names: list[str | None]) -> list[str]:
-    """Blank headers are numbered, repeated ones become `name [2]`."""
-    seen: dict[str, int] = {}
-    out = []
-    for i, raw in enumerate(names):
-        name = (raw or "").strip() or f"column {i + 1}"
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name} [{seen[name]}]")
-    return out
-
-
-def noise_rows(rows: list[list[str]], widest: int) -> int:
-    """How many rows stand above the header: leading rows of one value at most, if the row below them is as wide as any."""
-    counts = [sum(c.strip().lower() not in ("", "nan") for c in row) for row in rows]
-    skipped = 0
-    for n in counts[:MAX_NOISE_ROWS]:
-        if n > 1 or skipped + 1 >= len(rows):
-            break
-        skipped += 1
-    return skipped if widest >= 2 and skipped and counts[skipped] == widest else 0
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """One CSV file as text columns: titles above the header and blank rows are left out, cells beyond the header too.
-
-    The first six lines are parsed when the plan is built, and one pass finds the widest row, as a title
-    says nothing of the width. The header row and the rows above it are dropped where the file begins and
-    only there, so that a data row which repeats the header stays. The scan itself is Spark's and splits
-    as usual.
-    """
-    lines = spark.read.text(path)
-    top = [r.value for r in lines.limit(MAX_NOISE_ROWS + 1).collect()]
-    if not any(t.strip() for t in top):
-        raise RequestError(f"{path} has no rows")
-    head = list(csv.reader(top, delimiter=sep))
-    cells = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))) + 1  # as many or more, if separators are quoted
-    width = int(lines.agg(F.max(cells).alias("n")).first().n)
-    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).options(header=False, sep=sep, escape='"', enforceSchema=True).csv(path)
-    filled_cells = sum((F.when(~F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin("", "nan"), 1).otherwise(0) for c in raw.columns), F.lit(0))
-    widest = int(raw.agg(F.max(filled_cells).alias("n")).first().n)
-    skip = noise_rows(head, widest)
-    names = unique_headers(head[skip])
-    placed = raw.select("*", F.monotonically_increasing_id().alias("__at"), (F.col("_metadata.file_block_start") == 0).alias("__first"))
-    leading = F.lit(False)
-    for row in head[: skip + 1]:
-        same = F.lit(True)
-        for i, c in enumerate(raw.columns):
-            same = same & (F.trim(F.coalesce(F.col(c), F.lit(""))) == (row[i].strip() if i < len(row) else ""))
-        leading = leading | same
-    stated = sum(any(c.strip() for c in row) for row in head[: skip + 1])
-    # of the rows that read like the leading ones, the first so many in the file are they
-    alike = placed.where(leading & F.col("__first")).where(filled_cells > 0)
-    order = Window.orderBy("__at")
-    rest = alike.withColumn("__n", F.row_number().over(order)).where(F.col("__n") > stated).drop("__n")
-    body = placed.where(~(leading & F.col("__first"))).unionByName(rest).select(*raw.columns[: len(names)])
-    for i in range(len(raw.columns), len(names)):
-        body = body.withColumn(f"_c{i}", F.lit(None).cast("string"))
-    return drop_blank(body.toDF(*names), ("",))
+#: Cells that state nothing.
+PLACEHOLDERS = ("", "-", "--", "---", "—", "–", "n/a", "n.a.", "na", "nil", "null", "none", "nan", "tbd", "待填", "無", "无", "未測", "未测")
 
 
 def drop_blank(df: DataFrame, blank: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:

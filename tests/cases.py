@@ -1,18 +1,31 @@
-"""Queries over small literal tables that reach every branch of an operator; their SQL states the rows expected."""
+"""Cases over small literal tables that reach every branch of an operator; each states the rows expected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import claims, prose
-from .functions import numbers as num
-from .functions import text as txt
-from .operators import aggregate as agg
-from .operators import audit, charts, drafts, gates, ledger, references, shape
-from .operators.aggregate import Measure
-from .queries import Tables, long, query, r4
-from .sources import blocks, tabular
+from tallyframe.functions import claims, prose
+from tallyframe.functions import numbers as num
+from tallyframe.functions import text as txt
+from tallyframe.operators import aggregate as agg
+from tallyframe.operators import audit, charts, drafts, figure_checks, gates, ledger, quotes, references, shape
+from tallyframe.operators.aggregate import Measure
+from tallyframe.queries import long, r4
+from tallyframe.sources import blocks, tabular
+
+CASES: dict = {}
+
+
+def query(sql):
+    """Keeps a case with the SQL of its rows."""
+
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
 
 _TYPES = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -156,10 +169,10 @@ def unit_conflicts(spark, d):
     return audit.unit_conflicts(t, "doc").withColumn("forms", joined(F.col("forms")))
 
 
-@query(rows_sql("id long, op string, stated double, holds boolean", [(1, "*", 168.0, True), (2, "+", 5.0, False), (3, "/", 0.333, False), (3, "-", 4.0, True)]))
+@query(rows_sql("id long, expression string, stated double, holds boolean", [(1, "7 * 24", 168.0, True), (2, "2 + 2", 5.0, False), (3, "1 / 3", 0.333, False), (3, "6 - 2", 4.0, True)]))
 def equation_check(spark, d):
     t = texts(spark, "uses 7 × 24 = 168 hours", "so 2 + 2 = 5", "that 1 / 3 = 0.333 and 6 - 2 = 4", "x = 4")
-    return t.select("id", F.explode(audit.equations(_t())).alias("e")).select("id", "e.op", "e.stated", "e.holds")
+    return t.select("id", F.explode(audit.equations("text")).alias("e")).select("id", "e.expression", "e.stated", "e.holds")
 
 
 @query(rows_sql("claim_id long, n_measurements long, missing long", [(1, 1, 0), (2, 2, 1)]))
@@ -473,14 +486,14 @@ def trend_claims(spark, d):
 def draft_figures(spark, d):
     draft = table(spark, "draft_id long, text string", [(1, "The recycling plant recovered 88.4 tonnes. The recycling plant recovered 91 tonnes. Orders were 1234")])
     pages = table(spark, "page_id long, text string", [(1, "The recycling plant recovered 88.4 tonnes of input"), (2, "all orders: 1234")])
-    return drafts.check_figures(draft, pages).select("draft_id", "position", F.trim("figure").alias("figure"), "supported")
+    return figure_checks.check_figures(draft, pages).select("draft_id", "position", "figure", "supported")
 
 
 @query(rows_sql("draft_id long, quote string, found boolean", [(1, "three words here", True), (1, "across the border of pages", True), (1, "never said anywhere", False)]))
 def draft_quotes(spark, d):
     draft = table(spark, "draft_id long, text string", [(1, 'He wrote "three words here" and "across the border of pages" and "never said anywhere".')])
     pages = table(spark, "page_id long, text string", [(1, "Here three words here. And it goes across the"), (1_000_005, "border of pages, at last")])
-    return drafts.check_quotes(draft, pages)
+    return quotes.check_quotes(draft, pages).select("draft_id", "quote", "found")
 
 
 @query(rows_sql("old_id string, new_id string", [("a", "x"), ("b", None)]))
@@ -495,29 +508,9 @@ def ledger_register(spark, d):
     return ledger.register(table(spark, s, [("a", "raw"), ("b", "old")]), table(spark, s, [("b", "new"), ("c", "added")]))
 
 
-@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), f AS (SELECT * FROM r WHERE i <= 25),
-p AS (SELECT a.doc_id, b.doc_id AS other, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.i) AS n FROM r a JOIN f b ON a.source = b.source AND a.doc_id <> b.doc_id)
-SELECT r.doc_id, coalesce(s.siblings, '') AS siblings FROM r LEFT JOIN (SELECT doc_id, string_agg(CAST(other AS VARCHAR), '|' ORDER BY n) AS siblings FROM p WHERE n <= 24 GROUP BY 1) s USING (doc_id)""")
-def cross_references(spark, d):
-    out = ledger.cross_references(Tables(spark, d).documents, "source", "doc_id", "doc_id")
-    return out.select("doc_id", joined(F.transform("siblings", lambda x: x.cast("string"))).alias("siblings"))
-
-
 # -- sources and blocks -------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CAST(n_regionkey AS VARCHAR) AS \"name [2]\" FROM nation UNION ALL SELECT 'key', 'name', 'name'")
-def csv_scan(spark, d):
-    """nation as a CSV with a title, a blank line, repeated headers and a data row that reads like the header, written and read back."""
-    import uuid
-
-    rows = Tables(spark, d).nation.orderBy("n_nationkey").collect()  # 25 rows
-    lines = ["Nations of the report", "", "key,name,name", *[f'{r.n_nationkey},"{r.n_name}",{r.n_regionkey}' for r in rows[:9]], "key,name,name", *[f"{r.n_nationkey},{r.n_name},{r.n_regionkey}" for r in rows[9:]]]
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/csv-{uuid.uuid4().hex}"
-    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(folder)
-    return tabular.read_csv(spark, folder)
-
-
 @query(rows_sql("doc_id long, block_type string, line_start long, line_end long, content string", [(1, "heading", 1, 1, "# One"), (1, "paragraph", 2, 3, "two\nthree"), (1, "list", 5, 6, "- a\n- b"), (1, "code", 8, 10, "```\nx = 1\n```"), (1, "table", 11, 12, "| a |\n| b |"), (2, "paragraph", 1, 1, "alone")]))
 def block_cases(spark, d):
     t = table(spark, "doc_id long, text string", [(1, "# One\ntwo\nthree\n\n- a\n- b\n\n```\nx = 1\n```\n| a |\n| b |"), (2, "alone"), (3, None)])
@@ -601,22 +594,6 @@ def summability(spark, d):
     return four.unionByName(agg.summability(table(spark, "few int", [(1,), (5,)]), ["few"])).unionByName(two)
 
 
-@query("""SELECT 'c_acctbal' AS "column", 'numeric' AS summary, count(*) AS n, min(c_acctbal) AS least, round(median(c_acctbal), 4) AS middle, max(c_acctbal) AS most, CAST(NULL AS BIGINT) AS groups, CAST(NULL AS VARCHAR) AS top FROM customer
-UNION ALL SELECT 'c_mktsegment', 'categorical', (SELECT count(c_mktsegment) FROM customer), NULL, NULL, NULL, (SELECT count(DISTINCT c_mktsegment) FROM customer), (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-UNION ALL SELECT 'c_name', 'counted', (SELECT count(c_name) FROM customer), NULL, NULL, NULL, NULL, NULL""")
-def dataset_summary(spark, d):
-    out = agg.dataset_summary(Tables(spark, d).customer.select("c_name", "c_mktsegment", "c_acctbal"))
-    return out.select("column", "summary", "n", "least", r4("middle", "middle"), "most", "groups", "top")
-
-
-@query("SELECT true AS amount, false AS rate, false AS negative, count(*) AS n, min(c_acctbal) AS least, max(c_acctbal) AS most, round(avg(c_acctbal), 4) AS mean FROM customer")
-def additive_and_error(spark, d):
-    c = Tables(spark, d).customer
-    positive = c.select(F.abs("c_acctbal").alias("amount"), F.abs("c_acctbal").alias("rate"), (F.abs("c_acctbal") * -1 - 1).alias("cost"))
-    tests = [agg.is_additive(positive, x).select(F.col("additive").alias(n)) for x, n in (("amount", "amount"), ("rate", "rate"), ("cost", "negative"))]
-    return tests[0].join(tests[1]).join(tests[2]).join(agg.error_range(c, "c_acctbal").select("n", "least", "most", r4("mean", "mean")))  # one row each
-
-
 @query(rows_sql("name string, chart string, columns string", [
     ("boxplot", "boxplot", "group|value"), ("crossed", "bar", "lookback|period|ret"), ("line", "line", "month|output"), ("pie", "pie", "part|amount"), ("scatter", "scatter", "theoretical tau|measured tau")]))
 def chart_rules(spark, d):
@@ -663,10 +640,10 @@ def magnitude_labels(spark, d):
 # -- more of drafts, gates and plans ------------------------------------------------------------------
 
 
-@query(rows_sql("id long, plain string, masked string", [(1, "as   said", "as (Li, 2020) said"), (2, "in (2020) it", "in (2020) it"), (3, "see  ", "see [1, 2]"), (4, "Table 3 shows CO2", "        shows CO2"), (5, "GPT4 and Fig. 2", "     and       ")]))
+@query(rows_sql("id long, plain string, masked string", [(1, "as            said", "as            said"), (2, "in        it", "in        it"), (3, "see       ", "see       "), (4, "Table 3 shows CO2", "        shows CO2"), (5, "GPT4 and Fig. 2", "     and       ")]))
 def citation_masks(spark, d):
     t = texts(spark, "as (Li, 2020) said", "in (2020) it", "see [1, 2]", "Table 3 shows CO2", "GPT4 and Fig. 2")
-    return t.select("id", drafts.without_citations(_t()).alias("plain"), drafts.without_pointers(_t()).alias("masked"))
+    return t.select("id", drafts.masked("text").alias("m")).select("id", "m.plain", "m.masked")
 
 
 @query(rows_sql("draft_id long, position long, figures string, quotes string", [(1, 0, "12", ""), (1, 2, "", "three words here"), (1, 3, "5", "")]))
@@ -676,18 +653,18 @@ def checkable_sentences(spark, d):
     return out.select("draft_id", long("position", "position"), joined(F.col("figures")).alias("figures"), F.regexp_replace(joined(F.col("quotes")), " 9$", "").alias("quotes"))
 
 
-@query(rows_sql("draft_id long, position long, figure string, nearest double", [(1, 0, "91", 88.4)]))
+@query(rows_sql("draft_id long, position long, figure string, nearest string", [(1, 0, "91", "88.4")]))
 def nearest_typos(spark, d):
     draft = table(spark, "draft_id long, text string", [(1, "The recycling plant recovered 91 tonnes. Nothing shared 91.")])
     pages = table(spark, "page_id long, text string", [(1, "The recycling plant recovered 88.4 tonnes"), (2, "other matters 90 altogether")])
-    return drafts.nearest_figure(draft, pages).select("draft_id", long("position", "position"), "figure", "nearest")
+    return figure_checks.nearest_figure(draft, pages).select("draft_id", long("position", "position"), "figure", "nearest")
 
 
 @query(rows_sql("quote string, page_id long, size long", [("the recycling plant recovered a lot", 1, 26)]))
 def closest_passages(spark, d):
     q = table(spark, "quote string", [("the recycling plant recovered a lot",), ("wholly invented sentence",)])
     pages = table(spark, "page_id long, text string", [(1, "In 2020 the recycling plant recovered 88 tonnes"), (2, "a recycling line")])
-    return drafts.closest_passage(q, pages).select("quote", "page_id", long("size", "size"))
+    return quotes.closest_passage(q, pages).select("quote", "page_id", long("size", "size"))
 
 
 @query(rows_sql("id long, sentence string", [(1, "It came to an end."), (2, None)]))
@@ -760,12 +737,6 @@ def bibtex_records(spark, d):
     return t.select("id", prose.bibtex_record(*[F.col(c) for c in t.columns[1:]]).alias("record"))
 
 
-@query("SELECT doc_id, source FROM documents")
-def ledger_listing(spark, d):
-    docs = Tables(spark, d).documents
-    return ledger.listed(ledger.cross_references(docs, "source", "doc_id", "doc_id").join(docs.select("doc_id", "source"), "doc_id")).select("doc_id", "source")
-
-
 @query(rows_sql("id long, type string", [(1, "quantitative"), (2, "qualitative"), (3, "qualitative"), (4, "quantitative"), (5, "methodological"), (6, "contextual"), (7, "qualitative"), (8, "quantitative"), (9, "quantitative"), (10, "methodological")]))
 def evidence_types(spark, d):
     rows = [

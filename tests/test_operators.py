@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.operators import aggregate as agg
 from tallyframe.operators import charts, ledger, references
@@ -65,17 +66,31 @@ def test_axes_of_scatter_and_units():
     assert charts.warnings_of(Shape(5, {"id": "id_like", "a": "text"}, missing=0.5, negative=True)) == ["many cells are missing", "identifiers are no measures", "no numeric measure", "negative values rule out whole-part charts"]
 
 
-def test_names_of_authors():
-    for text in ("Atanassova, I., Bertin, M., & Mayr, P.", "Iana Atanassova, Marc Bertin and Philipp Mayr", "Atanassova, Bertin et al. (2020, May)"):
-        assert references.surnames_in(text)[:2] == ["Atanassova", "Bertin"]
-    assert references.surnames_in("National Institute of Standards and Technology") == [] or references.surnames_in("International Energy Agency") == []
-    assert references.names_missing(["Atanasova", "Okafor"], ["I. Atanassova"]) == ["Okafor"]
-    assert references.names_missing(["van der Berg"], ["Jan van der Berg"]) == []
+def test_names_of_authors(spark):
+    texts = ["Atanassova, I., Bertin, M., & Mayr, P.", "Iana Atanassova, Marc Bertin and Philipp Mayr", "Atanassova, Bertin et al. (2020, May)", "Atanassova I, Bertin M", "International Energy Agency", "National Institute of Standards and Technology, Okafor, M."]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(references.surnames(F.col("t")).alias("n")).collect()]
+    assert [n[:2] for n in got[:4]] == [["Atanassova", "Bertin"]] * 4
+    assert got[0][2] == got[1][2] == "Mayr" and got[4] == [] and got[5] == ["Okafor"]
+    rows = [(["atanasova", "okafor"], ["i. atanassova"]), (["van der berg"], ["jan van der berg"]), (["smyth"], ["smith"]), (["王小明"], ["王小明"]), (["王"], ["李"])]
+    lost = spark.createDataFrame(rows, "a array<string>, b array<string>").select(references.unmatched(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in lost] == [["okafor"], [], ["smyth"], [], ["王"]]
 
 
 def test_title_tokens_in_order_though_one_is_absent():
-    assert references.title_match("x a b d e", "a b c d e") == (0.8, 1)
-    assert references.title_match("", "a b")[0] == 0.0
+    assert references.align("x a b d e", "a b c d e") == (0.8, 2)
+    assert references.align("", "a b")[0] == 0.0
+    assert references.align("Li (2020). On pre training of models. Press", "Pretraining of models") == (1.0, 14)
+    assert references.align("Énergie: knowledgebase maps", "Retracted: Énergie knowledge base maps") == (1.0, 0)
+    scattered = "deep " + "x " * 9 + "learning " + "y " * 9 + "maps"
+    assert references.align(scattered, "deep learning maps")[0] < 0.5
+    assert references.align("王小明（2020）。板式熱交換器的研究。", "板式熱交換器的研究")[0] == 1.0
+
+
+def test_references_in_any_script_meet_their_works(spark):
+    works = spark.createDataFrame([(1, None, "板式熱交換器的研究", ["王小明"], 2020, False), (2, None, "On art", ["Li Wu"], 2019, False)], "work_id long, doi string, title string, authors array<string>, year int, retracted boolean")
+    refs = spark.createDataFrame([(1, "王小明（2020）。板式熱交換器的研究。學報"), (2, "Wu, L. (2019). On art. Press"), (3, "Nobody (2001). Sea of ice")], "ref_id long, text string")
+    got = {r.ref_id: (r.work_id, r.verdict) for r in references.match_references(refs, works).collect()}
+    assert got[1][0] == 1 and got[2][0] == 2 and got[3] == (None, "not_found")
 
 
 def test_ledger_ids_number_repeats(spark):
