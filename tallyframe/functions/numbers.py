@@ -63,7 +63,8 @@ def show_number(x: Column, places: int | None = None) -> Column:
     if places is not None:
         return F.format_number(x, places)
     whole = is_integral(x) & (F.abs(x) < 1e15)
-    return F.when(whole, F.format_number(x, 0)).when(F.abs(x) >= 1, F.format_number(x, 2)).otherwise(F.format_string("%.4g", x))
+    few = F.regexp_replace(F.regexp_replace(F.format_string("%.4g", x), r"(\.[0-9]*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
+    return F.when(whole, F.format_number(x, 0)).when(F.abs(x) >= 1, F.format_number(x, 2)).otherwise(few)
 
 
 def places_stated(c: Column) -> Column:
@@ -78,7 +79,7 @@ def agrees(a: Column, b: Column, share: float = 0.01) -> Column:
 
 def agrees_as_stated(stated: Column, stated_text: Column, found: Column) -> Column:
     """Whether a found figure rounds to the stated one at the stated one's precision."""
-    return F.abs(stated - found) <= 0.5 * F.pow(F.lit(10.0), -places_stated(stated_text)) + 1e-12
+    return F.abs(stated - found) <= 0.5 * F.pow(F.lit(10.0), -places_stated(stated_text)) + 1e-9 * F.greatest(F.lit(1.0), F.abs(stated))
 
 
 def currency_unit(values: Column) -> Column:

@@ -221,7 +221,7 @@ def statistics_only(claims: DataFrame, bad: DataFrame) -> DataFrame:
 def research_tasks(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     """(claim_id, query, mode, priority) for each claim that is blocked, disputed or unverified, once."""
     found = verdicts.where(F.col("status").isin("blocked", "disputed", "unverified")).groupBy("claim_id").agg(F.min("status").alias("status"))
-    both = found.join(claims.where(F.col("claim_text") != ""), "claim_id")
+    both = found.join(claims.where(F.col("claim_text") != "").select("claim_id", "claim_text", "claim_type"), "claim_id")
     mode = F.when(F.col("claim_type") == "statistical", "deep_research").otherwise("web_fallback")
     return both.select("claim_id", F.substring("claim_text", 1, 200).alias("query"), mode.alias("mode"), F.when(F.col("status") == "blocked", "high").otherwise("medium").alias("priority"))
 

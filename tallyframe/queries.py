@@ -310,21 +310,26 @@ def summary_category(spark, d):
     return agg.category_summary(Tables(spark, d).part, "p_brand").select("label", "n", long("rank", "rank"), r4("percent", "percent"), r4("cr5", "cr5"), r4("hhi", "hhi"))
 
 
-@query("""SELECT * FROM (
- SELECT 'l_returnflag' AS category, l_returnflag AS label, 'mean' AS measure, 'l_quantity' AS "column", round(avg(l_quantity), 4) AS value FROM lineitem GROUP BY 2 UNION ALL
- SELECT 'l_returnflag', l_returnflag, 'median', 'l_quantity', round(median(l_quantity), 4) FROM lineitem GROUP BY 2 UNION ALL
- SELECT 'l_returnflag', l_returnflag, 'mean', 'l_discount', round(avg(l_discount), 4) FROM lineitem GROUP BY 2 UNION ALL
- SELECT 'l_returnflag', l_returnflag, 'median', 'l_discount', round(median(l_discount), 4) FROM lineitem GROUP BY 2 UNION ALL
- SELECT 'l_returnflag', l_returnflag, 'median', 'l_tax', round(median(l_tax), 4) FROM lineitem GROUP BY 2)""")
+_CROSSED = ("l_returnflag", "l_linestatus")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS category, {c} AS label, '{op}' AS measure, '{x}' AS \"column\", round({'avg' if op == 'mean' else 'median'}({x}), 4) AS value FROM lineitem GROUP BY 2"
+    for c in _CROSSED for i, x in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax")) for op in (("mean", "median") if i < 2 else ("median",))))
 def auto_cross_tables(spark, d):
-    out = agg.auto_cross_tables(Tables(spark, d).lineitem, ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"])
+    out = agg.auto_cross_tables(Tables(spark, d).lineitem, list(_CROSSED), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return out.select("category", "label", "measure", "column", r4("value", "value"))
 
 
-@query("""SELECT 'o_orderstatus' AS "column", count(o_orderstatus) AS filled, 0::BIGINT AS numbers, count(DISTINCT o_orderstatus) AS distinct_values, 'categorical' AS kind FROM orders UNION ALL
-SELECT 'o_totalprice', count(o_totalprice), count(o_totalprice), count(DISTINCT o_totalprice), 'numeric' FROM orders""")
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS filled, {f"count({c})" if c in _NUMBERS else "0::BIGINT"} AS numbers, count(DISTINCT {c}) AS distinct_values,
+ CASE WHEN {str(c in _NUMBERS).lower()} AND count({c}) >= 2 THEN 'numeric' WHEN count(DISTINCT {c}) BETWEEN 2 AND 60 AND count(DISTINCT {c}) <= 0.5 * count(*) AND count(DISTINCT {c}) < count({c}) AND count({c}) >= 0.05 * count(*) THEN 'categorical' ELSE 'other' END AS kind FROM orders"""
+    for c in _ORDERS))
 def column_kinds(spark, d):
-    return agg.column_kinds(Tables(spark, d).orders.select("o_orderstatus", "o_totalprice"))
+    return agg.column_kinds(Tables(spark, d).orders)
 
 
 # -- shaping ----------------------------------------------------------------------------------
@@ -397,13 +402,12 @@ def product_column(spark, d):
 # -- profiling --------------------------------------------------------------------------------
 
 
-@query("""SELECT 'l_orderkey' AS "column", 'id_like' AS role, count(DISTINCT l_orderkey) AS distinct_values FROM lineitem UNION ALL
-SELECT 'l_quantity', 'numeric_measure', count(DISTINCT l_quantity) FROM lineitem UNION ALL
-SELECT 'l_returnflag', 'categorical', count(DISTINCT l_returnflag) FROM lineitem UNION ALL
-SELECT 'l_shipdate', 'time_like', count(DISTINCT l_shipdate) FROM lineitem""")
+_ROLES = {"l_orderkey": "id_like", "l_partkey": "id_like", "l_suppkey": "id_like", "l_returnflag": "categorical", "l_linestatus": "categorical", "l_shipdate": "time_like"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{_ROLES.get(c, 'numeric_measure')}' AS role, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")))
 def column_profile(spark, d):
-    rows = Tables(spark, d).lineitem.select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")
-    return profile.column_profile(rows).select("column", "role", "distinct_values")
+    return profile.column_profile(Tables(spark, d).lineitem).select("column", "role", "distinct_values")
 
 
 @query("SELECT count(DISTINCT r) AS levels_a, count(DISTINCT s) AS levels_b, count(DISTINCT (r, s)) AS pairs, count(*) AS rows, count(DISTINCT r) * count(DISTINCT s) = count(*) AS crossed FROM (SELECT r_name AS r, s FROM region, (SELECT DISTINCT c_mktsegment AS s FROM customer))")
@@ -704,19 +708,6 @@ def url_trust(spark, d):
     return Tables(spark, d).pages.select("page_id", txt.trust_class(F.col("url")).alias("trust"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations)
-SELECT conv_id, turn, count(*) AS lines FROM l WHERE regexp_matches(line, '!{2,}') GROUP BY ALL""")
-def register_scan(spark, d):
-    rows = Tables(spark, d).conversations.select("conv_id", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    hit = rows.where(F.array_contains(txt.register_violations(F.col("line")), "exclaim"))
-    return hit.groupBy("conv_id", "turn").agg(F.count("*").alias("lines"))
-
-
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b[a-z]+(?:_[a-z0-9]+)+\\b'))) AS tokens FROM documents")
-def machine_tell(spark, d):
-    return Tables(spark, d).documents.select("doc_id", F.size(F.filter(txt.internal_tokens(F.col("text")), lambda t: ~t.startswith("E_"))).cast("long").alias("tokens"))
-
-
 # -- blocks -----------------------------------------------------------------------------------
 
 
@@ -798,4 +789,4 @@ def stream_deduplicated(spark, d):
     return streams.deduplicated(Tables(spark, d).events).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-from . import corpus_queries  # noqa: E402,F401 - registers its queries, which use the helpers above
+from . import corpus_queries, record_queries  # noqa: E402,F401 - register their queries, which use the helpers above
