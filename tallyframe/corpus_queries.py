@@ -242,13 +242,15 @@ def quoted_passages(spark, d):
     return rows.select("id", F.size(F.regexp_extract_all("text", F.lit(txt.QUOTED), 0)).cast("long").alias("marked"))
 
 
-_LINES = "(SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations)"
+_LINES = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+#: Where a word begins or ends, for letters of any script.
+_EDGE = "(?:^|$|[^\\p{L}\\p{N}_])"
 
 
-@query(f"SELECT conv_id, turn, family, count(*) AS lines FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS family FROM {_LINES} WHERE regexp_matches(line, '{p}')" for n, p in txt.REGISTER) + ") GROUP BY ALL")
+@query("SELECT doc_id, family, count(*) AS lines FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS family FROM {_LINES} WHERE regexp_matches(line, '{p.replace(chr(92) + 'b', _EDGE)}')" for n, p in txt.REGISTER) + ") GROUP BY ALL")
 def register_scan(spark, d):
-    rows = Tables(spark, d).conversations.select("conv_id", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return rows.select("conv_id", "turn", F.explode(txt.register_violations(F.col("line"))).alias("family")).groupBy("conv_id", "turn", "family").agg(F.count("*").alias("lines"))
+    rows = Tables(spark, d).documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return rows.select("doc_id", F.explode(txt.register_violations(F.col("line"))).alias("family")).groupBy("doc_id", "family").agg(F.count("*").alias("lines"))
 
 
 @query("SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b(?:[a-z]+(?:_[a-z0-9]+)+|E_[A-Za-z0-9]+_[0-9a-f]{6,})\\b'))) AS tokens FROM documents")

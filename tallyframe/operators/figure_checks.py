@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +21,7 @@ from ..functions import figures as fig
 from ..functions.kinds import DOUBLE, INT, LONG, TEXT, TRUTH, many, row
 from ..functions.text import QUOTED, sentences
 from ..plans.settled import settle
-from .quotes import _bitmap, _slots, letters, run_hashes, with_source
+from .quotes import _bitmap, hits, letters, run_hashes, with_source
 
 #: Characters around a figure, terms that must be there, digits of a telling figure, and when a term is common.
 CONTEXT, MIN_TERMS, TELLING_DIGITS = 250, 2, 4
@@ -101,16 +100,6 @@ def _sought(spark, terms: DataFrame):
     return sizes, spark.sparkContext.broadcast(_bitmap(terms))
 
 
-def _hits(text: str, sizes: list[int], bits: np.ndarray) -> list[int]:
-    """The distinct hashes of runs of the given lengths that the bitmap holds."""
-    out: list[int] = []
-    for k in sizes:
-        h = np.unique(run_hashes(text, k))
-        slot = _slots(h)
-        out += h[((bits[slot >> 6] >> (slot & 63)) & 1) == 1].tolist()
-    return out
-
-
 def _held_figures(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """The figures of pages with the hashes of the terms that their contexts may hold."""
     sizes, bits = _sought(pages.sparkSession, terms)
@@ -125,7 +114,7 @@ def _held_figures(pages: DataFrame, terms: DataFrame) -> DataFrame:
                     rows = []
                     for f in found[lo : lo + 1000]:
                         around = letters(plain[max(0, f.start - CONTEXT) : f.end + CONTEXT])
-                        rows.append((source.as_py(), page.as_py(), f.start, *_fields(f.number, f.unit), _hits(around, sizes, bits.value)))
+                        rows.append((source.as_py(), page.as_py(), f.start, *_fields(f.number, f.unit), hits(around, sizes, bits.value)))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return pages.mapInArrow(run, _HELD)
@@ -139,9 +128,9 @@ def _page_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
         for b in batches:
             for source, page, text in zip(*b.columns):
                 plain = fig.normal(text.as_py())
-                hits = _hits(letters(plain), sizes, bits.value)
-                n, cjk = len(hits) + 1, sum("一" <= c <= "鿿" for c in plain) if not plain.isascii() else 0
-                columns = [[source.as_py()] * n, [page.as_py()] * n, [None, *hits], [cjk] + [None] * (n - 1), [len(plain)] + [None] * (n - 1)]
+                held = hits(letters(plain), sizes, bits.value)
+                n, cjk = len(held) + 1, sum("一" <= c <= "鿿" for c in plain) if not plain.isascii() else 0
+                columns = [[source.as_py()] * n, [page.as_py()] * n, [None, *held], [cjk] + [None] * (n - 1), [len(plain)] + [None] * (n - 1)]
                 types = [pa.string(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _TERMS.split(", ")])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import DOUBLE, TEXT, many, row
 from ..functions.text import CJK, cjk_bigrams, content_hash, count_matches, evidence_type, topic_tags
 from ..plans.settled import settle
-from .quotes import Index, occurrences, tiles_of
+from .quotes import RUN, Index, holding, occurrences, tiles_of
 
 #: Additions to the base score of provenance, and the least scores of the grades.
 BASE, FILE_SCORES = 0.5, {"pdf": 0.05, "csv": 0.1, "xlsx": 0.1, "json": 0.1}
@@ -116,17 +116,21 @@ def _asked(phrase: str | None) -> list[tuple[str, float]]:
 def search_many(ledger: DataFrame, questions: DataFrame, columns: list[str], limit: int = PAGE_LIMIT, key: str = "evidence_id") -> DataFrame:
     """(question_id, key, score, rank): for each of many questions (question_id, text) what search gives, the best `limit` rows.
 
-    Rows give the places of those runs of characters that questions ask for, terms up to RUN characters as a
-    whole, longer ones and phrases in tiles; each distinct term is looked up once in this index, and its rows'
-    weights are summed up by question and row. So no question scans the ledger. Runs are told apart by 64-bit hashes.
+    Rows give which of the terms that questions ask for they hold, each once; terms of over RUN characters and
+    phrases are looked up in an index of the places of their runs. Each distinct term's rows are found once, and
+    their weights are summed up by question and row. So no question scans the ledger. Runs are told apart by
+    64-bit hashes.
     """
-    asked = questions.select("question_id", "text").withColumn("t", F.explode(asked_of("text"))).select("question_id", "t.term", "t.weight")
-    asked = settle(asked)
+    asked = settle(questions.select("question_id", F.explode(asked_of("text")).alias("t")).select("question_id", "t.term", "t.weight"))
     segs = settle(asked.select(F.col("term").alias("segment")).distinct().withColumn("tiles", tiles_of("segment")))
     hay = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
     rows = ledger.select(F.lit("").alias("source"), F.col(key).cast("long").alias("page_id"), hay.alias("text"))
-    index = Index(rows, segs.select(F.explode("tiles").alias("t")).select("t.hash", "t.k"), edges=False, form=None)
-    held = occurrences(index, segs).select(F.col("segment").alias("term"), F.col("page_id").alias(key)).distinct()
+    short = segs.where(F.length("segment") <= RUN).select("segment", F.get("tiles", F.lit(0)).alias("t")).select("segment", "t.hash", "t.k")
+    held = holding(rows, short).join(short, "hash").select(F.col("segment").alias("term"), F.col("page_id").alias(key))
+    long = segs.where(F.length("segment") > RUN)
+    if not long.isEmpty():
+        index = Index(rows, long.select(F.explode("tiles").alias("t")).select("t.hash", "t.k"), edges=False, form=None)
+        held = held.unionByName(occurrences(index, long).select(F.col("segment").alias("term"), F.col("page_id").alias(key)).distinct())
     scores = asked.join(held, "term").groupBy("question_id", key).agg(F.sum("weight").alias("score"))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), key))
     return scores.withColumn("rank", place).where(F.col("rank") <= limit)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -57,17 +58,52 @@ def segments_of(quote: pd.Series) -> pd.Series:
     return quote.map(segments)
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: Characters that are hashed together, so that memory does not grow with a text.
+_BLOCK = 1 << 20
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    pair = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        each = np.full(n, x, np.uint64)
+        each[0] = 1
+        pair.append(np.cumprod(each, dtype=np.uint64))
+    return pair[0], pair[1]
+
+
+class Runs:
+    """The runs of a text of at most _BLOCK characters and one run: sums of characters by powers of their place, from which runs of any length are told."""
+
+    def __init__(self, text: str):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        up, self._down = _powers(1 << max(12, len(code).bit_length()))
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * up[: len(code)], dtype=np.uint64)])
+
+    def hashes(self, k: int) -> np.ndarray:
+        """A hash for each run of k characters, by its place, as signed longs."""
+        n = max(0, len(self._sums) - k)
+        h = (self._sums[k:] - self._sums[:n]) * self._down[:n] + np.uint64(k)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def run_hashes(text: str, k: int) -> np.ndarray:
-    """A hash for each run of k letters, by its place, as signed longs."""
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(code) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    h = np.full(n, k, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n]
-    h ^= h >> np.uint64(29)
-    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return Runs(text).hashes(k)
+
+
+def asked_runs(text: str, sizes: list[int], bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places) of the text's runs of the given lengths that the bitmap holds."""
+    for lo in range(0, len(text), _BLOCK):
+        runs = Runs(text[lo : lo + _BLOCK + max(sizes, default=1) - 1])
+        for k in sizes:
+            h = runs.hashes(k)[:_BLOCK]
+            slot = _slots(h)
+            hit = np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1)
+            yield h[hit], hit + lo
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -117,14 +153,8 @@ def _places(spark, wanted: DataFrame, kept: int, form: Callable[[str | None], st
         for b in batches:
             for source, page, text in zip(*b.columns):
                 s, p, t = source.as_py(), page.as_py(), form(text.as_py())
-                found, at = [], []
-                for k in sizes:
-                    h = run_hashes(t, k)
-                    slot = _slots(h)
-                    hit = np.flatnonzero((bits.value[slot >> 6] >> (slot & 63)) & 1)
-                    found.append(h[hit])
-                    at.append(hit)
-                h, a = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, at))
+                found = [*asked_runs(t, sizes, bits.value)] or [(np.empty(0, np.int64),) * 2]
+                h, a = map(np.concatenate, zip(*found))
                 n = len(h) + 1  # the page itself comes first
                 columns = [[s] * n, [p] * n, [len(t)] + [None] * (n - 1), [t[:kept]] + [None] * (n - 1), [t[max(0, len(t) - kept) :]] + [None] * (n - 1), [None, *h.tolist()], [None, *a.tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types)], names=names)
@@ -132,6 +162,26 @@ def _places(spark, wanted: DataFrame, kept: int, form: Callable[[str | None], st
     return run
 
 
+def hits(text: str, sizes: list[int], bits: np.ndarray) -> list[int]:
+    """The distinct hashes of a text's runs of the given lengths that the bitmap holds."""
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(h for h, _ in asked_runs(text, sizes, bits))])).tolist()
+
+
+def holding(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, hash): which runs of wanted (hash, k) each of pages (page_id, text) holds, once; the text is read as it is."""
+    wanted = settle(wanted.select("hash", "k").distinct())
+    sizes = sorted(r.k for r in wanted.select("k").distinct().collect())  # lengths of short runs
+    bits = pages.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page, text in zip(*b.columns):
+                found = hits(text.as_py() or "", sizes, bits.value)
+                yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["page_id", "hash"])
+
+    return pages.select(F.col("page_id").cast("long"), "text").mapInArrow(run, "page_id long, hash long").join(wanted.select("hash"), "hash", "left_semi")
+
+
 def _edges(sizes: list[int]):
     """The runs that cross the edge between two pages, at their places in the first."""
 
