@@ -47,13 +47,13 @@ _QUOTED = re.compile(QUOTED)
 
 @F.pandas_udf(row(figures=many(_STATED), terms=many(row(term=TEXT, hash=LONG, k=INT, cjk=TRUTH))))
 def stated(sentence: pd.Series) -> pd.DataFrame:
-    """Figures of sentences outside quotations, citations and pointers, each once, and the terms that place them."""
+    """Figures of sentences outside quotations, citations and pointers, each once, and the terms that place them; sentences without a figure need none."""
     found, places = [], []
     for text in sentence.fillna(""):
         body = _QUOTED.sub(lambda m: " " * len(m[0]), text)
         read = fig.figures(fig.without_pointers(fig.normal(fig.without_citations(body))))
         found.append([dict(zip(_NAMES, _fields(*f))) for f in dict.fromkeys((f.number, f.unit) for f in read)])
-        places.append([{"term": t, "hash": term_hash(t), "k": len(t), "cjk": not t.isascii() and len(t) == 2} for t in fig.terms(fig.without_citations(text))])
+        places.append([{"term": t, "hash": term_hash(t), "k": len(t), "cjk": not t.isascii() and len(t) == 2} for t in (fig.terms(fig.without_citations(text)) if read else ())])
     return pd.DataFrame({"figures": found, "terms": places})
 
 
