@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import claims, prose
+from .functions import claims
 from .functions import text as txt
 from .operators import aggregate as agg
-from .operators import audit, charts, citations, drafts, figure_checks, ledger, pairs, profile, quotes, references
+from .operators import charts, citations, figure_checks, ledger, pairs, profile, quotes
 from .plans.settled import shared_dir
 from .queries import Tables, long, query, r4
 from .sources import blocks, tabular
@@ -20,7 +20,7 @@ def joined(c, sep="|"):
     return F.array_join(c, sep)
 
 
-def _each(spark, d, *names: str) -> DataFrame:
+def _each(spark, d) -> DataFrame:
     """(id, text) of every text of documents and benchmark; items have negative ids."""
     t = Tables(spark, d)
     return t.documents.select(F.col("doc_id").alias("id"), "text").unionByName(t.benchmark.select((-1 - F.col("item_id")).alias("id"), "text"))
@@ -124,7 +124,7 @@ u AS (SELECT x.x AS below, y.y, sum(CASE WHEN y.x = x.x THEN 1 ELSE 0 END) AS he
 r AS (SELECT below, asked, held, sum(held) OVER (PARTITION BY below ORDER BY y) AS upto, sum(held) OVER (PARTITION BY below) AS every FROM u)
 SELECT CAST(sum(asked * (upto - held)) AS BIGINT) AS concordant, CAST(sum(asked * (every - upto)) AS BIGINT) AS discordant, CAST(sum(asked * held) AS BIGINT) AS tied FROM r""")
 def pairs_quantity_price(spark, d):
-    return pairs.pair_counts(Tables(spark, d).lineitem, "l_quantity", "l_extendedprice", )
+    return pairs.pair_counts(Tables(spark, d).lineitem, "l_quantity", "l_extendedprice")
 
 
 @query("""WITH g AS (SELECT l_tax AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT a.n * b.n AS n, sign(b.x - a.x) * sign(b.y - a.y) AS s FROM g a, g b)
@@ -198,9 +198,6 @@ def linked_sources(spark, d):
     return found.select("key", "occurrences", "title", "url", "kind")
 
 
-_MAILBOX = "SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'https?://[^\\s<>()\\[\\]{}\"''）】」』，。；、]+')) AS url FROM documents"
-
-
 @query("""WITH t AS (SELECT conv_id AS doc, turn, CASE WHEN turn % 2 = 0 THEN '[' || substr(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 1, 20) || '](https://Site' || conv_id % 40 || '.org/p/)' ELSE 'see http://www.site' || conv_id % 40 || '.org/p. (Source: Press ' || conv_id % 7 || ', 20' || (10 + conv_id % 9) || ')' END AS text FROM conversations WHERE coalesce(text, '') <> ''),
 m AS (SELECT doc * 1000 + turn AS place, 'site' || doc % 40 || '.org/p' AS key, CASE WHEN turn % 2 = 0 THEN trim(regexp_extract(text, '^\\[([^\\]]*)', 1)) ELSE '' END AS title, CASE WHEN turn % 2 = 0 THEN 'link' ELSE 'url' END AS kind FROM t
 UNION ALL SELECT doc * 1000 + turn, 'press ' || doc % 7 || '|20' || (10 + doc % 9), '', 'attribution' FROM t WHERE turn % 2 <> 0)

@@ -11,7 +11,7 @@ from .functions import text as txt
 from .operators import aggregate as agg
 from .operators import audit, charts, drafts, gates, ledger, references, shape
 from .operators.aggregate import Measure
-from .queries import Tables, _claims, _evidence, _sentences, long, query, r4
+from .queries import Tables, _claims, _evidence, _sentences, long, query
 from .sources import blocks, tabular
 
 
@@ -225,11 +225,9 @@ def facts_added(spark, d):
     return Tables(spark, d).orders.select("o_orderkey", joined(prose.new_facts(F.lit("it rose"), new)).alias("facts"))
 
 
-@query("SELECT doc_id, regexp_matches(t, '(?i)\\bthe[\\s-]+and\\b') AS term, regexp_matches(t, '(?i)\\b(?:error|latency|speed|faster|gain|better|worse)\\b') AND NOT regexp_matches(t, '(?i)\\b[0-9]+(?:\\.[0-9]+)?\\s*(?:%|(?:ms|ns|s|hz)\\b)') AS bare FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)(^|[^\\p{L}\\p{N}_])the[\\s-]+and($|[^\\p{L}\\p{N}_])') AS term FROM documents")
 def terms_held(spark, d):
-    bare = txt.count_matches(F.col("text"), r"(?i)\b(?:error)\b") > 0
-    c = F.coalesce("text", F.lit(""))
-    return Tables(spark, d).documents.select("doc_id", prose.holds_term(c, "the-and").alias("term"), (bare | prose.claims_without_figures(c)).alias("bare"))
+    return Tables(spark, d).documents.select("doc_id", prose.holds_term(F.coalesce("text", F.lit("")), "the-and").alias("term"))
 
 
 @query("""SELECT o_orderkey, 'as' || repeat(' ', length(c_mktsegment) + 10) || 'says, ' || repeat(' ', 7 + length(CAST(l AS VARCHAR)) - 1) || ' gave ' || o_custkey AS masked FROM (SELECT *, o_orderkey % 9 + 1 AS l FROM orders) JOIN customer ON o_custkey = c_custkey""")
@@ -452,9 +450,6 @@ def views_ranked(spark, d):
     return audit.ranked_recommendations(rows)
 
 
-_REQUESTS = "SELECT n_nationkey AS id, n_regionkey AS r FROM nation"
-
-
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, 'c_acctbal' AS group_column FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) >= 3)")
 def request_families(spark, d):
     """A request for each nation, of a family for each region: the same figure under other filters."""
@@ -576,9 +571,6 @@ def kinds_of_evidence(spark, d):
     return Tables(spark, d).customer.select("c_custkey", txt.evidence_type(cells, F.lit("csv_row")).alias("type"))
 
 
-_LETTERS = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
-
-
 @query("""SELECT o_orderkey AS ref_id, CASE WHEN c_custkey IS NOT NULL AND o_orderkey % 9 <> 0 THEN o_custkey END AS work_id, CASE WHEN c_custkey IS NULL OR o_orderkey % 9 = 0 THEN 'not_found' WHEN o_orderkey % 4 = 0 THEN 'mismatch' WHEN c_custkey % 6 = 0 THEN 'retracted' WHEN o_orderkey % 5 = 0 THEN 'needs_review' ELSE 'verified' END AS verdict
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def references_matched(spark, d):
