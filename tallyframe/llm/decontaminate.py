@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, settle, table
+from .common import SPACE, ascii_lower, join_on, maybe_broadcast, salted_join, settle, table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -56,7 +56,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
     Words are compared with A-Z lower-cased, shingles as sets. Items without words match nothing, null
     and blank texts hold nothing, rows with a null item_id are not searched for. Rows that share a
-    doc_id are one document; the rows with a null doc_id are likewise one, reported with null.
+    doc_id are one document; the rows with a null doc_id are likewise one, reported with null. Texts of
+    any length are searched whole; an empty table, of documents or of items, gives an empty result.
     """
     grams = settle(item_shingles(items.where("item_id IS NOT NULL").select("item_id", "text"), n))
     sketch = settle(sketches(grams, containment))
@@ -88,10 +89,12 @@ def verified(docs: DataFrame, candidates: DataFrame, grams: DataFrame, containme
     sizes = grams.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     if held is None:
         held = candidates.select("doc_id", F.lit("").alias("shingle"), F.lit(0).alias("width"))
+    # candidates bring the shingles they ask for: a shingle of many documents and many items meets only where both are a candidate
     wanted = grams.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
-    hits = held.join(wanted, ["width", "shingle"]).select("doc_id", "item_id", "shingle").distinct()
-    pairs = candidates.select(F.col("doc_id").alias("__id"), F.col("item_id").alias("__item"))
-    hits = hits.join(pairs, hits.doc_id.eqNullSafe(pairs["__id"]) & (hits.item_id == pairs["__item"]), "left_semi")
+    held = held.join(maybe_broadcast(settle(wanted.select("width", "shingle").distinct()), BROADCAST_ROWS), ["width", "shingle"], "left_semi").distinct()
+    items = wanted.groupBy("item_id").agg(F.first("width").alias("width"), F.collect_list("shingle").alias("shingles"))
+    asked = salted_join(candidates, items, "item_id", ["doc_id"]).select("doc_id", "item_id", "width", F.explode("shingles").alias("shingle"))
+    hits = join_on(asked, held, ["doc_id", "width", "shingle"], "inner")
     shared = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared")).join(sizes, "item_id")
     shared = shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     enough = F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_shingles") - 1e-9)

@@ -94,6 +94,37 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert none.count() == 0
 
 
+def test_values_of_odd_rows(odd_docs):
+    words = Counter({(1, 80): 1, (2, 80): 2, (3, 0): 1, (4, 0): 1, (5, 0): 1, (6, 40_000): 1, (None, 80): 1, (None, 0): 1, (7, 1): 1, (8, 120): 1})
+    judged = quality.judged(odd_docs).collect()
+    assert Counter((r.doc_id, r.n_words) for r in judged) == words
+    assert Counter(r.doc_id for r in judged if r.kept) == Counter([1, 2, 2, 6, None])
+    assert all(r.base_failed == (r.n_words < 50 or r.doc_id == 8) for r in judged)
+    (accents,) = (r for r in judged if r.doc_id == 8)
+    assert (accents.word_chars, accents.n_repeat_words, accents.n_dup_lines) == (240, 120, 0)
+    assert Counter((r.doc_id, r.words_left) for r in linededup.report(odd_docs).collect()) == words
+    assert {(r.n_lines, r.n_removed) for r in linededup.report(odd_docs).collect()} == {(0, 0), (1, 0)}
+    mixed = mixing.mix(odd_docs).collect()
+    assert Counter((r.doc_id, r.size) for r in mixed) == words
+    assert {(r.source, r.source_size) for r in mixed} == {("a", 40_161), ("b", 160), ("c", 0), ("d", 120), (None, 0)}
+    assert all(r.taken == r.copies * r.size and 0 <= r.copies <= 2 for r in mixed)
+    assert len({r.taken for r in mixed if r.doc_id == 2}) == 1  # equal rows are taken alike
+
+
+def test_shingles_of_many_documents_and_items(make_docs, spark, monkeypatch):
+    """A passage that all items and a third of the documents share: the pairs are those that contain the item, however joins are made."""
+    common = [f"licence{i}" for i in range(30)]
+    items = spark.createDataFrame([(i, " ".join([*common, f"a{i} b{i} c{i}"])) for i in range(20)], "item_id long, text string")
+    rows = [(d, " ".join([f"u{d}", *common, f"a{d} b{d} c{d} end"]), "s") for d in range(30)] + [(None, " ".join(common), "s"), (30, " ".join(common[:20]), "s")]
+    # 29 or 26 of 29 shingles: the common passage alone is more than 0.8 of each item
+    want = {(d, i, 29 if d == i else 26) for d in (*range(30), None) for i in range(20)}
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr("tallyframe.llm.common.HOT_ROWS", 8)
+        got = decontaminate.contaminated(make_docs(rows), items).collect()
+        assert {(r.doc_id, r.item_id, r.n_shared) for r in got} == want and {r.n_shingles for r in got} == {29}
+
+
 def test_many_boilerplate_lines_are_joined_by_shuffle(make_docs, monkeypatch):
     """The same verdicts whether found lines are broadcast or dealt out."""
     rows = [(i, f"shared line one\nshared line two\n{body(i)}", "a" if i % 3 else None) for i in range(90)]
