@@ -789,4 +789,4 @@ def stream_deduplicated(spark, d):
     return streams.deduplicated(Tables(spark, d).events).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-from . import corpus_queries, record_queries  # noqa: E402,F401 - register their queries, which use the helpers above
+from . import corpus_queries, prose_queries, record_queries  # noqa: E402,F401 - register their queries, which use the helpers above
