@@ -276,10 +276,11 @@ def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
     runs = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
     runs = runs.groupBy("doc", "head", "shift", "run").agg(F.min("start").alias("at"), F.min("head_at").alias("head_at"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n"))
     runs = settle(runs.select("doc", "at", "n", "head", "head_at"))
-    asked = runs.select("doc", "at", "n").union(runs.select("head", "head_at", "n")).distinct()
-    found = excerpts(docs, asked).withColumn("spot", F.xxhash64("doc", "at", "n"))  # cheaper to cut out twice than to write
-    own = found.select("spot", "line", "words", "before")
-    theirs = found.select(*[F.col(c).alias(f"{c}_") for c in own.columns])
+    # each side's excerpts are cut out where they are joined, and only its own
+    spot = F.xxhash64("doc", "at", "n")
+    own = excerpts(docs, runs.select("doc", "at", "n")).select(spot.alias("spot"), "line", "words", "before")
+    heads = runs.select(F.col("head").alias("doc"), F.col("head_at").alias("at"), "n").distinct()
+    theirs = excerpts(docs, heads).select(spot.alias("spot_"), *[F.col(c).alias(f"{c}_") for c in ("line", "words", "before")])
     runs = runs.withColumn("spot", F.xxhash64("doc", "at", "n")).withColumn("spot_", F.xxhash64("head", "head_at", "n"))
     asks = runs.groupBy("spot_").agg(F.count("*").alias("n"))
     pairs = salted_join(runs.join(own, "spot"), theirs, "spot_", ["doc", "at"], counts=asks).drop("spot", "spot_")
