@@ -162,11 +162,19 @@ def table_rows(tables: DataFrame, key: str = "block_id", content: str = "content
     Repeated headers are told apart, short rows are filled up, rows of placeholders go.
     """
     lines = F.filter(F.split(F.col(content), "\r?\n"), lambda x: x.contains("|") & ~x.rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"))
-    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x)))
-    head = F.get(cells, F.lit(0))
-    named = F.transform(head, lambda h, i: F.concat(F.when(h == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(h), F.when(F.size(F.filter(F.slice(head, F.lit(1), i), lambda g: g == h)) > 0, F.concat(F.lit(" ["), (F.size(F.filter(F.slice(head, F.lit(1), i), lambda g: g == h)) + 1).cast("string"), F.lit("]"))).otherwise("")))
-    numeric = F.forall(head, lambda h: h.rlike(r"^[+-]?[0-9][0-9,]*(\.[0-9]+)?%?$"))
-    rows = tables.where(F.size(cells) >= 2).where(~numeric).select(key, named.alias("names"), F.posexplode(F.slice(cells, F.lit(2), F.size(cells))).alias("row", "values"))
+
+    def cells(line: Column) -> Column:
+        return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), lambda x: F.trim(x))
+
+    # an explode of one value computes it once, where a column would be put into each row's expressions, the whole text with it
+    found = tables.select(key, F.explode(F.array(lines)).alias("lines")).where(F.size("lines") >= 2)
+    headed = found.select(key, "lines", F.explode(F.array(cells(F.get("lines", F.lit(0))))).alias("head"))
+    before = lambda h, i: F.size(F.filter(F.slice("head", F.lit(1), i), lambda g: g == h))
+    named = F.transform("head", lambda h, i: F.concat(F.when(h == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(h), F.when(before(h, i) > 0, F.concat(F.lit(" ["), (before(h, i) + 1).cast("string"), F.lit("]"))).otherwise("")))
+    numeric = F.forall("head", lambda h: h.rlike(r"^[+-]?[0-9][0-9,]*(\.[0-9]+)?%?$"))
+    rows = headed.where(~numeric).select(key, "lines", F.explode(F.array(named)).alias("names"))
+    rows = rows.select(key, "names", F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("row", "line"))
+    rows = rows.select(key, "row", "names", F.explode(F.array(cells(F.col("line")))).alias("values"))
     filled = F.transform("names", lambda n, i: F.coalesce(F.get("values", i), F.lit("")))
     stated = F.exists(filled, lambda v: ~F.lower(v).isin("", "-", "--", "n/a", "na", "tbd", "none", "null"))
     return rows.where(stated).select(key, "row", F.to_json(F.map_from_arrays("names", filled)).alias("content"))
