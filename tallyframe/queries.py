@@ -758,10 +758,8 @@ def interval_overlap(spark, d):
 WHERE abs(a.o_totalprice - b.o_totalprice) <= 0.01 * greatest(abs(a.o_totalprice), abs(b.o_totalprice)) + 1e-9""")
 def band_join_tolerance(spark, d):
     o = Tables(spark, d).orders.select("o_custkey", "o_orderkey", "o_totalprice")
-    right = o.select("o_custkey", "o_totalprice")
-    out = references.band_join(o, right.withColumn("o_totalprice", F.col("o_totalprice")), "o_custkey", "o_totalprice")
-    keyed = out.join(o.select("o_custkey", F.col("o_totalprice").alias("found"), F.col("o_orderkey").alias("r")), ["o_custkey", "found"])
-    return keyed.select(F.col("o_orderkey").alias("l"), "r")
+    out = references.band_join(o, o.withColumnRenamed("o_orderkey", "r"), "o_custkey", "o_totalprice")
+    return out.select(F.col("o_orderkey").alias("l"), "r")
 
 
 # -- streaming additions, here over the batch table ---------------------------------------------
