@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.settled import settle
+
 #: Of so many parts of a group's rows, some ten are put in order for a place; groups of up to SMALL values as a whole.
 PARTS, SMALL = 10_000, 4096
+#: Brackets (one for each group and place) of which a table is broadcast, some 10 MB; of more, it is joined by shuffle.
+FEW = 100_000
 
 
 def at_ranks(values: DataFrame, keys: list[str], places: dict[str, float], ranks: dict[str, Column]) -> DataFrame:
@@ -29,10 +33,17 @@ def at_ranks(values: DataFrame, keys: list[str], places: dict[str, float], ranks
     small = F.col("n") <= SMALL
     brackets = F.array(*[F.struct(F.lit(i).alias("__i"), F.when(small, F.col("lo")).otherwise(F.get("cuts", F.lit(2 * i))).alias("a"), F.when(small, F.col("hi")).otherwise(F.get("cuts", F.lit(2 * i + 1))).alias("b")) for i in range(len(distinct))])
     asked = sketch.select(*[F.col(k).alias(f"__key_{k}") for k in keys], "n", F.explode(brackets).alias("p")).select(*[f"__key_{k}" for k in keys], "n", "p.*")
+    if keys:
+        asked = settle(asked)
     on = F.lit(True)
     for k in keys:
         on = on & rows[k].eqNullSafe(asked[f"__key_{k}"])
-    met = (rows.join(asked, on) if keys else rows.join(F.broadcast(asked))).where(F.col("x") <= F.col("b"))  # without keys a row for each place
+    if keys:
+        # few groups are large ones, whose rows must not be sorted by group to meet their brackets
+        met = rows.join(F.broadcast(asked) if asked.count() <= FEW else asked, on)
+    else:
+        met = rows.join(F.broadcast(asked))
+    met = met.where(F.col("x") <= F.col("b"))  # without keys a row for each place
     counted = met.groupBy(*keys, "__i", "n", F.when(F.col("x") >= F.col("a"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "__i").orderBy(F.asc_nulls_first("v")))
     placed = counted.withColumn("upto", upto).where("v IS NOT NULL")
