@@ -172,11 +172,15 @@ def plain_wording(spark, d):
     return Tables(spark, d).part.select("p_partkey", prose.plain_style(join("a really ", F.col("p_name"), " utilizes ", F.col("p_type"), " in order to win")).alias("value"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'conclusion' WHEN o_orderkey % 3 = 1 THEN 'raw_result' ELSE '' END AS kinds FROM orders")
+@query("SELECT o_orderkey, ['conclusion|interpretation', 'raw_result', 'interpretation', 'result', ''][o_orderkey % 5 + 1] AS kinds FROM orders")
 def section_intrusions(spark, d):
-    k = F.col("o_orderkey") % 3
-    section = F.when(k == 0, "results").when(k == 1, "discussion").otherwise("summary")
-    text = F.when(k == 0, join("We conclude from ", F.col("o_totalprice"))).when(k == 1, join("one found ", F.col("o_custkey"), " of them")).otherwise("we conclude")
+    """What orders state in each kind of section that has rules, and in one that has none."""
+    k, n = F.col("o_orderkey") % 5, F.col("o_custkey")
+    section = F.when(k == 0, "results").when(k == 1, "discussion").when(k == 2, "methods").when(k == 3, "introduction").otherwise("summary")
+    text = (
+        F.when(k == 0, join("We conclude from ", F.col("o_totalprice"), " that our finding holds")).when(k == 1, join("one found ", n, " of them")).when(k == 2, join("a significant gain of ", n))
+        .when(k == 3, join("found ", n, " cases")).otherwise("we conclude")
+    )
     return Tables(spark, d).orders.select("o_orderkey", joined(prose.intrusions(section, text)).alias("kinds"))
 
 
