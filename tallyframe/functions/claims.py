@@ -93,16 +93,20 @@ def lost_amounts(c: Column) -> Column:
     return F.flatten(F.array(*[found(r, p) for r, p in LOST_AMOUNTS]))
 
 
-def digits_for_words(c: Column) -> Column:
-    """Number words that open a sentence as digits, for reading numbers: `Forty-two users` as `42 users`."""
-    out, lead = c, r"(^\s*|[.!?]\s+|\n\s*)"
-    for i, tens in enumerate(TENS):
-        for j, unit in enumerate(UNITS[:9]):
-            out = F.regexp_replace(out, rf"{lead}{tens.title()}-{unit}\b(?!-)", f"$1{10 * (i + 2) + j + 1}")
-        out = F.regexp_replace(out, rf"{lead}{tens.title()}\b(?!-)", f"$1{10 * (i + 2)}")
-    for j, unit in enumerate(UNITS):
-        out = F.regexp_replace(out, rf"{lead}{unit.title()}\b(?!-)", f"$1{j + 1}")
-    return out
+_OPENING = re.compile(
+    r"(^\s*|[.!?]\s+|\n\s*)(?:(" + "|".join(t.title() for t in TENS) + ")(?:-(" + "|".join(UNITS[:9]) + "))?|(" + "|".join(u.title() for u in UNITS) + r"))\b(?!-)", re.ASCII
+)
+_VALUES = {u: i + 1 for i, u in enumerate(UNITS)} | {t: 10 * (i + 2) for i, t in enumerate(TENS)}
+
+
+def _in_digits(m: re.Match) -> str:
+    return m[1] + str(sum(_VALUES[w.lower()] for w in m.groups()[1:] if w))
+
+
+@F.pandas_udf(TEXT)
+def digits_for_words(text: pd.Series) -> pd.Series:
+    """Number words that open a sentence as digits, for reading numbers: `Forty-two users` as `42 users`. One pass of one pattern."""
+    return text.map(lambda t: t if t is None else _OPENING.sub(_in_digits, t))
 
 
 def row_numbers(content: Column) -> Column:
