@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .kinds import INT, TEXT, many, row
-from .numbers import parse_number
+from .numbers import once, parse_number
 from .text import CJK, coverage
 
 #: Least coverage of terms by the shapes of claim and evidence.
@@ -115,12 +115,13 @@ def row_numbers(content: Column) -> Column:
 
     def of(e: Column) -> Column:
         cell = F.trim(F.coalesce(e["value"], F.lit("")))
-        bare = F.trim(F.regexp_replace(cell, BOUND, ""))
-        value = parse_number(bare)
-        kind = F.when(value.isNull(), "label").when(cell.rlike(BOUND), "bounded").otherwise("measured")
-        plain = F.array(F.struct(e["key"].alias("column"), value.alias("value"), kind.alias("kind")))
         inside = F.transform(F.regexp_extract_all(cell, F.lit(NUMBER), 0), lambda n: F.struct(e["key"].alias("column"), parse_number(n).alias("value"), F.lit("label").alias("kind")))
-        return F.when(value.isNotNull(), plain).otherwise(inside)
+
+        def read(value: Column) -> Column:
+            kind = F.when(cell.rlike(BOUND), "bounded").otherwise("measured")
+            return F.when(value.isNotNull(), F.array(F.struct(e["key"].alias("column"), value.alias("value"), kind.alias("kind")))).otherwise(inside)
+
+        return once(parse_number(F.trim(F.regexp_replace(cell, BOUND, ""))), read)
 
     return F.coalesce(F.flatten(F.transform(cells, of)), F.array().cast("array<struct<column: string, value: double, kind: string>>"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,11 @@ def half_width(c: Column) -> Column:
     return F.translate(c, FULL_WIDTH, HALF_WIDTH)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, where a column is computed at each place of a lambda that names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_number(c: Column) -> Column:
     """A text cell as a double, or null: currency, thousands separators, blanks and a percent sign are notation."""
     marks = "[" + "".join(CURRENCY_UNITS) + "]"
