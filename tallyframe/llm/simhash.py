@@ -206,7 +206,7 @@ def _named_words(text: str | None) -> tuple[int, bytes]:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, fid, size, bands) for each row of docs: the hash that names the text's words, their number and MinHash bands."""
+    """(doc_id, fid, size, fp, bands) for each row of docs: the hash that names the text's words, their number, fingerprint and MinHash bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +215,10 @@ def _banded(docs: DataFrame) -> DataFrame:
                 named = [_named_words(t.as_py()) for t in b.column(1)]
                 words = [joined.split() for _, joined in named]
                 bands = band_keys([shingle_hashes(w, SIMILAR_SHINGLE) for w in words]).view(np.int64)
-                columns = [b.column(0), pa.array([x[0] for x in named], pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array(list(bands), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fid", "size", "bands"])
+                columns = [b.column(0), pa.array([x[0] for x in named], pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array([majority(shingle_hashes(w, SHINGLE)) for w in words], pa.int64()), pa.array(list(bands), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fid", "size", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fid long, size long, fp long, bands array<long>")
 
 
 def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,19 +238,24 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, cell: int = SIMILAR_CELL) -> DataFrame:
     """(doc_id, component_id) for each row of docs; links are pairs of 0.8 similarity over five-word shingles or more.
 
-    MinHash bands propose the links, the words of both documents decide, see nearlinks.similar_links. Only
+    SimHash proposes links: documents whose fingerprints links join, as in near_duplicates, share a bucket.
+    MinHash bands propose more, and the words of both documents decide, see nearlinks.similar_links. Only
     ids are shuffled to bands; words are joined to the links and cells that compare them. Rows are treated
     as by near_duplicates.
     """
     rows = settle(_banded(docs))
-    first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    first = rows.groupBy("fid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     first = settle(first)
+    linked = connected_components(fingerprint_links(first))
+    group = F.xxhash64(F.coalesce("component", "fp"), F.lit("fingerprints")).alias("band")
+    of_prints = first.select("fid", "fp").join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fid").alias("id"), group)
 
     def bodies(wanted: DataFrame) -> DataFrame:
         return _words(docs, settle(first.select("fid", "first").join(wanted.withColumnRenamed("id", "fid"), "fid", "left_semi")))
 
     ids = first.withColumnRenamed("fid", "id")
-    links = similar_links(ids.select("id", F.explode("bands").alias("band")), ids.select("id", "size"), bodies, SIMILARITY, cell)
+    buckets = settle(ids.select("id", F.explode("bands").alias("band")).unionByName(of_prints))
+    links = similar_links(buckets, ids.select("id", "size"), bodies, SIMILARITY, cell)
     return _named(rows.select("doc_id", "fid"), first.select("fid", "first", "n"), "fid", connected_components(links)).select("doc_id", "component_id")
 
 

@@ -170,3 +170,12 @@ def test_template_group_around_the_threshold_equals_brute_force(make_docs):
     for cell in (simhash.SIMILAR_CELL, 16):
         got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, cell=cell).collect()}
         assert [got[i] for i in range(200)] == want
+
+
+def test_similar_documents_are_proposed_by_their_fingerprints(make_docs, monkeypatch):
+    """With MinHash bands that never meet, links of fingerprints alone find a near copy; the words still decide."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.arange(len(hashes), dtype=np.uint64)[:, None] + np.uint64(10**6))
+    text = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, text, "a"), (2, text + " end", "a"), (3, " ".join(f"v{i}" for i in range(3000)), "a")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(make_docs(rows).coalesce(1)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
