@@ -21,7 +21,7 @@ from ..functions import figures as fig
 from ..functions.kinds import DOUBLE, INT, LONG, TEXT, TRUTH, many, row
 from ..functions.text import QUOTED, sentences
 from ..plans.settled import settle
-from .quotes import _bitmap, hits, letters, run_hashes, with_source
+from .quotes import _bitmap, _slots, hits, letters, run_hashes, with_source
 
 #: Characters around a figure, terms that must be there, digits of a telling figure, and when a term is common.
 CONTEXT, MIN_TERMS, TELLING_DIGITS = 250, 2, 4
@@ -205,6 +205,54 @@ class Met:
         return met.groupBy(*by).agg(*[F.first(c).alias(c) for c in rest], n.alias("matched"), own.alias("matched_specific"))
 
 
+#: How many of a sentence's rarest terms propose places in each round; the last takes all that can still matter.
+ROUNDS = (1, 4, None)
+
+
+def _room(x: Column) -> Column:
+    """The whole number by which values meet; values with a key in common lie in rooms at most two apart."""
+    return F.floor(F.greatest(F.least(x, F.lit(4e18)), F.lit(-4e18)) + 0.5)
+
+
+def _rooms(x: Column) -> Column:
+    return F.transform(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long")), lambda i: _room(x) + i)
+
+
+def _holding(spots: DataFrame, hashes: DataFrame) -> DataFrame:
+    """spots by each of their terms that hashes may hold; the others, which are most, are not written."""
+    bits = spots.sparkSession.sparkContext.broadcast(_bitmap(hashes))
+
+    @F.pandas_udf(many(LONG))
+    def kept(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda t: t[(bits.value[(slot := _slots(t)) >> 6] >> (slot & 63)) & 1 == 1])
+
+    return spots.withColumn("hash", F.explode(kept("terms"))).drop("terms")
+
+
+def _most_shared(quests: DataFrame, spots: DataFrame, agree: Column) -> DataFrame:
+    """(ask, b) of quests (quest, ask, source, value, ..., ranked, need): the spot of the source that holds most of a quest's terms, of equal ones the first.
+
+    A spot that holds b of n terms holds one of the n - b + 1 rarest. So the rarest term of a quest proposes first,
+    and only as many more as a spot that is as good as the best found must hold one of.
+    """
+    quests, lo, found = quests.withColumn("best", F.col("need")), 0, None
+    for hi in ROUNDS:
+        reach = F.size("ranked") - F.col("best") + 1
+        asked = quests.where(reach > lo).withColumn("hash", F.explode(F.slice("ranked", lo + 1, F.greatest(F.lit(0), (reach if hi is None else F.least(reach, F.lit(hi))) - lo))))
+        asked = asked.drop("ranked", "need", "best").withColumn("room", F.explode(_rooms(F.col("value"))))
+        page = _holding(spots, asked.select("hash")).withColumn("room", _room(F.col("p_value")))
+        met = asked.join(page, ["source", "room", "hash"]).where(agree).select("quest", "spot").distinct()
+        terms = met.join(quests.select("quest", "ask", "ranked", "need"), "quest").join(spots.select("spot", "source", "page_id", "start", "terms"), "spot")
+        shared = terms.withColumn("n", F.size(F.array_intersect("ranked", "terms"))).where(F.col("n") >= F.col("need"))
+        best = shared.groupBy("quest", "ask").agg(F.min(F.struct((-F.col("n")).cast("long").alias("less"), "source", "page_id", "start")).alias("b"))
+        best = settle(best)
+        found = best if found is None else found.unionByName(best)
+        if hi is not None:
+            more = best.select("quest", (-F.col("b.less")).cast("int").alias("more"))
+            quests, lo = settle(quests.join(more, "quest", "left").withColumn("best", F.greatest("best", F.coalesce("more", "best"))).drop("more").where(F.size("ranked") - F.col("best") + 1 > hi)), hi
+    return found.select("ask", "b")
+
+
 def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
     """(draft_id, position, figure, unit, supported, source, page_id, matched_terms) of the figures that drafts (draft_id, text) state.
 
@@ -213,30 +261,38 @@ def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
     not count unless the sentence has no others. A figure of four digits printed alike needs one term of any
     kind. The place with most terms is given, of equal ones the first. pages: (page_id, text), with a column
     source where there are several.
+
+    Figures with the same terms are asked for once, page figures with the same context stand for the first of them.
     """
     m = Met(draft, pages)
-    found = [r.places for r in m.claims.select("places").distinct().collect()]  # a few whole numbers
-    scales = F.array(*[F.lit(x) for x in sorted(found)]) if found else F.array().cast("array<int>")
-    claims = m.claims.select("claim", "terms", "number", "unit", "value", "places", "digits", "u0", "u1", F.col("places").alias("scale"), F.explode(_keys(F.col("value"), F.col("places"))).alias("key")).dropDuplicates(["claim", "key"])
-    held = m.held.withColumn("scale", F.explode(scales)).withColumn("key", F.explode(_keys(F.col("value"), F.col("scale"))))
-    both = m.shared(claims, held, ["scale", "key"])
+    says = ["value", "places", "u0", "u1"]
+    claims = m.claims.withColumn("terms", F.array_sort(F.transform("terms", lambda t: F.struct(t["hash"].alias("hash"), t["cjk"].alias("cjk"))))).withColumn("telling", F.col("digits") >= TELLING_DIGITS)
+    claims = settle(claims.select("claim", "draft_id", "position", "number", "unit", *says, "telling", "terms").withColumn("ask", F.xxhash64(*says, "telling", "terms")))
+    asks = settle(claims.dropDuplicates(["ask"]).select("ask", *says, "telling", "terms"))
+    spots = m.held.groupBy("source", *says, "terms").agg(F.min(F.struct("page_id", "start")).alias("at"))
+    spots = settle(spots.select(F.xxhash64("source", "at.page_id", "at.start").alias("spot"), "source", "at.page_id", "at.start", *[F.col(c).alias(f"p_{c}") for c in says], "terms"))
+    values = settle(spots.groupBy("source", *[f"p_{c}" for c in says]).agg(F.min(F.struct("page_id", "start")).alias("at")))
     ok = agrees(F.col("value"), F.col("places"), F.col("p_value"), F.col("p_places")) & unit_supports(F.col("u0"), F.col("u1"), F.col("p_u0"), F.col("p_u1"))
-    both = both.where(ok)
-    both = both.join(m.needs(both), ["claim", "source"])
-    telling = (F.col("digits") >= TELLING_DIGITS) & (F.col("p_places") == F.col("places"))
-    use_all = telling | (F.col("specific") == 0)
-    matched = F.when(use_all, F.col("matched")).otherwise(F.col("matched_specific"))
-    need = F.when(telling, 1).otherwise(F.least(F.lit(MIN_TERMS), F.when(use_all, F.col("n")).otherwise(F.col("specific"))))
-    best = F.min(F.struct((-F.col("terms")).alias("less"), "source", "page_id", "start"))
-    hits = both.withColumn("terms", matched).where(F.col("terms") >= need).groupBy("claim").agg(best.alias("b"))
+    ok = ok & F.arrays_overlap(_keys(F.col("value"), F.col("places")), _keys(F.col("p_value"), F.col("places")))
+    # what is asked of each source that prints about such a value: its terms there; those of them that are not common, and all where the figure itself tells
+    near = asks.select("ask", F.explode(_rooms(F.col("value"))).alias("room")).join(values.select("source", _room(F.col("p_value")).alias("room")).distinct(), "room").select("ask", "source").distinct()
+    shared = m.common.groupBy("source").agg(F.collect_set("hash").alias("common"))
+    each = near.join(m.sources, "source").join(shared, "source", "left").join(asks, "ask")
+    each = each.withColumn("terms", F.array_distinct(F.transform(F.filter("terms", lambda t: F.col("has_cjk") | ~t["cjk"]), lambda t: t["hash"])))
+    each = each.withColumn("specific", F.array_except("terms", F.coalesce("common", F.array().cast("array<long>"))))
+    used = F.when(F.size("specific") == 0, F.col("terms")).otherwise(F.col("specific"))
+    modes = F.array(F.struct(F.lit(False).alias("told"), used.alias("used"), F.least(F.lit(MIN_TERMS), F.size(used)).alias("need")), F.when(F.col("telling"), F.struct(F.lit(True).alias("told"), F.col("terms").alias("used"), F.lit(1).alias("need"))))
+    each = each.select("ask", "source", *says, F.explode(F.array_compact(modes)).alias("x")).select("ask", "source", *says, "x.*").withColumn("quest", F.xxhash64("ask", "source", "told"))
+    df = spots.select(F.explode("terms").alias("hash")).groupBy("hash").agg(F.count("*").alias("df"))
+    ranked = each.select("quest", F.explode("used").alias("hash")).join(df, "hash").groupBy("quest").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "hash"))), lambda x: x["hash"]).alias("ranked"))  # the terms of one sentence
+    quests = settle(each.drop("used").join(ranked, "quest").where(F.size("ranked") >= F.col("need")))
+    hits = _most_shared(quests, spots, ok & (~F.col("told") | (F.col("p_places") == F.col("places"))))
     # sentences without terms in a source's scripts are met by the value alone, at its first place there
-    bare = claims.where(~F.exists("terms", lambda t: ~t["cjk"]))
-    first = held.groupBy("source", "scale", "key", "u0", "u1", "places", "value").agg(F.min(F.struct("page_id", "start")).alias("at"))
-    first = first.select("source", "scale", "key", F.col("u0").alias("p_u0"), F.col("u1").alias("p_u1"), F.col("value").alias("p_value"), F.col("places").alias("p_places"), "at.page_id", "at.start")
-    alone = bare.join(first, ["scale", "key"]).where(ok).join(m.sources, "source").where((F.size("terms") == 0) | ~F.col("has_cjk")).select("claim", F.struct(F.lit(0).cast("long").alias("less"), "source", "page_id", "start").alias("b"))
-    best_of = hits.unionByName(alone).groupBy("claim").agg(F.min("b").alias("b"))
-    every = m.claims.select("claim", "draft_id", "position", F.col("number").alias("figure"), "unit").distinct()
-    return every.join(best_of, "claim", "left").select("draft_id", "position", "figure", "unit", F.col("b").isNotNull().alias("supported"), "b.source", "b.page_id", (-F.col("b.less")).alias("matched_terms"))
+    bare = asks.where(~F.exists("terms", lambda t: ~t["cjk"])).withColumn("room", F.explode(_rooms(F.col("value"))))
+    alone = bare.join(values.withColumn("room", _room(F.col("p_value"))), "room").where(ok).join(m.sources, "source").where((F.size("terms") == 0) | ~F.col("has_cjk")).select("ask", F.struct(F.lit(0).cast("long").alias("less"), "source", "at.page_id", "at.start").alias("b"))
+    best_of = hits.unionByName(alone).groupBy("ask").agg(F.min("b").alias("b"))
+    every = claims.select("claim", "ask", "draft_id", "position", F.col("number").alias("figure"), "unit").dropDuplicates(["claim"])
+    return every.join(best_of, "ask", "left").select("draft_id", "position", "figure", "unit", F.col("b").isNotNull().alias("supported"), "b.source", "b.page_id", (-F.col("b.less")).alias("matched_terms"))
 
 
 def nearest_figure(draft: DataFrame, pages: DataFrame) -> DataFrame:

@@ -179,3 +179,21 @@ def test_empty_tables(spark):
     draft = spark.createDataFrame(DRAFTS, "draft_id long, text string")
     assert all(not r.supported for r in figure_checks.check_figures(draft, none).collect())
     assert figure_checks.check_figures(draft.limit(0), none).collect() == [] and figure_checks.nearest_figure(draft, none).collect() == []
+
+
+def shuffled(spark, run):
+    """Bytes that tasks put out to others while run() is collected."""
+    wrote = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = wrote()
+    assert run().collect()
+    return wrote() - before
+
+
+def test_a_common_figure_does_not_meet_every_place_it_is_printed(spark):
+    words = ["".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(1000)]
+    sizes = []
+    for n in (200, 800):
+        rows = [(i, f"One plant of the {words[i]}{words[-1 - i]} kind sold 1 barrel of common orange garden paint.") for i in range(n)]
+        draft, pages = spark.createDataFrame(rows, "draft_id long, text string"), spark.createDataFrame(rows, "page_id long, text string")
+        sizes.append(shuffled(spark, lambda: figure_checks.check_figures(draft, pages)))  # noqa: B023
+    assert sizes[1] < 6 * sizes[0]
