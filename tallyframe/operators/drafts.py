@@ -12,7 +12,7 @@ from ..functions import figures as fig
 from ..functions.kinds import DOUBLE, INT, TEXT, row
 from ..functions.text import quotations, register_violations, sentences
 from ..sources.blocks import lines_of
-from .figure_checks import stated
+from .figure_checks import numbers_stated
 
 
 def draft_sentences(draft: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def masked(sentence: pd.Series) -> pd.DataFrame:
 
 def checkable_sentences(draft: DataFrame) -> DataFrame:
     """(draft_id, position, sentence, figures, quotes) of the sentences that state a figure or quote; citations, quotations and pointers hold no figures."""
-    s = draft_sentences(draft).withColumn("quotes", quotations(F.col("sentence"))).withColumn("x", stated("sentence"))
-    s = s.select("draft_id", "position", "sentence", F.transform("x.figures", lambda f: f["number"]).alias("figures"), "quotes")
+    s = draft_sentences(draft).withColumn("quotes", quotations(F.col("sentence"))).withColumn("figures", numbers_stated("sentence"))
+    s = s.select("draft_id", "position", "sentence", "figures", "quotes")
     return s.where((F.size("figures") > 0) | (F.size("quotes") > 0))
 
 

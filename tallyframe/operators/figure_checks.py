@@ -45,18 +45,30 @@ _STATED = row(number=TEXT, unit=TEXT, value=DOUBLE, places=INT, digits=INT, u0=T
 _QUOTED = re.compile(QUOTED)
 
 
+def _read(text: str) -> dict[tuple[str, str], None]:
+    """(number, unit) of each figure of a sentence outside quotations, citations and pointers, once."""
+    body = _QUOTED.sub(lambda m: " " * len(m[0]), text)
+    read = fig.figures(fig.without_pointers(fig.normal(fig.without_citations(body))))
+    return dict.fromkeys((f.number, f.unit) for f in read)
+
+
 @F.pandas_udf(row(figures=many(_STATED), terms=many(row(term=TEXT, hash=LONG, k=INT, cjk=TRUTH))))
 def stated(sentence: pd.Series) -> pd.DataFrame:
     """Figures of sentences outside quotations, citations and pointers, each once, and the terms that place them; sentences without a figure need none."""
     found, places = [], []
     for text in sentence.fillna(""):
-        body = _QUOTED.sub(lambda m: " " * len(m[0]), text)
-        read = fig.figures(fig.without_pointers(fig.normal(fig.without_citations(body))))
-        found.append([dict(zip(_NAMES, _fields(*f))) for f in dict.fromkeys((f.number, f.unit) for f in read)])
+        read = _read(text)
+        found.append([dict(zip(_NAMES, _fields(*f))) for f in read])
         places.append([{"term": t, "hash": term_hash(t), "k": len(t), "cjk": not t.isascii() and len(t) == 2} for t in (fig.terms(fig.without_citations(text)) if read else ())])
     return pd.DataFrame({"figures": found, "terms": places})
 
 
+@F.pandas_udf(many(TEXT))
+def numbers_stated(sentence: pd.Series) -> pd.Series:
+    """The numbers of stated, without the terms, which cost most."""
+    return sentence.fillna("").map(lambda text: [number for number, _ in _read(text)])
+
+
 def draft_figures(draft: DataFrame) -> DataFrame:
     """(draft_id, position, sentence, terms, number, unit, ...): each figure that a sentence of drafts (draft_id, text) states."""
     s = draft.select("draft_id", F.posexplode(sentences(F.col("text"))).alias("position", "sentence"))

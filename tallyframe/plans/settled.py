@@ -1,4 +1,4 @@
-"""Results that are computed once, in the folder that driver and executors share."""
+"""Results that are computed once, in the folder that driver and executors share; rows that are dealt over the cluster."""
 
 from __future__ import annotations
 
@@ -24,3 +24,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of df dealt over all cores, for rows that are small to move and slow to work on: a file of few megabytes is one task otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

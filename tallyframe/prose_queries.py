@@ -9,6 +9,7 @@ from .corpus_queries import _EDGE
 from .functions import claims, prose
 from .functions import text as txt
 from .operators import charts, drafts, references
+from .plans.settled import dealt
 from .queries import Tables, long, query, r4
 from .record_queries import join, joined, s
 
@@ -87,7 +88,8 @@ def abstracts_checked(spark, d):
         return F.when(F.floor(k / bit) % 2 == 1, text).otherwise("plain words: none")
 
     abstract = F.concat_ws("\n", part(1, "## Background:"), part(2, "**Methodology:** counted"), part(4, "**Findings**: many"))
-    return Tables(spark, d).orders.select("o_orderkey", joined(prose.missing_abstract_parts(abstract)).alias("missing"), prose.abstract_length(F.repeat(F.lit("word "), n)).alias("length"))
+    orders = dealt(Tables(spark, d).orders.select("o_orderkey", "o_custkey"))
+    return orders.select("o_orderkey", joined(prose.missing_abstract_parts(abstract)).alias("missing"), prose.abstract_length(F.repeat(F.lit("word "), n)).alias("length"))
 
 
 @query("SELECT p_partkey, p_partkey % 3 = 0 AS bare FROM part")
@@ -238,7 +240,8 @@ def sentences_found(spark, d):
 def drafts_to_check(spark, d):
     """Sentences of drafts on parts that state a figure or quote something; citations and pointers are no figures."""
     text = join("It rose by ", F.col("p_size"), ' kg (Li, 2020). Table 3 shows it. He said "three words of ', F.col("p_name"), '". CO2 fell by 5 %.')
-    out = drafts.checkable_sentences(Tables(spark, d).part.select(F.col("p_partkey").alias("draft_id"), text.alias("text")))
+    parts = dealt(Tables(spark, d).part.select("p_partkey", "p_size", "p_name"))
+    out = drafts.checkable_sentences(parts.select(F.col("p_partkey").alias("draft_id"), text.alias("text")))
     return out.select("draft_id", long("position", "position"), joined(F.col("figures")).alias("figures"), joined(F.col("quotes")).alias("quotes"))
 
 
