@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import once
 from .text import CJK, count_matches, detect_language, word_count
 
 #: Phrases that explain the workflow, not the subject.
@@ -119,17 +120,20 @@ def missing_abstract_parts(c: Column) -> Column:
     """Parts of an abstract without a heading (`## Methods:`) or label (`**Methods:**`)."""
     lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x))
     label = r"^##\s+([^:]+?)\s*:?\s*$|^\*\*([^*:]+?)\s*:\s*\*\*|^\*\*([^*:]+?)\*\*\s*:"
-    named = F.filter(F.transform(lines, lambda x: F.lower(F.trim(F.coalesce(*[F.nullif(F.regexp_extract(x, label, i), F.lit("")) for i in (1, 2, 3)], F.lit(""))))), lambda h: h != "")
+    marked = F.filter(lines, lambda x: x.startswith("##") | x.startswith("**"))
+    # one of the three groups holds the name, the others are empty
+    named = F.filter(F.transform(marked, lambda x: F.lower(F.trim(F.concat(*[F.regexp_extract(x, label, i) for i in (1, 2, 3)])))), lambda h: h != "")
     known = F.create_map(*[F.lit(x) for pair in ABSTRACT_NAMES.items() for x in pair])
     found = F.transform(named, lambda h: F.coalesce(F.element_at(known, h), h))
-    return F.filter(F.array(*map(F.lit, ABSTRACT_PARTS)), lambda p: ~F.exists(found, lambda h: p.startswith(h) | h.startswith(p)))
+    # the names are read once, not again for each part
+    return once(found, lambda names: F.filter(F.array(*map(F.lit, ABSTRACT_PARTS)), lambda p: ~F.exists(names, lambda h: p.startswith(h) | h.startswith(p))))
 
 
 def abstract_length(c: Column, family: str = "academic_paper") -> Column:
     """short, long or ok; bounds are doubled for Chinese, whose characters are counted."""
     least, most = ABSTRACT_WORDS[family]
     scale = F.when(detect_language(c) == "zh", 2).otherwise(1)
-    return F.when(word_count(c) < least * scale, "short").when(word_count(c) > most * scale, "long").otherwise("ok")
+    return once(F.struct(word_count(c).alias("words"), scale.alias("scale")), lambda x: F.when(x["words"] < least * x["scale"], "short").when(x["words"] > most * x["scale"], "long").otherwise("ok"))
 
 
 def claims_without_figures(results: Column) -> Column:
