@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import operator
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,7 @@ def unit_conflicts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 _SUMS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.UAdd: operator.pos, ast.USub: operator.neg}
 
 
+@lru_cache(1 << 16)
 def arithmetic(expression: str) -> float | None:
     """The value of sums, products and brackets over plain numbers; None for what is none, or divides by zero."""
 
