@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.kinds import INT, TEXT, many, row
+from ..functions.kinds import INT, TEXT, row
 
 CODE_LINES = 50
 MIN_PARSED_CHARS = 10
@@ -110,6 +112,8 @@ def read_texts(spark, path: str) -> DataFrame:
 
 #: Characters of a block that is cut, and of the chunks it is cut into.
 BLOCK_CHARS, CHUNK_CHARS = 2000, 1500
+#: Characters of chunks that are handed on together.
+PACKED_CHARS = 1 << 20
 
 
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s*")
@@ -147,11 +151,28 @@ def split_long(blocks: DataFrame, key: str = "block_id", content: str = "content
     text = F.coalesce(F.col(content), F.lit(""))
     long = F.length(text) > BLOCK_CHARS
 
-    @F.pandas_udf(many(row(content=TEXT, first_line=INT, last_line=INT)))
-    def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"content": c, "first_line": a, "last_line": b} for c, a, b in chunks(t)])
+    kind = T.StructType([blocks.schema[key], *row(chunk=INT, first_line=INT, last_line=INT, content=TEXT).fields])
 
-    parts = blocks.where(long).select(key, F.posexplode(cut(text)).alias("chunk", "p")).select(key, "chunk", "p.first_line", "p.last_line", "p.content")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks go on as soon as there is a megabyte of them, so memory holds one batch of texts and no more."""
+
+        def packed(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+            types = [of, pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=kind.names)
+
+        for b in batches:
+            rows, size = [], 0
+            for k, t in zip(*b.columns):
+                for i, (body, first, last) in enumerate(chunks(t.as_py())):
+                    rows.append((k.as_py(), i, first, last, body))
+                    size += len(body)
+                    if size > PACKED_CHARS:
+                        yield packed(rows, b.schema.types[0])
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows, b.schema.types[0])
+
+    parts = blocks.where(long).select(key, text.alias("text")).mapInArrow(cut, kind)
     whole = blocks.where(~long).select(key, F.lit(0).alias("chunk"), F.lit(0).alias("first_line"), F.regexp_count(text, F.lit("\n")).alias("last_line"), text.alias("content"))
     return parts.unionByName(whole)
 
