@@ -228,12 +228,14 @@ def research_tasks(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     return both.select("claim_id", F.substring("claim_text", 1, 200).alias("query"), mode.alias("mode"), F.when(F.col("status") == "blocked", "high").otherwise("medium").alias("priority"))
 
 
-def table_numbers(markers: DataFrame, tables: DataFrame) -> DataFrame:
+def table_numbers(markers: DataFrame, tables: DataFrame, tasks: int | None = None) -> DataFrame:
     """(draft_id, evidence_id, number): the number under which a draft first prints each table, for every row it shows.
 
     markers: (draft_id, position, table_id); tables: (table_id, evidence_id). Markers that name no table are not counted.
+    tasks: over how many tasks drafts are dealt, as many as shuffles have if none is given.
     """
     placed = markers.join(tables.select("table_id").distinct(), "table_id", "left_semi")
+    placed = placed.repartition(tasks, "draft_id") if tasks else placed
     numbered = placed.withColumn("number", F.row_number().over(Window.partitionBy("draft_id").orderBy("position")))
     return numbered.join(tables, "table_id").groupBy("draft_id", "evidence_id").agg(F.min("number").alias("number"))
 

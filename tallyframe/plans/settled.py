@@ -30,3 +30,12 @@ def dealt(df: DataFrame) -> DataFrame:
     """The rows of df dealt over all cores, for rows that are small to move and slow to work on: a file of few megabytes is one task otherwise."""
     spark = df.sparkSession
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+#: Rows that one task sorts or groups, where the number of rows is known beforehand.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Over how many tasks so many rows are dealt by a key, so that the memory of one does not grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))

@@ -11,6 +11,7 @@ from .functions import text as txt
 from .operators import aggregate as agg
 from .operators import audit, charts, drafts, gates, ledger, references, shape
 from .operators.aggregate import Measure
+from .plans.settled import tasks_for
 from .queries import Tables, _claims, _evidence, _sentences, long, query
 from .sources import blocks, tabular
 
@@ -337,8 +338,9 @@ def research_needed(spark, d):
 SELECT l_orderkey AS draft_id, p_brand AS evidence_id, min(i) AS number FROM n JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def table_numbers_printed(spark, d):
     t = Tables(spark, d)
-    markers = t.lineitem.select(F.col("l_orderkey").alias("draft_id"), F.col("l_partkey").alias("position"), F.col("l_partkey").alias("table_id")).distinct()
-    out = audit.table_numbers(markers, t.part.where("p_size <> 7").select(F.col("p_partkey").alias("table_id"), F.col("p_brand").alias("evidence_id")))
+    tasks = tasks_for(spark, t.lineitem.count())
+    markers = t.lineitem.select(F.col("l_orderkey").alias("draft_id"), F.col("l_partkey").alias("position"), F.col("l_partkey").alias("table_id")).repartition(tasks, "draft_id").distinct()
+    out = audit.table_numbers(markers, t.part.where("p_size <> 7").select(F.col("p_partkey").alias("table_id"), F.col("p_brand").alias("evidence_id")), tasks)
     return out.select("draft_id", "evidence_id", long("number", "number"))
 
 
