@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import DOUBLE, TEXT, many, row
-from ..functions.text import CJK, cjk_bigrams, content_hash, count_matches, evidence_type, topic_tags
-from ..plans.settled import settle
+from ..functions.text import CJK, cjk_bigrams, content_hash, count_matches, evidence_type, holds_any, topic_tags
+from ..plans.settled import settle, tasks_for
 from .quotes import RUN, Index, holding, occurrences, tiles_of
 
 #: Additions to the base score of provenance, and the least scores of the grades.
@@ -32,9 +32,9 @@ def provenance_score(file_type: Column, block_type: Column, content: Column) ->
         (block_type == "figure_caption", 0.05),
         (file_type.isin(*FIRST_HAND), 0.15),
         (block_type.isin("csv_row", "table_row", "data_row") & (count_matches(low, r"[0-9]+(?:[.,][0-9]+)?") >= 2), 0.15),
-        (low.rlike("method|study design|participants|sample|analysis"), 0.1),
-        (low.rlike(r"according to|reported by|source:|et al\."), 0.15),
-        (low.rlike("reproduc|replicat"), 0.05),
+        (holds_any(low, ("method", "study design", "participants", "sample", "analysis")), 0.1),
+        (holds_any(low, ("according to", "reported by", "source:", "et al.")), 0.15),
+        (holds_any(low, ("reproduc", "replicat")), 0.05),
     ]
     for test, plus in tests:
         score = score + F.when(test, plus).otherwise(0.0)
@@ -131,6 +131,8 @@ def search_many(ledger: DataFrame, questions: DataFrame, columns: list[str], lim
     if not long.isEmpty():
         index = Index(rows, long.select(F.explode("tiles").alias("t")).select("t.hash", "t.k"), edges=False, form=None)
         held = held.unionByName(occurrences(index, long).select(F.col("segment").alias("term"), F.col("page_id").alias(key)).distinct())
+    # a row's terms come to one task, where its scores are summed up; at most so many are there
+    held = held.repartition(tasks_for(ledger.sparkSession, ledger.count() * questions.count()), key)
     scores = asked.join(held, "term").groupBy("question_id", key).agg(F.sum("weight").alias("score"))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), key))
     return scores.withColumn("rank", place).where(F.col("rank") <= limit)
