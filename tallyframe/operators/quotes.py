@@ -219,10 +219,11 @@ class Index:
         found = settle(pages.select("source", F.col("page_id").cast("long"), "text").mapInArrow(_places(pages.sparkSession, wanted, kept, form or _as_is), _PLACES))
         page = found.where("size IS NOT NULL").dropDuplicates(["source", "page_id"])
         inside = found.where("hash IS NOT NULL").select("source", "page_id", "hash", "at")
-        sized = page.select("source", F.col("page_id").alias("next_id"), F.col("size").alias("next_size"), F.col("head").alias("next_head"))
-        linked = page.join(following(page), ["source", "page_id"]).join(sized, ["source", "next_id"], "left")
-        linked = settle(linked.select("source", "page_id", "size", "tail", "next_id", "next_size", "next_head"))
-        if edges:
+        linked = page.select("source", "page_id", "size", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("int").alias("next_size"))
+        if edges:  # only then the pages are put in order
+            sized = page.select("source", F.col("page_id").alias("next_id"), F.col("size").alias("next_size"), F.col("head").alias("next_head"))
+            linked = page.join(following(page), ["source", "page_id"]).join(sized, ["source", "next_id"], "left")
+            linked = settle(linked.select("source", "page_id", "size", "tail", "next_id", "next_size", "next_head"))
             pairs = linked.where("next_id IS NOT NULL").select("source", "page_id", "size", "tail", "next_head")
             inside = inside.union(pairs.mapInArrow(_edges(sizes), "source string, page_id long, hash long, at int"))
         self.order = linked.select("source", "page_id", "size", "next_id", "next_size")
