@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as fig
 from ..functions.kinds import DOUBLE, INT, LONG, TEXT, TRUTH, many, row
 from ..functions.text import QUOTED, sentences
-from ..plans.settled import settle
+from ..plans.settled import settle, tasks_for
 from .quotes import _bitmap, _slots, hits, letters, run_hashes, with_source
 
 #: Characters around a figure, terms that must be there, digits of a telling figure, and when a term is common.
@@ -187,7 +188,7 @@ def unit_supports(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 class Met:
-    """Draft figures and the page figures that share a term with them, found by equi-joins on a value's key and a term."""
+    """Draft figures with their terms, page figures with the terms around them, and what is known of the sources."""
 
     def __init__(self, draft: DataFrame, pages: DataFrame):
         wide = draft_figures(draft)
@@ -197,25 +198,6 @@ class Met:
         self.held = settle(_held_figures(pages, self.terms))
         self.sources, self.common = _sources(pages, self.terms)
 
-    def needs(self, pairs: DataFrame) -> DataFrame:
-        """(claim, source, n, specific) of pairs (claim, source): a sentence's terms in the source's scripts, and those of them that are not common there."""
-        asked = pairs.select("claim", "source").distinct().join(self.sources, "source")
-        each = asked.join(self.claims.select("claim", F.explode("terms").alias("t")).select("claim", "t.hash", "t.cjk"), "claim").where(F.col("has_cjk") | ~F.col("cjk"))
-        known = each.join(self.common.withColumn("common", F.lit(True)), ["source", "hash"], "left")
-        return known.groupBy("claim", "source").agg(F.count("*").alias("n"), F.count_if(F.col("common").isNull()).alias("specific"))
-
-    def shared(self, claims: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-        """claims x held that agree in keys and share terms, with matched (of all terms) and matched_specific."""
-        asked = claims.withColumn("t", F.explode("terms")).select(*claims.columns, F.col("t.hash").alias("hash"), F.col("t.cjk").alias("cjk")).drop("terms")
-        page = held.withColumn("hash", F.explode("terms")).select(*keys, "hash", "source", "page_id", "start", *[F.col(c).alias(f"p_{c}") for c in ("number", "unit", "value", "places", "u0", "u1")])
-        met = asked.join(page, [*keys, "hash"]).join(self.sources, "source").where(F.col("has_cjk") | ~F.col("cjk"))
-        met = met.join(self.common.withColumn("common", F.lit(True)), ["source", "hash"], "left")
-        by = ["claim", "source", "page_id", "start"]
-        rest = [c for c in met.columns if c not in {*by, *keys, "hash", "cjk", "common", "has_cjk"}]
-        n = F.count_distinct("hash")
-        own = F.count_distinct(F.when(F.col("common").isNull(), F.col("hash")))
-        return met.groupBy(*by).agg(*[F.first(c).alias(c) for c in rest], n.alias("matched"), own.alias("matched_specific"))
-
 
 #: How many of a sentence's rarest terms propose places in each round; the last takes all that can still matter.
 ROUNDS = (1, 4, None)
@@ -265,6 +247,14 @@ def _most_shared(quests: DataFrame, spots: DataFrame, agree: Column) -> DataFram
     return found.select("ask", "b")
 
 
+def _terms_there(near: DataFrame, asks: DataFrame, m: Met) -> DataFrame:
+    """asks (ask, ..., terms) for each source of near (ask, source), with the hashes of their terms in the source's scripts, and those of them that are not common there."""
+    shared = m.common.groupBy("source").agg(F.collect_set("hash").alias("common"))
+    each = near.join(m.sources, "source").join(shared, "source", "left").join(asks, "ask")
+    each = each.withColumn("terms", F.array_distinct(F.transform(F.filter("terms", lambda t: F.col("has_cjk") | ~t["cjk"]), lambda t: t["hash"])))
+    return each.withColumn("specific", F.array_except("terms", F.coalesce("common", F.array().cast("array<long>"))))
+
+
 def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
     """(draft_id, position, figure, unit, supported, source, page_id, matched_terms) of the figures that drafts (draft_id, text) state.
 
@@ -288,10 +278,7 @@ def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
     ok = ok & F.arrays_overlap(_keys(F.col("value"), F.col("places")), _keys(F.col("p_value"), F.col("places")))
     # what is asked of each source that prints about such a value: its terms there; those of them that are not common, and all where the figure itself tells
     near = asks.select("ask", F.explode(_rooms(F.col("value"))).alias("room")).join(values.select("source", _room(F.col("p_value")).alias("room")).distinct(), "room").select("ask", "source").distinct()
-    shared = m.common.groupBy("source").agg(F.collect_set("hash").alias("common"))
-    each = near.join(m.sources, "source").join(shared, "source", "left").join(asks, "ask")
-    each = each.withColumn("terms", F.array_distinct(F.transform(F.filter("terms", lambda t: F.col("has_cjk") | ~t["cjk"]), lambda t: t["hash"])))
-    each = each.withColumn("specific", F.array_except("terms", F.coalesce("common", F.array().cast("array<long>"))))
+    each = _terms_there(near, asks, m)
     used = F.when(F.size("specific") == 0, F.col("terms")).otherwise(F.col("specific"))
     modes = F.array(F.struct(F.lit(False).alias("told"), used.alias("used"), F.least(F.lit(MIN_TERMS), F.size(used)).alias("need")), F.when(F.col("telling"), F.struct(F.lit(True).alias("told"), F.col("terms").alias("used"), F.lit(1).alias("need"))))
     each = each.select("ask", "source", *says, F.explode(F.array_compact(modes)).alias("x")).select("ask", "source", *says, "x.*").withColumn("quest", F.xxhash64("ask", "source", "told"))
@@ -307,23 +294,108 @@ def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
     return every.join(best_of, "ask", "left").select("draft_id", "position", "figure", "unit", F.col("b").isNotNull().alias("supported"), "b.source", "b.page_id", (-F.col("b.less")).alias("matched_terms"))
 
 
+def _size(x: Column) -> Column:
+    """The power of two below a value."""
+    return F.when(x == 0, F.lit(-5000)).otherwise(F.floor(F.log2(F.abs(x))))
+
+
+def _near_sizes(x: Column) -> Column:
+    """The sizes of values within half of a value."""
+    return F.array_distinct(F.transform(F.array(F.lit(0.499), F.lit(0.75), F.lit(1.0), F.lit(1.501)), lambda k: _size(x * k)))
+
+
+#: Figures of a block in the order of their values in each round; a quest looks at two blocks.
+BLOCKS = (64, 1024)
+
+
+def _in_order(spots: DataFrame, quests: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+    """spots (source, key, page_id, start, spot) with their number by source, key and place; quests (quest, source, key) with the number of the next spot.
+
+    That is the first spot of a greater key or, if `first`, of an equal one.
+    """
+    rows = spots.select("source", "key", F.lit(0).alias("asks"), "page_id", "start", F.col("spot").alias("id"))
+    none = F.lit(None)
+    rows = rows.unionByName(quests.select("source", "key", F.lit(-1 if first else 1).alias("asks"), none.cast("long").alias("page_id"), none.cast("int").alias("start"), F.col("quest").alias("id")))
+    order = ["source", "key", "asks", "page_id", "start", "id"]
+    rows = settle(rows.repartitionByRange(tasks_for(spots.sparkSession, spots.count() + quests.count()), *order).withColumn("part", F.spark_partition_id()))
+    n = F.count_if(F.col("asks") == 0)
+    parts = rows.groupBy("part").agg(n.alias("n"))  # one row a task
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("above"))
+    before = F.sum((F.col("asks") == 0).cast("long")).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = F.col("before") + F.col("above") - F.when(F.col("asks") == 0, 1).otherwise(0)
+    placed = settle(rows.withColumn("before", before).join(F.broadcast(parts), "part").select("id", "asks", at.alias("at")))
+    return placed.where("asks = 0").select(F.col("id").alias("spot"), "at"), placed.where("asks <> 0").select(F.col("id").alias("quest"), "at")
+
+
+def _nearest(quests: DataFrame, spots: DataFrame) -> DataFrame:
+    """(ask, b) of quests (quest, ask, source, value, u0, u1, used, need): the closest spot of the source that holds as many of a quest's terms as it needs.
+
+    Spots are put in the order of their values, and a quest goes through them block by block, upwards, downwards,
+    and through those of its own value in other units, until none that follows can be closer than what it has
+    found. What still seeks after the last round shares few terms with its neighbours: there the terms propose,
+    without the most frequent ones that a place need not hold.
+    """
+    far = F.abs(F.col("p_value") - F.col("value"))
+    half = TYPO_SHARE * F.greatest(F.abs("value"), F.lit(1e-9))
+    alike = units_agree(F.col("u0"), F.col("u1"), F.col("p_u0"), F.col("p_u1"))
+    ok = F.when(alike, (far > 0) & (far <= half)).otherwise(far == 0)
+    held = F.size(F.array_intersect("used", "terms")) >= F.col("need")
+    found = F.struct(far.alias("far"), "source", "page_id", "start", F.col("p_number").alias("nearest"), F.when(alike, "").otherwise(F.col("p_unit")).alias("unit"))
+    narrow = ["source", "page_id", "start", "spot"]
+    up, down, level = F.col("p_value"), -F.col("p_value"), F.col("p_value")
+    measured = quests.where("u0 <> ''")  # only what is measured differs in unit from others of its value
+    walks = [(up, F.col("value"), spots, quests, False), (down, -F.col("value"), spots, quests, False), (level, F.col("value"), spots.where("p_u0 <> ''"), measured, True)]
+    best = quests.select("quest", F.lit(None).cast(DOUBLE).alias("far")).where("false")
+    bests, seeking = [], []
+    for key, own, among, asking, first in walks:
+        keyed = among.withColumn("key", key)
+        at, begin = _in_order(keyed.select(*narrow, "key"), asking.select("quest", "source", own.alias("key")), first)
+        ordered, left = settle(keyed.join(at, "spot")), asking.join(begin, "quest")
+        for n in BLOCKS:
+            block = F.floor(F.col("at") / n)
+            blocked = ordered.withColumn("block", block).drop("at")
+            edges = blocked.groupBy("source", "block").agg(F.min("key").alias("edge"))
+            left = settle(left.withColumn("block", block))
+            looked = left.drop("at").withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+            got = settle(looked.join(blocked, ["source", "block"]).where(ok & held).groupBy("quest", "ask").agg(F.min(found).alias("b")))
+            bests.append(got)
+            best = settle(best.unionByName(got.select("quest", "b.far")).groupBy("quest").agg(F.min("far").alias("far")))
+            # who goes on: the first block not looked at begins within half of the figure, and no further than what is found
+            ahead = left.withColumn("block", F.col("block") + 2).join(edges, ["source", "block"]).join(best, "quest", "left")
+            reach = F.lit(0.0) if first else F.least(half, F.coalesce("far", half))
+            left = ahead.where(F.col("edge") - own <= reach).select(*asking.columns, "at")
+        seeking.append(left.select("quest"))
+    rest = settle(quests.join(reduce(DataFrame.union, seeking).distinct(), "quest").join(best, "quest", "left"))
+    df = spots.select(F.explode("terms").alias("hash")).groupBy("hash").agg(F.count("*").alias("df"))
+    ranked = rest.select("quest", F.explode("used").alias("hash")).join(df, "hash").groupBy("quest").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "hash"))), lambda x: x["hash"]).alias("ranked"))  # the terms of one sentence
+    rest = settle(rest.join(ranked, "quest").where(F.size("ranked") >= F.col("need")))
+    asked = rest.withColumn("hash", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - F.col("need") + 1))).drop("ranked", "used")
+    asked = asked.withColumn("size", F.explode(_near_sizes(F.col("value"))))
+    says = ["p_value", "p_u0", "p_u1"]
+    page = _holding(spots.select("source", "spot", *says, "terms"), asked.select("hash")).withColumn("size", _size(F.col("p_value")))
+    met = asked.join(page, ["source", "size", "hash"]).where(ok & (far <= F.coalesce(F.col("far"), half))).select("quest", "spot").distinct()
+    both = met.join(rest.drop("source", "far"), "quest").join(spots, "spot").where(held)
+    bests.append(both.groupBy("quest", "ask").agg(F.min(found).alias("b")))
+    return reduce(DataFrame.unionByName, bests).groupBy("ask").agg(F.min("b").alias("b"))
+
+
 def nearest_figure(draft: DataFrame, pages: DataFrame) -> DataFrame:
     """(draft_id, position, figure, nearest, unit, source, page_id): the closest other figure in a context that shares the sentence's terms.
 
-    It lies within half of the figure, or is the same in another unit, which is closest of all. Figures meet
-    by a shared term and a bucket of their size.
+    It lies within half of the figure, or is the same in another unit, which is closest of all. Of equally close
+    ones the first place is given. Figures with the same terms are asked for once, page figures with the same
+    context stand for the first of them.
     """
     m = Met(draft, pages)
-    size = lambda c: F.when(c == 0, F.lit(-5000)).otherwise(F.floor(F.log2(F.abs(c))))
-    near = F.array_distinct(F.transform(F.array(F.lit(0.499), F.lit(0.75), F.lit(1.0), F.lit(1.501)), lambda k: size(F.col("value") * k)))
-    claims = m.claims.select("claim", "terms", "number", "value", "u0", "u1", F.explode(near).alias("bucket")).dropDuplicates(["claim", "bucket"])
-    both = m.shared(claims, m.held.withColumn("bucket", size(F.col("value"))), ["bucket"])
-    both = both.join(m.needs(both), ["claim", "source"])
-    matched = F.when(F.col("specific") == 0, F.col("matched")).otherwise(F.col("matched_specific"))
-    need = F.least(F.lit(MIN_TERMS), F.when(F.col("specific") == 0, F.col("n")).otherwise(F.col("specific")))
-    far = F.abs(F.col("p_value") - F.col("value"))
-    alike = units_agree(F.col("u0"), F.col("u1"), F.col("p_u0"), F.col("p_u1"))
-    ok = F.when(alike, (far > 0) & (far <= TYPO_SHARE * F.greatest(F.abs("value"), F.lit(1e-9)))).otherwise(far == 0)
-    hits = both.where((matched >= need) & (need > 0) & ok)
-    best = hits.groupBy("claim").agg(F.min(F.struct(far.alias("far"), "source", "page_id", "start", F.col("p_number").alias("nearest"), F.when(alike, "").otherwise(F.col("p_unit")).alias("unit"))).alias("b"))
-    return m.claims.select("claim", "draft_id", "position", F.col("number").alias("figure")).distinct().join(best, "claim").select("draft_id", "position", "figure", "b.nearest", "b.unit", "b.source", "b.page_id")
+    says = ["value", "u0", "u1"]
+    finite = F.abs("value") < F.lit(float("inf"))
+    claims = m.claims.withColumn("terms", F.array_sort(F.transform("terms", lambda t: F.struct(t["hash"].alias("hash"), t["cjk"].alias("cjk")))))
+    claims = settle(claims.select("claim", "draft_id", "position", "number", *says, "terms").withColumn("ask", F.xxhash64(*says, "terms")))
+    asks = settle(claims.where(finite).dropDuplicates(["ask"]).select("ask", *says, "terms"))
+    spots = m.held.where(finite).groupBy("source", *says, "terms").agg(F.min(F.struct("page_id", "start", "number", "unit")).alias("at"))
+    spots = settle(spots.select(F.xxhash64("source", "at.page_id", "at.start").alias("spot"), "source", "at.page_id", "at.start", F.col("at.number").alias("p_number"), F.col("at.unit").alias("p_unit"), *[F.col(c).alias(f"p_{c}") for c in says], "terms"))
+    near = asks.select("ask", F.explode(_near_sizes(F.col("value"))).alias("size")).join(spots.select("source", _size(F.col("p_value")).alias("size")).distinct(), "size").select("ask", "source").distinct()
+    used = F.when(F.size("specific") == 0, F.col("terms")).otherwise(F.col("specific"))
+    quests = _terms_there(near, asks, m).select(F.xxhash64("ask", "source").alias("quest"), "ask", "source", *says, used.alias("used")).where(F.size("used") > 0)
+    best = _nearest(settle(quests.withColumn("need", F.least(F.lit(MIN_TERMS), F.size("used")))), spots)
+    return claims.select("claim", "ask", "draft_id", "position", F.col("number").alias("figure")).dropDuplicates(["claim"]).join(best, "ask").select("draft_id", "position", "figure", "b.nearest", "b.unit", "b.source", "b.page_id")

@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -197,3 +198,27 @@ def test_a_common_figure_does_not_meet_every_place_it_is_printed(spark):
         draft, pages = spark.createDataFrame(rows, "draft_id long, text string"), spark.createDataFrame(rows, "page_id long, text string")
         sizes.append(shuffled(spark, lambda: figure_checks.check_figures(draft, pages)))  # noqa: B023
     assert sizes[1] < 6 * sizes[0]
+
+
+@pytest.mark.parametrize("blocks", [(1, 2), (2, 8), (64, 1024)])
+def test_nearest_figures_are_found_in_blocks_and_by_terms(spark, monkeypatch, blocks):
+    monkeypatch.setattr(figure_checks, "BLOCKS", blocks)
+    rng = random.Random(3)
+    nouns = ["garden", "orange", "harbour", "window", "copper", "bridge", "market", "winter"]
+    one = lambda: f"The {rng.choice(nouns)} and the {rng.choice(nouns)} of the {rng.choice(nouns)} made {rng.choice((1, 1, 1, 2, 2, 3, 4, 5, 5.5, 90, 91, 0))} {rng.choice(('kg', 'kg', '%', 'megawatts', 'of', 'of'))} there."
+    texts = {i: one() if i % 3 else one() + "\n\n" + one() for i in range(60)}
+    _, near = brute(texts.items(), texts)
+    draft, pages = spark.createDataFrame(list(texts.items()), "draft_id long, text string"), spark.createDataFrame(list(texts.items()), "page_id long, text string")
+    got = {(r.draft_id, r.position, r.figure): (r.page_id, r.nearest) for r in figure_checks.nearest_figure(draft, pages).collect()}
+    assert got == near and len(near) > 40
+
+
+def test_common_figures_do_not_meet_all_their_neighbours(spark):
+    words = ["".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(1000)]
+    sizes = []
+    for n in (200, 800):
+        rows = [(i, f"One plant of the {words[i]}{words[-1 - i]} kind sold {3 + i % 2} barrels of common orange garden paint.") for i in range(n)]
+        rows += [(-1 - i, f"Nothing of the {words[i]}{words[-1 - i]} kind is read on this page.") for i in range(n + 10)]  # or the words were common ones
+        draft, pages = spark.createDataFrame(rows, "draft_id long, text string"), spark.createDataFrame(rows, "page_id long, text string")
+        sizes.append(shuffled(spark, lambda: figure_checks.nearest_figure(draft, pages)))  # noqa: B023
+    assert sizes[1] < 6 * sizes[0]
