@@ -53,3 +53,28 @@ def test_odd_rows(odd_docs, no_docs):
     want = [(r.doc_id, len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect()]
     assert got == sorted(want, key=str) and max(r[1] for r in got) > tokencounts.HUGE
     assert tokencounts.count_tokens(no_docs).collect() == []
+
+
+def test_words_are_encoded_once_and_give_the_tokens_of_the_library():
+    t, _ = tokencounts._loaded(PATH)
+    encoded = []
+
+    class Counting:
+        pre_tokenizer = t.pre_tokenizer
+
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            encoded.extend(texts)
+            return t.encode_batch_fast(texts, **options)
+
+    rng = random.Random(8)
+    odd = [chr(c) for c in range(tokencounts._KNOWN)] + ["\u2028", "\u3000", "\u0660", "ﬁ", "\U0001f600", "<|endoftext|>", "<|endof"]
+    parts = ["'s", "'ve", "'LL", " ", "  ", "\n", "word", " a", "12", "can't"]
+    rows = [*odd, *["".join(rng.choices(odd + parts * 100, k=rng.randrange(1, 80))) for _ in range(3000)], *texts(), ""]
+    rows += [a + b + c for a in ("a", "1", " ", "'") for b in odd for c in ("b", "1", " ", "!")]
+    words = tokencounts.Words(Counting, ["<|endoftext|>"])
+    want = [len(e) for e in t.encode_batch_fast(rows, add_special_tokens=False)]
+    assert [n for lo in range(0, len(rows), 200) for n in words.counts(rows[lo : lo + 200])] == want
+    encoded.clear()
+    plain = ["the word, said again"] * 500
+    assert words.counts(plain) == [len(t.encode(plain[0], add_special_tokens=False))] * 500 and sum(map(len, encoded)) <= len(plain[0])
