@@ -91,6 +91,15 @@ def window_starts(grams: np.ndarray, n_words: int) -> np.ndarray:
     return np.unique(spans.argmin(axis=1) + np.arange(len(spans)))
 
 
+def window_keys(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash for each window, made of those of the shingles that it is laid out with."""
+    key = np.full(len(starts), np.uint64(WINDOW))
+    for at in range(0, WINDOW, SHINGLE):
+        key = (key ^ grams[starts + min(at, WINDOW - SHINGLE)]) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, paragraph, n_words, pid, bands, starts, lines) for each long paragraph and each text.
 
@@ -117,7 +126,7 @@ def signatures(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                             rows.append((doc_id.as_py(), i, n, paragraph_id(b" ".join(words[at : at + n]))))
                             grams.append(hashes[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingle_hashes(words[at : at + n], SHINGLE))
                     starts = window_starts(hashes, len(words))
-                    keys = [paragraph_id(b" ".join(words[at : at + WINDOW])) for at in starts.tolist()]
+                    keys = window_keys(hashes, starts)
                     windows.append((doc_id.as_py(), keys, starts.astype(np.int32), np.searchsorted(ends, starts, "right").astype(np.int32)))
                 bands = band_keys(grams).view(np.int64)
                 none = [None] * len(rows)
@@ -231,12 +240,9 @@ def shared_run(mine: list[bytes], before: int, theirs: list[bytes], before_their
 
 def line_at(line: int, body: bytes, word: int) -> int:
     """The line of the word with this index in an excerpt that starts in `line`."""
-    for part in body.split(b"\n"):
-        word -= len(part.split())
-        if word < 0:
-            break
-        line += 1
-    return line
+    if b"\n" not in body or not word:
+        return line
+    return line + body.count(b"\n", 0, len(body) - len(body.split(None, word)[word]))
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -23,7 +24,7 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     digest = xxhash.xxh64_intdigest
     runs = zip(*[words[i:] for i in range(n)])
-    return np.fromiter((digest(s, SEED) for s in map(b" ".join, runs)), np.uint64, len(words) - n + 1)
+    return np.fromiter(map(digest, map(b" ".join, runs), repeat(SEED)), np.uint64, len(words) - n + 1)
 
 
 def sorted_groups(batches: Iterator, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from tallyframe.llm import paragraphs
 from tests.conftest import SF
 
@@ -117,3 +119,20 @@ def test_passages_are_found_whole_and_within_one_document(make_docs):
     assert clean[2] == host[1] and clean[3] == host[2] + host[3]
     alone = paragraphs.repeats(make_docs([(9, " ".join(host[0] + passage + host[1] + passage), "s")])).collect()
     assert {(r.doc_id, r.start, r.n_words, r.removed) for r in alone} == {(9, 90, 60, False), (9, 240, 60, True)}
+
+
+def test_windows_are_told_apart_by_the_shingles_they_are_laid_out_with():
+    words = [b"w%d" % (i % 45) for i in range(200)]
+    words[100] = b"other"
+    grams = paragraphs.shingle_hashes(words, paragraphs.SHINGLE)
+    starts = np.arange(len(words) - paragraphs.WINDOW + 1)
+    keys = paragraphs.window_keys(grams, starts).tolist()
+    same = {}
+    for at, key in zip(starts.tolist(), keys):
+        assert same.setdefault(tuple(words[at : at + paragraphs.WINDOW]), key) == key
+    assert len(same) == len(set(keys)) < len(keys)
+
+
+def test_the_line_of_a_word_in_an_excerpt():
+    body = b"a b\n\nc\nd e"
+    assert [paragraphs.line_at(7, body, i) for i in range(5)] == [7, 7, 9, 10, 10] and paragraphs.line_at(3, b"x y", 1) == 3
