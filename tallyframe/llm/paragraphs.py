@@ -10,9 +10,8 @@ of both places are compared (an edit distance of zero) and the passage is extend
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import in_bitmap, join_on, salted_join, settle, table
 from .components import connected_components
 from .nearlinks import CELL, SHINGLE, similar_links
-from .shingles import SEED, shingle_hashes, words_of
+from .shingles import SEED, shingle_hashes
 
 SIMILARITY = 0.8
 #: 16 bands of 4 rows: a pair at similarity 0.8 collides with probability 0.9998, one at 0.5 with 0.64.
@@ -33,18 +32,22 @@ BANDS, ROWS = 16, 4
 MIN_WORDS = 30
 #: Words of a window, and neighbouring starts of which one window is taken.
 WINDOW, SPREAD = 30, 20
+#: Excerpts that are handed on at once, as they may be long.
+EXCERPTS = 1000
 #: What counts as the doc_id of documents that have none.
 LAST = 2**63 - 1
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
+#: Shingles that are put to all row functions at once: 256 kB of 32-bit values.
+SLICE = 1024
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     at = range(BANDS * ROWS)
     return (
-        np.array([xxhash.xxh64_intdigest(b"a%d" % i) | 1 for i in at], np.uint64),
-        np.array([xxhash.xxh64_intdigest(b"b%d" % i) for i in at], np.uint64),
+        np.array([xxhash.xxh32_intdigest(b"a%d" % i) | 1 for i in at], np.uint32)[:, None],
+        np.array([xxhash.xxh32_intdigest(b"b%d" % i) for i in at], np.uint32)[:, None],
     )
 
 
@@ -59,22 +62,37 @@ def paragraphs_of(text: str | None, min_words: int) -> Iterator[tuple[int, bytes
             yield i, b" ".join(words), words
 
 
+def lines_of(text: str | None) -> list[list[bytes]]:
+    """The words of each line of a text, A-Z lower-cased; the lines' words in a row are those of the text."""
+    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
+def least_values(shingles: list[np.ndarray]) -> np.ndarray:
+    """One row for each paragraph's shingle hashes (one or more): the least value of each row function, a * x + b over 32 bits."""
+    out = np.full((len(shingles), len(_A)), np.uint32(2**32 - 1))
+    if not shingles:
+        return out
+    sizes = [len(x) for x in shingles]
+    x = (np.concatenate(shingles) >> np.uint64(32)).astype(np.uint32)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    for lo in range(0, len(x), SLICE):  # a paragraph that a slice's end cuts goes on in the next
+        own = of[lo : lo + SLICE]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        h = _A * x[lo : lo + SLICE]
+        h += _B
+        rows = own[starts]
+        out[rows] = np.minimum(out[rows], np.minimum.reduceat(h, starts, axis=1).T)
+    return out
+
+
 def band_keys(shingles: list[np.ndarray]) -> np.ndarray:
     """One row of band hashes for each paragraph's shingle hashes."""
-    out = np.empty((len(shingles), BANDS), np.uint64)
-    for i, x in enumerate(shingles):
-        least = np.full(len(_A), np.uint64(2**64 - 1))
-        for lo in range(0, len(x), 4096):  # very long paragraphs in slices
-            h = x[lo : lo + 4096, None] * _A + _B
-            h ^= h >> np.uint64(32)
-            np.minimum(least, h.min(axis=0), out=least)
-        rows = least.reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for r in range(ROWS):
-            key = (key ^ rows[:, r]) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(31)
-        out[i] = key
-    return out
+    rows = least_values(shingles).astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(shingles), 1))
+    for r in range(ROWS):
+        key = (key ^ rows[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(31)
+    return key
 
 
 def paragraph_id(body: bytes) -> int:
@@ -82,13 +100,28 @@ def paragraph_id(body: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def window_starts(grams: np.ndarray, n_words: int) -> np.ndarray:
-    """Starts of the windows of a text: of each SPREAD starts in a row the one with the least shingle hash."""
-    n = n_words - WINDOW + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    spans = np.lib.stride_tricks.sliding_window_view(grams[:n], min(SPREAD, n))
-    return np.unique(spans.argmin(axis=1) + np.arange(len(spans)))
+def window_starts(grams: list[np.ndarray], n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which text, start) of the windows: of each SPREAD starts in a row in a text the one with the least shingle hash.
+
+    A text with fewer starts has one window, one without any start none.
+    """
+    n = np.maximum(0, n_words - WINDOW + 1)
+    # texts lie in a row, each before SPREAD - 1 values that are never the least
+    room = np.where(n, n + SPREAD - 1, 0)
+    values = np.full(room.sum(), np.uint64(2**64 - 1))
+    offsets = np.cumsum(room) - room
+    for g, k, at in zip(grams, n.tolist(), offsets.tolist()):
+        values[at : at + k] = g[:k]
+    at, span = np.arange(len(values)), 1  # the least of `span` values in a row, the first of several
+    while span < SPREAD and len(at):
+        step = min(span, SPREAD - span)
+        left, right = at[:-step], at[step:]
+        at, span = np.where(values[right] < values[left], right, left), span + step
+    spans = np.minimum(n, np.maximum(1, n - SPREAD + 1))  # in each text
+    of = np.repeat(np.arange(len(n)), spans)
+    at = at[np.arange(len(of)) + np.repeat(offsets - np.cumsum(spans) + spans, spans)]
+    new = np.diff(at, prepend=-1) > 0
+    return of[new], at[new] - offsets[of[new]]
 
 
 def window_keys(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -113,31 +146,34 @@ def signatures(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 b = batch.slice(lo, 200)
-                rows, grams, windows = [], [], []
-                for doc_id, text in zip(b.column(0), b.column(1)):
-                    text = text.as_py() or ""
-                    words = words_of(text)
-                    hashes = shingle_hashes(words, SHINGLE)
-                    sizes = [len(line.split()) for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-                    ends = np.cumsum(sizes)
-                    for i, n in enumerate(sizes):
-                        if n >= min_words:
-                            at = int(ends[i]) - n
-                            rows.append((doc_id.as_py(), i, n, paragraph_id(b" ".join(words[at : at + n]))))
-                            grams.append(hashes[at : at + n - SHINGLE + 1] if n >= SHINGLE else shingle_hashes(words[at : at + n], SHINGLE))
-                    starts = window_starts(hashes, len(words))
-                    keys = window_keys(hashes, starts)
-                    windows.append((doc_id.as_py(), keys, starts.astype(np.int32), np.searchsorted(ends, starts, "right").astype(np.int32)))
-                bands = band_keys(grams).view(np.int64)
-                none = [None] * len(rows)
-                cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(list(bands), longs), pa.array(none, ints), pa.array(none, ints)], names=names)
-                none = [None] * len(windows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w[0] for w in windows], pa.int64()), *(pa.array(none, k) for k in kinds[1:]), pa.array([w[1] for w in windows], longs), pa.array([w[2] for w in windows], ints), pa.array([w[3] for w in windows], ints)],
-                    names=names,
-                )
+                ids = b.column(0).to_pylist()
+                texts = [lines_of(t.as_py()) for t in b.column(1)]
+                words = [list(chain.from_iterable(lines)) for lines in texts]
+                hashes = [shingle_hashes(w, SHINGLE) for w in words]
+                n_words, n_lines = (np.fromiter(map(len, x), np.int64, len(x)) for x in (words, texts))
+                lines = list(chain.from_iterable(texts))
+                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+                # places count over all texts of the batch
+                ends, first_word, first_line = np.cumsum(sizes), np.cumsum(n_words) - n_words, np.cumsum(n_lines) - n_lines
+                rows, grams = [], []
+                long = np.flatnonzero(sizes >= min_words)
+                of = np.searchsorted(first_line, long, "right") - 1
+                for k, i, at in zip(of.tolist(), long.tolist(), (ends[long] - sizes[long] - first_word[of]).tolist()):
+                    own = lines[i]
+                    rows.append((ids[k], i - int(first_line[k]), len(own), paragraph_id(b" ".join(own))))
+                    grams.append(hashes[k][at : at + len(own) - SHINGLE + 1] if len(own) >= SHINGLE else shingle_hashes(own, SHINGLE))
+                of, starts = window_starts(hashes, n_words)
+                n_grams = np.fromiter(map(len, hashes), np.int64, len(hashes))
+                keys = window_keys(np.concatenate(hashes), starts + (np.cumsum(n_grams) - n_grams)[of])
+                at_line = np.searchsorted(ends, starts + first_word[of], "right") - first_line[of]
+                if rows:
+                    cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                    bands = pa.array(band_keys(grams).view(np.int64).ravel())
+                    bands = pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), bands)
+                    yield pa.RecordBatch.from_arrays([*cols, bands, *[pa.nulls(len(rows), pa.list_(pa.int32()))] * 2], names=names)
+                offsets = np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t, copy=False))) for x, t in ((keys, np.int64), (starts, np.int32), (at_line, np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.nulls(len(ids), k) for k in kinds[1:]], *lists], names=names)
 
     schema = "doc_id long, paragraph int, n_words int, pid long, bands array<long>, starts array<int>, lines array<int>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -185,57 +221,80 @@ def _clusters(rows: DataFrame, docs: DataFrame, similarity: float, min_words: in
 
 
 def excerpts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, at, n, line, words, before) of each wanted (doc, at, n): the words from `at` on, lower-cased, with up to SPREAD on either side.
+    """wanted (doc, at, n and long columns that are handed on) with line, words, before and after.
 
-    Words are joined by spaces or by the line breaks between them. line is that of the first word, before
-    the number of words that precede `at`. Rows that share a doc_id may give several rows for one request;
-    of copies that follow each other one is read.
+    words are the n words from `at` on, lower-cased and joined by spaces, line is the line of the first of
+    them. before and after are the up to SPREAD words on either side, joined by spaces or by the line
+    breaks between them, before with what joins it to words. Rows that share a doc_id may give several rows
+    for one request; of copies that follow each other one is read.
     """
-    asked = settle(wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("asked")))
+    given = [c for c in wanted.columns if c != "doc"]
+    asked = settle(wanted.groupBy("doc").agg(F.collect_list(F.struct(*given)).alias("asked")))
+    names = ["doc", *given, "line", "words", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, set()
         for b in batches:
-            rows = []
-            for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            offsets, asked = b.column(2).offsets.to_numpy(), {c: b.column(2).values.field(c) for c in given}
+            at, n = asked["at"].to_numpy(), asked["n"].to_numpy()
+            rows, size = [], 0
+            for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 if doc != last:
                     last, seen = doc, set()
-                mark = xxhash.xxh64_intdigest((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                lines = [line.split() for line in (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
-                ends = list(accumulate(map(len, lines)))
-                # words at even places, what joins them at odd ones
-                pieces: list[bytes] = []
-                for words in lines:
-                    if pieces:
-                        pieces[-1] = pieces[-1].replace(b" ", b"") + b"\n"
-                    pieces += [x for w in words for x in (w, b" ")]
-                n_words = ends[-1]
-                for at, n in {(x["at"], x["n"]) for x in asked}:
-                    if at + n <= n_words:
-                        lo, hi = max(0, at - SPREAD), min(n_words, at + n + SPREAD)
-                        rows.append((doc, at, n, bisect_right(ends, lo), b"".join(pieces[2 * lo : 2 * hi - 1]), at - lo))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "at", "n", "line", "words", "before"])
+                text = text.as_py() or ""
+                mark = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+                if mark not in seen:
+                    seen.add(mark)
+                    for lo in range(offsets[k], offsets[k + 1], EXCERPTS):
+                        hi = min(lo + EXCERPTS, offsets[k + 1])
+                        rows.append((doc, np.arange(lo, hi), *cut_out(text, at[lo:hi], n[lo:hi])))
+                        size += hi - lo
+                        if size >= EXCERPTS:
+                            yield _excerpt_batch(rows, asked, names)
+                            rows, size = [], 0
+            yield _excerpt_batch(rows, asked, names)
 
     texts = in_bitmap(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text"), asked, "doc")
     both = texts.join(asked, "doc").select("doc", "text", "asked")
-    return both.mapInArrow(run, "doc long, at int, n int, line int, words binary, before int")
-
-
-def shared_run(mine: list[bytes], before: int, theirs: list[bytes], before_theirs: int, n: int) -> tuple[int, int] | None:
-    """(words to the left, words in all) of the longest common run around two places of n equal words; None if they differ."""
-    if mine[before : before + n] != theirs[before_theirs : before_theirs + n]:
-        return None
-    left = right = 0
-    while left < min(before, before_theirs) and mine[before - left - 1] == theirs[before_theirs - left - 1]:
-        left += 1
-    while before + n + right < len(mine) and before_theirs + n + right < len(theirs) and mine[before + n + right] == theirs[before_theirs + n + right]:
-        right += 1
-    return left, left + n + right
+    types = [f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("doc", *given)]
+    return both.mapInArrow(run, ", ".join([*types, "line int, words binary, before binary, after binary"]))
+
+
+def cut_out(text: str, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes, bytes]]]:
+    """(which of the requests lie in the text, the line of each of these, its words, before and after), see excerpts."""
+    lines = lines_of(text)
+    body = b"\n".join(map(b" ".join, lines))
+    codes = np.frombuffer(body, np.uint8)
+    edges = np.flatnonzero(np.diff((codes == 32) | (codes == 10), prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    inside = np.flatnonzero(at.astype(np.int64) + n <= len(starts))
+    lo = at[inside].astype(np.int64)
+    hi = lo + n[inside]
+    places = (starts[np.maximum(0, lo - SPREAD)], starts[lo], ends[hi - 1], ends[np.minimum(len(ends), hi + SPREAD) - 1])
+    cuts = []
+    for a, b, c, d in zip(*(x.tolist() for x in places)):
+        words = body[b:c]
+        cuts.append((b" ".join(words.split()) if b"\n" in words else words, body[a:b], body[c:d]))
+    return inside, np.searchsorted(np.cumsum([len(x) for x in lines]), lo, "right"), cuts
+
+
+def _excerpt_batch(rows: list[tuple], asked: dict[str, pa.Array], names: list[str]) -> pa.RecordBatch:
+    which = np.concatenate([np.empty(0, np.int64), *(r[1][r[2]] for r in rows)])
+    lines = np.concatenate([np.empty(0, np.int64), *(r[3] for r in rows)]).astype(np.int32)
+    docs = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[2]) for r in rows])
+    cuts = list(zip(*chain.from_iterable(r[4] for r in rows))) or [()] * 3
+    handed = [c.take(pa.array(which)) for c in asked.values()]
+    return pa.RecordBatch.from_arrays([pa.array(docs), *handed, pa.array(lines), *(pa.array(c, pa.binary()) for c in cuts)], names=names)
+
+
+def shared_words(mine: Iterable[bytes], theirs: Iterable[bytes]) -> int:
+    """How many words two sequences have in common from their first on."""
+    n = 0
+    for x, y in zip(mine, theirs):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def line_at(line: int, body: bytes, word: int) -> int:
@@ -245,18 +304,27 @@ def line_at(line: int, body: bytes, word: int) -> int:
     return line + body.count(b"\n", 0, len(body) - len(body.split(None, word)[word]))
 
 
+def line_before(line: int, before: bytes, left: int) -> int:
+    """The line of the word that stands `left` words before one in `line`; before is what precedes that one."""
+    if not left or b"\n" not in before:
+        return line
+    return line_at(line - before.count(b"\n"), before, len(before.split()) - left)
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The equal words of both places with those on either side that are equal too."""
     names, kinds = ["doc", "at", "line", "head", "head_at", "head_line", "n"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    asked = ["doc", "at", "n", "head", "head_at", "line", "words", "before", "line_", "words_", "before_"]
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):  # excerpts may be long
-            b, rows = batch.slice(lo, 1000), []
-            for doc, at, n, head, head_at, line, words, before, line_, words_, before_ in zip(*(b.column(c).to_pylist() for c in asked)):
-                got = shared_run(words.split(), before, words_.split(), before_, n)
-                if got:
-                    left, size = got
-                    rows.append((doc, at - left, line_at(line, words, before - left), head, head_at - left, line_at(line_, words_, before_ - left), size))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
+        cols = {c: batch.column(c) for c in names if c in batch.schema.names}
+        sides = [batch.column(c).to_pylist() for c in ("before", "before_", "after", "after_")]
+        lines, lines_ = (batch.column(c).to_pylist() for c in ("line", "line_"))
+        left = [shared_words(reversed(a.split()), reversed(b.split())) for a, b in zip(*sides[:2])]
+        right = [shared_words(a.split(), b.split()) for a, b in zip(*sides[2:])]
+        cols["line"] = list(map(line_before, lines, sides[0], left))
+        cols["head_line"] = list(map(line_before, lines_, sides[1], left))
+        left, right = np.array(left, np.int32), np.array(right, np.int32)
+        cols |= {"at": cols["at"].to_numpy() - left, "head_at": cols["head_at"].to_numpy() - left, "n": cols["n"].to_numpy() + left + right}
+        yield pa.RecordBatch.from_arrays([cols[c] if isinstance(cols[c], pa.Array) else pa.array(cols[c], k) for c, k in zip(names, kinds)], names=names)
 
 
 def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
@@ -283,13 +351,12 @@ def _passages(texts: DataFrame, docs: DataFrame, taken: DataFrame) -> DataFrame:
     runs = runs.groupBy("doc", "head", "shift", "run").agg(F.min("start").alias("at"), F.min("head_at").alias("head_at"), (F.max("start") - F.min("start") + WINDOW).cast("int").alias("n"))
     runs = settle(runs.select("doc", "at", "n", "head", "head_at"))
     # each side's excerpts are cut out where they are joined, and only its own
-    spot = F.xxhash64("doc", "at", "n")
-    own = excerpts(docs, runs.select("doc", "at", "n")).select(spot.alias("spot"), "line", "words", "before")
+    own = excerpts(docs, runs).withColumn("spot", F.xxhash64("head", "head_at", "n"))
     heads = runs.select(F.col("head").alias("doc"), F.col("head_at").alias("at"), "n").distinct()
-    theirs = excerpts(docs, heads).select(spot.alias("spot_"), *[F.col(c).alias(f"{c}_") for c in ("line", "words", "before")])
-    runs = runs.withColumn("spot", F.xxhash64("doc", "at", "n")).withColumn("spot_", F.xxhash64("head", "head_at", "n"))
-    asks = runs.groupBy("spot_").agg(F.count("*").alias("n"))
-    pairs = salted_join(runs.join(own, "spot"), theirs, "spot_", ["doc", "at"], counts=asks).drop("spot", "spot_")
+    theirs = excerpts(docs, heads).select(F.xxhash64("doc", "at", "n").alias("spot"), *[F.col(c).alias(f"{c}_") for c in ("line", "words", "before", "after")])
+    asks = runs.groupBy(F.xxhash64("head", "head_at", "n").alias("spot")).agg(F.count("*").alias("n"))
+    pairs = salted_join(own, theirs, "spot", ["doc", "at"], counts=asks).where("words = words_")
+    pairs = pairs.select("doc", "at", "n", "head", "head_at", "line", "before", "after", "line_", "before_", "after_")
     good = settle(pairs.mapInArrow(_extended, "doc long, at int, line int, head long, head_at int, head_line int, n int").distinct())
     spots = good.select("doc", "at", "line", "n", "head", F.lit(True).alias("removed")).union(good.select("head", "head_at", "head_line", "n", "head", F.lit(False)).distinct())
     # where runs of one document touch, as with several heads, they are one passage, under the first head

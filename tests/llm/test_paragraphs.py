@@ -136,3 +136,38 @@ def test_windows_are_told_apart_by_the_shingles_they_are_laid_out_with():
 def test_the_line_of_a_word_in_an_excerpt():
     body = b"a b\n\nc\nd e"
     assert [paragraphs.line_at(7, body, i) for i in range(5)] == [7, 7, 9, 10, 10] and paragraphs.line_at(3, b"x y", 1) == 3
+
+
+def test_bands_do_not_depend_on_how_shingles_are_sliced(monkeypatch):
+    rng = np.random.default_rng(7)
+    shingles = [rng.integers(0, 2**63, n, np.uint64) for n in (1, 40, 5000, 3, 1024, 1, 0)]
+    whole = paragraphs.band_keys(shingles)
+    assert all((paragraphs.band_keys([x])[0] == key).all() for x, key in zip(shingles, whole))
+    monkeypatch.setattr(paragraphs, "SLICE", 7)
+    assert (paragraphs.band_keys(shingles) == whole).all() and len(paragraphs.band_keys([])) == 0
+
+
+def test_windows_start_at_the_least_of_twenty_shingles():
+    rng = np.random.default_rng(8)
+    n_words = np.array([0, 3, 29, 30, 31, 48, 49, 50, 51, 70, 400, 30, 2])
+    grams = [rng.integers(0, 9, max(0, n - 4), np.uint64) for n in n_words]  # with many ties
+    of, starts = paragraphs.window_starts(grams, n_words)
+    for k, (g, n) in enumerate(zip(grams, n_words - 29)):
+        spans = [range(i, i + min(20, n)) for i in range(max(1, n - 19) if n > 0 else 0)]
+        assert starts[of == k].tolist() == sorted({min(span, key=lambda i: g[i]) for span in spans})
+
+
+def test_excerpts_hold_the_words_asked_for_and_their_neighbours(make_docs):
+    """More of them than are handed on at once; places beyond the text give none, other columns stay."""
+    rows = [(i, " ".join(f"w{i}x{k}" + "\n" * (k % 7 == 0) for k in range(300)), "s") for i in range(30)]
+    docs = make_docs(rows)
+    wanted = docs.sparkSession.createDataFrame([(i, at, 30, i + at) for i in range(30) for at in range(280)], "doc long, at int, n int, tag long")
+    words = {i: t.split() for i, t, _ in rows}
+    got = paragraphs.excerpts(docs, wanted).collect()
+    assert len(got) == 30 * 271 and all(r.tag == r.doc + r.at for r in got)
+    for r in got:
+        own = words[r.doc]
+        assert r.words.decode().split(" ") == own[r.at : r.at + 30] and r.line == (r.at + 6) // 7
+        assert r.before.decode().split() == own[max(0, r.at - 20) : r.at] and r.after.decode().split() == own[r.at + 30 : r.at + 50]
+        first = max(0, r.at - 20)
+        assert all(paragraphs.line_before(r.line, r.before, left) == (r.at - left + 6) // 7 for left in range(0, r.at - first + 1, 5))
