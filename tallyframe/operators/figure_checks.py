@@ -10,9 +10,11 @@ letters of a context, across words too, and are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +45,7 @@ def term_hash(term: str) -> int:
 
 _NAMES = [x.split()[0] for x in _FIGURE.split(", ")]
 _STATED = row(number=TEXT, unit=TEXT, value=DOUBLE, places=INT, digits=INT, u0=TEXT, u1=TEXT)
-_QUOTED = re.compile(QUOTED)
+_QUOTED, _DIGIT, _CJK = re.compile(QUOTED), re.compile("[0-9]"), re.compile("[一-鿿]")
 
 
 def _read(text: str) -> dict[tuple[str, str], None]:
@@ -70,10 +72,18 @@ def numbers_stated(sentence: pd.Series) -> pd.Series:
     return sentence.fillna("").map(lambda text: [number for number, _ in _read(text)])
 
 
+def may_state(c: Column) -> Column:
+    """Whether a text holds a digit, or a character that numerals are written with or compatibility form makes digits of; no text without one states a figure.
+
+    The latter are ²³¹¼½¾ or stand behind U+206F, as do others, so this may be true of a text without a figure.
+    """
+    return F.coalesce(c.rlike(r"[0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}\x{2070}-\x{10ffff}]"), F.lit(False))
+
+
 def draft_figures(draft: DataFrame) -> DataFrame:
     """(draft_id, position, sentence, terms, number, unit, ...): each figure that a sentence of drafts (draft_id, text) states."""
-    s = draft.select("draft_id", F.posexplode(sentences(F.col("text"))).alias("position", "sentence"))
-    s = s.withColumn("x", stated("sentence"))
+    s = draft.where(may_state(F.col("text"))).select("draft_id", F.posexplode(sentences(F.col("text"))).alias("position", "sentence"))
+    s = s.where(may_state(F.col("sentence"))).withColumn("x", stated("sentence"))
     return s.select("draft_id", "position", "sentence", "x.terms", F.explode("x.figures").alias("f")).select("draft_id", "position", "sentence", "terms", "f.*")
 
 
@@ -99,12 +109,14 @@ def page_figures(pages: DataFrame) -> DataFrame:
                     types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _PLACED.split(", ")])
 
-    return with_source(pages).select("source", F.col("page_id").cast("long"), "text").mapInArrow(run, _PLACED)
+    return with_source(pages).where(may_state(F.col("text"))).select("source", F.col("page_id").cast("long"), "text").mapInArrow(run, _PLACED)
 
 
 _PLACED = "source string, page_id long, start int, end int, number string, unit string, value double, places int, context string"
 _HELD = f"source string, page_id long, start int, {_FIGURE}, terms array<long>"
-_TERMS = "source string, page_id long, hash long, cjk long, chars long"
+_TERMS = "source string, page_id long, hash long, n long, cjk long, chars long"
+#: Terms of pages that a task counts together.
+TERMS_AT_ONCE = 1_000_000
 
 
 def _sought(spark, terms: DataFrame):
@@ -127,25 +139,47 @@ def _held_figures(pages: DataFrame, terms: DataFrame) -> DataFrame:
                     rows = []
                     for f in found[lo : lo + 1000]:
                         around = letters(plain[max(0, f.start - CONTEXT) : f.end + CONTEXT])
-                        rows.append((source.as_py(), page.as_py(), f.start, *_fields(f.number, f.unit), hits(around, sizes, bits.value)))
+                        rows.append((source.as_py(), page.as_py(), f.start, *_fields(f.number, f.unit), hits(around, sizes, bits.value).tolist()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return pages.mapInArrow(run, _HELD)
+    return pages.where(may_state(F.col("text"))).mapInArrow(run, _HELD)
 
 
 def _page_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(source, page_id, hash): the terms that pages hold; the row with a null hash counts the page's characters and CJK ones."""
+    """(source, hash, n): on how many of some pages a term stands; rows with a null hash count the characters and CJK ones of each page.
+
+    Names hold a digit, so they are looked for on pages that do.
+    """
     sizes, bits = _sought(pages.sparkSession, terms)
+    words = [r.k for r in terms.where(~F.col("name")).select("k").distinct().collect()]  # four to six letters, or two
+    names, types = [x.split()[0] for x in _TERMS.split(", ")], [pa.string(), *[pa.int64()] * 5]
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    def counted(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for source, parts in held.items():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            none = [None] * len(h)
+            yield rows([source] * len(h), none, h, n, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = defaultdict(list), 0
         for b in batches:
+            read = []
             for source, page, text in zip(*b.columns):
-                plain = fig.normal(text.as_py())
-                held = hits(letters(plain), sizes, bits.value)
-                n, cjk = len(held) + 1, sum("一" <= c <= "鿿" for c in plain) if not plain.isascii() else 0
-                columns = [[source.as_py()] * n, [page.as_py()] * n, [None, *held], [cjk] + [None] * (n - 1), [len(plain)] + [None] * (n - 1)]
-                types = [pa.string(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _TERMS.split(", ")])
+                source, plain = source.as_py(), fig.normal(text.as_py())
+                found = letters(plain)
+                found = hits(found, sizes if _DIGIT.search(found) else words, bits.value)
+                held[source].append(found)
+                read.append((source, page.as_py(), None, None, len(_CJK.findall(plain)), len(plain)))
+                waiting += len(found) + 1
+                if waiting > TERMS_AT_ONCE:
+                    yield from counted(held)
+                    held, waiting = defaultdict(list), 0
+            if read:
+                yield rows(*zip(*read))
+        yield from counted(held)
 
     return pages.mapInArrow(run, _TERMS)
 
@@ -160,7 +194,7 @@ def _sources(pages: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = first.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("page_id"))).where(F.col("i") <= CJK_PAGES)
     sources = first.groupBy("source").agg((F.sum("cjk") > CJK_SHARE * F.greatest(F.sum("chars"), F.lit(1))).alias("has_cjk"))
     sources = settle(sources.join(page.groupBy("source").agg(F.count("*").alias("pages")), "source"))
-    df = seen.where("hash IS NOT NULL").groupBy("source", "hash").agg(F.count("*").alias("df"))
+    df = seen.where("hash IS NOT NULL").groupBy("source", "hash").agg(F.sum("n").alias("df"))
     common = df.join(sources, "source").where((F.col("pages") >= MIN_PAGES) & (F.col("df") > COMMON_SHARE * F.col("pages"))).select("source", "hash")
     return sources.select("source", "has_cjk"), settle(common)
 
@@ -193,7 +227,7 @@ class Met:
     def __init__(self, draft: DataFrame, pages: DataFrame):
         wide = draft_figures(draft)
         self.claims = settle(wide.withColumn("claim", F.xxhash64("draft_id", "position", "number", "unit")))
-        self.terms = settle(self.claims.select(F.explode("terms").alias("t")).select("t.hash", "t.k").distinct())
+        self.terms = settle(self.claims.select(F.explode("terms").alias("t")).select("t.hash", "t.k", F.col("t.term").rlike("[0-9]").alias("name")).distinct())
         pages = with_source(pages).select("source", F.col("page_id").cast("long"), "text")
         self.held = settle(_held_figures(pages, self.terms))
         self.sources, self.common = _sources(pages, self.terms)

@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.functions import figures as fig
 from tallyframe.operators import figure_checks
@@ -222,3 +223,32 @@ def test_common_figures_do_not_meet_all_their_neighbours(spark):
         draft, pages = spark.createDataFrame(rows, "draft_id long, text string"), spark.createDataFrame(rows, "page_id long, text string")
         sizes.append(shuffled(spark, lambda: figure_checks.nearest_figure(draft, pages)))  # noqa: B023
     assert sizes[1] < 6 * sizes[0]
+
+
+def test_no_text_without_a_sign_of_a_figure_states_one(spark):
+    """Every character that compatibility form makes a digit or Chinese numeral of is such a sign; texts without one are not handed to Python."""
+    made = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and set(unicodedata.normalize("NFKC", chr(c))) & set("0123456789零〇一二兩三四五六七八九十百千")]
+    told = spark.createDataFrame([(c,) for c in [*made, "", "plain — “text” of Größe", None]], "text string").select("text", figure_checks.may_state(F.col("text")).alias("may"))
+    assert len(made) > 300 and {r.text for r in told.collect() if not r.may} == {"", "plain — “text” of Größe", None}
+    pages = spark.createDataFrame([(1, "no figure"), (2, "½ of it"), (3, "7 of it"), (4, None)], "page_id long, text string")
+    plan = figure_checks.page_figures(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.partition("MapInArrow")[2]
+    assert [r.page_id for r in figure_checks.page_figures(pages).orderBy("page_id", "start").collect()] == [2, 2, 3]
+
+
+@pytest.mark.parametrize("together", [3, 1_000_000])
+def test_terms_of_pages_are_added_up_where_they_are_read(spark, monkeypatch, together):
+    monkeypatch.setattr(figure_checks, "TERMS_AT_ONCE", together)
+    texts = [f"The orange garden {'of 12 GPT4' if i % 3 else 'paints'} grows {'板式熱' if i % 2 else ''}" for i in range(300)]
+    pages = spark.createDataFrame([("a" if i % 4 else "b", i, t) for i, t in enumerate(texts)], "source string, page_id long, text string").coalesce(2)
+    words = ["orange", "garden", "gpt4", "板式", "式熱", "dengro", "absent"]
+    terms = spark.createDataFrame([(figure_checks.term_hash(w), len(w), w == "gpt4") for w in words], "hash long, k int, name boolean")
+    got = figure_checks._page_terms(pages, terms).collect()
+    counted, hashes = {}, {figure_checks.term_hash(w): w for w in words}
+    for r in got:
+        if r.hash in hashes:
+            counted[r.source, hashes[r.hash]] = counted.get((r.source, hashes[r.hash]), 0) + r.n
+    want = {(s, w): n for s in "ab" for w in words if (n := sum(w in letters(t) for i, t in enumerate(texts) if ("a" if i % 4 else "b") == s))}
+    assert counted == want
+    assert {(r.source, r.page_id): (r.cjk, r.chars) for r in got if r.hash is None} == {("a" if i % 4 else "b", i): (3 * (i % 2), len(t)) for i, t in enumerate(texts)}
+    assert together == 3 or len(got) < 300 + 60
