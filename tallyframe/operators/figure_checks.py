@@ -338,27 +338,125 @@ def _near_sizes(x: Column) -> Column:
     return F.array_distinct(F.transform(F.array(F.lit(0.499), F.lit(0.75), F.lit(1.0), F.lit(1.501)), lambda k: _size(x * k)))
 
 
-#: Figures of a block in the order of their values in each round; a quest looks at two blocks.
-BLOCKS = (64, 1024)
-
-
-def _in_order(spots: DataFrame, quests: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-    """spots (source, key, page_id, start, spot) with their number by source, key and place; quests (quest, source, key) with the number of the next spot.
-
-    That is the first spot of a greater key or, if `first`, of an equal one.
+#: Quests that meet spots in one task's step, and spots that they meet; pairs of them that are counted at once.
+TOGETHER, CELLS = 8192, 1 << 18
+
+
+def _meet(quests: DataFrame, spots: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """What run(quests, spots) makes of the quests and spots of equal keys, both dealt where there are many, so that each part of the ones meets each of the others."""
+    parts = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias(name))
+    per = settle(parts(quests, "q_parts").join(parts(spots, "s_parts"), keys))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = quests.join(per, keys).withColumn("q", F.pmod("quest", "q_parts").cast("int")).withColumn("s", each("s_parts")).drop("q_parts", "s_parts")
+    other = spots.join(per, keys).withColumn("s", F.pmod("spot", "s_parts").cast("int")).withColumn("q", each("q_parts")).drop("q_parts", "s_parts")
+    other = other.select([F.col(c).alias(c) for c in other.columns])  # columns of its own, which those of quests may be the same as
+    return one.groupBy(*keys, "q", "s").cogroup(other.groupBy(*keys, "q", "s")).applyInArrow(run, schema)
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of lists, and the row of each."""
+    whole = lists.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(whole)), whole.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _sharing(quests: pa.Table, spots: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of quests, rows of spots, terms in common) of those that have as many in common as the quest needs, by some quests at a time."""
+    asked, asker = _flat(quests["used"])
+    held, owner = _flat(spots["terms"])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    lo = np.searchsorted(held, asked)
+    n = np.searchsorted(held, asked, "right") - lo
+    need, size = quests["need"].to_numpy(), spots.num_rows
+    step = max(1, CELLS // max(1, size))
+    for first in range(0, quests.num_rows if size else 0, step):
+        rows = min(step, quests.num_rows - first)
+        part = slice(*np.searchsorted(asker, [first, first + rows]))
+        many = n[part]
+        at = np.repeat(lo[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cells = np.repeat(asker[part] - first, many) * size + owner[at]
+        count = np.bincount(cells, minlength=rows * size).reshape(rows, size)
+        q, s = np.nonzero(count >= need[first : first + rows, None])
+        yield q + first, s, count[q, s]
+
+
+def _column(a: pa.Table, b: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of quests and what spots call p_ and its name, texts as numbers that are 0 for the empty one."""
+    x, y = a[name], b[f"p_{name}"]
+    if pa.types.is_string(x.type):
+        codes = {t: i for i, t in enumerate(["", *({*x.to_pylist(), *y.to_pylist()} - {""})])}
+        return np.array([codes[t] for t in x.to_pylist()], np.int64), np.array([codes[t] for t in y.to_pylist()], np.int64)
+    return x.to_numpy(), y.to_numpy()
+
+
+def _alike(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """units_agree for numbers of units."""
+    return (a0 == 0) | (b0 == 0) | ((a0 == b0) & ((a1 == 0) | (b1 == 0) | (a1 == b1)))
+
+
+def _places(spots: pa.Table) -> np.ndarray:
+    """The ranks of spots by their places."""
+    rank = np.empty(spots.num_rows, np.int64)
+    rank[np.lexsort((spots["start"].to_numpy(), spots["page_id"].to_numpy()))] = np.arange(spots.num_rows)
+    return rank
+
+
+def _firsts(q: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Where the first of each q stands in an order."""
+    at = np.lexsort((*reversed(order), q))
+    return at[np.flatnonzero(np.diff(q[at], prepend=-1))]
+
+
+#: Figures of a block in the order of their values in each round; a quest looks at two blocks, and after the last round at all that it can need.
+BLOCKS = (256, 4096)
+#: The directions in which a quest goes through values: up, down, and those of its own value.
+UP, DOWN, LEVEL = 1, -1, 0
+_NEAREST = "quest long, ask long, walk int, far double, source string, page_id long, start int, nearest string, unit string, key double"
+
+
+def _closest(quests: pa.Table, spots: pa.Table) -> pa.Table:
+    """For each quest the closest of the spots in the direction of its walk, of equally close ones the first."""
+    names = [x.split()[0] for x in _NEAREST.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+    (a, b), (a0, b0), (a1, b1) = (_column(quests, spots, c) for c in ("value", "u0", "u1"))
+    walk, rank, found = quests["walk"].to_numpy(), _places(spots), []
+    for q, s, _ in _sharing(quests, spots):
+        ahead, alike = b[s] - a[q], _alike(a0[q], a1[q], b0[s], b1[s])
+        far = np.abs(ahead)
+        ok = np.where(walk[q] == LEVEL, (far == 0) & ~alike, alike & (ahead * walk[q] > 0) & (far <= TYPO_SHARE * np.maximum(np.abs(a[q]), 1e-9)))
+        q, s, far = q[ok], s[ok], far[ok]
+        i = _firsts(q, far, rank[s])
+        found.append((q[i], s[i], far[i]))
+    q, s, far = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    mine, its = quests.take(q), spots.take(s)
+    unit = np.where(walk[q] == LEVEL, its["p_unit"].to_numpy(zero_copy_only=False), "")
+    columns = [mine["quest"], mine["ask"], mine["walk"], pa.array(far, pa.float64()), its["source"], its["page_id"], its["start"], its["p_number"], pa.array(unit, pa.string()), its["key"]]
+    return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, types)], names=names)
+
+
+def _in_order(spots: DataFrame, quests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(walk, spot, at): the number of spots (walk, source, key, page_id, start, spot) in the order of walk, source, key and place; (walk, quest, at): that of the next spot for quests (walk, quest, source, key).
+
+    That is the first spot of a greater key or, where values are level, of an equal one.
     """
-    rows = spots.select("source", "key", F.lit(0).alias("asks"), "page_id", "start", F.col("spot").alias("id"))
+    rows = spots.select("walk", "source", "key", F.lit(0).alias("asks"), "page_id", "start", F.col("spot").alias("id"))
     none = F.lit(None)
-    rows = rows.unionByName(quests.select("source", "key", F.lit(-1 if first else 1).alias("asks"), none.cast("long").alias("page_id"), none.cast("int").alias("start"), F.col("quest").alias("id")))
-    order = ["source", "key", "asks", "page_id", "start", "id"]
+    rows = rows.unionByName(quests.select("walk", "source", "key", F.when(F.col("walk") == LEVEL, -1).otherwise(1).alias("asks"), none.cast("long").alias("page_id"), none.cast("int").alias("start"), F.col("quest").alias("id")))
+    order = ["walk", "source", "key", "asks", "page_id", "start", "id"]
     rows = settle(rows.repartitionByRange(tasks_for(spots.sparkSession, spots.count() + quests.count()), *order).withColumn("part", F.spark_partition_id()))
     n = F.count_if(F.col("asks") == 0)
     parts = rows.groupBy("part").agg(n.alias("n"))  # one row a task
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("above"))
     before = F.sum((F.col("asks") == 0).cast("long")).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = F.col("before") + F.col("above") - F.when(F.col("asks") == 0, 1).otherwise(0)
-    placed = settle(rows.withColumn("before", before).join(F.broadcast(parts), "part").select("id", "asks", at.alias("at")))
-    return placed.where("asks = 0").select(F.col("id").alias("spot"), "at"), placed.where("asks <> 0").select(F.col("id").alias("quest"), "at")
+    placed = settle(rows.withColumn("before", before).join(F.broadcast(parts), "part").select("walk", "id", "asks", at.alias("at")))
+    return placed.where("asks = 0").select("walk", F.col("id").alias("spot"), "at"), placed.where("asks <> 0").select("walk", F.col("id").alias("quest"), "at")
+
+
+def _walked(rows: DataFrame, value: str, unit: str) -> DataFrame:
+    """rows by each direction, with the key that grows in it; only what is measured differs in unit from others of its value."""
+    walks = F.filter(F.array(*map(F.lit, (UP, DOWN, LEVEL))), lambda w: (w != LEVEL) | (F.col(unit) != ""))
+    return rows.withColumn("walk", F.explode(walks)).withColumn("key", F.when(F.col("walk") == DOWN, -F.col(value)).otherwise(F.col(value)))
 
 
 def _nearest(quests: DataFrame, spots: DataFrame) -> DataFrame:
@@ -366,51 +464,40 @@ def _nearest(quests: DataFrame, spots: DataFrame) -> DataFrame:
 
     Spots are put in the order of their values, and a quest goes through them block by block, upwards, downwards,
     and through those of its own value in other units, until none that follows can be closer than what it has
-    found. What still seeks after the last round shares few terms with its neighbours: there the terms propose,
-    without the most frequent ones that a place need not hold.
+    found, or as close and before it. What still seeks after the last round goes through all blocks that can matter.
     """
-    far = F.abs(F.col("p_value") - F.col("value"))
+    keyed, asking = _walked(spots, "p_value", "p_u0"), _walked(quests, "value", "u0")
+    at, begin = _in_order(keyed, asking)
+    ordered, left = settle(keyed.join(at, ["walk", "spot"])), asking.join(begin, ["walk", "quest"])
     half = TYPO_SHARE * F.greatest(F.abs("value"), F.lit(1e-9))
-    alike = units_agree(F.col("u0"), F.col("u1"), F.col("p_u0"), F.col("p_u1"))
-    ok = F.when(alike, (far > 0) & (far <= half)).otherwise(far == 0)
-    held = F.size(F.array_intersect("used", "terms")) >= F.col("need")
-    found = F.struct(far.alias("far"), "source", "page_id", "start", F.col("p_number").alias("nearest"), F.when(alike, "").otherwise(F.col("p_unit")).alias("unit"))
-    narrow = ["source", "page_id", "start", "spot"]
-    up, down, level = F.col("p_value"), -F.col("p_value"), F.col("p_value")
-    measured = quests.where("u0 <> ''")  # only what is measured differs in unit from others of its value
-    walks = [(up, F.col("value"), spots, quests, False), (down, -F.col("value"), spots, quests, False), (level, F.col("value"), spots.where("p_u0 <> ''"), measured, True)]
-    best = quests.select("quest", F.lit(None).cast(DOUBLE).alias("far")).where("false")
-    bests, seeking = [], []
-    for key, own, among, asking, first in walks:
-        keyed = among.withColumn("key", key)
-        at, begin = _in_order(keyed.select(*narrow, "key"), asking.select("quest", "source", own.alias("key")), first)
-        ordered, left = settle(keyed.join(at, "spot")), asking.join(begin, "quest")
-        for n in BLOCKS:
+    where, founds = ["walk", "source", "block"], []
+    for n in (*BLOCKS, None):
+        if n is not None:
             block = F.floor(F.col("at") / n)
             blocked = ordered.withColumn("block", block).drop("at")
-            edges = blocked.groupBy("source", "block").agg(F.min("key").alias("edge"))
+            edges = blocked.groupBy(*where).agg(F.min("key").alias("edge"))
             left = settle(left.withColumn("block", block))
-            looked = left.drop("at").withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-            got = settle(looked.join(blocked, ["source", "block"]).where(ok & held).groupBy("quest", "ask").agg(F.min(found).alias("b")))
-            bests.append(got)
-            best = settle(best.unionByName(got.select("quest", "b.far")).groupBy("quest").agg(F.min("far").alias("far")))
-            # who goes on: the first block not looked at begins within half of the figure, and no further than what is found
-            ahead = left.withColumn("block", F.col("block") + 2).join(edges, ["source", "block"]).join(best, "quest", "left")
-            reach = F.lit(0.0) if first else F.least(half, F.coalesce("far", half))
-            left = ahead.where(F.col("edge") - own <= reach).select(*asking.columns, "at")
-        seeking.append(left.select("quest"))
-    rest = settle(quests.join(reduce(DataFrame.union, seeking).distinct(), "quest").join(best, "quest", "left"))
-    df = spots.select(F.explode("terms").alias("hash")).groupBy("hash").agg(F.count("*").alias("df"))
-    ranked = rest.select("quest", F.explode("used").alias("hash")).join(df, "hash").groupBy("quest").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "hash"))), lambda x: x["hash"]).alias("ranked"))  # the terms of one sentence
-    rest = settle(rest.join(ranked, "quest").where(F.size("ranked") >= F.col("need")))
-    asked = rest.withColumn("hash", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - F.col("need") + 1))).drop("ranked", "used")
-    asked = asked.withColumn("size", F.explode(_near_sizes(F.col("value"))))
-    says = ["p_value", "p_u0", "p_u1"]
-    page = _holding(spots.select("source", "spot", *says, "terms"), asked.select("hash")).withColumn("size", _size(F.col("p_value")))
-    met = asked.join(page, ["source", "size", "hash"]).where(ok & (far <= F.coalesce(F.col("far"), half))).select("quest", "spot").distinct()
-    both = met.join(rest.drop("source", "far"), "quest").join(spots, "spot").where(held)
-    bests.append(both.groupBy("quest", "ask").agg(F.min(found).alias("b")))
-    return reduce(DataFrame.unionByName, bests).groupBy("ask").agg(F.min("b").alias("b"))
+            looked = left.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+        else:  # left has each block
+            looked = left
+        founds.append(settle(_meet(looked.drop("at", "key"), blocked, where, _closest, _NEAREST)))
+        if n is None:
+            break
+        # who goes on: the first block not looked at begins within half of the figure, and no further than what is found; if as far, not with the value found, whose first place is known
+        every = reduce(DataFrame.unionByName, founds)
+        best = every.groupBy("quest").agg(F.min("far").alias("far"))
+        own = every.groupBy("quest", "walk").agg(F.min(F.struct("far", "key")).alias("own")).select("quest", "walk", F.col("own.key").alias("own"))
+        reach = F.when(F.col("walk") == LEVEL, 0.0).otherwise(F.least(half, F.coalesce("far", half)))
+        ahead = F.col("edge") - F.col("key")
+        on = (ahead < reach) | ((ahead == reach) & ~F.coalesce(F.col("own") == F.col("edge"), F.lit(False)))
+        left = left.join(best, "quest", "left").join(own, ["quest", "walk"], "left").withColumn("next", F.col("block") + 2).drop("block")
+        if n == BLOCKS[-1]:
+            left = left.join(F.broadcast(edges.withColumnRenamed("block", "at_block")), ["walk", "source"]).where(F.col("at_block") >= F.col("next"))  # a row for each 4,096 spots
+            left = settle(left.where(on).withColumn("block", F.col("at_block")).select(*asking.columns, "at", "block"))
+        else:
+            left = left.join(edges.withColumnRenamed("block", "next"), ["walk", "source", "next"]).where(on).select(*asking.columns, "at")
+    b = F.struct("far", "source", "page_id", "start", "nearest", "unit")
+    return reduce(DataFrame.unionByName, founds).groupBy("ask").agg(F.min(b).alias("b"))
 
 
 def nearest_figure(draft: DataFrame, pages: DataFrame) -> DataFrame:

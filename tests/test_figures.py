@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,34 @@ def test_terms_of_pages_are_added_up_where_they_are_read(spark, monkeypatch, tog
     assert counted == want
     assert {(r.source, r.page_id): (r.cjk, r.chars) for r in got if r.hash is None} == {("a" if i % 4 else "b", i): (3 * (i % 2), len(t)) for i, t in enumerate(texts)}
     assert together == 3 or len(got) < 300 + 60
+
+
+def test_a_figure_found_among_equal_ones_is_not_sought_in_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(figure_checks, "BLOCKS", (2, 4))
+    met, meet = [], figure_checks._meet
+    monkeypatch.setattr(figure_checks, "_meet", lambda quests, *rest: met.append(quests.count()) or meet(quests, *rest))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(1000)]
+    rows = [(i, f"One plant of the {words[i]}{words[-1 - i]} kind sold {3 + i % 2} barrels of common orange garden paint.") for i in range(60)]
+    rows += [(-1 - i, f"Nothing of the {words[i]}{words[-1 - i]} kind is read on this page.") for i in range(70)]
+    draft, pages = spark.createDataFrame(rows, "draft_id long, text string"), spark.createDataFrame(rows, "page_id long, text string")
+    got = {(r.draft_id, r.figure, r.nearest, r.page_id) for r in figure_checks.nearest_figure(draft, pages).collect()}
+    assert got == {(i, str(3 + i % 2), str(4 - i % 2), 1 - i % 2) for i in range(60)}
+    assert met == [4 * 60, 0, 0]  # two walks of two blocks each, and none after them
+
+
+def test_quests_and_spots_that_are_many_are_dealt_and_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(figure_checks, "TOGETHER", 7)
+    monkeypatch.setattr(figure_checks, "CELLS", 16)
+    rng = random.Random(5)
+    ids = [tuple(rng.sample(range(12), rng.randint(1, 5))) for _ in range(90)]
+    quests = spark.createDataFrame([(i % 2, i, list(t), min(2, len(t))) for i, t in enumerate(ids[:40])], "key int, quest long, used array<long>, need int")
+    spots = spark.createDataFrame([(i % 2, i, list(t)) for i, t in enumerate(ids[40:])], "key int, spot long, terms array<long>")
+
+    def run(a, b):
+        assert a.num_rows <= 40 and b.num_rows <= 50
+        pairs = [(a["quest"][int(x)].as_py(), b["spot"][int(y)].as_py(), int(n)) for q, s, k in figure_checks._sharing(a, b) for x, y, n in zip(q, s, k)]
+        return pa.Table.from_pylist([dict(zip(("quest", "spot", "n"), p)) for p in pairs], pa.schema([(c, pa.int64()) for c in ("quest", "spot", "n")]))
+
+    got = sorted(tuple(r) for r in figure_checks._meet(quests, spots, ["key"], run, "quest long, spot long, n long").collect())
+    want = [(i, j, n) for i, t in enumerate(ids[:40]) for j, u in enumerate(ids[40:]) if i % 2 == j % 2 and (n := len({*t} & {*u})) >= min(2, len(t))]
+    assert got == sorted(want) and len(want) > 100
