@@ -24,7 +24,7 @@ from ..functions import figures as fig
 from ..functions.kinds import DOUBLE, INT, LONG, TEXT, TRUTH, many, row
 from ..functions.text import QUOTED, sentences
 from ..plans.settled import settle, tasks_for
-from .quotes import _bitmap, _slots, hits, letters, run_hashes, with_source
+from .quotes import _bitmap, hits, letters, run_hashes, with_source
 
 #: Characters around a figure, terms that must be there, digits of a telling figure, and when a term is common.
 CONTEXT, MIN_TERMS, TELLING_DIGITS = 250, 2, 4
@@ -233,10 +233,6 @@ class Met:
         self.sources, self.common = _sources(pages, self.terms)
 
 
-#: How many of a sentence's rarest terms propose places in each round; the last takes all that can still matter.
-ROUNDS = (1, 4, None)
-
-
 def _room(x: Column) -> Column:
     """The whole number by which values meet; values with a key in common lie in rooms at most two apart."""
     return F.floor(F.greatest(F.least(x, F.lit(4e18)), F.lit(-4e18)) + 0.5)
@@ -246,100 +242,10 @@ def _rooms(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long")), lambda i: _room(x) + i)
 
 
-def _holding(spots: DataFrame, hashes: DataFrame) -> DataFrame:
-    """spots by each of their terms that hashes may hold; the others, which are most, are not written."""
-    bits = spots.sparkSession.sparkContext.broadcast(_bitmap(hashes))
-
-    @F.pandas_udf(many(LONG))
-    def kept(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda t: t[(bits.value[(slot := _slots(t)) >> 6] >> (slot & 63)) & 1 == 1])
-
-    return spots.withColumn("hash", F.explode(kept("terms"))).drop("terms")
-
-
-def _most_shared(quests: DataFrame, spots: DataFrame, agree: Column) -> DataFrame:
-    """(ask, b) of quests (quest, ask, source, value, ..., ranked, need): the spot of the source that holds most of a quest's terms, of equal ones the first.
-
-    A spot that holds b of n terms holds one of the n - b + 1 rarest. So the rarest term of a quest proposes first,
-    and only as many more as a spot that is as good as the best found must hold one of.
-    """
-    quests, lo, found = quests.withColumn("best", F.col("need")), 0, None
-    for hi in ROUNDS:
-        reach = F.size("ranked") - F.col("best") + 1
-        asked = quests.where(reach > lo).withColumn("hash", F.explode(F.slice("ranked", lo + 1, F.greatest(F.lit(0), (reach if hi is None else F.least(reach, F.lit(hi))) - lo))))
-        asked = asked.drop("ranked", "need", "best").withColumn("room", F.explode(_rooms(F.col("value"))))
-        page = _holding(spots, asked.select("hash")).withColumn("room", _room(F.col("p_value")))
-        met = asked.join(page, ["source", "room", "hash"]).where(agree).select("quest", "spot").distinct()
-        terms = met.join(quests.select("quest", "ask", "ranked", "need"), "quest").join(spots.select("spot", "source", "page_id", "start", "terms"), "spot")
-        shared = terms.withColumn("n", F.size(F.array_intersect("ranked", "terms"))).where(F.col("n") >= F.col("need"))
-        best = shared.groupBy("quest", "ask").agg(F.min(F.struct((-F.col("n")).cast("long").alias("less"), "source", "page_id", "start")).alias("b"))
-        best = settle(best)
-        found = best if found is None else found.unionByName(best)
-        if hi is not None:
-            more = best.select("quest", (-F.col("b.less")).cast("int").alias("more"))
-            quests, lo = settle(quests.join(more, "quest", "left").withColumn("best", F.greatest("best", F.coalesce("more", "best"))).drop("more").where(F.size("ranked") - F.col("best") + 1 > hi)), hi
-    return found.select("ask", "b")
-
-
-def _terms_there(near: DataFrame, asks: DataFrame, m: Met) -> DataFrame:
-    """asks (ask, ..., terms) for each source of near (ask, source), with the hashes of their terms in the source's scripts, and those of them that are not common there."""
-    shared = m.common.groupBy("source").agg(F.collect_set("hash").alias("common"))
-    each = near.join(m.sources, "source").join(shared, "source", "left").join(asks, "ask")
-    each = each.withColumn("terms", F.array_distinct(F.transform(F.filter("terms", lambda t: F.col("has_cjk") | ~t["cjk"]), lambda t: t["hash"])))
-    return each.withColumn("specific", F.array_except("terms", F.coalesce("common", F.array().cast("array<long>"))))
-
-
-def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
-    """(draft_id, position, figure, unit, supported, source, page_id, matched_terms) of the figures that drafts (draft_id, text) state.
-
-    A figure is supported by a page figure that says the same at its precision, agrees in unit and has two
-    of the sentence's terms in its context (all, if there are fewer); terms on most pages of a source do
-    not count unless the sentence has no others. A figure of four digits printed alike needs one term of any
-    kind. The place with most terms is given, of equal ones the first. pages: (page_id, text), with a column
-    source where there are several.
-
-    Figures with the same terms are asked for once, page figures with the same context stand for the first of them.
-    """
-    m = Met(draft, pages)
-    says = ["value", "places", "u0", "u1"]
-    claims = m.claims.withColumn("terms", F.array_sort(F.transform("terms", lambda t: F.struct(t["hash"].alias("hash"), t["cjk"].alias("cjk"))))).withColumn("telling", F.col("digits") >= TELLING_DIGITS)
-    claims = settle(claims.select("claim", "draft_id", "position", "number", "unit", *says, "telling", "terms").withColumn("ask", F.xxhash64(*says, "telling", "terms")))
-    asks = settle(claims.dropDuplicates(["ask"]).select("ask", *says, "telling", "terms"))
-    spots = m.held.groupBy("source", *says, "terms").agg(F.min(F.struct("page_id", "start")).alias("at"))
-    spots = settle(spots.select(F.xxhash64("source", "at.page_id", "at.start").alias("spot"), "source", "at.page_id", "at.start", *[F.col(c).alias(f"p_{c}") for c in says], "terms"))
-    values = settle(spots.groupBy("source", *[f"p_{c}" for c in says]).agg(F.min(F.struct("page_id", "start")).alias("at")))
-    ok = agrees(F.col("value"), F.col("places"), F.col("p_value"), F.col("p_places")) & unit_supports(F.col("u0"), F.col("u1"), F.col("p_u0"), F.col("p_u1"))
-    ok = ok & F.arrays_overlap(_keys(F.col("value"), F.col("places")), _keys(F.col("p_value"), F.col("places")))
-    # what is asked of each source that prints about such a value: its terms there; those of them that are not common, and all where the figure itself tells
-    near = asks.select("ask", F.explode(_rooms(F.col("value"))).alias("room")).join(values.select("source", _room(F.col("p_value")).alias("room")).distinct(), "room").select("ask", "source").distinct()
-    each = _terms_there(near, asks, m)
-    used = F.when(F.size("specific") == 0, F.col("terms")).otherwise(F.col("specific"))
-    modes = F.array(F.struct(F.lit(False).alias("told"), used.alias("used"), F.least(F.lit(MIN_TERMS), F.size(used)).alias("need")), F.when(F.col("telling"), F.struct(F.lit(True).alias("told"), F.col("terms").alias("used"), F.lit(1).alias("need"))))
-    each = each.select("ask", "source", *says, F.explode(F.array_compact(modes)).alias("x")).select("ask", "source", *says, "x.*").withColumn("quest", F.xxhash64("ask", "source", "told"))
-    df = spots.select(F.explode("terms").alias("hash")).groupBy("hash").agg(F.count("*").alias("df"))
-    ranked = each.select("quest", F.explode("used").alias("hash")).join(df, "hash").groupBy("quest").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "hash"))), lambda x: x["hash"]).alias("ranked"))  # the terms of one sentence
-    quests = settle(each.drop("used").join(ranked, "quest").where(F.size("ranked") >= F.col("need")))
-    hits = _most_shared(quests, spots, ok & (~F.col("told") | (F.col("p_places") == F.col("places"))))
-    # sentences without terms in a source's scripts are met by the value alone, at its first place there
-    bare = asks.where(~F.exists("terms", lambda t: ~t["cjk"])).withColumn("room", F.explode(_rooms(F.col("value"))))
-    alone = bare.join(values.withColumn("room", _room(F.col("p_value"))), "room").where(ok).join(m.sources, "source").where((F.size("terms") == 0) | ~F.col("has_cjk")).select("ask", F.struct(F.lit(0).cast("long").alias("less"), "source", "at.page_id", "at.start").alias("b"))
-    best_of = hits.unionByName(alone).groupBy("ask").agg(F.min("b").alias("b"))
-    every = claims.select("claim", "ask", "draft_id", "position", F.col("number").alias("figure"), "unit").dropDuplicates(["claim"])
-    return every.join(best_of, "ask", "left").select("draft_id", "position", "figure", "unit", F.col("b").isNotNull().alias("supported"), "b.source", "b.page_id", (-F.col("b.less")).alias("matched_terms"))
-
-
-def _size(x: Column) -> Column:
-    """The power of two below a value."""
-    return F.when(x == 0, F.lit(-5000)).otherwise(F.floor(F.log2(F.abs(x))))
-
-
-def _near_sizes(x: Column) -> Column:
-    """The sizes of values within half of a value."""
-    return F.array_distinct(F.transform(F.array(F.lit(0.499), F.lit(0.75), F.lit(1.0), F.lit(1.501)), lambda k: _size(x * k)))
-
-
 #: Quests that meet spots in one task's step, and spots that they meet; pairs of them that are counted at once.
 TOGETHER, CELLS = 8192, 1 << 18
+#: Spots of some rooms that are met as one group, as a step for each room takes longer.
+SPOTS = 512
 
 
 def _meet(quests: DataFrame, spots: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
@@ -407,6 +313,104 @@ def _firsts(q: np.ndarray, *order: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(np.diff(q[at], prepend=-1))]
 
 
+_SHARED = "ask long, less long, source string, page_id long, start int"
+
+
+def _whole_numbers(x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two whole numbers that values may round to at so many places, as longs have them."""
+    with np.errstate(all="ignore"):
+        scaled = x * np.power(10.0, places)
+        return tuple(np.clip(np.nan_to_num(np.floor(scaled + 0.5 + e), nan=0.0, posinf=2.0**63, neginf=-(2.0**63)), -(2.0**63), 2.0**63) for e in (-1e-6, 1e-6))
+
+
+def _agreeing(a: np.ndarray, a_places: np.ndarray, b: np.ndarray, b_places: np.ndarray) -> np.ndarray:
+    """agrees for arrays, where values also round to a whole number in common at a's places."""
+    with np.errstate(all="ignore"):
+        far, slack = np.abs(a - b), 1e-9 * np.maximum(1.0, np.abs(a))
+        near = np.where(a_places > b_places, far <= slack, far <= 0.5 * np.power(10.0, -a_places) + slack)
+    (a0, a1), (b0, b1) = _whole_numbers(a, a_places), _whole_numbers(b, a_places)
+    return near & ((a0 == b0) | (a0 == b1) | (a1 == b0) | (a1 == b1))
+
+
+def _fullest(quests: pa.Table, spots: pa.Table) -> pa.Table:
+    """For each quest the spot that supports its figure and holds most of its terms, of equal ones the first."""
+    (a, b), (a_places, b_places), (a0, b0), (a1, b1) = (_column(quests, spots, c) for c in ("value", "places", "u0", "u1"))
+    a_places, percent, told = a_places.astype(float), np.array([u in ("", "%") for u in quests["u0"].to_pylist()], bool), quests["told"].to_numpy(zero_copy_only=False)
+    rank, found = _places(spots), []
+    for q, s, n in _sharing(quests, spots):
+        ok = _alike(a0[q], a1[q], b0[s], b1[s]) & (percent[q] | (b0[s] != 0)) & (~told[q] | (a_places[q] == b_places[s])) & _agreeing(a[q], a_places[q], b[s], b_places[s])
+        q, s, n = q[ok], s[ok], n[ok]
+        i = _firsts(q, -n, rank[s])
+        found.append((q[i], s[i], n[i]))
+    q, s, n = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    its = spots.take(s)
+    columns = [quests["ask"].take(q), pa.array(-n, pa.int64()), its["source"], its["page_id"], its["start"]]
+    return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _SHARED.split(", ")])
+
+
+def _most_shared(quests: DataFrame, spots: DataFrame) -> DataFrame:
+    """(ask, b) of quests (quest, ask, source, value, ..., used, need): the spot of the source that supports a quest's figure and holds most of its terms, of equal ones the first."""
+    groups = F.lit(1 + spots.count() // SPOTS)
+    group = lambda room: F.pmod(F.xxhash64(room), groups)
+    asked = quests.withColumn("group", F.explode(F.array_distinct(F.transform(_rooms(F.col("value")), group))))
+    best = _meet(asked, spots.withColumn("group", group(_room(F.col("p_value")))), ["source", "group"], _fullest, _SHARED)
+    return best.select("ask", F.struct("less", "source", "page_id", "start").alias("b"))
+
+
+def _terms_there(near: DataFrame, asks: DataFrame, m: Met) -> DataFrame:
+    """asks (ask, ..., terms) for each source of near (ask, source), with the hashes of their terms in the source's scripts, and those of them that are not common there."""
+    shared = m.common.groupBy("source").agg(F.collect_set("hash").alias("common"))
+    each = near.join(m.sources, "source").join(shared, "source", "left").join(asks, "ask")
+    each = each.withColumn("terms", F.array_distinct(F.transform(F.filter("terms", lambda t: F.col("has_cjk") | ~t["cjk"]), lambda t: t["hash"])))
+    return each.withColumn("specific", F.array_except("terms", F.coalesce("common", F.array().cast("array<long>"))))
+
+
+def check_figures(draft: DataFrame, pages: DataFrame) -> DataFrame:
+    """(draft_id, position, figure, unit, supported, source, page_id, matched_terms) of the figures that drafts (draft_id, text) state.
+
+    A figure is supported by a page figure that says the same at its precision, agrees in unit and has two
+    of the sentence's terms in its context (all, if there are fewer); terms on most pages of a source do
+    not count unless the sentence has no others. A figure of four digits printed alike needs one term of any
+    kind. The place with most terms is given, of equal ones the first. pages: (page_id, text), with a column
+    source where there are several.
+
+    Figures with the same terms are asked for once, page figures with the same context stand for the first of them.
+    """
+    m = Met(draft, pages)
+    says = ["value", "places", "u0", "u1"]
+    claims = m.claims.withColumn("terms", F.array_sort(F.transform("terms", lambda t: F.struct(t["hash"].alias("hash"), t["cjk"].alias("cjk"))))).withColumn("telling", F.col("digits") >= TELLING_DIGITS)
+    claims = settle(claims.select("claim", "draft_id", "position", "number", "unit", *says, "telling", "terms").withColumn("ask", F.xxhash64(*says, "telling", "terms")))
+    asks = settle(claims.dropDuplicates(["ask"]).select("ask", *says, "telling", "terms"))
+    spots = m.held.groupBy("source", *says, "terms").agg(F.min(F.struct("page_id", "start")).alias("at"))
+    spots = settle(spots.select(F.xxhash64("source", "at.page_id", "at.start").alias("spot"), "source", "at.page_id", "at.start", *[F.col(c).alias(f"p_{c}") for c in says], "terms"))
+    values = settle(spots.groupBy("source", *[f"p_{c}" for c in says]).agg(F.min(F.struct("page_id", "start")).alias("at")))
+    ok = agrees(F.col("value"), F.col("places"), F.col("p_value"), F.col("p_places")) & unit_supports(F.col("u0"), F.col("u1"), F.col("p_u0"), F.col("p_u1"))
+    ok = ok & F.arrays_overlap(_keys(F.col("value"), F.col("places")), _keys(F.col("p_value"), F.col("places")))
+    # what is asked of each source that prints about such a value: its terms there; those of them that are not common, and all where the figure itself tells
+    near = asks.select("ask", F.explode(_rooms(F.col("value"))).alias("room")).join(values.select("source", _room(F.col("p_value")).alias("room")).distinct(), "room").select("ask", "source").distinct()
+    each = _terms_there(near, asks, m)
+    used = F.when(F.size("specific") == 0, F.col("terms")).otherwise(F.col("specific"))
+    modes = F.array(F.struct(F.lit(False).alias("told"), used.alias("used"), F.least(F.lit(MIN_TERMS), F.size(used)).alias("need")), F.when(F.col("telling"), F.struct(F.lit(True).alias("told"), F.col("terms").alias("used"), F.lit(1).alias("need"))))
+    each = each.select("ask", "source", *says, F.explode(F.array_compact(modes)).alias("x")).select("ask", "source", *says, "x.*").withColumn("quest", F.xxhash64("ask", "source", "told"))
+    hits = _most_shared(settle(each.where(F.size("used") > 0)), spots)
+    # sentences without terms in a source's scripts are met by the value alone, at its first place there
+    bare = asks.where(~F.exists("terms", lambda t: ~t["cjk"])).withColumn("room", F.explode(_rooms(F.col("value"))))
+    alone = bare.join(values.withColumn("room", _room(F.col("p_value"))), "room").where(ok).join(m.sources, "source").where((F.size("terms") == 0) | ~F.col("has_cjk")).select("ask", F.struct(F.lit(0).cast("long").alias("less"), "source", "at.page_id", "at.start").alias("b"))
+    best_of = hits.unionByName(alone).groupBy("ask").agg(F.min("b").alias("b"))
+    every = claims.select("claim", "ask", "draft_id", "position", F.col("number").alias("figure"), "unit").dropDuplicates(["claim"])
+    return every.join(best_of, "ask", "left").select("draft_id", "position", "figure", "unit", F.col("b").isNotNull().alias("supported"), "b.source", "b.page_id", (-F.col("b.less")).alias("matched_terms"))
+
+
+def _size(x: Column) -> Column:
+    """The power of two below a value."""
+    return F.when(x == 0, F.lit(-5000)).otherwise(F.floor(F.log2(F.abs(x))))
+
+
+def _near_sizes(x: Column) -> Column:
+    """The sizes of values within half of a value."""
+    return F.array_distinct(F.transform(F.array(F.lit(0.499), F.lit(0.75), F.lit(1.0), F.lit(1.501)), lambda k: _size(x * k)))
+
+
 #: Figures of a block in the order of their values in each round; a quest looks at two blocks, and after the last round at all that it can need.
 BLOCKS = (256, 4096)
 #: The directions in which a quest goes through values: up, down, and those of its own value.

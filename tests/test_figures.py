@@ -284,3 +284,14 @@ def test_quests_and_spots_that_are_many_are_dealt_and_all_meet(spark, monkeypatc
     got = sorted(tuple(r) for r in figure_checks._meet(quests, spots, ["key"], run, "quest long, spot long, n long").collect())
     want = [(i, j, n) for i, t in enumerate(ids[:40]) for j, u in enumerate(ids[40:]) if i % 2 == j % 2 and (n := len({*t} & {*u})) >= min(2, len(t))]
     assert got == sorted(want) and len(want) > 100
+
+
+def test_arrays_agree_as_columns_do(spark):
+    rng = random.Random(7)
+    values = [0.0, 1.0, -1.0, 1.5, 2.5, 1.45, 1.449999, 0.05, 88.4, 88.44, 88.45, 1e15, 1e15 + 1, 1e18, 2e18, 1e22, 1e300, float("inf"), 5e-324]
+    rows = [(rng.choice(values) + rng.choice((0, 0, 0.5, 0.04, 0.05, 1e-9)), rng.choice((0, 1, 2, 3, 20, 320)), rng.choice(values) + rng.choice((0, 0, 0.5, 0.04, 1e-10)), rng.choice((0, 1, 2, 3))) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "a double, ap int, b double, bp int")
+    both = figure_checks.agrees(F.col("a"), F.col("ap"), F.col("b"), F.col("bp")) & F.arrays_overlap(figure_checks._keys(F.col("a"), F.col("ap")), figure_checks._keys(F.col("b"), F.col("ap")))
+    r = df.withColumn("told", both).toPandas()
+    got = figure_checks._agreeing(r.a.to_numpy(), r.ap.to_numpy().astype(float), r.b.to_numpy(), r.bp.to_numpy())
+    assert got.tolist() == r.told.tolist() and 300 < got.sum() < 4500
