@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from ..functions import figures as fig
 from ..functions.kinds import DOUBLE, INT, LONG, TEXT, TRUTH, many, row
 from ..functions.text import QUOTED, sentences
 from ..plans.settled import settle, tasks_for
-from .quotes import _bitmap, hits, letters, run_hashes, with_source
+from .quotes import _bitmap, hits, hits_of_each, letters, run_hashes, with_source
 
 #: Characters around a figure, terms that must be there, digits of a telling figure, and when a term is common.
 CONTEXT, MIN_TERMS, TELLING_DIGITS = 250, 2, 4
@@ -39,6 +39,7 @@ def _fields(number: str, unit: str) -> tuple:
     return number, unit, fig.value(number), fig.places(number), fig.digits(number), *fig.folded_unit(unit)
 
 
+@lru_cache(1 << 16)
 def term_hash(term: str) -> int:
     return int(run_hashes(term, len(term))[0])
 
@@ -132,15 +133,23 @@ def _held_figures(pages: DataFrame, terms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _HELD.replace("array<long>", "x").split(", ")]
         types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64())]
+
+        def held(rows: list[tuple], around: list[str]) -> pa.RecordBatch:
+            columns = [*zip(*rows), hits_of_each(around, sizes, bits.value)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        rows, around = [], []
         for b in batches:
             for source, page, text in zip(*b.columns):
                 plain, found = _read_page(text.as_py())
-                for lo in range(0, len(found), 1000):
-                    rows = []
-                    for f in found[lo : lo + 1000]:
-                        around = letters(plain[max(0, f.start - CONTEXT) : f.end + CONTEXT])
-                        rows.append((source.as_py(), page.as_py(), f.start, *_fields(f.number, f.unit), hits(around, sizes, bits.value).tolist()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                for f in found:
+                    around.append(letters(plain[max(0, f.start - CONTEXT) : f.end + CONTEXT]))
+                    rows.append((source.as_py(), page.as_py(), f.start, *_fields(f.number, f.unit)))
+                    if len(rows) == 1000:
+                        yield held(rows, around)
+                        rows, around = [], []
+        if rows:
+            yield held(rows, around)
 
     return pages.where(may_state(F.col("text"))).mapInArrow(run, _HELD)
 

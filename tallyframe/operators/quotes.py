@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import cycle
 
 import numpy as np
 import pandas as pd
@@ -171,6 +172,23 @@ def hits(text: str, sizes: list[int], bits: np.ndarray) -> np.ndarray:
     return found[np.diff(found, prepend=found[:1] - 1) != 0]  # np.unique hashes them, which takes longer
 
 
+def hits_of_each(texts: list[str], sizes: list[int], bits: np.ndarray) -> list[np.ndarray]:
+    """The hits of each of some short texts, which are read as one; runs over the edge of two are none."""
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    found, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for (h, at), k in zip(asked_runs("".join(texts), sizes, bits), cycle(sizes)):
+        owner = np.searchsorted(ends, at, "right")
+        whole = at + k <= ends[owner]
+        found.append(h[whole])
+        owners.append(owner[whole])
+    found, owners = np.concatenate(found), np.concatenate(owners)
+    order = np.lexsort((found, owners))
+    found, owners = found[order], owners[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
+    return np.split(found[new], np.searchsorted(owners[new], np.arange(1, len(texts)))) if texts else []
+
+
 def holding(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, hash): which runs of wanted (hash, k) each of pages (page_id, text) holds, once; the text is read as it is."""
     wanted = settle(wanted.select("hash", "k").distinct())

@@ -2,12 +2,13 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import figures as fig
-from tallyframe.operators import figure_checks
+from tallyframe.operators import figure_checks, quotes
 from tests.conftest import SF
 
 
@@ -295,3 +296,15 @@ def test_arrays_agree_as_columns_do(spark):
     r = df.withColumn("told", both).toPandas()
     got = figure_checks._agreeing(r.a.to_numpy(), r.ap.to_numpy().astype(float), r.b.to_numpy(), r.bp.to_numpy())
     assert got.tolist() == r.told.tolist() and 300 < got.sum() < 4500
+
+
+def test_contexts_are_read_together_as_each_alone():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice((0, 1, 3, 40)))) for _ in range(200)]
+    bits = np.zeros((1 << 24) // 64, np.int64)
+    for word in ("ab", "abc", "cabb", "bbbb"):
+        slot = int(quotes._slots(quotes.run_hashes(word, len(word)))[0])
+        bits[slot >> 6] |= 1 << (slot & 63)
+    got = quotes.hits_of_each(texts, [2, 3, 4], bits)
+    assert [x.tolist() for x in got] == [quotes.hits(t, [2, 3, 4], bits).tolist() for t in texts] and sum(map(len, got)) > 100
+    assert quotes.hits_of_each([], [2], bits) == [] and [x.tolist() for x in quotes.hits_of_each(["", ""], [2], bits)] == [[], []]
