@@ -1,10 +1,10 @@
 """Figures of drafts against figures of pages, each with the words around it.
 
 A page figure is read with its place, and the letters of 250 characters on either side are its context. A
-draft's figure meets those of pages by two keys at once: the value at the draft's precision, and a term of
-its sentence that the context holds. So a common number such as 1 meets no more contexts than share a word
-with it; figures whose sentence has no terms meet one place for each value. Terms may stand anywhere in the
-letters of a context, across words too, and are told apart by 64-bit hashes.
+draft's figure meets those of pages that may say the same, or that are next in value, in groups of bounded
+size, and there the terms of its sentence that their contexts hold are counted. Figures whose sentence has no
+terms meet one place for each value. Terms may stand anywhere in the letters of a context, across words too,
+and are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
